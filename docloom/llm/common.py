@@ -59,3 +59,9 @@ def drop_clashes(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns that an operator is about to add: the operator's own columns win."""
     mine = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in mine])
+
+
+def literal_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small table of constants, as an expression; there must be a row."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
 from .decontam import contamination
+from .licenses import LICENSES, SPELLINGS, known_licenses, license_scan
 from .linededup import line_dedup
 from .neardup import near_duplicates
 from .quality import quality_rules
 from .secrets import secret_scan
+from .shards import kd_shards
+from .urls import url_filter
+from .warc import warc_round_trip
 
 RANKS = "byte_bpe_50k.tiktoken"
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+SHARDS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +30,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc_round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -32,6 +47,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kd_shards(table(spark, sf_dir, "documents"), dimensions=["n_chars", "lang", "source"], n_shards=SHARDS)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     kept = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -59,21 +79,113 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan(table(spark, sf_dir, "documents"), known_licenses(spark))
+    return out.select("doc_id", "text_digest", "license_id", F.array_join("notices", ",").alias("notices"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_warc,
+        op3_url_filter,
         op4_byte_bpe,
         op5_minhash_near_dedup,
+        op6_kd_sharding,
         op7_line_dedup,
         op8_benchmark_decontamination,
         op9_secret_scan,
+        op10_license_scan,
     )
 }
 
-_DOCUMENT_WORDS = r"[^\x20\x09-\x0D]+"
+_SPELLED = "' ' || form || ' '"
+for _other, _usual in SPELLINGS.items():
+    _SPELLED = f"replace({_SPELLED}, ' {_other} ', ' {_usual} ')"
+_KNOWN = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in item)) for item in LICENSES.items())
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FORM = (
+    r"trim(regexp_replace(regexp_replace(" + _LOWERED.format("text") + r", '(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*', '\1', 'g'), "
+    r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+)
+_RULE_FITS = [
+    f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}') then '{r}'"
+    for r in sorted((r for _, r in URL_RULES), key=lambda r: (-len(r), r))
+    for h, _, p in [r.partition("/")]
+]
+_BLOCKS = ", ".join(f"'{r}'" for v, r in URL_RULES if v == "block")
 
 ORACLE_SQL = {
+    "op1_quality_rules": r"""
+with docs as (select doc_id, source, coalesce(text, '') as text from documents),
+split as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws, string_split(text, chr(10)) as ls from docs),
+words as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i from split),
+three as (select doc_id, i, w || ' ' || lead(w) over p || ' ' || lead(w, 2) over p as win from words window p as (partition by doc_id order by i)),
+again as (select doc_id, i from (select *, count(*) over (partition by doc_id, win) as n from three where win is not null) where n > 1),
+covered as (select doc_id, count(distinct i + k)::bigint as n_repeat_words from again, (values (0), (1), (2)) as k(k) group by doc_id),
+chars as (select doc_id, sum(length(w))::bigint as word_chars, sum(length(regexp_replace(w, '[^#*$%&|<>]', '', 'g')))::bigint as n_symbols from words group by doc_id),
+lines as (select doc_id, source, unnest(ls) as line, generate_subscripts(ls, 1) as i from split),
+worded as (select *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as ws from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+dups as (select doc_id, sum(n - 1)::bigint as n_dup_lines from (select doc_id, line, count(*) as n from worded group by 1, 2) group by doc_id),
+held as (select doc_id, source, key, sum(n)::bigint as words from (
+  select doc_id, source, len(ws) as n, regexp_replace(translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') as key
+  from worded) group by 1, 2, 3),
+hosts as (select source, count(distinct text) as host_docs from docs group by source),
+above as (select h.source, h.key, min(h.doc_id) as first from held h join docs d using (doc_id) join hosts on hosts.source = h.source
+  group by h.source, h.key, host_docs having count(distinct d.text) > 10 and count(distinct d.text) > 0.05 * host_docs),
+removed as (select h.doc_id, count(*)::bigint as removed_lines, sum(words)::bigint as removed_words
+  from held h join above a on h.source = a.source and h.key = a.key and h.doc_id <> a.first group by h.doc_id),
+whole as (select s.doc_id, len(ws)::bigint as n_words, coalesce(word_chars, 0) as word_chars, coalesce(n_symbols, 0) as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(removed_lines, 0) as removed_lines, coalesce(removed_words, 0) as removed_words
+  from split s left join chars using (doc_id) left join dups using (doc_id) left join covered using (doc_id) left join removed using (doc_id)),
+judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, n_words - removed_words < 0.3 * n_words as depleted from whole)
+select *, not base_failed and not depleted as kept from judged
+""",
+    "op2_warc": r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as h, min(page_id) over (partition by html) as first from p)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((strpos('0123456789abcdef', substr(h || '0', (i * 5) // 4 + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h || '0', (i * 5) // 4 + 2, 1)) - 1) >> (3 - (i * 5) % 4)) % 32 + 1, 1)), '') as payload_digest,
+  case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to
+from d
+""",
+    "op3_url_filter": r"""
+with u as (select page_id, """ + _LOWERED.format(r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')") + r""" as host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
+r as (select *, case """ + " ".join(_RULE_FITS) + r""" end as rule from u),
+s as (select *, case when rule is not null then case when rule in (""" + _BLOCKS + r""") then 1 else 0 end end as label,
+  list_transform(string_split(ltrim(path, '/'), '/'), lambda x: case when regexp_matches(x, '^[0-9]+') then regexp_replace(x, '^[0-9]+', '{n}')
+    when regexp_matches(x, '^[0-9a-f]{8,}') then regexp_replace(x, '^[0-9a-f]{8,}', '{x}') else x end) as parts from r),
+t as (select *, case when len(parts) > 8 then list_append(parts[1:8], '**') else parts end as segments from s),
+f as (select host, segments, array_to_string(segments, '/') as form, count(*) as n, count(label) as known, coalesce(sum(label), 0) as bad from t group by 1, 2),
+steps as (select host, form, n, i as "at", segments[i] as segment, array_to_string(segments[1:i - 1], '/') as parent from (select *, unnest(range(1, len(segments) + 1)) as i from f)),
+nodes as (select host, "at", parent from (select host, "at", parent, segment, sum(n) as n from steps group by 1, 2, 3, 4) group by 1, 2, 3 having count(*) >= 10 and sum(n) < 3.0 * count(*)),
+g as (select host, form, list(case when nodes.host is not null then '*' else segment end order by steps."at") as path
+  from steps left join nodes using (host, "at", parent) group by 1, 2),
+shaped as (select f.*, array_to_string(path, '/') as template,
+  array_to_string(list_transform(path, lambda x: case when x = '' or x[1] in ('*', '{') then x else '_' end), '/') as shape from f join g using (host, form)),
+templates as (select host, shape, template, sum(known) as known, sum(bad) as bad from shaped group by 1, 2, 3),
+pools as (select host, shape, sum(bad) / nullif(sum(known), 0) as common from templates group by 1, 2),
+placed as (select *, case when known = 0 or abs(bad / known - common) <= 2.0 * sqrt(common * (1 - common) / known) then shape else template end as branch
+  from templates join pools using (host, shape)),
+branches as (select host, branch, sum(known) as known, sum(bad) as bad from placed group by 1, 2),
+hosts as (select host, (sum(bad) + 5.0 * (select coalesce(sum(bad) / nullif(sum(known), 0), 0) from branches)) / (sum(known) + 5.0) as share from branches group by 1),
+purity as (select host, branch, (bad + 5.0 * share) / (known + 5.0) as purity from branches join hosts using (host))
+select page_id, t.host, path, rule, case when label is not null then case label when 1 then 'block' else 'allow' end when purity >= 0.8 then 'block' else 'allow' end as verdict, template
+from t join shaped using (host, segments) join placed using (host, template) join purity using (host, branch)
+""",
+    "op10_license_scan": f"""
+with known as (select digest, min(license_id) as license_id from (
+  select license_id, sha256(trim({_SPELLED})) as digest from (select license_id, {_FORM} as form from (values {_KNOWN}) as k(license_id, text))) group by 1),
+units as (select doc_id, true as whole, text from documents union all
+  select doc_id, false, unnest(string_split(text, chr(10))) from documents where contains(text, chr(10))),
+digests as (select doc_id, whole, case when form <> '' then sha256(trim({_SPELLED})) end as digest from (select doc_id, whole, {_FORM} as form from units)),
+hits as (select doc_id, string_agg(distinct license_id, ',' order by license_id) as notices from digests join known using (digest) group by 1)
+select d.doc_id, d.digest as text_digest, k.license_id, coalesce(notices, '') as notices
+from digests d left join known k using (digest) left join hits using (doc_id) where whole
+""",
     "op7_line_dedup": r"""
 with docs as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 lines as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from docs),
