@@ -160,8 +160,8 @@ def near_duplicates(
     row has its own n_shingles); ties go to the smallest id; an empty table gives an empty result; other columns are
     ignored.
 
-    Scale: only hashes are shuffled, but for the texts of candidate classes, whose ids are joined with docs. Joins on
-    hot classes or anchors are plain equi-joins, which Spark splits when a partition is skewed."""
+    Scale: only hashes are shuffled. The texts of candidate classes are picked out where they are read, by a bitmap of
+    fixed size. Joins on hot classes or anchors are plain equi-joins, which Spark splits when a partition is skewed."""
     base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
     feats = written(base.mapInArrow(_featurer(width, bands, rows), "id bigint, n bigint, key binary, buckets array<bigint>"), "sets")
     classes = (
@@ -176,8 +176,7 @@ def near_duplicates(
     anchors = members.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("id"))).alias("best"))
     anchored = written(members.join(anchors, "bucket").select("id", (-F.col("best.col2")).alias("anchor")).distinct(), "anchored")
 
-    wanted = anchored.select("id").distinct()
-    sets = written(base.join(wanted, "id").mapInArrow(_setter(width), "id bigint, shingles array<bigint>"), "shingles")
+    sets = written(_marked(base, anchored.select("id")).mapInArrow(_setter(width), "id bigint, shingles array<bigint>"), "shingles")
     first = (
         anchored.filter("id <> anchor").join(sets, "id")
         .join(sets.select(F.col("id").alias("anchor"), F.col("shingles").alias("others")), "anchor")
@@ -201,6 +200,20 @@ def near_duplicates(
     )
 
 
+def _marked(docs: DataFrame, wanted: DataFrame, bits: int = 26) -> DataFrame:
+    """docs (id, text) whose id is among wanted, and a few more: those at the same place of a bitmap of 2**bits places.
+
+    The bitmap takes 2**(bits-3) bytes, 8 MB, however many ids are wanted, so it is broadcast and no text is shuffled.
+    As it fills up more documents pass, never fewer; what is too much finds no partner in the joins that follow."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << bits)) + 1
+    rows = wanted.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    bitmap = rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    at = docs.filter("id is not null").withColumn("bucket", F.bitmap_bucket_number(place)).withColumn("bit", F.bitmap_bit_position(place))
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = at.join(F.broadcast(bitmap), "bucket").filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1)
+    return hit.select("id", "text")
+
+
 def _left_over(anchored: DataFrame, found: DataFrame, block: int) -> DataFrame:
     """The members of anchors with several components, dealt into cells so that every pair of different components meets.
 
