@@ -54,7 +54,7 @@ def bool_target(col: Column, kind: T.DataType) -> Column:
 
 def wrap_integer(col: Column, bits: int) -> Column:
     """A whole number narrowed to bits as two's complement, as a narrowing conversion does: no overflow error."""
-    span, half = F.lit(1 << bits).cast("decimal(38,0)"), F.lit(1 << (bits - 1)).cast("decimal(38,0)")
+    span, half = (F.lit(str(1 << b)).cast("decimal(38,0)") for b in (bits, bits - 1))
     name = {8: "tinyint", 16: "smallint", 32: "int", 64: "bigint"}[bits]
     return (F.pmod(col.cast("decimal(38,0)") + half, span) - half).cast(name)
 
@@ -65,7 +65,8 @@ def integer_target(col: Column, kind: T.DataType, bits: int) -> Column:
         # floats saturate at the int or long range first, then narrow
         wide = 32 if bits < 64 else 64
         low, high = -(1 << (wide - 1)), (1 << (wide - 1)) - 1
-        whole = F.when(F.isnan(col), F.lit(0)).when(col <= low, F.lit(low)).when(col >= high, F.lit(high)).otherwise(col.try_cast("bigint"))
+        least, most = F.lit(str(low)).cast("bigint"), F.lit(high).cast("bigint")
+        whole = F.when(F.isnan(col), F.lit(0)).when(col <= float(low), least).when(col >= float(high), most).otherwise(col.try_cast("bigint"))
         return F.when(col.isNotNull(), wrap_integer(whole, bits))
     if isinstance(kind, T.DecimalType):
         return wrap_integer(F.when(col < 0, F.ceil(col)).otherwise(F.floor(col)), bits)

@@ -90,7 +90,7 @@ def dependents(changes: DataFrame, routes: list[Route], only_effect: bool = True
     lower = F.transform(changed_columns(F.col("before"), F.col("after")), F.lower)
     rows = changes.withColumn("_table", F.lower("table")).withColumnRenamed("table", "source_table")
     rows = rows.join(table, F.col("_table") == F.col("table")).drop("_table", "table").withColumnRenamed("source_table", "table")
-    effect = F.when(F.col("op") == "UPDATE", F.arrays_overlap(lower, "columns")).otherwise(F.lit(True))
+    effect = F.when(F.col("op") == "UPDATE", F.arrays_overlap(lower, "columns") | F.array_contains("columns", "*")).otherwise(F.lit(True))
     out = rows.withColumn("effect", F.coalesce(effect, F.lit(False)))
     return out.filter("effect") if only_effect else out
 

@@ -26,9 +26,17 @@ def images(changes: DataFrame, schema: T.StructType) -> DataFrame:
     return both.select(*[F.element_at("row", f.name.lower()).try_cast(f.dataType).alias(f.name) for f in schema.fields]).distinct()
 
 
-def _through(spark: SparkSession, q: Query, alias: str, rows: DataFrame, out: str) -> DataFrame:
-    """out of a query in which rows stand for one alias's table; joins are inner, since only their partners count."""
-    return spark.sql(f"SELECT DISTINCT {out} FROM {source_sql(q, {alias: temporary(rows)}, inner=True)}")
+def _through(spark: SparkSession, q: Query, route: Route, rows: DataFrame, out: str) -> DataFrame:
+    """out of a query in which rows stand for one alias's table, where they take part.
+
+    All other joins are outer: a partner that is gone, or not there yet, must not hide whom the rows concern. Where two
+    tables changed at once, the one nearer to the query's main table still finds its way."""
+    if route.role == "derived":
+        hit = next(c for pair in q.alias_of(route.alias).pairs for a, c in pair if a.lower() == route.alias.lower())
+        source = source_sql(q, within={route.alias: (route.table, temporary(rows))}, outer=True)
+        return spark.sql(f"SELECT DISTINCT {out} FROM {source} WHERE {route.alias}.{hit} IS NOT NULL")
+    source = source_sql(q, {route.alias: temporary(rows.withColumn("_hit", F.lit(True)))}, outer=True)
+    return spark.sql(f"SELECT DISTINCT {out} FROM {source} WHERE {route.alias}._hit")
 
 
 def _owners(spark: SparkSession, whole: Query, mapping: Mapping, keys: DataFrame, f: Field) -> DataFrame:
@@ -58,11 +66,11 @@ def affected(spark: SparkSession, mapping: Mapping, changes: DataFrame, analyser
         if r.role in ("main", "owner") and (r.view == "" or r.role == "owner"):
             own = rows.select(F.col(key.columns[0][1]).cast("string").alias("_id"))
         elif r.view == "":
-            own = _through(spark, whole, r.alias, rows, f"cast({key.text} AS string) AS _id")
+            own = _through(spark, whole, r, rows, f"cast({key.text} AS string) AS _id")
         else:
             f, q = nested[r.view]
             out = ", ".join(f"{k} AS _k{n}" for n, (k, _) in enumerate(keys_of(f)))
-            own = _owners(spark, whole, mapping, _through(spark, q, r.alias, rows, out), f)
+            own = _owners(spark, whole, mapping, _through(spark, q, r, rows, out), f)
         found.append(own.filter("_id is not null").withColumn("view", F.lit(r.view)))
     return reduce(DataFrame.unionByName, found).distinct()
 

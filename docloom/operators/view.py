@@ -18,17 +18,33 @@ from ..plans.mapping import Field, Mapping, MappingError, order_columns
 Methods = dict[str, Callable[[Column], Column]]
 
 
-def source_sql(q: Query, replaced: dict[str, str] | None = None, inner: bool = False) -> str:
-    """A query's FROM text, with the tables of some aliases replaced, and outer joins as inner ones if inner."""
-    text = q.source
+def source_sql(q: Query, replaced: dict[str, str] | None = None, within: dict[str, tuple[str, str]] | None = None, outer: bool = False) -> str:
+    """A query's FROM text. replaced gives other tables for some aliases; within, for derived tables, another table for
+    one that they read; outer makes all joins between the tables left joins."""
+    text, hidden = q.source, []
+    for alias, sub in q.derived.items():
+        if within and alias in within:
+            old, new = within[alias]
+            hidden.append(_renamed(sub, old, new))
+        else:
+            hidden.append(sub)
+        text = text.replace(sub, f"\x01{len(hidden) - 1}\x01", 1)
     for alias, name in (replaced or {}).items():
-        t = q.alias_of(alias)
-        named = rf"(?<![\w.`])`?{re.escape(t.table)}`?(\s+(?:as\s+)?`?{re.escape(alias)}`?)(?![\w`.])"
+        table = re.escape(q.alias_of(alias).table)
+        named = rf"(?<![\w.`])`?{table}`?(\s+(?:as\s+)?`?{re.escape(alias)}`?)(?![\w`.])"
         new, n = re.subn(named, rf"{name}\1", text, flags=re.I)
         if not n:
-            new, n = re.subn(rf"(?<![\w.`])`?{re.escape(t.table)}`?(?![\w`.])", f"{name} {alias}", text, count=1, flags=re.I)
+            new = re.sub(rf"(?<![\w.`])`?{table}`?(?![\w`.])", f"{name} {alias}", text, count=1, flags=re.I)
         text = new
-    return re.sub(r"\bleft\s+(outer\s+)?join\b", "JOIN", text, flags=re.I) if inner else text
+    if outer:
+        text = re.sub(r"\b(?:(?:inner|left\s+outer|left)\s+)?join\b", "LEFT JOIN", text, flags=re.I)
+    return re.sub("\x01(\\d+)\x01", lambda m: hidden[int(m[1])], text)
+
+
+def _renamed(sql: str, table: str, name: str) -> str:
+    """sql with a table of FROM or JOIN replaced, under its old name if it has no alias."""
+    named = rf"(\b(?:from|join)\s+)`?{re.escape(table)}`?(\s+(?:as\s+)?(?!(?:left|inner|join|on|where|group|order|cross)\b)\w+)?"
+    return re.sub(named, lambda m: f"{m[1]}{name}{m[2] or ' ' + table}", sql, flags=re.I)
 
 
 def register(spark: SparkSession, tables: dict[str, DataFrame]) -> None:

@@ -121,7 +121,7 @@ def order_columns(fragment: str | None) -> list[tuple[str, bool]]:
 def from_dict(doc: dict, properties: dict[str, str] | None = None) -> Mapping:
     """A mapping from its YAML document; keys are accepted in camel, kebab or snake case."""
     doc = _relaxed(_filled(doc, properties or {}))
-    m = doc.get("esmapping", doc)
+    m = _relaxed(doc.get("esmapping", doc))
     fields = []
     for name, spec in (m.get("objfields") or {}).items():
         spec = _relaxed(spec)

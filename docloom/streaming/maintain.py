@@ -23,13 +23,13 @@ Listener = Callable[[DataFrame, int], None]
 class DocumentStream:
     """Keeps the snapshots of several mappings at view(current tables).
 
-    tables is called for every batch, so that it sees the tables as they are then. Each mapping's snapshot version is the
+    tables is called for every batch with the batch's session, so that it sees the tables as they are then. Each mapping's snapshot version is the
     batch's number plus one: a batch that runs again after a failure finds its version committed and changes nothing.
     The stream's position moves only when all mappings and listeners are through."""
 
     spark: SparkSession
     mappings: list[Mapping]
-    tables: Callable[[], dict[str, DataFrame]]
+    tables: Callable[[SparkSession], dict[str, DataFrame]]
     root: str
     methods: Methods = field(default_factory=dict)
     listeners: list[Listener] = field(default_factory=list)
@@ -37,7 +37,7 @@ class DocumentStream:
 
     def load(self) -> None:
         """The first version of each snapshot, from the tables."""
-        register(self.spark, self.tables())
+        register(self.spark, self.tables(self.spark))
         for m in self.mappings:
             store = Snapshots(self.spark, self.root, m.index)
             if store.version() is None:
@@ -45,22 +45,23 @@ class DocumentStream:
 
     def rebuild(self, mapping: Mapping) -> int:
         """A fresh version from the tables alone."""
-        register(self.spark, self.tables())
+        register(self.spark, self.tables(self.spark))
         return Snapshots(self.spark, self.root, mapping.index).write(build_view(self.spark, mapping, methods=self.methods))
 
     def apply(self, changes: DataFrame, batch: int) -> None:
+        spark = changes.sparkSession  # a batch has a session of its own, and so have the names in it
         changes = wanted(changes, self.ignore_until).persist()
         try:
-            register(self.spark, self.tables())
-            analyser = Analyser(self.spark)
+            register(spark, self.tables(spark))
+            analyser = Analyser(spark)
             listed = [r for m in self.mappings for r in routes(analyser, m)]
             concerned = {r["index"] for r in dependents(changes, listed).select("index").distinct().collect()}  # at most one row a mapping
             for m in self.mappings:
                 if m.index not in concerned:
                     continue
-                store = Snapshots(self.spark, self.root, m.index)
+                store = Snapshots(spark, self.root, m.index)
                 if (store.version() or 0) <= batch:
-                    store.write(maintain(self.spark, m, store.read(), changes, methods=self.methods), batch + 1)
+                    store.write(maintain(spark, m, store.read(), changes, methods=self.methods), batch + 1)
                     store.prune()
             told = notifications(dependents(changes, listed))
             for listener in self.listeners:
