@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..plans.lineage import Analyser, Query, Route, keys_of, routes
 from ..plans.mapping import Field, Mapping
+from ..sources.snapshots import stored
 from .changes import dependents
 from .view import Methods, build_view, source_sql, temporary
 
@@ -76,9 +77,11 @@ def affected(spark: SparkSession, mapping: Mapping, changes: DataFrame, analyser
 
 
 def recompute(spark: SparkSession, mapping: Mapping, changes: DataFrame, *, methods: Methods | None = None) -> tuple[DataFrame, DataFrame]:
-    """(upserts, deletes): the concerned documents as they are now, and the ids of those that are no more."""
+    """(upserts, deletes): the concerned documents as they are now, and the ids of those that are no more.
+
+    The ids are written once, since every part of the view is restricted by them."""
     analyser = Analyser(spark)
-    ids = affected(spark, mapping, changes, analyser).select("_id").distinct()
+    ids = stored(affected(spark, mapping, changes, analyser).select("_id").distinct())
     now = build_view(spark, mapping, only=ids, methods=methods, analyser=analyser)
     return now, ids.join(now.select("_id"), "_id", "left_anti")
 

@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 from .functions import convert
 from .functions.embed import embed, hashed_model
 from .operators import changes as ch
-from .operators import compact, history, incremental, ranges, reconcile, replay
+from .operators import compact, history, incremental, load, ranges, reconcile, replay
 from .operators.view import build_view, register, typed
 from .plans.lineage import Analyser, routes
 from .plans.mapping import Field, Mapping
-from .sources.changes import captured_changes, from_messages
-from .streaming.maintain import server_sent
+from .sources.changes import captured_changes, file_changes, from_messages
+from .sources.snapshots import Snapshots, scratch
+from .streaming.maintain import DocumentStream, server_sent
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -488,6 +489,18 @@ def route_server_sent_events(spark, d):
     return sent.select("seq", F.substring_index("message", "data:", 1).alias("head"))
 
 
+@query(ORDERS_NOW_SQL)
+def cdc_stream(spark, d):
+    """The orders' log, landed as files, through a stream that keeps versioned snapshots."""
+    root, m = scratch(spark), orders_mapping(CUSTOMER, LINES)
+    t = tables(spark, d, *FULL)
+    Snapshots(spark, f"{root}/docs", m.index).write(_before(spark, t | {"orders": earlier_orders(t["orders"])}, m), 0)
+    order_changes(t["orders"]).write.json(f"{root}/log")
+    stream = DocumentStream(spark, [m], lambda session: tables(session, d, *FULL), f"{root}/docs")
+    stream.start(file_changes(spark, f"{root}/log", files_per_trigger=1000), f"{root}/checkpoint", available_now=True).awaitTermination()
+    return _flat(Snapshots(spark, f"{root}/docs", m.index).read())
+
+
 # Write sets: events are requests; the user is the document, the type decides the kind and the field.
 
 
@@ -634,6 +647,40 @@ def rec_repaired(spark, d):
     return _flat(reconcile.repaired(now, docs, work))
 
 
+@query("select o_orderkey::varchar as _id, case when o_orderkey % 10 in (1, 2) then o_totalprice + 100 else o_totalprice end as price from orders union all select (o_orderkey + 100000000)::varchar, o_totalprice from orders where o_orderkey % 20 = 5")
+def load_insert_ignore(spark, d):
+    """Missing documents are added; those that are there stay as they are."""
+    t, m = tables(spark, d, "orders"), orders_mapping()
+    docs = _before(spark, {"orders": earlier_orders(t["orders"])}, m)
+    register(spark, t)
+    return load.sync_all(spark, m, docs, insert_ignore=True).select("_id", "price")
+
+
+@query("select o_orderkey::varchar as _id, case when o_orderkey % 10 = 1 then o_totalprice + 100 else o_totalprice end as price from orders where o_orderkey % 10 not in (0) union all select (o_orderkey + 100000000)::varchar, o_totalprice from orders where o_orderkey % 20 = 5")
+def load_by_id(spark, d):
+    t, m = tables(spark, d, "orders"), orders_mapping()
+    docs = _before(spark, {"orders": earlier_orders(t["orders"])}, m)
+    register(spark, t)
+    ids = t["orders"].filter("o_orderkey % 10 = 2").select(F.col("o_orderkey").alias("_id"))
+    return load.sync_by_id(spark, m, docs, ids).select("_id", "price")
+
+
+@query("""with r as (select *, o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1998-01-01' as inside from orders)
+select o_orderkey::varchar as _id, case when o_orderkey % 10 in (1, 2) and not inside then o_totalprice + 100 else o_totalprice end as price from r where inside or o_orderkey % 10 <> 0
+union all select (o_orderkey + 100000000)::varchar, o_totalprice from r where o_orderkey % 20 = 5 and not inside""")
+def load_date_range(spark, d):
+    t, m = tables(spark, d, "orders"), orders_mapping()
+    docs = _before(spark, {"orders": earlier_orders(t["orders"])}, m)
+    register(spark, t)
+    return load.sync_range(spark, m, docs, "orderDate", "1997-01-01", "1998-01-01", append=False).select("_id", "price")
+
+
+@query(ORDERS_NOW_SQL)
+def load_check_and_repair(spark, d):
+    _, docs = _stale(spark, d)
+    return _flat(load.check_and_repair(spark, orders_mapping(CUSTOMER, LINES), docs)[0])
+
+
 @query("select o_orderkey::varchar as _id from orders where o_totalprice not between 100000 and 200000")
 def rec_delete_range(spark, d):
     return reconcile.delete_range(view(spark, d, orders_mapping(), "orders"), "price", 100000, 200000).select("_id")

@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")
+    return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, computed once: written to a scratch folder and read again, which also cuts its lineage."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Snapshots:
     """An index's documents under root/index. Versions are numbered; the pointer is a one-row file of its own."""
 

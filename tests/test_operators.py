@@ -1,17 +1,21 @@
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from docloom import queries as q
+from docloom.functions.names import clean_identifier, to_camel, to_snake
 from docloom.operators import changes as ch
 from docloom.operators import compact, history, incremental, ranges, reconcile, replay
 from docloom.operators.view import build_view, register
 from docloom.plans.lineage import Analyser
-from docloom.plans.mapping import Field, Mapping
+from docloom.plans.index_types import check_strict, target_types
+from docloom.plans.mapping import Field, Mapping, MappingError
 from docloom.sources.changes import file_changes
 from docloom.sources.snapshots import Snapshots
 from docloom.streaming.maintain import DocumentStream
+from docloom.streaming.supervise import Alerts, supervised
 
 COLUMNS = {"job": ("id", "name", "corp_id"), "corp": ("id", "name"), "corp_name": ("id", "corp_id", "kind", "name"), "region": ("id", "job_id", "city")}
 MAPPING = Mapping(
@@ -245,3 +249,33 @@ def test_orderless_fields(spark):
     assert [r["_id"] for r in reconcile.delete_range(docs, "n", 1, 9).collect()] == ["2"]
     assert ranges.search_after(docs, "1", 5, []).collect()[0]["_id"] == "2"
     assert compact.update_by_ids(docs.select(F.lit("i").alias("index"), F.col("_id").alias("id")), "f", F.lit(1)).count() == 2
+
+
+def test_supervised_stream_restarts():
+    class Query:
+        def __init__(self, error):
+            self.error = error
+
+        def awaitTermination(self):  # noqa: N802
+            if self.error:
+                raise self.error
+
+    sent, clock = [], iter(range(0, 5000, 400))
+    alerts = Alerts(sent.append, every_s=600, clock=lambda: next(clock))
+    runs = iter([Query(StreamingQueryException("lost")), Query(StreamingQueryException("lost")), Query(StreamingQueryException("lost")), Query(None)])
+    assert supervised(lambda: next(runs), alerts, pause_s=0) == 3
+    assert sent == ["lost", "lost"], "the second is too soon"
+
+
+def test_index_types(spark):
+    text = '{"a": {"mappings": {"properties": {"x": {"type": "long"}}}}, "job_1": {"mappings": {"properties": {"id": {"type": "long"}, "at": {"type": "date", "format": "s || ms"}, "regions": {"type": "nested", "properties": {"id": {"type": "integer"}}}}}}}'
+    target = target_types(text, "job")
+    assert target == {"id": "long", "at": ("date", "s || ms"), "regions": {"id": "integer"}} and target_types(text) == {"x": "long"}
+    docs = spark.createDataFrame([("1", 1, [(1, "c")])], "_id string, id bigint, regions array<struct<id:int,city:string>>")
+    with pytest.raises(MappingError, match="regions.city"):
+        check_strict(docs, target)
+    assert check_strict(docs.drop("regions"), target).count() == 1
+
+
+def test_names():
+    assert clean_identifier("`a`.\"b\"") == "a.b" and to_snake("dataSourceKey") == "data_source_key" and to_camel("data_source_key") == "dataSourceKey"
