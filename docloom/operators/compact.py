@@ -19,12 +19,16 @@ def trim(requests: DataFrame) -> DataFrame:
 
     Where an upsert is trimmed, an update in between that may not create a document meets none: use fold for the
     exact outcome of the untrimmed sequence."""
-    by_doc = Window.partitionBy("index", "id")
-    last_delete = F.max(F.when(F.col("kind") == "delete", F.col("seq"))).over(by_doc)
-    same = Window.partitionBy("index", "id", "kind", "upsert", "_keys").orderBy(F.desc("seq"))
-    out = requests.withColumn("_keys", _key_set(F.col("fields"))).withColumn("_deleted", last_delete)
-    out = out.filter(F.col("_deleted").isNull() | (F.col("seq") >= F.col("_deleted")))
-    return out.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n", "_keys", "_deleted")
+    rows = _with_last_delete(requests).filter(F.col("_deleted").isNull() | (F.col("seq") >= F.col("_deleted")))
+    same = rows.withColumn("_keys", _key_set(F.col("fields"))).groupBy("index", "id", "kind", "upsert", "_keys")
+    return same.agg(F.max("seq").alias("seq"), F.max_by("fields", "seq").alias("fields")).drop("_keys")
+
+
+def _with_last_delete(requests: DataFrame) -> DataFrame:
+    """requests with _deleted, the document's last delete: a sum with partial sums and a join, so a document with very many
+    requests is no single task's work."""
+    last = requests.filter("kind = 'delete'").groupBy("index", "id").agg(F.max("seq").alias("_deleted"))
+    return requests.join(last, ["index", "id"], "left")
 
 
 def merge_adjacent(requests: DataFrame) -> DataFrame:
@@ -45,9 +49,9 @@ def merge_adjacent(requests: DataFrame) -> DataFrame:
 
 def drop_repeated_stamps(requests: DataFrame, stamp: str) -> DataFrame:
     """Updates that only stamp the time go where the document already has an earlier update."""
-    first = F.min(F.when(F.col("kind") == "update", F.col("seq"))).over(Window.partitionBy("index", "id"))
+    first = requests.filter("kind = 'update'").groupBy("index", "id").agg(F.min("seq").alias("_first"))
     only = (F.col("kind") == "update") & (F.size("fields") == 1) & F.map_contains_key("fields", stamp)
-    return requests.withColumn("_first", first).filter(~(only & (F.col("seq") > F.col("_first")))).drop("_first")
+    return requests.join(first, ["index", "id"], "left").filter(~(only & (F.col("seq") > F.col("_first")))).drop("_first")
 
 
 def fold(requests: DataFrame, present: DataFrame | None = None) -> DataFrame:
@@ -56,16 +60,15 @@ def fold(requests: DataFrame, present: DataFrame | None = None) -> DataFrame:
     present (index, id) says which documents exist before. After the last delete, or from the start for documents that
     do not exist, plain updates are void until the first upsert; from there each field's last value stands. A document
     that exists and is not deleted takes all updates. Documents that no request touches in the end are left out."""
-    by_doc = Window.partitionBy("index", "id")
-    rows = requests.withColumn("_deleted", F.max(F.when(F.col("kind") == "delete", F.col("seq"))).over(by_doc))
+    rows = _with_last_delete(requests)
     if present is not None:
         rows = rows.join(present.select("index", "id", F.lit(True).alias("_present")).distinct(), ["index", "id"], "left")
     else:
         rows = rows.withColumn("_present", F.lit(None).cast("boolean"))
     exists = F.col("_deleted").isNull() & F.coalesce("_present", F.lit(False))
     after = F.col("_deleted").isNull() | (F.col("seq") > F.col("_deleted"))
-    first = F.min(F.when(after & (F.col("kind") == "update") & (exists | F.col("upsert")), F.col("seq"))).over(by_doc)
-    rows = rows.withColumn("_first", first)
+    first = rows.filter(after & (F.col("kind") == "update") & (exists | F.col("upsert"))).groupBy("index", "id").agg(F.min("seq").alias("_first"))
+    rows = rows.join(first, ["index", "id"], "left")
     live = after & (F.col("kind") == "update") & (F.col("seq") >= F.col("_first"))
     each = rows.select("index", "id", "seq", (F.col("_deleted").isNotNull()).alias("deleted"), F.col("_first").isNotNull().alias("created"), F.explode_outer(F.when(live, F.col("fields"))).alias("field", "value"))
     last = each.groupBy("index", "id", "deleted", "created", "field").agg(F.max_by("value", "seq").alias("value"))

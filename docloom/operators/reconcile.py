@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,10 +83,10 @@ def repairs(view: DataFrame, docs: DataFrame, changes: DataFrame) -> DataFrame:
 def change_counts(changes: DataFrame, samples: int = 5) -> DataFrame:
     """How often each field differed, with the first ids as samples."""
     each = changes.select("_id", F.explode("changed").alias("field"))
-    # collect_list is bounded by the ids of one field; a rank in parts keeps only the first ones before they are gathered
-    part = F.pmod(F.xxhash64("_id"), F.lit(256))
-    first = each.groupBy("field", part.alias("part")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("_id")), 1, samples).alias("ids"))
-    return first.groupBy("field").agg(F.sum("n").alias("n_changed"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, samples).alias("samples"))
+    first = F.row_number().over(Window.partitionBy("field").orderBy("_id"))
+    kept = each.withColumn("n", first).filter(F.col("n") <= samples)  # each task passes on that many of a field at most
+    ids = kept.groupBy("field").agg(F.array_sort(F.collect_list("_id")).alias("samples"))
+    return each.groupBy("field").agg(F.count("*").alias("n_changed")).join(ids, "field")
 
 
 def check_all(view: DataFrame, docs: DataFrame, nested: dict[str, bool] | None = None) -> DataFrame:
