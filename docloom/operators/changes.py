@@ -95,6 +95,13 @@ def dependents(changes: DataFrame, routes: list[Route], only_effect: bool = True
     return out.filter("effect") if only_effect else out
 
 
+def concerning(changes: DataFrame, route: Route) -> DataFrame:
+    """The changes of one route's table that have an effect on its view: dependents for a single route, as a filter."""
+    lower = F.transform(changed_columns(F.col("before"), F.col("after")), F.lower)
+    read = F.lit(True) if "*" in route.columns else F.arrays_overlap(lower, F.array(*[F.lit(c) for c in route.columns]).cast("array<string>"))
+    return changes.filter((F.lower("table") == route.table) & F.when(F.col("op") == "UPDATE", read).otherwise(F.lit(True)))
+
+
 def notifications(deps: DataFrame) -> DataFrame:
     """One row for each change with the views that it concerned, in a stable order: what listeners receive."""
     return deps.groupBy("seq", "table", "op").agg(F.array_sort(F.collect_set(F.struct("index", "view", "role"))).alias("views"))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..plans.lineage import Analyser, Query, Route, keys_of, routes
 from ..plans.mapping import Field, Mapping
 from ..sources.snapshots import stored
-from .changes import dependents
+from .changes import concerning
 from .view import Methods, build_view, source_sql, temporary
 
 
@@ -62,8 +62,7 @@ def affected(spark: SparkSession, mapping: Mapping, changes: DataFrame, analyser
     listed = routes(analyser, mapping)
     found = []
     for r in listed:
-        mine = dependents(changes, [r])
-        rows = images(mine, spark.table(r.table).schema)
+        rows = images(concerning(changes, r), spark.table(r.table).schema)
         if r.role in ("main", "owner") and (r.view == "" or r.role == "owner"):
             own = rows.select(F.col(key.columns[0][1]).cast("string").alias("_id"))
         elif r.view == "":
