@@ -5,12 +5,15 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 _encodings: dict[tuple[str, str], tiktoken.Encoding] = {}
 
 
@@ -62,11 +65,9 @@ def _encoder(rank_file: str, pattern: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 500):
-                tokens = [encode_text(enc, t) if t else [] for t in texts[at : at + 500]]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[at : at + 500], pa.array(tokens, schema.field(1).type)], schema=schema)
+        for batch in slices(batches):
+            tokens = [pa.array(encode_text(enc, t) if t else [], pa.int32()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays([0, *accumulate(map(len, tokens))], pa.concat_arrays(tokens))], schema=schema)
 
     return run
 
@@ -76,7 +77,7 @@ def _decoder(rank_file: str, pattern: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             raw = [None if t is None else enc.decode_bytes(t) for t in batch.column("tokens").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tokens"), pa.array(raw, pa.binary())], schema=schema)
 
@@ -88,11 +89,14 @@ def _digester(rank_file: str, pattern: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for batch in batches:
-            tokens = [encode_text(enc, t) if t else [] for t in batch.column("text").to_pylist()]
-            shas = [hashlib.sha256(" ".join(map(str, t)).encode()).hexdigest() for t in tokens]
-            decoded = [hashlib.sha256(enc.decode_bytes(t)).hexdigest() for t in tokens]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, tokens), pa.int64()), pa.array(shas), pa.array(decoded)], schema=schema)
+        for batch in slices(batches):
+            sizes, shas, decoded = [], [], []
+            for text in batch.column("text").to_pylist():
+                tokens = encode_text(enc, text) if text else []
+                sizes.append(len(tokens))
+                shas.append(hashlib.sha256(" ".join(map(str, tokens)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(enc.decode_bytes(tokens)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], schema=schema)
 
     return run
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,11 @@ def literal_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> Da
     """A small table of constants, as an expression; there must be a row."""
     structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
     return spark.range(1, numPartitions=1).select(F.inline(F.array(*structs)))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of at most rows rows and about size bytes, so that what a task makes of them stays small."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)

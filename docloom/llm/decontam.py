@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, slices
 
 #: Bytes outside words become a space, A-Z become a-z: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 _TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 0x20 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -67,7 +67,7 @@ class _Sent:
 def _scanner(sent: _Sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(sent)
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_hit, items, spans = [], [], [], []
             for text in batch.column("text").to_pylist():
                 flat = normal(text.encode()) if text else b" "

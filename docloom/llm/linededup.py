@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, drop_clashes, free_name, written
+from .common import LOWER, SPACE, drop_clashes, free_name, slices, written
 
 SEGMENT_BITS = 20
 _NO_CONTINUATION = bytes(range(0x80, 0xC0))
@@ -46,17 +46,23 @@ def _positions(digests: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _seer(bits: int, least: int, fan: int):
     """Each task's own two filters, as the places set once and those set twice or more, by segment."""
 
+    def merged(once: np.ndarray, twice: np.ndarray, pending: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        new, counts = np.unique(np.concatenate(pending), return_counts=True)
+        again = np.concatenate([new[counts > 1], np.intersect1d(new, once, assume_unique=True)])
+        return np.union1d(once, new), np.union1d(twice, again)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-        for batch in batches:
+        pending, held = [], 0
+        for batch in slices(batches):
             seen = [b"".join(_digests(t.encode(), least)) for t in batch.column("text").to_pylist() if t]
-            digests = np.frombuffer(b"".join(seen), np.uint8).copy()
-            if not len(digests):
-                continue
-            places = np.concatenate(_positions(digests, bits))
-            new, counts = np.unique(places, return_counts=True)
-            twice = np.union1d(twice, np.concatenate([new[counts > 1], np.intersect1d(new, once, assume_unique=True)]))
-            once = np.union1d(once, new)
+            pending += _positions(np.frombuffer(b"".join(seen), np.uint8).copy(), bits)
+            held += 2 * len(pending[-1])
+            if held > 1 << 22:
+                once, twice = merged(once, twice, pending)
+                pending, held = [], 0
+        if pending:
+            once, twice = merged(once, twice, pending)
         part = TaskContext.get().partitionId() % fan
         segments = np.unique(once >> np.uint32(SEGMENT_BITS))
         rows = {"segment": [], "part": [], "once": [], "twice": []}
@@ -103,7 +109,7 @@ def _suspecter(bitmap, bits: int, least: int):
         def hit(places: np.ndarray) -> np.ndarray:
             return (flags[places >> np.uint32(3)] >> (places & np.uint32(7)).astype(np.uint8)) & 1
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, sets = [], []
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if t and i is not None and (d := _digests(t.encode(), least)):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, slices, written
 from .graph import components
 from .words import hash_words, mix, windows
 
@@ -74,7 +74,7 @@ class MinMax:
 def _featurer(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = MinMax(bands, rows)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode() if t else b"" for t in batch.column("text").to_pylist()]
             n, keys, buckets = [], [], []
             with np.errstate(over="ignore"):
@@ -89,10 +89,9 @@ def _featurer(width: int, bands: int, rows: int):
 
 def _setter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.sort(s.view(np.int64)) for s in _sets([t.encode() if t else b"" for t in batch.column("text").to_pylist()], width)]
-            for at in range(0, len(sets), 500):
-                yield pa.RecordBatch.from_arrays([batch.column("id")[at : at + 500], pa.array(sets[at : at + 500], _SETS.field(1).type)], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, _SETS.field(1).type)], schema=_SETS)
 
     return run
 
@@ -195,7 +194,7 @@ def near_duplicates(
     linked = linked.filter("copies > 1 or component is not null").select("key", F.coalesce("component", "id").alias("component"))
     return (
         feats.select("id", "n", "key").join(linked, "key", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
     )
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop_clashes, free_name, written
+from .common import LOWER, drop_clashes, free_name, slices, written
 from .words import hash_words, sum_sorted, windows
 
 SYMBOLS = b"#*$%&|<>"
@@ -59,7 +59,7 @@ def _repeats(hashes: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 40
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t.encode() if t else b"" for t in batch.column("text").to_pylist()]
         n = len(texts)
         hashes, owners = hash_words(texts)

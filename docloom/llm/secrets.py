@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER
+from .common import LOWER, slices
 
 #: The kinds of spans; those after hex are added by this method. The order breaks ties between spans.
 KINDS = ("assign", "access", "hex", "forge", "registry", "jwt")
@@ -145,7 +145,7 @@ _OUT = pa.schema([("id", pa.int64()), ("secrets", pa.list_(_SPAN)), ("redacted",
 
 def _scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keywords = automaton()
-    for batch in batches:
+    for batch in slices(batches):
         spans, redacted = [], []
         for text in batch.column("text").to_pylist():
             raw = text.encode() if text else b""
