@@ -167,6 +167,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     bitmap = spark.sparkContext.broadcast(twice_seen(base.filter("id is not null").select("text"), bits, least))
     suspects = written(base.mapInArrow(_suspecter(bitmap, bits, least), "id bigint, key binary"), "suspects")
     confirmed = suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last").select("key", "first")
+    confirmed = written(confirmed, "confirmed")  # apart from the join below, so that Spark can split a line that very many documents hold
     lost, keys = free_name(docs, "lost"), free_name(docs, "keys")
     gone = (
         suspects.join(confirmed, "key").filter("id <> first")
