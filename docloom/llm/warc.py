@@ -81,8 +81,9 @@ def _archiver(folder: str, max_file_bytes: int):
             for values in zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True):
                 row = dict(zip(names, values, strict=True))
                 if out is None:
-                    path = f"{at}/part-{part:05d}-{uuid.uuid4().hex}.warc.gz"
-                    out = store.open_output_stream(path, compression=None)
+                    name = f"part-{part:05d}-{uuid.uuid4().hex}.warc.gz"
+                    path = f"{folder.rstrip('/')}/{name}"
+                    out = store.open_output_stream(f"{at}/{name}", compression=None)
                 payload = (row["html"] or "").encode()
                 digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
                 kind = "response" if row["refers_to"] is None else "revisit"
@@ -126,13 +127,23 @@ class _Bytes:
     """Random access to a file by offset, with one buffer that moves forward."""
 
     def __init__(self, file):
-        self.file, self.begin, self.data = file, 0, b""
+        self.file, self.begin, self.data, self.last = file, 0, b"", False
+
+    def _load(self, at: int, n: int) -> None:
+        self.file.seek(at)
+        self.begin, self.data = at, self.file.read(max(n, READ))
+        self.last = len(self.data) < max(n, READ)
 
     def get(self, at: int, n: int) -> bytes:
-        """Up to n bytes from at; fewer at the file's end."""
-        if not (self.begin <= at and at + n <= self.begin + len(self.data)):
-            self.file.seek(at)
-            self.begin, self.data = at, self.file.read(max(n, READ))
+        """n bytes from at; fewer only at the file's end."""
+        if not (self.begin <= at and (self.last or at + n <= self.begin + len(self.data))):
+            self._load(at, n)
+        return self.data[at - self.begin : at - self.begin + n]
+
+    def some(self, at: int, n: int = 1 << 16) -> bytes:
+        """Up to n bytes from at, as the buffer has them; none only at the file's end."""
+        if not self.begin <= at < self.begin + len(self.data):
+            self._load(at, n)
         return self.data[at - self.begin : at - self.begin + n]
 
 
@@ -151,7 +162,7 @@ def _whole(data: _Bytes, at: int) -> tuple[bytes, int] | None:
     """The member's content and the place behind it; None if it is broken."""
     z, parts, pos = zlib.decompressobj(31), [], at
     while not z.eof:
-        raw = data.get(pos, READ)
+        raw = data.some(pos)
         if not raw:
             return None
         try:
@@ -167,8 +178,9 @@ def members(file, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]
 
     A range seldom begins at a member, so gzip's magic bytes are looked for from start on; they also occur inside
     compressed data, so a candidate counts only if its first bytes decode to a WARC version line, it decodes to its
-    end, and another member or the file's end follows (which a gzip file stored inside a payload does not have). From
-    there each member's end is the next one's start; the last one may reach beyond end."""
+    end, and another such member or the file's end follows. A record of another archive, stored inside a payload without
+    compression, does not have that (only an archive of several members stored there does). From there each
+    member's end is the next one's start; the last one may reach beyond end."""
     data, at, in_step = _Bytes(file), start, start == 0
     while at < end:
         if not in_step:
@@ -181,7 +193,7 @@ def members(file, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]
             if at >= end:
                 return
         found = _whole(data, at) if _starts_record(data, at) else None
-        if found and (found[1] == size or data.get(found[1], 3) == MAGIC):
+        if found and (in_step or found[1] == size or _starts_record(data, found[1])):
             yield at, found[0]
             at, in_step = found[1], True
         else:
