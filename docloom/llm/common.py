@@ -34,11 +34,6 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def written(df: DataFrame, kind: str = "table") -> DataFrame:
     """df, computed once: written as Parquet to the shared folder and read again.
 

@@ -12,13 +12,14 @@ def _large(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the smallest node around it."""
     both = edges.union(edges.select("v", "u")).filter("u <> v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(least, "least")  # apart from the join, so that Spark can split a node with very many neighbours
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     linked = down.join(least, "u").select("v", "m").filter("v <> m").union(least.select("u", "m"))
     return linked.toDF("u", "v").distinct()
 

@@ -169,10 +169,11 @@ def near_duplicates(
     classes = written(classes, "classes")
     held = classes.select("id", F.explode("buckets").alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = written(shared, "buckets")  # sums are written apart from the joins that use them, so that Spark can split hot keys there
     members = written(held.join(shared, "bucket"), "members")
 
     weight = members.groupBy("id").agg(F.sum("members").alias("weight"))
-    anchors = members.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("id"))).alias("best"))
+    anchors = written(members.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("id"))).alias("best")), "anchors")
     anchored = written(members.join(anchors, "bucket").select("id", (-F.col("best.col2")).alias("anchor")).distinct(), "anchored")
 
     sets = written(_marked(base, anchored.select("id")).mapInArrow(_setter(width), "id bigint, shingles array<bigint>"), "shingles")
@@ -224,7 +225,7 @@ def _left_over(anchored: DataFrame, found: DataFrame, block: int) -> DataFrame:
         .filter("comps > 1 and total > 2")
         .select("anchor", F.col("main.comp").alias("main"), F.ceil(F.col("main.size") / block).alias("n_in"), F.ceil((F.col("total") - F.col("main.size")) / block).alias("n_out"))
     )
-    rows = labelled.join(mixed, "anchor").withColumn("outlier", F.col("comp") != F.col("main"))
+    rows = labelled.join(written(mixed, "mixed"), "anchor").withColumn("outlier", F.col("comp") != F.col("main"))
     at_in, at_out = F.expr("pmod(xxhash64(id), n_in)"), F.expr("pmod(xxhash64(id), n_out)")
     rows = rows.withColumn("at", F.when(F.col("outlier"), at_out).otherwise(at_in))
     outside = F.expr("transform(sequence(0L, n_in - 1), j -> struct(concat_ws(':', 'in', at, j) as cell, j = 0 as inner))")

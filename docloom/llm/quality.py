@@ -128,6 +128,7 @@ def quality_rules(
         .filter(F.col("line_docs") > line_docs_least)
     )
     above = counted.join(hosts, "host").filter(F.col("line_docs") > line_docs_share * F.col("host_docs")).select("host", "line", "first")
+    above = written(above, "lines")  # apart from the join below, so that Spark can split a line that very many documents hold
     removed = (
         held.join(above, ["host", "line"])
         .filter(F.col("id").isNull() | F.col("first").isNull() | (F.col("id") != F.col("first")))

@@ -13,7 +13,7 @@ import numpy as np
 from .common import SPACE
 
 U = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
 _SPACES = np.zeros(256, bool)
