@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,35 @@ def segments_of(path: Column, max_depth: int) -> Column:
     return F.when(F.size(parts) > max_depth, F.concat(F.slice(parts, 1, max_depth), F.array(F.lit("**")))).otherwise(parts)
 
 
+def _generalised(forms: DataFrame, variable_children: int, variable_repeats: float) -> DataFrame:
+    """forms (host, form, n, segments) -> a row for each: host, form and path, its segments with those below variable nodes as *.
+
+    Node by node from the root: a node's children are counted over all forms whose generalised path leads to it, so that
+    what lies below a variable node is one node. A form leaves as soon as fewer than variable_children forms share its
+    node, since no node below can then be variable; what all forms of a node have in common is passed in one step, so
+    the rounds are as many as nodes with a choice on one path, not as its segments."""
+    node = ["host", "path"]
+    active, done = forms.select("host", "form", "n", F.expr("slice(segments, 1, 0)").alias("path"), F.col("segments").alias("rest")), []
+    while True:
+        sizes = active.filter(F.size("rest") > 0).groupBy(*node).agg(F.count("*").alias("forms"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        sizes = sizes.filter(F.col("forms") >= variable_children)
+        differs = F.array_position(F.zip_with("low", "high", lambda x, y: ~x.eqNullSafe(y)), True)
+        shared = F.when(differs == 0, F.size("low")).otherwise(differs - 1) if variable_children > 1 else F.lit(0)
+        at = written(active.join(sizes.select(*node, shared.cast("int").alias("shared")), node, "left"), "nodes")
+        done.append(at.filter(F.col("shared").isNull() | (F.size("rest") == 0)).select("host", "form", F.concat("path", "rest").alias("path")))
+        at = at.filter(F.col("shared").isNotNull() & (F.size("rest") > 0))
+        if at.isEmpty():
+            break
+        at = at.select("host", "form", "n", F.expr("concat(path, slice(rest, 1, shared))").alias("path"), F.expr("slice(rest, shared + 1, size(rest))").alias("rest"))
+        child = F.get("rest", F.lit(0))
+        children = at.filter(F.size("rest") > 0).groupBy(*node, child.alias("segment")).agg(F.sum("n").alias("n"))
+        nodes = children.groupBy(*node).agg(F.count("*").alias("kids"), F.sum("n").alias("n"))
+        variable = nodes.filter((F.col("kids") >= variable_children) & (F.col("n") < variable_repeats * F.col("kids"))).select(*node, F.lit("*").alias("any"))
+        step = F.when(F.size("rest") > 0, F.array(F.coalesce("any", child))).otherwise(F.expr("slice(rest, 1, 0)"))
+        active = at.join(variable, node, "left").select("host", "form", "n", F.concat("path", step).alias("path"), F.expr("slice(rest, 2, size(rest))").alias("rest"))
+    return reduce(DataFrame.unionByName, done)
+
+
 def judge_templates(
     labelled: DataFrame,
     *,
@@ -62,7 +93,7 @@ def judge_templates(
 
     1. The tree: rows are counted by host and path form, so that everything after works on distinct forms. A node with
        at least variable_children children that occur fewer than variable_repeats times on average is variable: its
-       children become *.
+       children become *, and are one node whose own children are counted together.
     2. Branches: templates of one host that differ only in literal segments are siblings. One whose share of bad labels
        is within similar_z standard errors of its siblings' common share, or that has no label, joins them; others stay apart.
     3. Purity: a host's share is smoothed by the whole table's share with prior_weight, and a branch's by its host's."""
@@ -72,18 +103,12 @@ def judge_templates(
         .withColumn("form", F.concat_ws("/", "segments"))
     )
     forms = written(forms, "forms")
-    steps = forms.select("host", "form", "n", F.posexplode("segments").alias("at", "segment"), "segments")
-    steps = steps.withColumn("parent", F.concat_ws("/", F.expr("slice(segments, 1, at)")))
-    children = steps.groupBy("host", "at", "parent", "segment").agg(F.sum("n").alias("n"))
-    nodes = children.groupBy("host", "at", "parent").agg(F.count("*").alias("kids"), F.sum("n").alias("n"))
-    variable = nodes.filter((F.col("kids") >= variable_children) & (F.col("n") < variable_repeats * F.col("kids"))).select("host", "at", "parent", F.lit("*").alias("any"))
     general = (
-        steps.join(variable, ["host", "at", "parent"], "left")
-        .groupBy("host", "form").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("any", "segment").alias("s")))).alias("path"))
-        .withColumn("template", F.concat_ws("/", F.col("path.s")))
-        .withColumn("shape", F.concat_ws("/", F.transform("path.s", lambda s: F.when(s.rlike(r"^(\*|\{|$)"), s).otherwise(F.lit("_")))))
+        _generalised(forms, variable_children, variable_repeats)
+        .withColumn("template", F.concat_ws("/", "path"))
+        .withColumn("shape", F.concat_ws("/", F.transform("path", lambda s: F.when(s.rlike(r"^(\*|\{|$)"), s).otherwise(F.lit("_")))))
         .select("host", "form", "template", "shape")
-    )
+    )
     forms = forms.join(general, ["host", "form"])
     templates = forms.groupBy("host", "shape", "template").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
     pools = templates.groupBy("host", "shape").agg(F.try_divide(F.sum("bad"), F.sum("known")).alias("common"))

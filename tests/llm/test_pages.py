@@ -105,3 +105,17 @@ def test_templates(spark):
     assert got["http://h/ads/999.html"].verdict == "block" and got["http://h/news/999.html"].verdict == "allow" and got["http://h/other/1.html"].verdict == "allow"
     assert got["http://u/user-ax/wall"].template == "*/wall" and got["http://u/user-ax/wall"].verdict == "allow"
     assert got["http://deep/a/b/c/d/e/f/g/h/i/j/k/l"].template == "a/b/c/d/e/f/g/h/**"
+
+
+def test_templates_below_a_variable_level(spark):
+    """What lies below a variable level is counted together, level by level, and keeps its own purity."""
+    name = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    rows = [(f"http://h/user/u{name(n)}/{kind}/{kind}-{name(n)}", int(kind == "casino")) for n in range(40) for kind in ("casino", "blog")]
+    rows += [("http://h/user/newcomer/casino/casino-x", None), ("http://h/user/newcomer/blog/blog-x", None)]
+    rows += [(f"http://v/{'same/' * 30}v{name(n)}/w{name(n)}", None) for n in range(40)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "page_id int, url string, bad int")
+    got = {rows[r.page_id][0]: (r.template, r.verdict) for r in urls.url_filter(df, [], label_col="bad", max_depth=40).collect()}
+    assert len(got) == len(rows)
+    assert {t for u, (t, _) in got.items() if u.startswith("http://h/")} == {"user/*/casino/*", "user/*/blog/*"}
+    assert got["http://h/user/newcomer/casino/casino-x"][1] == "block" and got["http://h/user/newcomer/blog/blog-x"][1] == "allow"
+    assert {t for u, (t, _) in got.items() if u.startswith("http://v/")} == {"same/" * 30 + "*/*"}
