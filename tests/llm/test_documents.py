@@ -80,6 +80,20 @@ def test_quality_removes_frequent_lines(spark):
     assert kept.columns == ["doc_id", "text", "source"] and kept.count() == 81
 
 
+def test_quality_takes_frequent_lines_out_of_the_text(spark):
+    """Lines above the limit leave the texts of all holders but the first; other lines and rows stay as they are."""
+    spell = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    body = lambda k: "\n".join(" ".join(f"o{spell(k)}x{spell(j)}y{i}" for j in range(20)) for i in range(4))
+    rows = [(k, f"Page {10 + k} of 30\n{body(k)}\n\n  Menu ", "a", 1000 + k) for k in range(20)] + [(50, f"Page 1 of 30\n{body(50)}", "b", 7), (50, body(51), "a", 8), (None, f"Menu\n{body(60)}", "a", 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    got = {(r.doc_id, r.source): r for r in quality.keep_good(df).collect()}
+    assert len(got) == len(rows) and quality.keep_good(df).columns == df.columns
+    assert got[0, "a"].text == rows[0][1] and got[0, "a"].n_chars == 1000
+    for k in range(1, 20):
+        assert got[k, "a"].text == f"{body(k)}\n" and got[k, "a"].n_chars == len(body(k)) + 1
+    assert got[50, "b"].text == rows[20][1] and got[50, "b"].n_chars == 7 and got[50, "a"].text == rows[21][1] and got[None, "a"].text == body(60)
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates(spark, docs, width):
     out = neardup.near_duplicates(docs, width=width, block=2)
