@@ -13,8 +13,8 @@ from docloom.llm.queries import RANKS
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or cross-document line frequency reject go, and so do lines above the limit."""
-    return keep_good(docs)
+    """Documents that the base rules or cross-document line frequency reject go, and so do lines above the limit. Copies count."""
+    return keep_good(docs, count_copies=True)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,7 +108,9 @@ def _judged(
     max_repeat_percent: int = 50,
     line_docs_share: float = 0.05,
     line_docs_least: int = 10,
+    line_docs_most: int = 1000,
     depleted_share: float = 0.3,
+    count_copies: bool = False,
     lines: bool = False,
 ) -> DataFrame:
     """quality_rules' rows with id and mark; with lines also gone, the keys of the lines above the limit that a row loses."""
@@ -116,23 +118,27 @@ def _judged(
         F.col(f"`{id_col}`").cast("bigint").alias("id"), _mark(host_col, text_col).alias("mark"), F.xxhash64(F.col(f"`{host_col}`")).alias("host"), F.col(f"`{text_col}`").alias("text")
     )
     rows = written(base.mapInArrow(_features, _DDL), "quality")
-    held = rows.select("row", "id", "host", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
-        "row", "id", "host", "content", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words")
+    # What counts as one document: its text, or its id (a row, if that is null).
+    unit = F.struct("id", F.when(F.col("id").isNull(), F.col("row")).alias("row")) if count_copies else F.col("content")
+    rows = rows.withColumn("unit", unit)
+    held = rows.select("row", "id", "host", "unit", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
+        "row", "id", "host", "unit", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words")
     )
-    hosts = rows.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = rows.groupBy("host", "unit").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
     counted = (
-        held.groupBy("host", "line", "content").agg(F.min("id").alias("first"))
+        held.groupBy("host", "line", "unit").agg(F.min("id").alias("first"))
         .groupBy("host", "line").agg(F.count("*").alias("line_docs"), F.min("first").alias("first"))
         .filter(F.col("line_docs") > line_docs_least)
     )
-    above = counted.join(hosts, "host").filter(F.col("line_docs") > line_docs_share * F.col("host_docs")).select("host", "line", "first")
+    frequent = (F.col("line_docs") > line_docs_share * F.col("host_docs")) | (F.col("line_docs") > line_docs_most)
+    above = counted.join(hosts, "host").filter(frequent).select("host", "line", "first")
     above = written(above, "lines")  # apart from the join below, so that Spark can split a line that very many documents hold
     removed = (
         held.join(above, ["host", "line"])
         .filter(F.col("id").isNull() | F.col("first").isNull() | (F.col("id") != F.col("first")))
         .groupBy("row").agg(F.count("*").alias("removed_lines"), F.sum("words").alias("removed_words"), *([F.collect_list("line").alias("gone")] if lines else []))
     )
-    out = rows.drop("lines", "line_words", "host", "content").join(removed, "row", "left").drop("row").fillna(0, ["removed_lines", "removed_words"])
+    out = rows.drop("lines", "line_words", "host", "content", "unit").join(removed, "row", "left").drop("row").fillna(0, ["removed_lines", "removed_words"])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("removed_words")) < depleted_share * F.col("n_words")
     return (
@@ -145,9 +151,9 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", **rules) -> DataFr
     """One row for each row of docs: its statistics, what line frequency takes from it, and the verdict.
 
     Lines are normalised (see NORMAL) and hashed. For each host and line the distinct documents are counted; exact
-    copies of a text count as one document, since finding copies is the deduplication operators' work. A line in more
-    than line_docs_least documents and more than line_docs_share of its host's documents is above the limit: it is
-    removed from all of them but the one with the smallest id, which keeps one instance of what the others repeat.
+    copies of a text count as one document, unless count_copies is set: then every id counts. A line in more than
+    line_docs_least documents is above the limit if these are more than line_docs_share of its host's documents, or more
+    than line_docs_most whatever the host's size: it is removed from all of them but the one with the smallest id, which keeps one instance of what the others repeat.
     A document left with less than depleted_share of its words is depleted. cleaned() gives the texts without these lines;
     rules are _judged's parameters.
 

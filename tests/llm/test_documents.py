@@ -94,6 +94,17 @@ def test_quality_takes_frequent_lines_out_of_the_text(spark):
     assert got[50, "b"].text == rows[20][1] and got[50, "b"].n_chars == 7 and got[50, "a"].text == rows[21][1] and got[None, "a"].text == body(60)
 
 
+def test_quality_limits_do_not_grow_with_the_host(spark):
+    """A line in very many documents is above the limit in a host of any size, and copies count where that is asked for."""
+    rows = [(k, f"same boilerplate line\n{'own' + chr(97 + k % 26) * (1 + k // 26)}", "a") for k in range(60)] + [(100 + k, f"u{'x' * k}", "a") for k in range(2000)]
+    rows += [(5000 + k, "one copied text", "b") for k in range(40)] + [(6000, "another text", "b"), (None, "one copied text", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    removed = lambda **how: {i: r.removed_lines for i, r in own(quality.quality_rules(df, **how)).items() if r.removed_lines}
+    assert removed() == {}
+    assert removed(line_docs_most=50) == dict.fromkeys(range(1, 60), 1)
+    assert removed(count_copies=True) == dict.fromkeys(range(5001, 5040), 1)
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates(spark, docs, width):
     out = neardup.near_duplicates(docs, width=width, block=2)
