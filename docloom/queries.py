@@ -331,11 +331,11 @@ def cdc_log_decode(spark, d):
 
 @query(f"with {ORDER_CHANGES_SQL} select seq, op, a_price as price, b_price as before_price from c where op <> 'DELETE'")
 def cdc_kafka_decode(spark, d):
-    """The changes written as JSON messages, one a row with its old values, and read back."""
+    """The changes written as JSON messages in two partitions, one a row with its old values, and read back."""
     c = orders_log(spark, d).filter("op <> 'DELETE'")
     m = F.struct(F.col("db").alias("database"), "table", F.col("op").alias("type"), F.col("is_ddl").alias("isDdl"), F.col("pk").alias("pkNames"), "es", "ts", F.array("after").alias("data"), F.when(F.col("before").isNotNull(), F.array("before")).alias("old"))
-    out = from_messages(c.select(F.col("seq").alias("offset"), F.to_json(m).alias("value")))
-    return out.select((F.col("seq") / 100_000).cast("bigint").alias("seq"), "op", F.element_at("after", "o_totalprice").try_cast("double").alias("price"), F.element_at("before", "o_totalprice").try_cast("double").alias("before_price"))
+    out = from_messages(c.select(F.lit("shop").alias("topic"), (F.col("seq") % 2).alias("partition"), F.expr("seq div 2").alias("offset"), F.to_json(m).alias("value")))
+    return out.select((F.col("seq.offset") * 2 + F.col("seq.partition")).alias("seq"), "op", F.element_at("after", "o_totalprice").try_cast("double").alias("price"), F.element_at("before", "o_totalprice").try_cast("double").alias("before_price"))
 
 
 def _routes(spark, *mappings):

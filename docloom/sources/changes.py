@@ -20,10 +20,16 @@ CAPTURED = (
 
 
 def from_messages(df: DataFrame) -> DataFrame:
-    """Changes from Kafka rows (value, offset): one row for each row image, in order of commit time, offset and place."""
-    m = df.select("offset", F.from_json(F.col("value").cast("string"), MESSAGE).alias("m")).select("offset", "m.*")
+    """Changes from Kafka rows (value, offset, and topic and partition where df has them): one row for each row image.
+
+    seq is a struct (es, topic, partition, offset, idx), which no two row images share: by commit time, then by the
+    message's place in the topics, then by the row's in the message. It orders, groups and compares like a number."""
+    topic = (F.col("topic") if "topic" in df.columns else F.lit(None)).cast("string").alias("topic")
+    partition = (F.col("partition") if "partition" in df.columns else F.lit(None)).cast("int").alias("partition")
+    place = F.struct(topic, partition, F.col("offset").cast("bigint").alias("offset")).alias("place")
+    m = df.select(place, F.from_json(F.col("value").cast("string"), MESSAGE).alias("m")).select("place", "m.*")
     rows = m.select("*", F.posexplode("data").alias("idx", "row"))
-    seq = (F.col("offset") * 100_000 + F.col("idx")).cast("bigint")
+    seq = F.struct("es", "place.topic", "place.partition", "place.offset", "idx")
     old = F.when(F.size("old") > F.col("idx"), F.get("old", F.col("idx")))
     flat = rows.select(
         seq.alias("seq"), "type", F.col("isDdl").alias("is_ddl"), F.col("database").alias("db"), "table", F.col("pkNames").alias("pk"), "es", "ts",

@@ -279,3 +279,22 @@ def test_index_types(spark):
 
 def test_names():
     assert clean_identifier("`a`.\"b\"") == "a.b" and to_snake("dataSourceKey") == "data_source_key" and to_camel("data_source_key") == "dataSourceKey"
+
+
+def test_messages_of_several_partitions(spark):
+    """Changes at one offset of two partitions or topics stay apart, deletes too, and follow commit time."""
+    import json
+
+    from docloom.operators.changes import notifications
+    from docloom.operators.replay import final_rows
+    from docloom.sources.changes import from_messages
+
+    def message(es, kind, rows):
+        return json.dumps({"database": "d", "table": "t", "type": kind, "isDdl": False, "pkNames": ["k"], "es": es, "ts": es, "data": [{"k": k, "v": v} for k, v in rows]})
+
+    rows = [("a", 0, 7, message(20, "INSERT", [("1", "new"), ("2", "x")])), ("a", 1, 7, message(10, "INSERT", [("1", "old"), ("3", "y")])), ("b", 0, 7, message(30, "DELETE", [("3", "y")]))]
+    out = from_messages(spark.createDataFrame(rows, "topic string, partition int, offset bigint, value string"))
+    assert out.count() == out.select("seq").distinct().count() == 5
+    deps = out.selectExpr("*", "'i' as index", "'v' as view", "'main' as role")
+    assert notifications(deps).count() == 5
+    assert {r.key: r.row and r.row["v"] for r in final_rows(out).collect()} == {"1": "new", "2": "x", "3": None}
