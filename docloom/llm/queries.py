@@ -36,7 +36,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES, max_depth=None).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

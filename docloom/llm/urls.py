@@ -44,9 +44,11 @@ def _form(segment: Column) -> Column:
     return out
 
 
-def segments_of(path: Column, max_depth: int) -> Column:
-    """The path's segments by form; what lies deeper than max_depth is one segment **."""
+def segments_of(path: Column, max_depth: int | None) -> Column:
+    """The path's segments by form; what lies deeper than max_depth is one segment **, and nothing is cut if that is None."""
     parts = F.transform(F.split(F.ltrim(path, F.lit("/")), "/"), _form)
+    if max_depth is None:
+        return parts
     return F.when(F.size(parts) > max_depth, F.concat(F.slice(parts, 1, max_depth), F.array(F.lit("**")))).otherwise(parts)
 
 
@@ -82,7 +84,6 @@ def _generalised(forms: DataFrame, variable_children: int, variable_repeats: flo
 def judge_templates(
     labelled: DataFrame,
     *,
-    max_depth: int = 8,
     variable_children: int = 10,
     variable_repeats: float = 3.0,
     similar_z: float = 2.0,
@@ -132,7 +133,7 @@ def url_filter(
     id_col: str = "page_id",
     url_col: str = "url",
     label_col: str | None = None,
-    max_depth: int = 8,
+    max_depth: int | None = 8,
     block_purity: float = 0.8,
     **tree,
 ) -> DataFrame:
@@ -143,7 +144,7 @@ def url_filter(
     null unknown) or else from the rules' own verdicts, which cover a part of the urls.
 
     Cases: a null url, or one without ://, has an empty host and path, fits no rule and is judged as the template of that
-    host; repeated rows and urls are judged alike (and count as often as they occur); deep paths end in **; an empty
+    host; repeated rows and urls are judged alike (and count as often as they occur); paths deeper than max_depth end in ** (None: whole paths count); an empty
     table gives an empty result; other columns are ignored, whatever their names.
 
     Scale: only id and url are read. Rows are counted by host and form first, with partial sums in each task, so a host
@@ -155,7 +156,7 @@ def url_filter(
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("segments", segments_of(F.col("path"), max_depth))
     if not label_col:
         rows = rows.withColumn("label", F.when(F.col("ruled").isNotNull(), (F.col("ruled") == "block").cast("int")))
-    judged = written(judge_templates(rows, max_depth=max_depth, **tree).select("host", "segments", "template", "purity"), "templates")
+    judged = written(judge_templates(rows, **tree).select("host", "segments", "template", "purity"), "templates")
     out = rows.join(judged, ["host", "segments"])
     own = F.when(F.col("purity") >= block_purity, F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "purity")

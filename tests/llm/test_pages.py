@@ -6,6 +6,7 @@ from base64 import b32encode
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import urls, warc
 from docloom.llm.queries import URL_RULES
@@ -119,3 +120,10 @@ def test_templates_below_a_variable_level(spark):
     assert {t for u, (t, _) in got.items() if u.startswith("http://h/")} == {"user/*/casino/*", "user/*/blog/*"}
     assert got["http://h/user/newcomer/casino/casino-x"][1] == "block" and got["http://h/user/newcomer/blog/blog-x"][1] == "allow"
     assert {t for u, (t, _) in got.items() if u.startswith("http://v/")} == {"same/" * 30 + "*/*"}
+
+
+def test_deep_paths_are_judged_whole(spark):
+    rows = [(f"http://h/{'d/' * 11}{kind}/{n}.html", int(kind == "ads")) for kind in ("ads", "news") for n in range(40)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "page_id int, url string, bad int")
+    got = {(r.template, r.verdict) for r in urls.url_filter(df.withColumn("bad", F.when(F.col("page_id") % 8 != 0, F.col("bad"))), [], label_col="bad", max_depth=None).collect()}
+    assert got == {("d/" * 11 + "ads/{n}.html", "block"), ("d/" * 11 + "news/{n}.html", "allow")}
