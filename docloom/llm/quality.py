@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import LOWER, free_name, slices, written
+from .common import LOWER, free_name, slices, split_marked, written
 from .words import hash_words, sum_sorted, windows
 
 SYMBOLS = b"#*$%&|<>"
@@ -110,7 +110,7 @@ def _judged(
     line_docs_least: int = 10,
     line_docs_most: int = 1000,
     depleted_share: float = 0.3,
-    count_copies: bool = False,
+    count_copies: bool = True,
     lines: bool = False,
 ) -> DataFrame:
     """quality_rules' rows with id and mark; with lines also gone, the keys of the lines above the limit that a row loses."""
@@ -150,12 +150,12 @@ def _judged(
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", **rules) -> DataFrame:
     """One row for each row of docs: its statistics, what line frequency takes from it, and the verdict.
 
-    Lines are normalised (see NORMAL) and hashed. For each host and line the distinct documents are counted; exact
-    copies of a text count as one document, unless count_copies is set: then every id counts. A line in more than
-    line_docs_least documents is above the limit if these are more than line_docs_share of its host's documents, or more
-    than line_docs_most whatever the host's size: it is removed from all of them but the one with the smallest id, which keeps one instance of what the others repeat.
-    A document left with less than depleted_share of its words is depleted. cleaned() gives the texts without these lines;
-    rules are _judged's parameters.
+    Lines are normalised (see NORMAL) and hashed. For each host and line the distinct documents (ids) are counted; with
+    count_copies off, exact copies of a text count as one. A line in more than line_docs_least documents is above the
+    limit if these are more than line_docs_share of its host's documents, or more than line_docs_most whatever the host's
+    size: it is removed from all of them but the one with the smallest id, which keeps one instance of what the others
+    repeat. A document left with less than depleted_share of its words is depleted. cleaned() gives the texts without
+    these lines; rules are _judged's parameters.
 
     Columns: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_lines,
     removed_words, depleted, kept. Cases: a null or empty text has no words and so fails the base rules; a null host
@@ -183,18 +183,22 @@ def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """docs with each row's lines above the limit (see quality_rules) removed from text_col, and n_chars of what stays
     if docs has it; with kept_only, without the rows that the rules reject.
 
-    Other lines, and texts that lose nothing, stay as they are. Rows are told apart by id, host and text."""
+    Other lines, and texts that lose nothing, stay as they are. Rows are told apart by id, host and text. Only rows that
+    may go or lose a line are shuffled with their texts (see split_marked); the others pass where they are read."""
     judged = _judged(docs, id_col=id_col, text_col=text_col, host_col=host_col, lines=True, **rules)
-    judged = judged.filter("kept") if kept_only else judged
-    key, mark, gone, new = (free_name(docs, n) for n in ("id", "mark", "gone", "new"))
-    judged = judged.select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("gone").alias(gone)).dropDuplicates([key, mark])
-    text = F.col(f"`{text_col}`")
-    out = docs.join(judged, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(key)) & (_mark(host_col, text_col) == F.col(mark)))
+    concerned = F.col("gone").isNotNull() | ~F.col("kept") if kept_only else F.col("gone").isNotNull()
+    key, mark, gone, new, kept = (free_name(docs, n) for n in ("id", "mark", "gone", "new", "kept"))
+    judged = judged.filter(concerned).select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("gone").alias(gone), F.col("kept").alias(kept))
+    judged = written(judged.dropDuplicates([key, mark]), "judged")
+    own_id, own_mark, text = F.col(f"`{id_col}`").cast("bigint"), _mark(host_col, text_col), F.col(f"`{text_col}`")
+    some, rest = split_marked(docs, F.xxhash64(own_id, own_mark), judged.select(F.xxhash64(key, mark)))
+    out = some.join(judged, own_id.eqNullSafe(F.col(key)) & (own_mark == F.col(mark)), "left")
+    out = out.filter(F.coalesce(kept, F.lit(True))) if kept_only else out
     out = out.withColumn(new, _without_lines(F.when(F.col(gone).isNotNull(), text), F.col(gone)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(new).isNotNull(), F.length(new).cast("bigint")).otherwise(F.col("n_chars")))
     out = out.withColumn(text_col, F.coalesce(new, text))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rest.unionByName(out.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:

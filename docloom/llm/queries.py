@@ -131,9 +131,9 @@ dups as (select doc_id, sum(n - 1)::bigint as n_dup_lines from (select doc_id, l
 held as (select doc_id, source, key, sum(n)::bigint as words from (
   select doc_id, source, len(ws) as n, regexp_replace(translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') as key
   from worded) group by 1, 2, 3),
-hosts as (select source, count(distinct text) as host_docs from docs group by source),
-above as (select h.source, h.key, min(h.doc_id) as first from held h join docs d using (doc_id) join hosts on hosts.source = h.source
-  group by h.source, h.key, host_docs having count(distinct d.text) > 10 and count(distinct d.text) > 0.05 * host_docs),
+hosts as (select source, count(distinct doc_id) as host_docs from docs group by source),
+above as (select h.source, h.key, min(h.doc_id) as first from held h join hosts on hosts.source = h.source
+  group by h.source, h.key, host_docs having count(distinct h.doc_id) > 10 and (count(distinct h.doc_id) > 0.05 * host_docs or count(distinct h.doc_id) > 1000)),
 removed as (select h.doc_id, count(*)::bigint as removed_lines, sum(words)::bigint as removed_words
   from held h join above a on h.source = a.source and h.key = a.key and h.doc_id <> a.first group by h.doc_id),
 whole as (select s.doc_id, len(ws)::bigint as n_words, coalesce(word_chars, 0) as word_chars, coalesce(n_symbols, 0) as n_symbols,

@@ -27,6 +27,28 @@ def base_quality(text):
     return n, chars, symbols, dups, len(covered), n < 50 or 100 * len(covered) > 50 * n
 
 
+def quality(rows, *, share, least, most, depleted):
+    """rows: (id, text, host) -> (id, removed lines, removed words, base failed, depleted, kept, cleaned text) for each row"""
+    key = lambda line: re.sub("[0-9]", "0", " ".join(WORD.findall(line)).translate(LOWERED))
+    name = lambda n, i: ("row", n) if i is None else i
+    hosts, held = {}, {}
+    for n, (i, text, host) in enumerate(rows):
+        hosts.setdefault(host, set()).add(name(n, i))
+        for line in (text or "").split("\n"):
+            if WORD.search(line):
+                held.setdefault((host, key(line)), set()).add(name(n, i))
+    above = {k for k, ids in held.items() if len(ids) > least and (len(ids) > share * len(hosts[k[0]]) or len(ids) > most)}
+    out = []
+    for i, text, host in rows:
+        lines = (text or "").split("\n")
+        gone = {key(x) for x in lines if WORD.search(x) and (host, key(x)) in above and (i is None or i != min((h for h in held[host, key(x)] if isinstance(h, int)), default=None))}
+        n, words = len(WORD.findall(text or "")), sum(len(WORD.findall(x)) for x in lines if key(x) in gone and WORD.search(x))
+        failed, few = base_quality(text)[-1], n - words < depleted * n
+        clean = "\n".join(x for x in lines if not (WORD.search(x) and key(x) in gone)) if gone else text
+        out.append((i, len(gone), words, failed, few, not failed and not few, clean))
+    return out
+
+
 def shingles(text, width):
     words = WORD.findall((text or "").translate(LOWERED))
     if len(words) < width:

@@ -73,10 +73,10 @@ def test_quality_removes_frequent_lines(spark):
     frequent = " ".join(f"boiler{j}" for j in range(60))
     rows = [(k, f"{frequent.upper() if k % 2 else frequent}\n{body(k)}", "a") for k in range(20)] + [(100 + k, " ".join(f"w{spell(k)}x{spell(j)}" for j in range(80)), "a") for k in range(50)]
     rows += [(200 + k, "same " + " ".join(f"s{spell(j)}" for j in range(80)), "a") for k in range(30)]
-    got = own(quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string")))
+    got = own(quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), count_copies=False))
     assert got[0].kept and not any(got[k].kept for k in range(1, 20)), "all but the first holder are depleted"
     assert all(got[k].removed_words == 60 for k in range(1, 20)) and all(r.kept for k, r in got.items() if k >= 100), "copies are one document"
-    kept = quality.keep_good(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    kept = quality.keep_good(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), count_copies=False)
     assert kept.columns == ["doc_id", "text", "source"] and kept.count() == 81
 
 
@@ -100,9 +100,30 @@ def test_quality_limits_do_not_grow_with_the_host(spark):
     rows += [(5000 + k, "one copied text", "b") for k in range(40)] + [(6000, "another text", "b"), (None, "one copied text", "b")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     removed = lambda **how: {i: r.removed_lines for i, r in own(quality.quality_rules(df, **how)).items() if r.removed_lines}
-    assert removed() == {}
-    assert removed(line_docs_most=50) == dict.fromkeys(range(1, 60), 1)
-    assert removed(count_copies=True) == dict.fromkeys(range(5001, 5040), 1)
+    assert removed(count_copies=False) == {}
+    assert removed(line_docs_most=50, count_copies=False) == dict.fromkeys(range(1, 60), 1)
+    assert removed() == dict.fromkeys(range(5001, 5040), 1)
+
+
+def test_quality_is_the_plain_version(spark):
+    """Verdicts, removed lines and cleaned texts are those of a plain program, for shared and null ids and null hosts too."""
+    rng = random.Random(8)
+    common = [" ".join(f"c{rng.randrange(10**6)}" for _ in range(n)) for n in (2, 2, 30, 40, 60)]
+    rows = []
+    for k in range(260):
+        lines = [" ".join(f"w{rng.randrange(10**6)}x{chr(97 + rng.randrange(26))}" for _ in range(20)) for _ in range(3)]
+        lines += [x.upper() if rng.random() < 0.5 else f"  {x} " for x in common if rng.random() < 0.2]
+        rng.shuffle(lines)
+        rows.append((k, "\n".join(lines), rng.choice(["a", "a", "b", None])))
+    rows += [(600 + k, "\n".join([*common, f"own {k}"]), "ab"[k % 2]) for k in range(6)]
+    rows += [(900 + k, "the one copied text " * 30, "a") for k in range(14)] + [(3, rows[3][1], rows[3][2]), (3, "another text of document three", "a"), (None, rows[7][1], "a"), (None, None, "b"), (7, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    expected = brute.quality(rows, share=0.05, least=10, most=1000, depleted=0.3)
+    got = sorted(map(tuple, quality.quality_rules(df).select("doc_id", "removed_lines", "removed_words", "base_failed", "depleted", "kept").collect()), key=str)
+    assert got == sorted((e[:6] for e in expected), key=str)
+    assert any(e[4] and not e[3] for e in expected) and any(e[1] and e[5] for e in expected), "the method decides something"
+    texts = sorted(map(tuple, quality.keep_good(df).select("doc_id", "text").collect()), key=str)
+    assert texts == sorted(((e[0], e[6]) for e in expected if e[5]), key=str)
 
 
 @pytest.mark.parametrize("width", [2, 5])
