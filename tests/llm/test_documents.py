@@ -151,6 +151,15 @@ def test_near_group_without_a_centre(spark):
     assert got == {i: c for i, (_, c) in brute.near(rows, 2).items()}
 
 
+def test_near_documents_with_several_texts(spark):
+    """Rows that share an id are one document: links of any of its texts are its links. Repeated rows change nothing."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [(3, text("a")), (5, text("a")), (5, text("b")), (9, text("b")), (9, text("b")), (9, text("c")), (4, text("c") + " more"), (20, text("d")), (21, ""), (21, text("e")), (None, text("a")), (30, text("f")), (30, text("g"))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(3, 3, True), (5, 3, False), (9, 3, False), (4, 3, False), (20, 20, True), (21, 21, True), (None, None, True), (30, 30, True)}
+    assert len(got) == len(rows)
+
+
 def test_line_dedup(spark, docs):
     out = linededup.line_dedup(docs, bits=22)
     got, expected = own(out), brute.line_dedup(OWN)
@@ -167,10 +176,17 @@ def test_line_dedup_with_a_full_filter(spark, docs):
     assert sorted(map(str, linededup.line_dedup(docs, bits=20).select("doc_id", "text").collect())) == sorted(map(str, linededup.line_dedup(docs, bits=28).select("doc_id", "text").collect()))
 
 
-@pytest.mark.parametrize("block", [500_000, 7])
-def test_contamination(spark, docs, block):
+def test_line_dedup_with_doubtful_documents(spark, docs, monkeypatch):
+    """A filter of dropped lines that holds everything sends all documents to the exact join, and changes nothing."""
+    plain = sorted(map(str, linededup.line_dedup(docs, bits=20).collect()))
+    monkeypatch.setattr(linededup, "bits_for", lambda keys, least=15: 3)
+    assert sorted(map(str, linededup.line_dedup(docs, bits=20).collect())) == plain
+
+
+@pytest.mark.parametrize("size", [64 << 20, 700])
+def test_contamination(spark, docs, size):
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    out = decontam.contamination(docs, bench, block_windows=block)
+    out = decontam.contamination(docs, bench, automaton_bytes=size)
     got, expected = own(out), brute.contamination(OWN, ITEMS)
     assert out.count() == len(ROWS)
     for i, t in OWN:
@@ -181,8 +197,8 @@ def test_contamination(spark, docs, block):
     clean = decontam.uncontaminated(docs, bench)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {None} | {i for i, v in expected.items() if not v[1]}
     assert decontam.contamination(docs, bench.limit(0)).filter("contaminated").isEmpty()
-    with pytest.raises(ValueError):
-        decontam.contamination(docs, bench, max_items=2)
+    with_null = docs.unionByName(docs.filter("doc_id is not null").limit(3).withColumn("text", F.lit(ITEMS[0][1])).withColumn("doc_id", F.lit(None).cast("bigint")))
+    assert decontam.uncontaminated(with_null, bench).filter("doc_id is null").isEmpty(), "a null id is an id of its own"
 
 
 def test_bpe(spark, docs):
