@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices
+from .common import free_name, slices, split_marked, written
 
 #: Bytes outside words become a space, A-Z become a-z: words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 _TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 0x20 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -22,7 +22,7 @@ _OUT = pa.schema(
     + [("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 )
 _DDL = "id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>"
-_built: dict[int, list[tuple[ahocorasick.Automaton, list[tuple[int, ...]]]]] = {}
+_built: dict[str, list[tuple[ahocorasick.Automaton, list[list[str]]]]] = {}
 
 
 def normal(text: bytes) -> bytes:
@@ -37,36 +37,37 @@ def item_windows(text: bytes, width: int) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + width]) + b" " for i in range(n)]
 
 
-def _automata(sent) -> list[tuple[ahocorasick.Automaton, list[tuple[int, ...]]]]:
+def _windower(width: int):
+    schema = pa.schema([("item", pa.string()), ("window", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                windows = sorted(set(item_windows(text.encode(), width)))
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(windows), pa.string()), pa.array(windows, pa.binary())], schema=schema)
+
+    return run
+
+
+def _automata(blocks, name: str) -> list[tuple[ahocorasick.Automaton, list[list[str]]]]:
     """Built once in each worker, for the benchmark sent last."""
-    if sent.id not in _built:
+    if name not in _built:
         _built.clear()
-        _built[sent.id] = []
-        for block in sent.value:
-            automaton, width = ahocorasick.Automaton(), 0
-            owners = []
+        found = []
+        for block in blocks.value:
+            automaton, owners = ahocorasick.Automaton(), []
             for window, items in block:
                 automaton.add_word(window.decode("latin-1"), (len(owners), window.count(b" ") - 1))
                 owners.append(items)
             automaton.make_automaton()
-            _built[sent.id].append((automaton, owners))
-    return _built[sent.id]
-
-
-class _Sent:
-    """A broadcast with an id that workers can cache by."""
-
-    def __init__(self, broadcast, digest: str):
-        self.broadcast, self.id = broadcast, digest
-
-    @property
-    def value(self):
-        return self.broadcast.value
+            found.append((automaton, owners))
+        _built[name] = found
+    return _built[name]
 
 
-def _scanner(sent: _Sent):
+def _scanner(blocks, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = _automata(sent)
+        automata = _automata(blocks, name)
         for batch in slices(batches):
             n_words, n_hit, items, spans = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -118,8 +119,7 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     width: int = 10,
-    max_items: int = 1_000_000,
-    block_windows: int = 500_000,
+    automaton_bytes: int = 64 << 20,
 ) -> DataFrame:
     """One row for each row of docs: id_col, n_words, n_hit, n_items, items (sorted as strings), spans, contaminated.
 
@@ -127,27 +127,28 @@ def contamination(
     words of an item, or the whole item if it has fewer. A word of a document inside any occurrence of a window is hit;
     spans are the runs of hit words, as code points of the original text.
 
-    The benchmark is a stated query set: its size is checked against max_items before it goes to the tasks, and it is
-    cut into automata of at most block_windows windows, so that a larger one costs more passes over each text in memory
-    but no shuffle. The documents are scanned where they are read; nothing is shuffled.
+    Windows are made and grouped in Spark, and their bytes are counted as they go into one automaton for all tasks. A
+    benchmark with more than automaton_bytes of distinct windows (an automaton takes some 30 times that in memory) becomes
+    several automata, each of which scans the text: no item is refused, and the result is the same. The documents are
+    scanned where they are read; nothing of them is shuffled.
 
     Cases: null or empty texts have no words; items without words have no window; items that share an item_col value
     are one item; null item ids are left out; repeated rows are scanned alike; an empty benchmark hits nothing; an empty table gives
     an empty result; other columns are ignored."""
-    spark = docs.sparkSession
     chosen = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").alias("text")).filter("item is not null and text is not null")
-    rows = chosen.limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"the benchmark has more than {max_items} items; raise max_items if the executors have the memory")
-    owners: dict[bytes, set[str]] = {}
-    for row in rows:
-        for window in item_windows(row["text"].encode(), width):
-            owners.setdefault(window, set()).add(row["item"])
-    listed = [(w, tuple(sorted(i))) for w, i in sorted(owners.items())]
-    blocks = [listed[k : k + block_windows] for k in range(0, len(listed), block_windows)]
-    sent = _Sent(spark.sparkContext.broadcast(blocks), hashlib.sha256(repr(listed).encode()).hexdigest())
+    windows = chosen.mapInArrow(_windower(width), "item string, window binary").groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    windows = written(windows, "windows")
+    blocks, held = [[]], 0
+    for row in windows.orderBy("window").toLocalIterator():
+        window = bytes(row["window"])
+        if held and held + len(window) > automaton_bytes:
+            blocks.append([])
+            held = 0
+        blocks[-1].append((window, row["items"]))
+        held += len(window)
+    sent = docs.sparkSession.sparkContext.broadcast([b for b in blocks if b])
     base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    out = base.mapInArrow(_scanner(sent), _DDL)
+    out = base.mapInArrow(_scanner(sent, uuid.uuid4().hex), _DDL)
     return out.select(
         F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "spans", (F.col("n_hit") > 0).alias("contaminated")
     )
@@ -155,6 +156,8 @@ def contamination(
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of docs without a hit, as they are. Rows that share an id go together; a null id is an id of its own."""
-    key = free_name(docs, "hit")
+    key, own_id = free_name(docs, "hit"), F.col(f"`{id_col}`").cast("bigint")
     bad = contamination(docs, benchmark, id_col=id_col, **how).filter("contaminated").select(F.col(id_col).alias(key)).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(key)), "left_anti")
+    bad = written(bad, "contaminated")
+    some, rest = split_marked(docs, own_id, bad)  # only rows that may go are shuffled
+    return rest.unionByName(some.join(bad, own_id.eqNullSafe(F.col(key)), "left_anti"))
