@@ -17,16 +17,18 @@ from pyspark.sql import functions as F
 from .common import LOWER, slices
 
 #: The kinds of spans; those after hex are added by this method. The order breaks ties between spans.
-KINDS = ("assign", "access", "hex", "forge", "registry", "jwt")
+KINDS = ("assign", "access", "hex", "forge", "registry", "jwt", "pem")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _FORGE = re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _REGISTRY = re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+_PART = re.compile(rb"[A-Za-z0-9_-]*")
+_PEM = re.compile(rb"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----([A-Za-z0-9+/=\x20\x09-\x0D]+)-----END \1-----")
 #: Lower-cased keywords and the kind that each may begin.
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access",
-    "ghp_": "forge", "gho_": "forge", "ghu_": "forge", "ghs_": "forge", "ghr_": "forge", "npm_": "registry", "eyj": "jwt",
+    "ghp_": "forge", "gho_": "forge", "ghu_": "forge", "ghs_": "forge", "ghr_": "forge", "npm_": "registry", "eyj": "jwt", "-----begin ": "pem",
 }
 _BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _HEX = np.zeros(256, bool)
@@ -52,17 +54,33 @@ def _header(span: bytes) -> bool:
     part = span.split(b".")[0]
     try:
         head = json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # a text may nest its JSON as deeply as it likes
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
+def _der(body: bytes) -> bool:
+    """Whether a key's base64 is a DER sequence of exactly the length that it states, or an OpenSSH key."""
+    try:
+        raw = base64.b64decode(b"".join(body.split()), validate=True)
+    except ValueError:
+        return False
+    if raw.startswith(b"openssh-key-v1\0"):
+        return True
+    if len(raw) < 2 or raw[0] != 0x30:
+        return False
+    wide = raw[1] & 0x7F if raw[1] & 0x80 else 0
+    stated = int.from_bytes(raw[2 : 2 + wide], "big") if wide else raw[1]
+    return 2 + wide + stated == len(raw)
+
+
 _RULES = {
     "assign": (_ASSIGN, lambda m: len(m[2]) >= 6),
     "access": (_ACCESS, lambda m: len(m[0]) >= 20),
     "forge": (_FORGE, lambda m: _checked(m[0])),
     "registry": (_REGISTRY, lambda m: _checked(m[0])),
     "jwt": (_JWT, lambda m: _header(m[0])),
+    "pem": (_PEM, lambda m: _der(m[2])),
 }
 
 
@@ -113,6 +131,8 @@ def scan(text: bytes, keywords: ahocorasick.Automaton) -> list[tuple[str, int, i
             ends[kind] = m.end()
             if valid(m):
                 found.append((kind, start, m.end()))
+        elif kind == "jwt":
+            ends[kind] = _PART.match(text, start).end()  # what begins later in the same part fails alike
     found += [("hex", s, e) for s, e in _hex_runs(text)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -161,7 +181,7 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Keywords are looked for by one automaton over the text with A-Z lower-cased; the expressions are tried only where a
     keyword begins. Runs of hex digits have no keyword and are sampled instead. Spans with an embedded checksum or a
-    structure (forge, registry, jwt) count only if it holds.
+    structure (forge, registry, jwt, pem) count only if it holds.
 
     Cases: null and empty texts have no spans; repeated rows are scanned alike; whole texts of any length are scanned;
     an empty table gives an empty result; other columns are ignored. No shuffle."""

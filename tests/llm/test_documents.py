@@ -1,6 +1,8 @@
 """The operators over documents against plain versions, on a small table of awkward rows."""
 
+import base64
 import random
+import zlib
 
 import public_tokenizers
 import pytest
@@ -246,6 +248,37 @@ def test_secrets_on_random_text():
     assert found > 400
 
 
+def test_added_secrets_are_the_plain_version():
+    """Tokens, headers and keys, good and spoiled, against whole-text expressions with the checks written anew."""
+    rng, keywords, found = random.Random(4), secrets.automaton(), 0
+    token = lambda n: "".join(rng.choice("ABCxyz019") for _ in range(n))
+    encoded = lambda raw: base64.urlsafe_b64encode(raw).decode().rstrip("=")
+    for _ in range(300):
+        parts = []
+        for _ in range(12):
+            body = token(30)
+            der = rng.choice([b"\x30\x05hello", b"\x30\x81\x80" + b"k" * 128, b"\x30\x06hello", b"\x31\x05hello", b"openssh-key-v1\0x"])
+            parts.append(rng.choice([
+                f"ghp_{body}{brute.base62(zlib.crc32(body.encode()))}", f"npm_{body}{brute.base62(zlib.crc32(body.encode()) ^ rng.choice([0, 0, 1]))}", f"gho_{token(36)}", f"ghs_{body}{brute.base62(zlib.crc32(body.encode()))}A",
+                f"{encoded(rng.choice([b'{"alg":"RS256"}', b'{"alg":5}', b'[1]', b'{"typ":"x"}']))}.{token(9)}.{token(9)}", "é", " ", "\n", "=", "eyJ", "-----BEGIN ", "x",
+                f"-----BEGIN {(k := rng.choice(['RSA PRIVATE KEY', 'PRIVATE KEY']))}-----\n{base64.b64encode(der).decode()}\n-----END {rng.choice([k, k, 'EC PRIVATE KEY'])}-----",
+            ]))
+        text = "".join(parts)
+        raw = text.encode()
+        added = [x for x in secrets._points(raw, secrets.scan(raw, keywords)) if x[0] in ("forge", "registry", "jwt", "pem")]
+        assert added == brute.added_secrets(text), text
+        found += len(added)
+    assert found > 300
+
+
+def test_secrets_in_hostile_texts(spark):
+    """Headers that nest without end, and very long tokens, fail no task."""
+    deep = base64.urlsafe_b64encode(b'{"a":' * 200_000).decode().rstrip("=")
+    rows = [(1, f"{deep}.a.b"), (2, "eyJ" + "A" * 3_000_000 + ".b.c"), (3, "-----BEGIN PRIVATE KEY-----" + "A" * 1_000_000), (4, "token" * 200_000 + "=abcdefg"), (5, "eyJ" * 400_000), (6, "AKIA" * 400_000)]
+    got = own(secrets.secret_scan(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert [len(got[i].secrets) for i in range(1, 7)] == [0, 0, 0, 1, 0, 1]
+
+
 def test_shards(spark, docs):
     from zlib import crc32
 
