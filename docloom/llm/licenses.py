@@ -70,6 +70,25 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>""",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -79,6 +98,34 @@ Permission is granted to anyone to use this software for any purpose, including
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "MIT-notice": "Released under the MIT License.",
 }
+#: Titles that may stand above a text.
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "BSD License"),
+    "BSL-1.0": ("Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License"),
+    "ISC": ("ISC License", "The ISC License"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT"),
+    "MIT-0": ("MIT No Attribution",),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+# SHA-256 of the canonical forms of longer licences, title included; without their appendix where two are given.
+DIGESTS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    "Artistic-1.0-Perl": ("08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GFDL-1.2": ("5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71",),
+    "GFDL-1.3": ("93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6",),
+    "GPL-1.0": ("ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a", "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b"),
+    "GPL-2.0": ("331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6", "1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca"),
+    "GPL-3.0": ("a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    "LGPL-2.0": ("61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    "LGPL-2.1": ("4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986",),
+    "MPL-2.0": ("f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",),
+}
 
 
 def _branches() -> str:
@@ -94,24 +141,32 @@ def _lowered(x: Column) -> Column:
     return F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(F.translate(x, _UPPER, _LOWER))
 
 
+#: A lower-cased line that says who holds a copyright since when, behind comment marks, and that says no more (see _plain).
+_HOLDER = r"^[^a-z0-9(©]*(?:copyright[ \t,:]*(?:\(c\)|©|[0-9]{4}|[\[<{]|by )|\(c\)[ \t]*[0-9]{4}|©)"
+
+
 def _plain(x: Column) -> Column:
-    """A lower-cased line with its punctuation and white space as one space; empty for copyright lines."""
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"^[ \t]*(?:copyright|\(c\)|©)[^\n]*", ""), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    """A lower-cased line with its punctuation and white space as one space; empty for copyright lines of up to 200
+    characters, which name a year, a sign, a place holder or by, and for the sentence that goes with them."""
+    words = F.trim(F.regexp_replace(x, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    holder = (F.char_length(x) <= 200) & x.rlike(_HOLDER)
+    return F.when(holder | (words == "all rights reserved"), "").otherwise(words)
 
 
 def _spelled(x: Column) -> Column:
-    """The usual spelling of a form with a space at both ends, without them."""
-    usual = x
+    """The usual spelling of a form with a space at both ends, without them. Every word gets two spaces of its own for
+    that, so that neighbouring ones are all seen."""
+    usual = F.replace(x, F.lit(" "), F.lit("  "))
     for other, same in SPELLINGS.items():
-        usual = F.replace(usual, F.lit(f" {other} "), F.lit(f" {same} "))
-    return F.trim(F.when(x.rlike(_branches()), usual).otherwise(x))
+        usual = F.replace(usual, F.lit(f" {other.replace(' ', '  ')} "), F.lit(f" {same.replace(' ', '  ')} "))
+    return F.trim(F.when(x.rlike(_branches()), F.replace(usual, F.lit("  "), F.lit(" "))).otherwise(x))
 
 
 def digests(text: Column) -> Column:
     """SHA-256 of the canonical form of the whole text, and then of each line; null where that has no letter or digit.
 
-    The canonical form has A-Z lower-cased, no copyright lines, one space for punctuation and white space, and equal
-    spellings. Each step is a transform of the one before, whose values are then computed once, and the whole text's
+    The canonical form has A-Z lower-cased, no copyright lines, one space for punctuation, comment marks and white space,
+    and equal spellings; so it does not depend on how the text is wrapped. Each step is a transform of the one before, whose values are then computed once, and the whole text's
     form is made of its lines'."""
     lines = F.transform(F.transform(F.split(text, "\n"), _lowered), _plain)
     forms = F.get(F.transform(F.array(lines), lambda v: F.concat(F.array(F.array_join(F.filter(v, lambda x: x != ""), " ")), v)), F.lit(0))
@@ -119,10 +174,14 @@ def digests(text: Column) -> Column:
     return F.transform(forms, lambda x: F.when(x != "", F.sha2(F.encode(x, "UTF-8"), 256)))
 
 
-def known_licenses(spark: SparkSession, texts: dict[str, str] = LICENSES) -> DataFrame:
-    """license_id and digest of each known text; of texts with one digest the id that comes first."""
-    rows = literal_rows(spark, ["license_id", "text"], list(texts.items()))
-    return rows.groupBy(F.get(digests(F.col("text")), F.lit(0)).alias("digest")).agg(F.min("license_id").alias("license_id")).filter("digest is not null")
+def known_licenses(spark: SparkSession, texts: dict[str, str] = LICENSES, titles: dict[str, tuple[str, ...]] = TITLES, more: dict[str, tuple[str, ...]] = DIGESTS) -> DataFrame:
+    """license_id and digest of each known text, alone and below each of its titles, and of more; of texts with one digest
+    the id that comes first."""
+    rows = literal_rows(spark, ["license_id", "text"], [(i, f"{title}\n{t}") for i, t in texts.items() for title in ("", *titles.get(i, ()))])
+    found = rows.select("license_id", F.get(digests(F.col("text")), F.lit(0)).alias("digest"))
+    if more:
+        found = found.unionByName(literal_rows(spark, ["license_id", "digest"], [(i, d) for i, own in more.items() for d in own]))
+    return found.groupBy("digest").agg(F.min("license_id").alias("license_id")).filter("digest is not null")
 
 
 def license_scan(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
 from .decontam import contamination
-from .licenses import LICENSES, SPELLINGS, known_licenses, license_scan
+from .licenses import DIGESTS, LICENSES, SPELLINGS, TITLES, known_licenses, license_scan
 from .linededup import line_dedup
 from .neardup import near_duplicates
 from .quality import quality_rules
@@ -100,15 +100,12 @@ QUERIES = {
     )
 }
 
-_SPELLED = "' ' || form || ' '"
-for _other, _usual in SPELLINGS.items():
-    _SPELLED = f"replace({_SPELLED}, ' {_other} ', ' {_usual} ')"
-_KNOWN = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in item)) for item in LICENSES.items())
-_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_FORM = (
-    r"trim(regexp_replace(regexp_replace(" + _LOWERED.format("text") + r", '(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*', '\1', 'g'), "
-    r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+_KNOWN = ", ".join(
+    "('{}', '{}')".format(i, text.replace("'", "''")) for i, t in LICENSES.items() for text in (t, *(f"{title}\n{t}" for title in TITLES.get(i, ())))
 )
+_DIGESTS = ", ".join(f"('{i}', '{d}')" for i, own in DIGESTS.items() for d in own)
+_WORD_FOR = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in SPELLINGS.items() if " " not in a) + "}"
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _RULE_FITS = [
     f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}') then '{r}'"
     for r in sorted((r for _, r in URL_RULES), key=lambda r: (-len(r), r))
@@ -176,15 +173,22 @@ purity as (select host, branch, (bad + 5.0 * share) / (known + 5.0) as purity fr
 select page_id, t.host, path, rule, case when label is not null then case label when 1 then 'block' else 'allow' end when purity >= 0.8 then 'block' else 'allow' end as verdict, template
 from t join shaped using (host, segments) join placed using (host, template) join purity using (host, branch)
 """,
-    "op10_license_scan": f"""
-with known as (select digest, min(license_id) as license_id from (
-  select license_id, sha256(trim({_SPELLED})) as digest from (select license_id, {_FORM} as form from (values {_KNOWN}) as k(license_id, text))) group by 1),
-units as (select doc_id, true as whole, text from documents union all
-  select doc_id, false, unnest(string_split(text, chr(10))) from documents where contains(text, chr(10))),
-digests as (select doc_id, whole, case when form <> '' then sha256(trim({_SPELLED})) end as digest from (select doc_id, whole, {_FORM} as form from units)),
-hits as (select doc_id, string_agg(distinct license_id, ',' order by license_id) as notices from digests join known using (digest) group by 1)
-select d.doc_id, d.digest as text_digest, k.license_id, coalesce(notices, '') as notices
-from digests d left join known k using (digest) left join hits using (doc_id) where whole
+    # Word lists and a map of spellings, where the operator works on padded text.
+    "op10_license_scan": r"""
+with texts as (select 'd' as kind, doc_id as id, null as license_id, text from documents union all select 'k', row_number() over (), license_id, text from (values """ + _KNOWN + r""") as v(license_id, text)),
+cut as (select kind, id, generate_subscripts(ls, 1) as pos, unnest(ls) as line from (select kind, id, string_split(text, chr(10)) as ls from texts where text is not null)),
+low as (select kind, id, pos, """ + _LOWERED.format("line") + r""" as x from cut),
+listed as (select kind, id, pos, case when length(x) <= 200 and (regexp_matches(x, '^[^a-z0-9(©]*copyright[ \t,:]*([0-9]{4}|\(c\)|©|\[|<|\{|by )') or regexp_matches(x, '^[^a-z0-9(©]*(©|\(c\)[ \t]*[0-9]{4})'))
+  then [] else regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') end as ws from low),
+kept as (select kind, id, pos, case when ws = ['all', 'rights', 'reserved'] then [] else ws end as ws from listed),
+units as (select kind, id, 0 as pos, flatten(list(ws order by pos)) as ws from kept group by kind, id union all select * from kept where kind = 'd'),
+spelt as (select kind, id, pos, regexp_replace(regexp_replace(array_to_string(list_transform(ws, lambda w: coalesce((""" + _WORD_FOR + r""")[w], w)), ' '),
+  '\bcopyright owner\b', 'copyright holder', 'g'), '\bper cent\b', 'percent', 'g') as form from units),
+digests as (select kind, id, pos, sha256(form) as digest from spelt where form <> ''),
+known as (select digest, min(license_id) as license_id from (select digest, license_id from digests join texts using (kind, id) where kind = 'k' union all select d, i from (values """ + _DIGESTS + r""") as v(i, d)) group by digest),
+hits as (select id, string_agg(distinct license_id, ',' order by license_id) as notices from digests join known using (digest) where kind = 'd' group by id)
+select d.doc_id, w.digest as text_digest, k.license_id, coalesce(notices, '') as notices
+from documents d left join digests w on w.kind = 'd' and w.pos = 0 and w.id = d.doc_id left join known k on k.digest = w.digest left join hits on hits.id = d.doc_id
 """,
     "op7_line_dedup": r"""
 with docs as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),

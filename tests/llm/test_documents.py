@@ -315,6 +315,44 @@ def test_licenses(spark, docs):
     assert licenses.license_scan(docs, licenses.known_licenses(spark)).count() == len(ROWS)
 
 
+def _canonical(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = own(licenses.license_scan(rows, licenses.known_licenses(spark)))
+    return [got[i] for i in range(len(texts))]
+
+
+def test_license_texts_in_any_shape(spark):
+    """Wrapping, titles, comment marks, spellings and copyright lines do not matter; other words do."""
+    import textwrap
+
+    wrap = lambda t, n, mark="": "\n".join(mark + x for p in t.split("\n") for x in textwrap.wrap(p, n))
+    shapes, ids = [], []
+    for i, text in licenses.LICENSES.items():
+        title = (*licenses.TITLES.get(i, ()), "")[0]
+        for n in (23, 40, 60, 78):
+            shapes += [wrap(text, n), f"{title}\n\n// Copyright (c) 2020, 2021 X Y\n" + wrap(text, n, "// "), f"/*\n * {title}\n * COPYRIGHT 1999 Z\n * All rights reserved.\n" + wrap(text.upper(), n, " * ") + "\n */"]
+            ids += [i] * 3
+    assert [r.license_id for r in _canonical(spark, shapes)] == ids
+    same = [("licence licence", "license license"), ("whilst whilst, per cent per cent", "While while percent percent"), ("copyright owner copyright owner", "copyright holder copyright holder")]
+    for a, b in same:
+        x, y = _canonical(spark, [a, b])
+        assert x.text_digest == y.text_digest is not None
+    left = _canonical(spark, [licenses.LICENSES["MIT"] + " not", "copyright notice and this\npermission", "permission", "Copyright 2020 " + licenses.LICENSES["MIT"].replace("\n", " ")])
+    assert [r.license_id for r in left] == [None] * 4 and left[1].text_digest != left[2].text_digest and left[3].text_digest is not None
+
+
+def test_license_digests_are_those_of_the_texts(spark):
+    """Longer licences, from the folder where Debian keeps them."""
+    from pathlib import Path
+
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = {i: Path("/usr/share/common-licenses", f) for i, f in files.items()}
+    if not all(p.exists() for p in found.values()):
+        pytest.skip("the texts are not on this machine")
+    texts = [p.read_text("utf-8") for p in found.values()]
+    assert [r.license_id for r in _canonical(spark, texts + ["# " + t.replace("\n", "\n# ") for t in texts])] == list(found) * 2
+
+
 OPERATORS = {
     "quality": lambda d: quality.quality_rules(d), "near": lambda d: neardup.near_duplicates(d), "lines": lambda d: linededup.line_dedup(d, bits=20), "secrets": lambda d: secrets.secret_scan(d),
     "shards": lambda d: shards.kd_shards(d, dimensions=["n_chars"], n_shards=3), "licenses": lambda d: licenses.license_scan(d, licenses.known_licenses(d.sparkSession)),
