@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, written
+from .common import new_path, split_marked, written
 
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
@@ -107,17 +107,19 @@ def write_warc(pages: DataFrame, folder: str, *, least_bytes: int = 0, max_file_
     a null page_id are responses; rows that repeat a page_id and payload are alike; an empty table writes no file;
     other columns are ignored.
 
-    Scale: digests are grouped without the payloads, and only digests that several pages share come back to the pages.
-    Each task streams into files of its own, so a lost executor costs its tasks only."""
+    Scale: digests are grouped without the payloads, and only digests that several pages share come back to the pages;
+    pages whose digest is not among them, by a bitmap, take no part in that join and stay where they are read. Each task streams into files of its own, so a lost executor costs its tasks only."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint"), "url", "html", F.sha1(F.encode(html, "UTF-8")).alias("sha1"), F.octet_length(html).cast("bigint").alias("n_bytes"))
     firsts = (
         rows.filter(F.col("n_bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
         .filter("first <> last").select("sha1", "first")
     )
+    firsts = written(firsts, "digests")
+    some, rest = split_marked(rows, F.xxhash64("sha1"), firsts.select(F.xxhash64("sha1")))
     again = F.when(F.col("first") != F.col("page_id"), F.col("first"))
-    rows = rows.join(written(firsts, "digests"), "sha1", "left").withColumn("refers_to", again).drop("first")
-    rows = rows.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
+    some = some.join(firsts, "sha1", "left").withColumn("refers_to", again).drop("first").withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
+    rows = rest.withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(some)
     store, at = _open(folder)
     store.create_dir(at, recursive=True)
     return written(rows.mapInArrow(_archiver(folder, max_file_bytes), "path string, length bigint, records bigint"), "archives")
@@ -173,14 +175,41 @@ def _whole(data: _Bytes, at: int) -> tuple[bytes, int] | None:
     return b"".join(parts), pos - len(z.unused_data)
 
 
-def members(file, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the records whose members begin in [start, end).
+def _before(data: _Bytes, at: int) -> int:
+    """The place of the last magic bytes that begin before at; -1 if there are none."""
+    end = at + len(MAGIC) - 1
+    while end > len(MAGIC) - 1:
+        start = max(0, end - READ)
+        if (k := data.get(start, end - start).rfind(MAGIC)) >= 0:
+            return start + k
+        end = start + len(MAGIC) - 1 if start else 0
+    return -1
+
+
+def _inside(data: _Bytes, at: int, depth: int = 8) -> bool:
+    """Whether one of the depth records that begin before at reaches beyond it: then what begins there is part of a payload."""
+    q = at
+    for _ in range(depth):
+        while (q := _before(data, q)) >= 0:
+            if _starts_record(data, q) and (found := _whole(data, q)):
+                break
+        if q < 0:
+            return False
+        if found[1] > at:
+            return True
+    return False
+
+
+def members(file, start: int, end: int, size: int) -> Iterator[tuple[int, bytes | None]]:
+    """(offset, content) of the records whose members begin in [start, end), and (offset, None) where the bytes behind
+    such a record, or at the file's beginning, are damaged.
 
     A range seldom begins at a member, so gzip's magic bytes are looked for from start on; they also occur inside
-    compressed data, so a candidate counts only if its first bytes decode to a WARC version line, it decodes to its
-    end, and another such member or the file's end follows. A record of another archive, stored inside a payload without
-    compression, does not have that (only an archive of several members stored there does). From there each
-    member's end is the next one's start; the last one may reach beyond end."""
+    compressed data, so a candidate counts only if its first bytes decode to a WARC version line and it decodes to its
+    end, checksum included. Records of another archive, stored inside a payload without compression, do so too; a
+    candidate is taken for one of those if a record before it reaches beyond it (see _inside: only more than 8 records
+    stored in one payload mislead). What lies behind a record has no say, so a record in front of damaged bytes counts,
+    wherever ranges are cut. From there each member's end is the next one's start; the last one may reach beyond end."""
     data, at, in_step = _Bytes(file), start, start == 0
     while at < end:
         if not in_step:
@@ -193,10 +222,14 @@ def members(file, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]
             if at >= end:
                 return
         found = _whole(data, at) if _starts_record(data, at) else None
-        if found and (in_step or found[1] == size or _starts_record(data, found[1])):
+        if found and (in_step or not _inside(data, at)):
             yield at, found[0]
             at, in_step = found[1], True
+            if at >= end and at < size and not (_starts_record(data, at) and _whole(data, at)):
+                yield at, None  # no later range would see that the record before it was whole
         else:
+            if in_step:
+                yield at, None
             at, in_step = at + 1, False
 
 
@@ -207,7 +240,8 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes]:
     for line in head.split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-    return headers, rest[: int(headers.get("content-length", len(rest)))]
+    n = headers.get("content-length", "")
+    return headers, rest[: int(n)] if n.isdigit() else rest
 
 
 def _page(uri: str | None) -> int | None:
@@ -215,7 +249,7 @@ def _page(uri: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def _reader(payloads: bool):
+def _reader(payloads: bool, damaged: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
@@ -231,12 +265,16 @@ def _reader(payloads: bool):
                 store, at = _open(path)
                 with store.open_input_file(at) as file:
                     for offset, content in members(file, start, end, length):
+                        if content is None:
+                            if damaged:
+                                rows.append((None, "damaged", None, None, None, None, None, path, offset))
+                            continue
                         headers, block = parse(content)
                         kind = headers.get("warc-type")
                         if kind not in ("response", "revisit"):
                             continue
                         digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-                        payload, n = None, int(headers.get("x-payload-length", 0))
+                        payload, n = None, int(n) if (n := headers.get("x-payload-length", "")).isdigit() else 0
                         if kind == "response":
                             payload = block.partition(b"\r\n\r\n")[2]
                             n = len(payload)
@@ -251,19 +289,20 @@ def _reader(payloads: bool):
     return run
 
 
-def read_warc(spark: SparkSession, files: DataFrame, *, split_bytes: int = 16 << 20, payloads: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, files: DataFrame, *, split_bytes: int = 16 << 20, payloads: bool = True, damaged: bool = False) -> DataFrame:
     """The response and revisit records of files (path, length): page_id, record_type, target_uri, payload_bytes,
     payload_digest (bare base32 SHA-1), refers_to, payload, path and offset.
 
     Files are cut into byte ranges of split_bytes, one task each, however few and large the files are; a task reads the
     records that begin in its range (see members). Digests of responses are checked. Without payloads the payload
-    column is null, and only headers and digests leave the task. A broken member is passed over."""
+    column is null, and only headers and digests leave the task. Damaged bytes are passed over up to the next whole record;
+    with damaged, each such stretch is a row of record_type damaged with its path and offset. A length that is no number is not used."""
     cut = F.expr(f"transform(sequence(0L, greatest(length - 1, 0L), {split_bytes}L), s -> struct(s as start, least(s + {split_bytes}L, length) as end))")
     ranges = written(files.filter("length > 0").select("path", "length", F.explode(cut).alias("r")).select("path", "length", "r.start", "r.end"), "ranges")
     n = ranges.count()
     # a range a task: the ranges' order numbers spread them, where hashing would put several into one
     numbered = ranges.repartitionByRange(max(1, min(n, 100_000)), "path", "start")
-    return numbered.mapInArrow(_reader(payloads), _RECORDS_DDL)
+    return numbered.mapInArrow(_reader(payloads, damaged), _RECORDS_DDL)
 
 
 def warc_round_trip(pages: DataFrame, *, least_bytes: int = 0, split_bytes: int = 16 << 20) -> DataFrame:

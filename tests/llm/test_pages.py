@@ -79,6 +79,55 @@ def test_broken_member_is_passed_over():
     assert len([1 for _ in warc.members(io.BytesIO(raw), 0, len(raw), len(raw))]) >= 1
 
 
+def plain_records(raw):
+    """(offset, content) of whole records, read one after another from the beginning; damaged bytes are passed over."""
+    out, at = [], 0
+    while at < len(raw):
+        z = zlib.decompressobj(31)
+        try:
+            content = z.decompress(raw[at:])
+            good = z.eof and content.startswith(b"WARC/1.")
+        except zlib.error:
+            good = False
+        if good:
+            out.append((at, content))
+            at = len(raw) - len(z.unused_data)
+        else:
+            at += 1
+    return out
+
+
+@pytest.mark.parametrize("broken", [(3,), (0,), (5,), (1, 2, 4), ()])
+def test_damage_costs_only_the_damaged(broken):
+    """Whatever the ranges, all whole records around damaged ones are found once, and each damaged stretch is told once."""
+    raw = b""
+    for n in range(6):
+        data = warc.member(warc.record("response", n, None, bytes(range(256)) * (n + 1), "D", 3, None))
+        raw += data[: len(data) // 2] + b"\x00" * 9 + data[len(data) // 2 + 9 :] if n in broken else data
+    expected = plain_records(raw)
+    assert len(expected) == 6 - len(broken)
+    for size in [*range(1, 60, 7), *range(60, len(raw) + 1, 97)]:
+        found, told = [], []
+        for start in range(0, len(raw), size):
+            for offset, content in warc.members(io.BytesIO(raw), start, min(start + size, len(raw)), len(raw)):
+                (told if content is None else found).append((offset, content))
+        assert found == expected, size
+        assert len(told) == len({o for o, _ in told}) == sum(b - 1 not in broken for b in broken), size
+
+
+def test_damage_is_told(spark, pages, tmp_path):
+    (f,) = warc.write_warc(pages.coalesce(1), str(tmp_path)).collect()
+    raw = bytearray(Path(f.path).read_bytes())
+    second = [o for o, _ in plain_records(bytes(raw))][1]
+    raw[second + 40] ^= 0xFF
+    Path(f.path).write_bytes(raw)
+    files = spark.createDataFrame([(f.path, f.length)], "path string, length bigint")
+    for split in (100, 16 << 20):
+        rows = warc.read_warc(spark, files, split_bytes=split, damaged=True).collect()
+        assert [r.offset for r in rows if r.record_type == "damaged"] == [second] and len(rows) == len(PAGES)
+        assert warc.read_warc(spark, files, split_bytes=split).count() == len(PAGES) - 1
+
+
 URLS = [
     "http://Sub.Example.ORG/es/1", "https://example.org/en/12?x", "http://example.org/en/2#y", "http://x.com/de/1", "http://x.com/fr/1", "http://x.com/es/1", "ftp://x.net", "http://y.net?a/b", None, "no scheme",
     "http://com/fr/", "http://notexample.org/es/", "a://b://c/d", "http://x.com/fr", "http://ÀÉ.com/de/x",
