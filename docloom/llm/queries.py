@@ -113,6 +113,15 @@ _RULE_FITS = [
 ]
 _BLOCKS = ", ".join(f"'{r}'" for v, r in URL_RULES if v == "block")
 
+#: Levels of a path that the SQL generalises, one after another; no given page has as many.
+_LEVELS = 8
+_GENERALISED = ",\n".join(
+    f"v{k} as (select host, way from g{k - 1} where len(segments) >= {k} group by host, way having count(distinct segments[{k}]) >= 10 and sum(n) < 3.0 * count(distinct segments[{k}])), "
+    f"g{k} as (select g.* exclude (way), case when len(segments) < {k} then g.way else list_append(g.way, case when v.host is not null then '*' else segments[{k}] end) end as way "
+    f"from g{k - 1} g left join v{k} v on v.host = g.host and v.way = g.way)"
+    for k in range(1, _LEVELS + 1)
+)
+
 ORACLE_SQL = {
     "op1_quality_rules": r"""
 with docs as (select doc_id, source, coalesce(text, '') as text from documents),
@@ -149,29 +158,30 @@ select page_id, payload_bytes,
 from d
 """,
     "op3_url_filter": r"""
-with u as (select page_id, """ + _LOWERED.format(r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')") + r""" as host,
+with recursive u as (select page_id, """ + _LOWERED.format(r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')") + r""" as host,
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path from pages),
 r as (select *, case """ + " ".join(_RULE_FITS) + r""" end as rule from u),
-s as (select *, case when rule is not null then case when rule in (""" + _BLOCKS + r""") then 1 else 0 end end as label,
+t as (select *, case when rule is not null then case when rule in (""" + _BLOCKS + r""") then 1 else 0 end end as label,
   list_transform(string_split(ltrim(path, '/'), '/'), lambda x: case when regexp_matches(x, '^[0-9]+') then regexp_replace(x, '^[0-9]+', '{n}')
-    when regexp_matches(x, '^[0-9a-f]{8,}') then regexp_replace(x, '^[0-9a-f]{8,}', '{x}') else x end) as parts from r),
-t as (select *, case when len(parts) > 8 then list_append(parts[1:8], '**') else parts end as segments from s),
-f as (select host, segments, array_to_string(segments, '/') as form, count(*) as n, count(label) as known, coalesce(sum(label), 0) as bad from t group by 1, 2),
-steps as (select host, form, n, i as "at", segments[i] as segment, array_to_string(segments[1:i - 1], '/') as parent from (select *, unnest(range(1, len(segments) + 1)) as i from f)),
-nodes as (select host, "at", parent from (select host, "at", parent, segment, sum(n) as n from steps group by 1, 2, 3, 4) group by 1, 2, 3 having count(*) >= 10 and sum(n) < 3.0 * count(*)),
-g as (select host, form, list(case when nodes.host is not null then '*' else segment end order by steps."at") as path
-  from steps left join nodes using (host, "at", parent) group by 1, 2),
-shaped as (select f.*, array_to_string(path, '/') as template,
-  array_to_string(list_transform(path, lambda x: case when x = '' or x[1] in ('*', '{') then x else '_' end), '/') as shape from f join g using (host, form)),
-templates as (select host, shape, template, sum(known) as known, sum(bad) as bad from shaped group by 1, 2, 3),
-pools as (select host, shape, sum(bad) / nullif(sum(known), 0) as common from templates group by 1, 2),
-placed as (select *, case when known = 0 or abs(bad / known - common) <= 2.0 * sqrt(common * (1 - common) / known) then shape else template end as branch
-  from templates join pools using (host, shape)),
-branches as (select host, branch, sum(known) as known, sum(bad) as bad from placed group by 1, 2),
-hosts as (select host, (sum(bad) + 5.0 * (select coalesce(sum(bad) / nullif(sum(known), 0), 0) from branches)) / (sum(known) + 5.0) as share from branches group by 1),
-purity as (select host, branch, (bad + 5.0 * share) / (known + 5.0) as purity from branches join hosts using (host))
-select page_id, t.host, path, rule, case when label is not null then case label when 1 then 'block' else 'allow' end when purity >= 0.8 then 'block' else 'allow' end as verdict, template
-from t join shaped using (host, segments) join placed using (host, template) join purity using (host, branch)
+    when regexp_matches(x, '^[0-9a-f]{8,}') then regexp_replace(x, '^[0-9a-f]{8,}', '{x}') else x end) as segments from r),
+g0 as (select host, segments, count(*) as n, count(label) as known, coalesce(sum(label), 0) as bad, []::varchar[] as way from t group by host, segments),
+""" + _GENERALISED + r""",
+forms as (select host, segments, known, bad, list_concat(way, segments[""" + str(_LEVELS + 1) + r""":]) as way from g""" + str(_LEVELS) + r"""),
+steps as (select host, known, bad, way[1:d] as node, way[1:d - 1] as parent from (select *, unnest(range(1, len(way) + 1)) as d from forms)),
+plain as (select host, node, parent, sum(known) as known, sum(bad) as bad from steps group by all),
+pools as (select host, parent, sum(bad) / sum(known) as common from plain where known > 0 group by all),
+marked as (select plain.*, known > 0 and abs(bad / known - common) <= 2.0 * sqrt(common * (1 - common) / known) as alike from plain left join pools using (host, parent)),
+joint as (select host, parent, sum(known) as all_known, sum(bad) as all_bad from marked where alike group by all),
+nodes as (select host, node, parent, case when alike then all_known else known end as known, case when alike then all_bad else bad end as bad from marked left join joint using (host, parent)),
+hosts as (select host, string_split(host, '.') as labels, sum(known) as known, sum(bad) as bad from forms group by all),
+suffixes as (select host, d, array_to_string(labels[len(labels) - d + 1:], '.') as domain, known, bad from (select *, unnest(range(1, len(labels) + 1)) as d from hosts)),
+domains as (select domain, sum(known) as known, sum(bad) as bad from suffixes group by all),
+down as (select host, 0 as d, (select coalesce(sum(bad) / nullif(sum(known), 0), 0) from hosts)::double as p from hosts
+  union all select w.host, w.d + 1, (x.bad + 5.0 * p)::double / (x.known + 5.0) from down w join suffixes s on s.host = w.host and s.d = w.d + 1 join domains x using (domain)),
+walk as (select host, []::varchar[] as node, p from down join hosts using (host) where d = len(labels)
+  union all select w.host, n.node, (n.bad + 5.0 * p)::double / (n.known + 5.0) from walk w join nodes n on n.host = w.host and n.parent = w.node and len(n.node) = len(w.node) + 1)
+select page_id, t.host, path, rule, case label when 1 then 'block' when 0 then 'allow' else case when p >= 0.8 then 'block' else 'allow' end end as verdict, array_to_string(way, '/') as template
+from t join forms using (host, segments) join walk on walk.host = t.host and walk.node = way
 """,
     # Word lists and a map of spellings, where the operator works on padded text.
     "op10_license_scan": r"""

@@ -81,6 +81,27 @@ def _generalised(forms: DataFrame, variable_children: int, variable_repeats: flo
     return reduce(DataFrame.unionByName, done)
 
 
+def _merged(children: DataFrame, similar_z: float) -> DataFrame:
+    """children (node, parent, known, bad) -> node, parent, merged, known and bad: siblings that are statistically similar
+    share their labels.
+
+    A labelled child is similar if its share of bad labels is within similar_z standard errors of the share of all of
+    its siblings' labels together. Children without a label are merged with nobody."""
+    pools = written(children.filter("known > 0").groupBy("parent").agg((F.sum("bad") / F.sum("known")).alias("common")), "pools")
+    near = F.abs(F.col("bad") / F.col("known") - F.col("common")) <= similar_z * F.sqrt(F.col("common") * (1 - F.col("common")) / F.col("known"))
+    known = F.col("known") > 0
+    marked = children.join(pools, "parent", "left").withColumn("merged", known & F.coalesce(F.when(known, near), F.lit(False)))
+    marked = written(marked.drop("common"), "marked")
+    sums = marked.filter("merged").groupBy("parent").agg(F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
+    out = marked.join(written(sums, "merged"), "parent", "left")
+    return out.select("node", "parent", "merged", *[F.when(F.col("merged"), F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in ("known", "bad")])
+
+
+def _purity(start: Column, levels: Column, m: float) -> Column:
+    """Shares smoothed from the root to a leaf: every level's labels with m labels of the share above it."""
+    return F.aggregate(levels, start.cast("double"), lambda p, x: (x["bad"] + F.lit(m) * p) / (x["known"] + F.lit(m)))
+
+
 def judge_templates(
     labelled: DataFrame,
     *,
@@ -88,42 +109,60 @@ def judge_templates(
     variable_repeats: float = 3.0,
     similar_z: float = 2.0,
     prior_weight: float = 5.0,
+    back_off_levels: int = 16,
 ) -> DataFrame:
-    """labelled (host, segments, label: 1 bad, 0 good, null unknown) -> a row for each host and segments: template, branch
-    and purity, the smoothed share of bad ones.
+    """labelled (host, segments, label: 1 bad, 0 good, null unknown) -> a row for each host and segments: template, evidence
+    (the labels of its own template) and purity, the smoothed share of bad ones.
 
     1. The tree: rows are counted by host and path form, so that everything after works on distinct forms. A node with
        at least variable_children children that occur fewer than variable_repeats times on average is variable: its
        children become *, and are one node whose own children are counted together.
-    2. Branches: templates of one host that differ only in literal segments are siblings. One whose share of bad labels
-       is within similar_z standard errors of its siblings' common share, or that has no label, joins them; others stay apart.
-    3. Purity: a host's share is smoothed by the whole table's share with prior_weight, and a branch's by its host's."""
+    2. Branches: siblings of one node that are statistically similar are merged (see _merged), level by level; others,
+       and those without a label, stay apart.
+    3. Purity: from the whole table's share over the host's domains (com, example.com, ...) and the path's nodes down to
+       the template, every level's labels are smoothed with prior_weight labels of the level above. So a template
+       without labels has the purity of the nearest node above it that has some. The nodes are the path's first
+       back_off_levels levels and the template itself, however deep that is."""
     forms = (
         labelled.groupBy("host", "segments")
         .agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("bad"))
         .withColumn("form", F.concat_ws("/", "segments"))
     )
     forms = written(forms, "forms")
-    general = (
-        _generalised(forms, variable_children, variable_repeats)
-        .withColumn("template", F.concat_ws("/", "path"))
-        .withColumn("shape", F.concat_ws("/", F.transform("path", lambda s: F.when(s.rlike(r"^(\*|\{|$)"), s).otherwise(F.lit("_")))))
-        .select("host", "form", "template", "shape")
-    )
-    forms = forms.join(general, ["host", "form"])
-    templates = forms.groupBy("host", "shape", "template").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
-    pools = templates.groupBy("host", "shape").agg(F.try_divide(F.sum("bad"), F.sum("known")).alias("common"))
-    error = F.sqrt(F.try_divide(F.col("common") * (1 - F.col("common")), F.col("known")))
-    near = F.abs(F.try_divide("bad", "known") - F.col("common")) <= similar_z * error
-    templates = templates.join(pools, ["host", "shape"]).withColumn("branch", F.when((F.col("known") == 0) | near, F.col("shape")).otherwise(F.col("template")))
-    branches = templates.groupBy("host", "branch").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
-    hosts = branches.groupBy("host").agg(F.sum("known").alias("host_known"), F.sum("bad").alias("host_bad"))
-    whole = hosts.agg(F.coalesce(F.try_divide(F.sum("host_bad"), F.sum("host_known")), F.lit(0.0)).alias("share"))
-    m = F.lit(float(prior_weight))
-    hosts = hosts.join(F.broadcast(whole)).select("host", ((F.col("host_bad") + m * F.col("share")) / (F.col("host_known") + m)).alias("share"))
-    purity = branches.join(hosts, "host").select("host", "branch", ((F.col("bad") + m * F.col("share")) / (F.col("known") + m)).alias("purity"))
-    placed = templates.select("host", "template", "branch").join(purity, ["host", "branch"])
-    return forms.select("host", "segments", "template").join(placed, ["host", "template"])
+    general = _generalised(forms, variable_children, variable_repeats).select("host", "form", "path", F.concat_ws("/", "path").alias("template"))
+    forms = written(forms.join(general, ["host", "form"]).select("host", "segments", "path", "template", "known", "bad"), "templates")
+    templates = written(forms.groupBy("host", "template").agg(F.first("path").alias("path"), F.sum("known").alias("known"), F.sum("bad").alias("bad")), "counts")
+
+    # The path's nodes: level d holds the first d segments; the template itself is the last.
+    depth = F.least(F.size("path"), F.lit(back_off_levels))
+    named = lambda d: F.concat_ws("/", F.col("host"), F.slice("path", F.lit(1), d))
+    level = lambda d: F.struct(d.alias("depth"), named(d).alias("node"), named(d - 1).alias("parent"))
+    steps = F.transform(F.sequence(F.lit(1), depth), level)
+    last = F.struct((depth + 1).alias("depth"), F.concat_ws("/", "host", "template", F.lit("")).alias("node"), named(depth).alias("parent"))
+    steps = F.when(F.size("path") > depth, F.concat(steps, F.array(last))).otherwise(steps)
+    placed = templates.select("host", "template", "known", "bad", F.explode(steps).alias("s")).select("host", "template", "known", "bad", "s.*")
+    placed = written(placed, "placed")
+    nodes = placed.groupBy("depth", "node", "parent").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
+    nodes = nodes.select(F.struct("depth", "node").alias("node"), F.struct("depth", "parent").alias("parent"), "known", "bad")
+    nodes = written(_merged(nodes, similar_z), "nodes")
+    held = placed.select("host", "template", "known", F.struct("depth", "node").alias("node")).withColumnRenamed("known", "own")
+    levels = (
+        held.join(nodes.select("node", "known", "bad"), "node")
+        .groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("node.depth", "known", "bad"))).alias("levels"), F.max("own").alias("evidence"))
+    )
+
+    # The host's domains, the shortest first.
+    hosts = written(templates.groupBy("host").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")), "hosts")
+    parts = F.split("host", r"\.")
+    domains = hosts.select("host", "known", "bad", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda d: F.struct(d.alias("depth"), F.concat_ws(".", F.slice(parts, -d, d)).alias("domain")))).alias("s"))
+    domains = domains.select("host", "known", "bad", "s.*")
+    sums = written(domains.groupBy("domain").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")), "domains")
+    whole = hosts.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("known")), F.lit(0.0)).alias("share")).first()["share"]  # one number
+    above = domains.select("host", "domain", "depth").join(sums, "domain").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("depth", "known", "bad"))).alias("levels"))
+    above = written(above.select("host", _purity(F.lit(whole), F.col("levels"), prior_weight).alias("share")), "shares")
+
+    purity = levels.join(above, "host").select("host", "template", "evidence", _purity(F.col("share"), F.col("levels"), prior_weight).alias("purity"))
+    return forms.select("host", "segments", "template").join(written(purity, "purity"), ["host", "template"])
 
 
 def url_filter(
@@ -137,7 +176,7 @@ def url_filter(
     block_purity: float = 0.8,
     **tree,
 ) -> DataFrame:
-    """One row for each row of pages: id_col, host, path, rule, verdict, template and purity.
+    """One row for each row of pages: id_col, host, path, rule, verdict, template, evidence and purity.
 
     A rule's verdict stands where one fits. The other urls are judged by their path template (see judge_templates): it
     is blocked if its smoothed share of bad labels is at least block_purity. Labels come from label_col (1 bad, 0 good,
@@ -156,7 +195,7 @@ def url_filter(
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("segments", segments_of(F.col("path"), max_depth))
     if not label_col:
         rows = rows.withColumn("label", F.when(F.col("ruled").isNotNull(), (F.col("ruled") == "block").cast("int")))
-    judged = written(judge_templates(rows, **tree).select("host", "segments", "template", "purity"), "templates")
+    judged = written(judge_templates(rows, **tree), "judged")
     out = rows.join(judged, ["host", "segments"])
     own = F.when(F.col("purity") >= block_purity, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "purity")
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "evidence", "purity")

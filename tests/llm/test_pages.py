@@ -176,3 +176,17 @@ def test_deep_paths_are_judged_whole(spark):
     df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "page_id int, url string, bad int")
     got = {(r.template, r.verdict) for r in urls.url_filter(df.withColumn("bad", F.when(F.col("page_id") % 8 != 0, F.col("bad"))), [], label_col="bad", max_depth=None).collect()}
     assert got == {("d/" * 11 + "ads/{n}.html", "block"), ("d/" * 11 + "news/{n}.html", "allow")}
+
+
+def test_evidence_backs_off_along_the_tree(spark):
+    """Templates without labels take the purity of what lies above them: a branch, the host, its domain; similar siblings are merged."""
+    rows = [(f"http://bad.spam.example/{kind}/{n}/x", 1) for kind in ("a", "b", "c") for n in range(12)] + [("http://bad.spam.example/new/1/x", None), ("http://other.spam.example/y", None)]
+    rows += [(f"http://h.good.example/{kind}/{n}", int(kind == "ads")) for kind in ("ads", "p", "q", "r") for n in range(30)] + [("http://h.good.example/ads/new/deal", None), ("http://h.good.example/z", None), ("http://x.good.example/z", None)]
+    rows += [(f"http://m.good.example/{kind}/{n}", 0) for kind in ("p", "q", "r") for n in range(30)] + [("http://m.good.example/s/1", 0), ("http://m.good.example/u/1", None)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "page_id int, url string, bad int")
+    got = {rows[r.page_id][0]: r for r in urls.url_filter(df, [], label_col="bad").collect()}
+    blocked = {u for u, r in got.items() if r.verdict == "block"}
+    assert blocked == {u for u, label in rows if label == 1} | {"http://bad.spam.example/new/1/x", "http://other.spam.example/y", "http://h.good.example/ads/new/deal"}
+    assert got["http://h.good.example/z"].evidence == 0 and got["http://h.good.example/p/1"].evidence == 30
+    few, many, none = (got[f"http://m.good.example/{k}/1"].purity for k in "spu")
+    assert abs(few - many) < 0.001 < none - few, "one label, merged with its similar siblings, counts as much as theirs; no label is merged with nobody"
