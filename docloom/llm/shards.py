@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import literal_rows, written
+from .common import written
 
 #: Cells of a coded dimension, and of the hashes that break ties: what a histogram holds for a node at most.
 CELLS = 4096
@@ -26,15 +26,51 @@ def _code(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.pmod(F.xxhash64(col.cast("string")), F.lit(CELLS)).cast("int"), F.lit(-1)) if kind.simpleString() != "void" else F.lit(-1)
 
 
-def _cut(rows: DataFrame, cell: Column, goals: DataFrame) -> DataFrame:
-    """rows (node, size), goals (node, goal: bytes that should lie left) -> node, cell and the goal left inside that cell.
+def _ordinal(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.NumericType | T.BooleanType | T.TimestampType | T.TimestampNTZType | T.DateType)
 
-    The cell is the one that the goal falls into. A node has CELLS sums at most, so one node's window is small."""
-    sums = rows.groupBy("node", cell.alias("cell")).agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("node").orderBy("cell"))
-    here = sums.withColumn("upto", upto).join(F.broadcast(goals), "node")
-    hit = here.filter((F.col("upto") >= F.col("goal")) & (F.col("upto") - F.col("size") < F.col("goal")))
-    return hit.select("node", "cell", (F.col("goal") - (F.col("upto") - F.col("size"))).alias("goal"), F.col("size").alias("inside"))
+
+def _width(dim: str, ordinal: bool) -> Column:
+    """How wide a dimension is: the spread of numbers and times, the number of values of others (CELLS at most)."""
+    return (F.max(dim) - F.min(dim) if ordinal else F.size(F.collect_set(dim)) - 1).cast("double")
+
+
+def _cut(rows: DataFrame, cell: str, goals: DataFrame) -> DataFrame:
+    """rows (node, size, cell), goals (node, goal: bytes that should lie left) -> node, the cell that the goal falls into, the
+    goal left inside that cell and its bytes. A node has about CELLS sums at most, so one node's window is small."""
+    sums = rows.groupBy("node", cell).agg(F.sum("size").alias("inside"))
+    here = sums.withColumn("upto", F.sum("inside").over(Window.partitionBy("node").orderBy(cell))).join(goals.select("node", "goal"), "node")
+    hit = here.filter((F.col("upto") >= F.col("goal")) & (F.col("upto") - F.col("inside") < F.col("goal")))
+    return written(hit.select("node", F.col(cell).alias(f"at_{cell}"), (F.col("goal") - (F.col("upto") - F.col("inside"))).alias("goal"), "inside"), "cut")
+
+
+#: The order inside a node: the value along its dimension, the text's hash digit by digit, and for split groups the id's.
+ORDER = ("value", "h0", "h1", "h2", "tie")
+
+
+def _halved(units: DataFrame, nodes: DataFrame, dims: dict[str, bool], whole: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """One level: every node with several leaves becomes two, and its units go left or right. Nodes are a table throughout."""
+    shares = F.array(*[F.coalesce(F.col(d) / F.lit(max(1.0, whole[d])), F.lit(0.0)) for d in dims], F.lit(-1.0))
+    spread = units.groupBy("node").agg(F.sum("size").alias("bytes"), *[_width(d, o).alias(d) for d, o in dims.items()])
+    plan = nodes.filter("leaves > 1").join(spread, "node").select("node", (F.array_position(shares, F.array_max(shares)) - 1).cast("int").alias("along"), F.expr("bytes * (leaves div 2) / leaves").cast("double").alias("goal"))
+    plan = written(plan, "plan")
+    value = F.get(F.array(*[F.col(d) for d in dims], F.lit(0)), F.col("along"))
+    at = units.join(plan.select("node", "along"), "node", "left").withColumn("value", F.when(F.col("along").isNotNull(), value))
+    inner, goals, cuts = at.filter("along is not null"), plan, plan.select("node")
+    for cell in ORDER:
+        goals = _cut(inner, cell, goals)
+        here = goals.select("node", f"at_{cell}")
+        inner = inner.join(here, "node").filter(F.col(cell) == F.col(f"at_{cell}")).drop(f"at_{cell}")
+        cuts = cuts.join(here, "node")
+    # the last cell goes left if more than half of it belongs there
+    cuts = cuts.join(goals.select("node", (F.col("at_tie") + (2 * F.col("goal") > F.col("inside")).cast("int")).alias("last")), "node")
+    cuts = written(cuts.select("node", *[F.col(f"at_{c}") for c in ORDER[:-1]], F.col("last").alias("at_tie")), "cuts")
+    placed = at.join(cuts, "node", "left")
+    left = F.struct(*ORDER) < F.struct(*[F.col(f"at_{c}") for c in ORDER])
+    child = F.when(F.col("at_value").isNull() | left, 2 * F.col("node")).otherwise(2 * F.col("node") + 1)
+    units = written(placed.withColumn("node", child).select(*units.columns), "units")
+    both = F.expr("if(leaves > 1, array(struct(2 * node as node, leaves div 2 as leaves, first as first), struct(2 * node + 1 as node, leaves - leaves div 2 as leaves, first + leaves div 2 as first)), array(struct(2 * node as node, leaves as leaves, first as first)))")
+    return units, written(nodes.select(F.explode(both).alias("n")).select("n.*"), "nodes")
 
 
 def kd_shards(
@@ -46,91 +82,60 @@ def kd_shards(
     n_shards: int | None = None,
     target_bytes: int | None = None,
     block_rows: int = 10_000,
+    split_share: float = 0.05,
 ) -> DataFrame:
     """One row for each row of docs: id_col, size (UTF-8 bytes of the text plus 1), text_crc32, shard and slot.
 
-    All rows are one node, which is to hold n_shards leaves (or as many as target_bytes each need). A node with k
-    leaves is split along its widest dimension (largest spread against the whole table's) where the bytes left of the
-    cut are nearest k // 2 of k parts. The cut is found by sums over coded values; rows at the cut's own value
-    are split by their text's hash, so equal texts stay together, and within one hash cell, such as a group of copies,
-    by the id's hash. So shards differ by little more than a document's size even if one value holds most rows.
-    Slots number a shard's rows from 0 without gaps.
+    Rows of equal texts are a group, which has the least of its rows' values in each dimension and stays in one shard.
+    Only a group of more than split_share of a shard's bytes is split, by the ids' hash, since no even sharding could
+    keep it. All groups are one node, which is to hold n_shards leaves (or as many as target_bytes each need). A node
+    with k leaves is split along its widest dimension, against the whole table's width, where the bytes left of the
+    cut are nearest k // 2 of k parts; groups at the cut's own value are ordered by their text's hash. So shards differ
+    by a few groups' sizes even if one value holds most rows. Slots number a shard's rows from 0 without gaps.
 
     Cases: a null text has no bytes, size 1 and the checksum of the empty text; nulls in a dimension come first; texts
-    of any length count whole; repeated rows each have a slot; fewer rows than shards leave shards empty; an empty
+    of any length count whole; repeated rows each have a slot; fewer groups than shards leave shards empty; an empty
     table gives an empty result; other columns are ignored.
 
-    Scale: the text is read once; a table of a few numbers for each row is written. Every level takes sums by node and
-    cell with partial sums in each task. What comes to the driver and is broadcast is one row for each node, n_shards at
-    most. Slots are counted in blocks of about block_rows rows, so no task orders a whole shard."""
+    Scale: the text is read once; a table of a few numbers for each row is written, and one row for each group from it.
+    Every level takes sums by node and cell with partial sums in each task. Nodes, cuts and goals are tables of at most
+    n_shards rows, written once a level, so plans don't grow with levels or leaves; nothing but the whole table's totals
+    comes to the driver. Slots are counted in blocks of about block_rows rows, so no task orders a whole shard."""
     if (n_shards is None) == (target_bytes is None):
         raise ValueError("give n_shards or target_bytes")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    dims = [f"d{i}" for i in range(len(dimensions))]
+    dims = {f"d{i}": _ordinal(docs, c) for i, c in enumerate(dimensions)}
     meta = docs.select(
         F.col(f"`{id_col}`").cast("bigint").alias("id"), (F.octet_length(text) + F.lit(1)).cast("bigint").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(CELLS)).cast("int").alias("by_text"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("by_id"),
-        *[_code(docs, c).alias(d) for c, d in zip(dimensions, dims, strict=True)],
+        F.xxhash64(text).alias("group"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("by_id"), *[_code(docs, c).alias(d) for c, d in zip(dimensions, dims, strict=True)],
     )
     meta = written(meta, "metadata")
-    spans = [F.max(d) - F.min(d) for d in dims]
-    whole = meta.agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *[s.alias(d) for s, d in zip(spans, dims, strict=True)]).first()
+    groups = written(meta.groupBy("group").agg(F.sum("size").alias("size"), *[F.min(d).alias(d) for d in dims]), "groups")
+    totals = groups.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), *[F.coalesce(_width(d, o), F.lit(0.0)).alias(d) for d, o in dims.items()]).first()
     if n_shards is None:
-        n_shards = max(1, math.ceil((whole["bytes"] or 0) / target_bytes))
-    rows = meta.withColumn("node", F.lit(0))
-    leaves, first = {0: n_shards}, {0: 0}
-    while whole["n"] and max(leaves.values()) > 1:
-        rows, leaves, first = _split(rows, dims, {d: whole[d] for d in dims}, leaves, first)
-    numbers = literal_rows(rows.sparkSession, ["node", "shard"], [(k, first[k]) for k in leaves])
-    placed = rows.join(F.broadcast(numbers), "node").select("id", "size", "text_crc32", "by_id", "shard")
-    blocks = max(1, math.ceil(whole["n"] / (n_shards * block_rows)))
-    placed = placed.withColumn("block", F.pmod("by_id", F.lit(blocks)))
-    # blocks of one shard: as many as rows / (n_shards * block_rows)
+        n_shards = max(1, math.ceil(totals["bytes"] / target_bytes))
+
+    split = F.col("size") > F.lit(split_share * totals["bytes"] / n_shards)
+    large = written(groups.filter(split), "large")  # n_shards / split_share rows at most
+    tie = (F.pmod("by_id", F.lit(CELLS)) + 1).cast("int")
+    parts = meta.select("group", "size", tie.alias("tie")).join(large.drop("size"), "group").groupBy("group", "tie", *dims).agg(F.sum("size").alias("size"))
+    units = groups.filter(~split).withColumn("tie", F.lit(0)).unionByName(parts)
+    digit = lambda shift: F.shiftrightunsigned("group", shift).bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    units = units.select("group", "tie", "size", *dims, digit(52).alias("h0"), digit(40).alias("h1"), digit(28).alias("h2"), F.lit(0).cast("bigint").alias("node"))
+    nodes = docs.sparkSession.range(1, numPartitions=1).select(F.col("id").alias("node"), F.lit(n_shards).cast("bigint").alias("leaves"), F.lit(0).cast("bigint").alias("first"))
+    units = written(units, "units")
+    for _ in range(math.ceil(math.log2(n_shards))):
+        units, nodes = _halved(units, nodes, dims, totals.asDict())
+
+    shards = written(units.join(nodes, "node").select("group", "tie", F.col("first").alias("shard")), "shards")
+    rows = meta.select("id", "size", "text_crc32", "by_id", "group").join(large.select("group", F.lit(True).alias("split")), "group", "left")
+    rows = rows.withColumn("tie", F.when(F.col("split"), tie).otherwise(0))
+    placed = written(rows.join(shards, ["group", "tie"]).select("id", "size", "text_crc32", "by_id", "shard"), "placed")
+    sizes = placed.groupBy("shard").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    placed = placed.join(sizes, "shard").withColumn("block", F.pmod(F.col("by_id"), F.col("blocks")))
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = placed.groupBy("shard", "block").agg(F.count("*").alias("rows")).withColumn("before", F.coalesce(before, F.lit(0))).select("shard", "block", "before")
     within = F.row_number().over(Window.partitionBy("shard", "block").orderBy("by_id", "id")) - 1
     return placed.withColumn("within", within).join(offsets, ["shard", "block"]).select(
         F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("before") + F.col("within")).cast("bigint").alias("slot")
     )
-
-
-def _split(rows: DataFrame, dims: list[str], wide: dict[str, int], leaves: dict[int, int], first: dict[int, int]):
-    """One level: every node with several leaves becomes two."""
-    spark = rows.sparkSession
-    spread = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[(F.max(d) - F.min(d)).alias(d) for d in dims]).collect()  # a row for each node
-    plan = []
-    for r in spread:
-        k = leaves[r["node"]]
-        if k > 1:
-            along = max(range(len(dims)), key=lambda i: ((r[dims[i]] or 0) / max(1, wide[dims[i]] or 0), -i)) if dims else 0
-            plan.append((r["node"], along, r["bytes"] * (k // 2) / k))
-    nodes = literal_rows(spark, ["node", "along", "goal"], plan)
-    along = rows.join(F.broadcast(nodes.select("node", "along")), "node", "left")
-    value = F.get(F.array(*[F.col(d) for d in dims], F.lit(0)), F.col("along"))
-    value = F.when(F.col("along").isNotNull(), value)
-    along = along.withColumn("value", value).withColumn("tie", F.pmod("by_id", F.lit(CELLS)).cast("int"))
-    parts = along.filter("along is not null")
-    cuts: dict[int, tuple] = {}
-    goals, done = nodes.select("node", "goal"), []
-    for cell in ("value", "by_text", "tie"):
-        found = _cut(parts, F.col(cell), goals).collect()  # a row for each node at most
-        done.append({r["node"]: r for r in found})
-        goals = literal_rows(spark, ["node", "goal"], [(r["node"], float(r["goal"])) for r in found])
-        here = literal_rows(spark, ["node", "at"], [(r["node"], r["cell"]) for r in found])
-        parts = parts.join(F.broadcast(here), "node").filter(F.col(cell) == F.col("at")).drop("at")
-    for node, last in done[2].items():
-        # the last cell goes left if more than half of it belongs there
-        cuts[node] = (done[0][node]["cell"], done[1][node]["cell"], last["cell"] + (1 if 2 * last["goal"] > last["inside"] else 0))
-    table = literal_rows(spark, ["node", "c0", "c1", "c2"], [(n, *c) for n, c in cuts.items()])
-    placed = along.join(F.broadcast(table), "node", "left")
-    left = F.struct("value", "by_text", "tie") < F.struct("c0", "c1", "c2")
-    child = F.when(F.col("c0").isNull(), 2 * F.col("node")).when(left, 2 * F.col("node")).otherwise(2 * F.col("node") + 1)
-    after = placed.withColumn("node", child.cast("int")).drop("along", "value", "tie", "c0", "c1", "c2")
-    new, start = {}, {}
-    for node, k in leaves.items():
-        if node in cuts:
-            new |= {2 * node: k // 2, 2 * node + 1: k - k // 2}
-            start |= {2 * node: first[node], 2 * node + 1: first[node] + k // 2}
-        else:
-            new[2 * node], start[2 * node] = 1, first[node]
-    return after, new, start

@@ -160,3 +160,48 @@ def added_secrets(text):
             out.append(("pem", m.start(), m.end()))
     order = ["forge", "registry", "jwt", "pem"]
     return sorted(out, key=lambda x: (x[1], order.index(x[0])))
+
+
+def kd_tree(rows, n, ordinal, share):
+    """rows: (id, size, text hash, id hash, codes) -> {id: shard}"""
+    groups = {}
+    for i, size, text, by_id, codes in rows:
+        groups.setdefault(text, []).append((i, size, by_id, codes))
+    total = sum(r[1] for r in rows)
+    units = []  # (sort key behind the value, size, codes, ids)
+    for text, members in groups.items():
+        least = [min(m[3][d] for m in members) for d in range(len(ordinal))]
+        digits = [(text % 2**64) >> s & 4095 for s in (52, 40, 28)]
+        parts = {}
+        large = sum(m[1] for m in members) > share * total / n
+        for i, size, by_id, _ in members:
+            parts.setdefault(by_id % 4096 + 1 if large else 0, []).append((i, size))
+        units += [((*digits, tie), sum(m[1] for m in own), least, [m[0] for m in own]) for tie, own in parts.items()]
+
+    def width(own, d):
+        values = [u[2][d] for u in own]
+        return max(values) - min(values) if ordinal[d] else len(set(values)) - 1
+
+    whole = [max(1, width(units, d)) for d in range(len(ordinal))]
+    out = {}
+
+    def place(own, leaves, first):
+        if leaves == 1 or not own:
+            out.update({i: first for u in own for i in u[3]})
+            return
+        widths = [width(own, d) / whole[d] for d in range(len(ordinal))]
+        along = widths.index(max(widths))
+        goal, upto, cells = sum(u[1] for u in own) * (leaves // 2) / leaves, 0, {}
+        for u in own:
+            cells.setdefault((u[2][along], *u[0]), []).append(u)
+        left, right = [], []
+        for key in sorted(cells):
+            inside = sum(u[1] for u in cells[key])
+            takes = upto + inside < goal or upto < goal and 2 * (goal - upto) > inside
+            (left if takes else right).extend(cells[key])
+            upto += inside
+        place(left, leaves // 2, first)
+        place(right, leaves - leaves // 2, first + leaves // 2)
+
+    place(units, n, 0)
+    return out

@@ -307,6 +307,28 @@ def test_shards_are_even(spark):
         shards.kd_shards(df, dimensions=[])
 
 
+@pytest.mark.parametrize("n", [8, 5])
+def test_shards_are_the_plain_tree(spark, n):
+    """The same k-d tree from sorted lists; every group of equal texts lies in one shard unless it is a large part of one."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(600):
+        copies = 40 if k == 7 else rng.choice([1, 1, 1, 2, 3])
+        text = None if k == 11 else f"text {k} " * (200 if k == 7 else rng.randrange(1, 60))
+        rows += [(1000 * k + c, text, rng.choice(["en", "en", "fr", None]), rng.choice(["a", "b", "c"]), rng.choice([5, 50, 500, None])) for c in range(copies)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    dims = ["n_chars", "lang", "source"]
+    coded = df.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 1, F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.array(*[shards._code(df, c) for c in dims])).collect()
+    got = {r.doc_id: r.shard for r in shards.kd_shards(df, dimensions=dims, n_shards=n).collect()}
+    assert got == brute.kd_tree([tuple(r) for r in coded], n, [True, False, False], 0.05)
+    where, sizes = {}, {}
+    for i, size, text, _, _ in map(tuple, coded):
+        where.setdefault(text, set()).add(got[i])
+        sizes[text] = sizes.get(text, 0) + size
+    limit = 0.05 * sum(sizes.values()) / n
+    assert all(len(w) == 1 for t, w in where.items() if sizes[t] <= limit) and any(len(w) > 1 for w in where.values())
+
+
 def test_licenses(spark, docs):
     out = own(licenses.license_scan(docs, licenses.known_licenses(spark)))
     found = [(r.license_id, list(r.notices)) for r in out.values() if r.license_id or r.notices]
