@@ -144,7 +144,7 @@ def near_duplicates(
     percent: int = 80,
     bands: int = 42,
     rows: int = 6,
-    block: int = 1024,
+    block: int = 256,
 ) -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id and kept (id_col = component_id).
 
@@ -160,8 +160,8 @@ def near_duplicates(
        others were made from, so this finds almost every link with one comparison a row.
     4. Members of one bucket that still lie in different components are compared on full sets, whatever their number:
        all outside an anchor's largest component against each other and against those inside. They are dealt by set
-       size first, since only sets of similar size can link, and then into cells of at most 2 x block rows (fewer, if
-       their sets are large). No pairs are emitted but links, and no group is gathered into one task.
+       size first, since only sets of similar size can link, and then into cells of at most 2 x block rows (fewer if
+       their sets are large, more in groups of more than 64 x block rows). No pairs are emitted but links, and no group is gathered into one task.
 
     Cases: texts that are null, empty or without words have the empty set and link with nothing; rows with a null id
     link with nothing, have a null component_id and are kept; rows that share an id are one document, which links with
@@ -241,7 +241,8 @@ def _left_over(anchored: DataFrame, found: DataFrame, percent: int, block: int)
     bands = F.explode(F.array(F.struct(home.alias("band"), F.lit(False).alias("below")), F.struct((home + 1).alias("band"), F.lit(True).alias("below"))))
     rows = labelled.join(written(mixed, "mixed"), "anchor").withColumn("outlier", F.col("comp") != F.col("main")).withColumn("b", bands)
     rows = written(rows.select("anchor", "node", "key", "comp", "outlier", "b.band", "b.below", "n"), "rest")
-    fits = F.least(F.lit(block), F.greatest(F.lit(16), F.floor(F.lit(4e6) / F.max("n"))))  # rows of a block: at most 32 MB of sets
+    # rows of a block: more for very large groups, whose rows would else be copied into very many cells; at most 32 MB of sets
+    fits = F.least(F.greatest(F.lit(block), F.ceil(F.count("*") / 64)), F.greatest(F.lit(16), F.floor(F.lit(4e6) / F.max("n"))))
     dealt = rows.groupBy("anchor", "band").agg(F.count_if("outlier").alias("outside"), F.count_if(~F.col("outlier")).alias("inside"), fits.alias("fits"), F.count_if(~F.col("below")).alias("own"))
     dealt = dealt.filter("outside > 0 and outside + inside > 1 and own > 0").select(
         "anchor", "band", F.greatest(F.lit(1), F.ceil(F.col("inside") / F.col("fits"))).cast("bigint").alias("n_in"), F.ceil(F.col("outside") / F.col("fits")).cast("bigint").alias("n_out")
