@@ -80,20 +80,22 @@ def parse_date(col: Column) -> Column:
     day, hour, minute and second; out of range or without digits gives null. Hour 24 is the next day's 0, as are days
     beyond a month's end."""
     text = F.trim(col)
-    n = F.transform(F.regexp_extract_all(text, F.lit(r"\d+"), 0), lambda x: x.try_cast("int"))
+    groups = F.transform(F.regexp_extract_all(text, F.lit(r"\d+"), 0), lambda x: x.try_cast("int"))
 
-    def at(i: int, default: int) -> Column:
-        return F.coalesce(F.get(n, F.lit(i)), F.lit(default))
+    def stamp(n: Column) -> Column:
+        at = lambda i, default: F.coalesce(F.get(n, F.lit(i)), F.lit(default))
+        ok = (
+            (F.size(n) > 0) & at(0, 0).between(1900, 2999) & at(1, 1).between(1, 12) & at(2, 1).between(1, 31)
+            & at(3, 0).between(0, 24) & at(4, 0).between(0, 59) & at(5, 0).between(0, 59)
+        )
+        day = F.date_add(F.make_date(at(0, 1970), at(1, 1), F.lit(1)), at(2, 1) - 1)
+        seconds = at(3, 0) * 3600 + at(4, 0) * 60 + at(5, 0)
+        return F.when(ok, F.timestamp_seconds(F.unix_seconds(day.cast("timestamp")) + seconds))
 
-    ok = (
-        (F.size(n) > 0) & at(0, 0).between(1900, 2999) & at(1, 1).between(1, 12) & at(2, 1).between(1, 31)
-        & at(3, 0).between(0, 24) & at(4, 0).between(0, 59) & at(5, 0).between(0, 59)
-    )
-    day = F.date_add(F.make_date(at(0, 1970), at(1, 1), F.lit(1)), at(2, 1) - 1)
-    seconds = at(3, 0) * 3600 + at(4, 0) * 60 + at(5, 0)
-    stamp = F.timestamp_seconds(F.unix_seconds(day.cast("timestamp")) + seconds)
-    epoch = F.when(text.rlike(r"^\d{10}$"), F.timestamp_millis(text.try_cast("bigint") * 1000)).when(text.rlike(r"^\d{13}$"), F.timestamp_millis(text.try_cast("bigint")))
-    return F.coalesce(epoch, F.when(ok & ~text.rlike(r"^\d{10}$|^\d{13}$"), stamp))
+    # a lambda's argument is computed once, where a column would be for each of its uses
+    read = F.get(F.transform(F.array(groups), stamp), F.lit(0))
+    epoch = F.when(F.length(text) == 10, F.timestamp_millis(text.try_cast("bigint") * 1000)).otherwise(F.timestamp_millis(text.try_cast("bigint")))
+    return F.when(F.length(text).isin(10, 13) & text.rlike(r"^\d+$"), epoch).otherwise(read)
 
 
 def format_date(col: Column, formats: str | None) -> Column:
@@ -151,6 +153,21 @@ def join_values(*cols: Column, separator: str = ",") -> Column:
     return F.array_join(F.filter(F.array(*cols), lambda x: x.isNotNull() & (x != "")), separator)
 
 
+def is_blank(col: Column) -> Column:
+    """Null, empty, or white space only."""
+    return col.isNull() | ~col.rlike(r"[^\s\x1C-\x1F]")
+
+
+def is_number(col: Column) -> Column:
+    """A text of ASCII digits only, one at least."""
+    return F.coalesce(col.rlike("^[0-9]+$"), F.lit(False))
+
+
+def ascii_only(col: Column) -> Column:
+    """A text for a header line: double quotes become single ones, colons hyphens, and what is not printable ASCII goes."""
+    return F.regexp_replace(F.translate(col, '":', "'-"), r"[^\x20-\x7E]", "")
+
+
 def to_target(col: Column, kind: T.DataType, target: str | None, formats: str | None = None) -> Column:
     """A value as a target type has it; without a target, times become text and numbers and booleans stay."""
     match target:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,20 +29,50 @@ def hashed_model(dimensions: int) -> Model:
     return run
 
 
-def embed(df: DataFrame, text_col: str, out_col: str, model: Model, *, request_size: int = 6) -> DataFrame:
+def embed(
+    df: DataFrame, text_col: str, out_col: str, model: Model, *, request_size: int = 6, known: DataFrame | None = None, per_minute: int | None = None, streams: int = 1, attempts: int = 3
+) -> DataFrame:
     """df with out_col, the vector of the trimmed text; blank and null texts have none.
 
-    Distinct texts are embedded once, in requests of request_size, and joined back on a digest of the text."""
+    Distinct texts are embedded once, in requests of request_size, and joined back on a digest of the text. known (digest,
+    vector) holds vectors from earlier runs, as vectors() returns them; such texts are not sent. With per_minute, texts
+    go out from streams tasks that together keep to so many requests a minute. A request that fails is tried attempts
+    times, with growing pauses, before the task fails."""
     key = f"_{out_col}_key"
-    text = F.trim(F.col(text_col))
+    text = F.trim(F.col(f"`{text_col}`"))
     keyed = df.withColumn(key, F.when(text != "", F.sha2(text, 256)))
-    distinct = keyed.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias("text"))
+    found = vectors(keyed.select(F.col(key).alias("digest"), text.alias("text")), model, request_size=request_size, known=known, per_minute=per_minute, streams=streams, attempts=attempts)
+    return keyed.drop(out_col).join(found.toDF(key, out_col), key, "left").drop(key)
+
+
+def vectors(texts: DataFrame, model: Model, *, request_size: int = 6, known: DataFrame | None = None, per_minute: int | None = None, streams: int = 1, attempts: int = 3) -> DataFrame:
+    """(digest, vector) for each distinct digest of texts (digest, text): what to keep as known for the next run."""
+    distinct = texts.filter("digest is not null").groupBy("digest").agg(F.min("text").alias("text"))
+    if known is not None:
+        distinct = distinct.join(known.select("digest"), "digest", "left_anti")
+    if per_minute:
+        distinct = distinct.repartition(streams)  # as many tasks as may ask at a time
+    pause = 60 * streams / per_minute if per_minute else 0
+
+    def ask(some: list[str]) -> list[list[float]]:
+        for n in range(attempts):
+            try:
+                return model(some)
+            except Exception:
+                if n == attempts - 1:
+                    raise
+                time.sleep(max(pause, 0.1) * 2**n)
+        return []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        after = 0.0
         for frame in frames:
-            texts = frame["text"].tolist()
-            vectors = [v for at in range(0, len(texts), request_size) for v in model(texts[at : at + request_size])]
-            yield pd.DataFrame({key: frame[key], out_col: vectors})
+            some, out = frame["text"].tolist(), []
+            for at in range(0, len(some), request_size):
+                time.sleep(max(0.0, after - time.monotonic()))
+                after = time.monotonic() + pause
+                out += ask(some[at : at + request_size])
+            yield pd.DataFrame({"digest": frame["digest"], "vector": out})
 
-    vectors = distinct.mapInPandas(run, f"{key} string, {out_col} array<float>")
-    return keyed.drop(out_col).join(vectors, key, "left").drop(key)
+    new = distinct.mapInPandas(run, "digest string, vector array<float>")
+    return new if known is None else new.unionByName(known.select("digest", "vector"))

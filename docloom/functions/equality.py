@@ -22,6 +22,13 @@ def is_empty(col: Column, kind: T.DataType) -> Column:
     return col.isNull()
 
 
+def same_number(a: Column, b: Column) -> Column:
+    """Whether two texts are one number: whole numbers of up to 38 digits exactly, others as doubles; null if one is no number."""
+    whole = r"^\s*[+-]?[0-9]{1,38}\s*$"
+    exact = a.try_cast("decimal(38,0)") == b.try_cast("decimal(38,0)")
+    return F.when(a.rlike(whole) & b.rlike(whole), exact).otherwise(a.try_cast("double") == b.try_cast("double"))
+
+
 def _as_text(col: Column, kind: T.DataType) -> Column:
     if isinstance(kind, _TIMES):
         return F.date_format(col.cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSS")
@@ -45,7 +52,7 @@ def value_equal(source: Column, source_kind: T.DataType, doc: Column, doc_kind:
         whole = doc.try_cast("bigint") if isinstance(doc_kind, (*NUMERIC, T.StringType)) else F.lit(None)
         same = whole == source.cast("bigint")
     elif isinstance(doc_kind, _WHOLE):
-        same = source.try_cast("double") == doc.cast("double")
+        same = same_number(source.cast("string"), doc.cast("string"))
     elif isinstance(doc_kind, _FLOATS) or isinstance(source_kind, _FLOATS):
         same = source.try_cast("double") == doc.try_cast("double")
     else:

@@ -28,14 +28,15 @@ def strip_unchanged(old: Column, data: Column) -> Column:
 
 def from_log(df: DataFrame) -> DataFrame:
     """Changes from log rows with data and old (an update's old holds changed columns only; a delete's data is the image
-    that went). Transaction markers go, a missing type is an insert, and unchanged columns leave old."""
+    that went). Transaction markers go, a missing type is an insert, and unchanged columns leave old. A statement (sql), if
+    df has that column, comes along."""
     op = F.upper(F.coalesce("type", F.lit("INSERT")))
     old = strip_unchanged(F.col("old"), F.col("data"))
     before = F.when(op == "DELETE", F.col("data")).when(op == "UPDATE", overlay(F.col("data"), old))
     return (
         df.filter(~op.isin(*TRANSACTION_MARKERS))
         .withColumn("op", op).withColumn("before", before).withColumn("after", F.when(op != "DELETE", F.col("data")))
-        .select("seq", "op", F.coalesce("is_ddl", F.lit(False)).alias("is_ddl"), "db", "table", "pk", "es", "ts", "before", "after")
+        .select("seq", "op", F.coalesce("is_ddl", F.lit(False)).alias("is_ddl"), "db", "table", "pk", "es", "ts", "before", "after", *(["sql"] if "sql" in df.columns else []))
     )
 
 
@@ -107,5 +108,17 @@ def notifications(deps: DataFrame) -> DataFrame:
     return deps.groupBy("seq", "table", "op").agg(F.array_sort(F.collect_set(F.struct("index", "view", "role"))).alias("views"))
 
 
+def rows_as_changes(rows: DataFrame, db: str, table: str, pk: list[str], op: str = "INSERT", seq: str | None = None) -> DataFrame:
+    """Table rows as changes (CHANGE) of one kind, in the order of a column if seq names one."""
+    image = F.create_map(*[x for c in rows.columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
+    none = F.lit(None).cast("map<string,string>")
+    at = F.col(f"`{seq}`").cast("bigint") if seq else F.monotonically_increasing_id()
+    zero = F.lit(0).cast("bigint")
+    return rows.select(
+        at.alias("seq"), F.lit(op).alias("op"), F.lit(False).alias("is_ddl"), F.lit(db).alias("db"), F.lit(table).alias("table"), F.array(*[F.lit(k) for k in pk]).alias("pk"), zero.alias("es"), zero.alias("ts"),
+        (image if op == "DELETE" else none).alias("before"), (none if op == "DELETE" else image).alias("after"),
+    )
+
+
 def batch_statistics(changes: DataFrame) -> DataFrame:
     return changes.agg(F.max("es").alias("last_es"), F.array_sort(F.collect_set("table")).alias("tables"), F.count("*").alias("n_changes"))

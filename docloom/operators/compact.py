@@ -1,7 +1,11 @@
-"""Write sets: requests in order, compacted without changing what they leave, and applied to documents."""
+"""Write sets: requests in order, compacted, applied to documents, and sent in bulks."""
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +36,8 @@ def _with_last_delete(requests: DataFrame) -> DataFrame:
 
 
 def merge_adjacent(requests: DataFrame) -> DataFrame:
-    """Neighbouring updates of a document with one upsert flag become one, as long as a field is not written twice in
-    a row of them; later values win, so the outcome is that of the sequence. One row for each merged run."""
+    """Neighbouring updates of a document with one upsert flag become one. Where several of them write a field the last
+    value stands, so the outcome is that of the sequence. One row for each merged run."""
     order = Window.partitionBy("index", "id").orderBy("seq")
     start = (F.lag("kind").over(order).isNull() | (F.lag("kind").over(order) != F.col("kind")) | (F.lag("upsert").over(order) != F.col("upsert")) | (F.col("kind") == "delete")).cast("int")
     runs = requests.withColumn("_run", F.sum(start).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -106,10 +110,49 @@ def with_status(responses: DataFrame) -> DataFrame:
     return responses.withColumn("action", F.when(s < 300, "done").when(s.isin(404, 409), "warn").when(s == 429, "retry").otherwise("fail"))
 
 
-def bulk_groups(requests: DataFrame, max_bytes: int, max_requests: int) -> DataFrame:
-    """Numbers each index's requests into bulks of at most max_requests requests and about max_bytes of field text."""
-    text = F.aggregate(F.map_values("fields"), F.lit(0), lambda a, v: a + F.coalesce(F.octet_length(v), F.lit(0)))
-    order = Window.partitionBy("index", "lane").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = requests.withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("bytes", text)
-    n = F.count("*").over(order) - 1
-    return rows.withColumn("bulk", F.greatest(F.floor(n / max_requests), F.floor((F.sum("bytes").over(order) - F.col("bytes")) / max_bytes))).drop("bytes")
+def bulk_groups(requests: DataFrame, max_bytes: int, max_requests: int, block_rows: int = 100_000) -> DataFrame:
+    """requests with lane, block and bulk: bulks of at most max_requests requests and max_bytes of field text, and of one
+    request more than that where its text begins below the limit.
+
+    A document's requests are in one lane, and the order of its bulks (block, then bulk) is theirs. Lanes and blocks of
+    consecutive seq follow the number of requests, so a task numbers about block_rows of them, also of one document."""
+    totals = requests.agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    parts = max(1, -(-totals["n"] // block_rows))
+    span = max(1, -(-((totals["high"] or 0) - (totals["low"] or 0) + 1) // parts))
+    text = F.aggregate(F.map_values("fields"), F.lit(0).cast("bigint"), lambda a, v: a + F.coalesce(F.octet_length(v), F.lit(0)))
+    lane = F.pmod(F.xxhash64("id"), F.lit(min(parts, 64)))
+    block = F.floor((F.col("seq") - F.lit(totals["low"] or 0)) / F.lit(span)).cast("bigint")
+    # a request takes its share of the requests or of the bytes of a bulk, whichever is larger, in whole units of both
+    cost = F.greatest(F.lit(max_bytes).cast("bigint"), F.coalesce(text, F.lit(0).cast("bigint")) * max_requests)
+    rows = requests.withColumn("lane", lane).withColumn("block", block).withColumn("_cost", cost)
+    order = Window.partitionBy("index", "lane", "block").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_cost").over(order), F.lit(0).cast("bigint"))
+    return rows.withColumn("bulk", F.floor(before / F.lit(max_bytes * max_requests)).cast("bigint")).drop("_cost")
+
+
+def send_bulks(bulks: DataFrame, send: Callable[[list[dict]], list[int]], *, attempts: int = 3, pause_s: float = 1.0) -> DataFrame:
+    """Sends each bulk of bulk_groups by send, a function of its requests in order that returns a status for each, and
+    returns one row for each request: index, id, seq, status, tries and action (see with_status).
+
+    Requests that are rejected for load (429) are sent again, with the requests of their document behind them, up to attempts times and after
+    growing pauses. What fails in the end is in the result, so a caller can write it elsewhere or raise. A bulk is small
+    by its making, and one task's work."""
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("seq", kind="stable")
+        rows = table.to_dict("records")
+        status, tries, left = [0] * len(rows), [0] * len(rows), list(range(len(rows)))
+        for n in range(attempts):
+            if n:
+                time.sleep(pause_s * 2 ** (n - 1))
+            for k, code in zip(left, send([rows[k] for k in left]), strict=True):
+                status[k], tries[k] = int(code), n + 1
+            rejected = {rows[k]["id"] for k in left if status[k] == 429}
+            first = {i: min(k for k in left if status[k] == 429 and rows[k]["id"] == i) for i in rejected}
+            left = [k for k in left if rows[k]["id"] in first and k >= first[rows[k]["id"]]]
+            if not left:
+                break
+        return pd.DataFrame({"index": table["index"].tolist(), "id": table["id"].tolist(), "seq": table["seq"].tolist(), "status": status, "tries": tries})
+
+    out = bulks.groupBy("index", "lane", "block", "bulk").applyInPandas(run, "index string, id string, seq bigint, status int, tries int")
+    return with_status(out)

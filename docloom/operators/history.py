@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.equality import same_number
+
 
 def _paths(col: Column, kind: T.DataType, path: str, depth: int) -> list[Column]:
     """(path, value) entries below a column, as arrays: structs by name, arrays by position."""
@@ -36,14 +38,25 @@ def flattened(df: DataFrame, key: str, depth: int = 8) -> DataFrame:
 def same_value(old: Column, new: Column) -> Column:
     """'' and null are the same, as are numbers that are equal in value."""
     a, b = F.when(old != "", old), F.when(new != "", new)
-    return a.eqNullSafe(b) | F.coalesce(a.try_cast("double") == b.try_cast("double"), F.lit(False))
+    return a.eqNullSafe(b) | F.coalesce(same_number(a, b), F.lit(False))
 
 
 def deep_diff(old: DataFrame, new: DataFrame, key: str, depth: int = 8) -> DataFrame:
-    """(key, path, before, after) for each leaf that differs; whole rows that came or went show all their leaves."""
-    a = flattened(old, key, depth).withColumnRenamed("value", "before")
-    b = flattened(new, key, depth).withColumnRenamed("value", "after")
-    return a.join(b, ["key", "path"], "full_outer").filter(~same_value(F.col("before"), F.col("after")))
+    """(key, path, before, after) for each leaf that differs; whole rows that came or went show all their leaves.
+
+    Rows are joined once by key, and leaves are compared inside the row; only those that differ are rows of the result.
+    Keys should be unique on each side."""
+
+    def leaves(df: DataFrame, side: str) -> DataFrame:
+        entries = [e for f in df.schema.fields if f.name != key for e in _paths(F.col(f"`{f.name}`"), f.dataType, f.name, depth)]
+        return df.select(F.col(f"`{key}`").alias("key"), F.map_from_entries(F.concat(*entries)).alias(side))
+
+    both = leaves(old, "b").join(leaves(new, "a"), "key", "full_outer")
+    none = F.array().cast("array<string>")
+    paths = F.array_union(F.coalesce(F.map_keys("b"), none), F.coalesce(F.map_keys("a"), none))
+    entry = F.transform(paths, lambda p: F.struct(p.alias("path"), F.element_at("b", p).alias("before"), F.element_at("a", p).alias("after")))
+    differs = F.filter(entry, lambda e: ~same_value(e["before"], e["after"]))
+    return both.select("key", F.inline(differs))
 
 
 def modify_history(old: DataFrame, new: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:

@@ -16,7 +16,7 @@ from ..plans.lineage import Analyser, Query, Route, keys_of, routes
 from ..plans.mapping import Field, Mapping
 from ..sources.snapshots import stored
 from .changes import concerning
-from .view import Methods, build_view, source_sql, temporary
+from .view import Methods, Models, build_view, source_sql, temporary
 
 
 def images(changes: DataFrame, schema: T.StructType) -> DataFrame:
@@ -41,10 +41,14 @@ def _through(spark: SparkSession, q: Query, route: Route, rows: DataFrame, out:
 
 
 def _owners(spark: SparkSession, whole: Query, mapping: Mapping, keys: DataFrame, f: Field) -> DataFrame:
-    """The ids of documents tied to nested keys (_k0, ...): the main table by its key columns."""
+    """The ids of documents tied to nested keys (_k0, ...): the keys themselves where they are tied by the primary key,
+    else the main table by its key columns. Ids without a document fall out when they are recomputed."""
     main = whole.main
     pk = whole.item(mapping.pk).columns[0][1]
     tied = [v for _, v in keys_of(f)]
+    if [v.lower() for v in tied] == [pk.lower()]:
+        kind = next(x.dataType for x in spark.table(main.table).schema.fields if x.name.lower() == pk.lower())
+        return keys.select(F.col("_k0").try_cast(kind).cast("string").alias("_id"))
     owners = spark.table(main.table).select(F.col(pk).cast("string").alias("_id"), *[F.col(v).alias(f"_v{n}") for n, v in enumerate(tied)])
     on = reduce(lambda a, b: a & b, [owners[f"_v{n}"] == keys[f"_k{n}"] for n in range(len(tied))])
     return owners.join(keys, on, "left_semi").select("_id")
@@ -75,13 +79,13 @@ def affected(spark: SparkSession, mapping: Mapping, changes: DataFrame, analyser
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def recompute(spark: SparkSession, mapping: Mapping, changes: DataFrame, *, methods: Methods | None = None) -> tuple[DataFrame, DataFrame]:
+def recompute(spark: SparkSession, mapping: Mapping, changes: DataFrame, *, methods: Methods | None = None, models: Models | None = None) -> tuple[DataFrame, DataFrame]:
     """(upserts, deletes): the concerned documents as they are now, and the ids of those that are no more.
 
     The ids are written once, since every part of the view is restricted by them."""
     analyser = Analyser(spark)
     ids = stored(affected(spark, mapping, changes, analyser).select("_id").distinct())
-    now = build_view(spark, mapping, only=ids, methods=methods, analyser=analyser)
+    now = build_view(spark, mapping, only=ids, methods=methods, models=models, analyser=analyser)
     return now, ids.join(now.select("_id"), "_id", "left_anti")
 
 
@@ -91,9 +95,9 @@ def merged(snapshot: DataFrame, upserts: DataFrame, deletes: DataFrame) -> DataF
     return snapshot.join(gone, "_id", "left_anti").unionByName(upserts, allowMissingColumns=True)
 
 
-def maintain(spark: SparkSession, mapping: Mapping, snapshot: DataFrame, changes: DataFrame, *, methods: Methods | None = None) -> DataFrame:
+def maintain(spark: SparkSession, mapping: Mapping, snapshot: DataFrame, changes: DataFrame, **how) -> DataFrame:
     """The snapshot brought to the current tables, given the changes since."""
-    return merged(snapshot, *recompute(spark, mapping, changes, methods=methods))
+    return merged(snapshot, *recompute(spark, mapping, changes, **how))
 
 
 def direct_updates(changes: DataFrame, q: Query, pk: str, write_null: bool = False) -> DataFrame:

@@ -5,38 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import Analyser
 from ..plans.mapping import Mapping
 from .reconcile import check_all, missing, repaired
-from .view import Methods, build_view
+from .view import build_view, trim_where
 
 
-def sync_all(spark: SparkSession, mapping: Mapping, docs: DataFrame | None = None, *, insert_ignore: bool = False, methods: Methods | None = None) -> DataFrame:
-    """The documents after a load of all rows: with insert_ignore only those that are missing are added."""
-    view = build_view(spark, mapping, methods=methods)
+def sync_all(
+    spark: SparkSession, mapping: Mapping, docs: DataFrame | None = None, *, insert_ignore: bool = False, where: str | None = None, fields: list[str] | None = None, **how
+) -> DataFrame:
+    """The documents after a load of all rows, or of those that where (a predicate on the main table) picks: with
+    insert_ignore only those that are missing are added. fields names the nested fields to load; the others of a
+    document that is there stay as they are. how goes to build_view."""
+    view = build_view(spark, mapping, where=where, fields=fields, **how)
     if docs is None:
         return view
     if insert_ignore:
         return docs.unionByName(missing(view, docs), allowMissingColumns=True)
-    return docs.join(view.select("_id"), "_id", "left_anti").unionByName(view, allowMissingColumns=True)
+    return _replaced(docs, view)
 
 
-def sync_by_id(spark: SparkSession, mapping: Mapping, docs: DataFrame, ids: DataFrame, *, methods: Methods | None = None) -> DataFrame:
+def _replaced(docs: DataFrame, fresh: DataFrame) -> DataFrame:
+    """docs with fresh ones in the place of their own. Columns that fresh has not keep the document's values."""
+    others = [c for c in docs.columns if c not in fresh.columns]
+    if others:
+        fresh = fresh.join(docs.select("_id", *others), "_id", "left")
+    return docs.join(fresh.select("_id"), "_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+
+def sync_by_id(spark: SparkSession, mapping: Mapping, docs: DataFrame, ids: DataFrame, **how) -> DataFrame:
     """docs with those of ids (_id) made anew, or gone if their rows are."""
-    fresh = build_view(spark, mapping, only=ids, methods=methods)
+    fresh = build_view(spark, mapping, only=ids, **how)
     return docs.join(ids.select(F.col("_id").cast("string").alias("_id")), "_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def sync_range(spark: SparkSession, mapping: Mapping, docs: DataFrame, column: str, low, high, *, append: bool = True, methods: Methods | None = None) -> DataFrame:
-    """docs after a load of the rows whose column lies in [low, high); without append, documents of that range go first."""
+def sync_range(spark: SparkSession, mapping: Mapping, docs: DataFrame, column: str, low, high, *, append: bool = True, where: str | None = None, **how) -> DataFrame:
+    """docs after a load of the rows whose column (a document field) lies in [low, high); without append, documents of that
+    range go first. If the field is a column of the main table, the range reaches its scan."""
     inside = (F.col(column) >= F.lit(low)) & (F.col(column) < F.lit(high))
-    fresh = build_view(spark, mapping, methods=methods).filter(inside)
+    q = Analyser(spark).query(mapping.sql)
+    item = q.item(column)
+    alias, source = item.columns[0]
+    owned = item.plain and (alias or q.main.alias).lower() == q.main.alias.lower()
+    if owned:
+        text = lambda v: str(v) if isinstance(v, int | float) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        own = f"`{source}` >= {text(low)} AND `{source}` < {text(high)}"
+        where = f"({trim_where(where)}) AND {own}" if where else own
+    fresh = build_view(spark, mapping, where=where, **how)
+    fresh = fresh if owned else fresh.filter(inside)
     base = docs if append else docs.filter(~F.coalesce(inside, F.lit(False)))
     return base.join(fresh.select("_id"), "_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def check_and_repair(spark: SparkSession, mapping: Mapping, docs: DataFrame, *, methods: Methods | None = None) -> tuple[DataFrame, DataFrame]:
-    """(repaired documents, what was to be done): missing ones filled in, orphans gone, differing ones made anew."""
-    view = build_view(spark, mapping, methods=methods)
+def check_and_repair(spark: SparkSession, mapping: Mapping, docs: DataFrame, *, where: str | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """(repaired documents, what was to be done): missing ones filled in, orphans gone, differing ones made anew. With where,
+    documents that the predicate does not pick are left alone, orphans too."""
+    view = build_view(spark, mapping, where=where, **how)
     ordered = {f.name: "order by" in (f.on_main or "").lower() for f in mapping.nested if "flat" not in f.kind}
     work = check_all(view, docs, ordered)
+    if where:
+        work = work.filter("action <> 'delete'")
     return repaired(view, docs, work), work

@@ -54,9 +54,9 @@ def date_windows(df: DataFrame, time: str, start, width_ms: int = 600_000) -> Da
     return df.filter(offset >= 0).withColumn("window_no", n.cast("bigint")).withColumn("window_start", stamp)
 
 
-def chunked(df: DataFrame, order: list[str], size: int, within: list[str] | None = None) -> DataFrame:
-    """df with chunk: rows of each group in runs of size. Give within for large tables, so that groups are ordered apart."""
-    w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order)
+def chunked(df: DataFrame, order: list[str], size: int, within: list[str]) -> DataFrame:
+    """df with chunk: the rows of each group (within) in runs of size, so that no task orders more than a group."""
+    w = Window.partitionBy(*within).orderBy(*order)
     return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
 
 

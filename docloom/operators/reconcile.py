@@ -114,6 +114,6 @@ def delete_range(docs: DataFrame, column: str, low, high) -> DataFrame:
 
 
 def field_bounds(docs: DataFrame, column: str) -> DataFrame:
-    """The least and greatest value of a field; texts are read as numbers."""
-    value = F.col(column).try_cast("double")
+    """The least and greatest value of a field; texts are read as numbers. As decimals, so that long keys stay exact."""
+    value = F.col(column).try_cast("decimal(38,10)")
     return docs.agg(F.min(value).alias("least"), F.max(value).alias("greatest"))

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import convert
+from ..functions.embed import Model, embed
 from ..plans.lineage import Analyser, Query, keys_of
 from ..plans.mapping import Field, Mapping, MappingError, order_columns
 
 Methods = dict[str, Callable[[Column], Column]]
+Models = dict[str, Model]
 
 
 def source_sql(q: Query, replaced: dict[str, str] | None = None, within: dict[str, tuple[str, str]] | None = None, outer: bool = False) -> str:
@@ -59,20 +61,34 @@ def temporary(df: DataFrame) -> str:
     return name
 
 
+def _grouped(select: list[tuple[str, bool, str]], by: list[str], source: str, distinct: bool = False) -> str:
+    """SQL of select (text, whether it aggregates, name) over source, grouped by by if that is not empty.
+
+    What is neither grouped by nor aggregated comes from one row of its group: the least by all of it together, nulls
+    last, so that a group never mixes its rows."""
+    plain = {b.replace("`", "").lower() for b in by}
+    whole = lambda t: t.replace("`", "").lower() in plain
+    loose = [t for t, aggregate, _ in select if by and not aggregate and not whole(t)]
+    if not loose:
+        group = f" GROUP BY {', '.join(by)}" if by else ""
+        return f"SELECT {'DISTINCT ' if distinct else ''}{', '.join(f'{t} AS {n}' for t, _, n in select)} FROM {source}{group}"
+    row = ", ".join(f"'l{n}', {t}" for n, t in enumerate(loose))
+    order = ", ".join(f"'n{n}', {t} IS NULL, 'l{n}', {t}" for n, t in enumerate(loose))
+    inner = [f"{t} AS {n}" for t, a, n in select if a or whole(t)]
+    one = f"min_by(named_struct({row}), named_struct({order})) AS _one"
+    outer = [n if a or whole(t) else f"_one.l{loose.index(t)} AS {n}" for t, a, n in select]
+    return f"SELECT {'DISTINCT ' if distinct else ''}{', '.join(outer)} FROM (SELECT {', '.join([*inner, one])} FROM {source} GROUP BY {', '.join(by)})"
+
+
 def main_rows(spark: SparkSession, q: Query, mapping: Mapping, replaced: dict[str, str] | None = None) -> DataFrame:
-    """The main query with _id and the nested fields' key columns. With joins it is grouped by the primary key, whose
-    document takes the least value of each column outside aggregates."""
+    """The main query with _id and the nested fields' key columns. With joins it is grouped by the primary key (see _grouped)."""
     key = q.item(mapping.pk)
     wanted = sorted({v for f in mapping.nested for _, v in keys_of(f)})
-    main = q.main.alias
     outputs = [(i.text, i.aggregate, f"`{i.name}`") for i in q.items]
-    outputs += [(f"{main}.`{v}`", False, f"`_k_{v}`") for v in wanted]
+    outputs += [(f"{q.main.alias}.`{v}`", False, f"`_k_{v}`") for v in wanted]
     grouped = bool(q.group_by) or len(q.tables) > 1 or any(i.aggregate for i in q.items)
-    by = list(q.group_by) or [key.text]
-    plain = {b.replace("`", "").lower() for b in by}
-    parts = [f"{t if not grouped or a or t.replace('`', '').lower() in plain else f'min({t})'} AS {n}" for t, a, n in outputs]
-    group = f" GROUP BY {', '.join(by)}" if grouped else ""
-    rows = spark.sql(f"SELECT {', '.join(parts)} FROM {source_sql(q, replaced)}{group}")
+    by = (list(q.group_by) or [key.text]) if grouped else []
+    rows = spark.sql(_grouped(outputs, by, source_sql(q, replaced)))
     return rows.withColumn("_id", F.col(f"`{key.name}`").cast("string"))
 
 
@@ -80,23 +96,15 @@ def nested_rows(spark: SparkSession, analyser: Analyser, f: Field, mapping: Mapp
     """A nested query's rows with its key columns (_k0, _k1, ...) and order columns (_o0, ...)."""
     q = analyser.query(f.sql, check=False)
     keys = keys_of(f)
-    aggregate = any(i.aggregate for i in q.items)
     by = list(q.group_by)
-    if not by and aggregate:
+    if not by and any(i.aggregate for i in q.items):
         if not f.kind.startswith("object"):
             raise MappingError(f"{f.name}: an array with aggregates needs GROUP BY")
         by = [k for k, _ in keys]
-    plain = {b.replace("`", "").lower() for b in by}
-
-    def out(text: str, is_aggregate: bool) -> str:
-        return text if not by or is_aggregate or text.replace("`", "").lower() in plain else f"min({text})"
-
-    parts = [f"{out(i.text, i.aggregate)} AS `{i.name}`" for i in q.items]
-    parts += [f"{out(k, False)} AS _k{n}" for n, (k, _) in enumerate(keys)]
-    parts += [f"{out(c, False)} AS _o{n}" for n, (c, _) in enumerate(order_columns(f.on_main))]
-    group = f" GROUP BY {', '.join(by)}" if by else ""
-    distinct = "DISTINCT " if q.distinct else ""
-    return spark.sql(f"SELECT {distinct}{', '.join(parts)} FROM {q.source}{group}"), [i.name for i in q.items]
+    select = [(i.text, i.aggregate, f"`{i.name}`") for i in q.items]
+    select += [(k, False, f"_k{n}") for n, (k, _) in enumerate(keys)]
+    select += [(c, False, f"_o{n}") for n, (c, _) in enumerate(order_columns(f.on_main))]
+    return spark.sql(_grouped(select, by, q.source, q.distinct)), [i.name for i in q.items]
 
 
 def derived(col: Column, kind: T.DataType, f: Field, methods: Methods) -> Column:
@@ -115,6 +123,20 @@ def derived(col: Column, kind: T.DataType, f: Field, methods: Methods) -> Column
     return col
 
 
+def _compared(x: Column, y: Column, descending: list[bool]) -> Column:
+    """-1, 0 or 1 for two entries, by their order columns of any type and then by their values. Null is the least."""
+
+    def by(a: Column, b: Column) -> Column:
+        both = F.when(a < b, -1).when(a > b, 1).otherwise(0)
+        return F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), -1).when(b.isNull(), 1).otherwise(both)
+
+    steps = [(-by(x[f"r{n}"], y[f"r{n}"]) if d else by(x[f"r{n}"], y[f"r{n}"])) for n, d in enumerate(descending)]
+    out = by(x["value"], y["value"])
+    for step in reversed(steps):
+        out = F.when(step != 0, step).otherwise(out)
+    return out
+
+
 def nested_values(rows: DataFrame, names: list[str], f: Field, mapping: Mapping, methods: Methods) -> DataFrame:
     """One row for each key with the field's value: the first row, all rows, or their first column.
 
@@ -125,14 +147,12 @@ def nested_values(rows: DataFrame, names: list[str], f: Field, mapping: Mapping,
     keys = [f"_k{n}" for n in range(len(keys_of(f)))]
     order = order_columns(f.on_main)
     value = cols[0] if "flat" in f.kind else F.struct(*cols)
-    ranks = []
-    for n, (_, descending) in enumerate(order):
-        ranks.append((-F.col(f"_o{n}") if descending and isinstance(types[f"_o{n}"], convert.NUMERIC) else F.col(f"_o{n}")).alias(f"r{n}"))
-    entry = F.struct(*ranks, value.alias("value"))
-    if f.kind.startswith("object"):
-        found = F.min(entry)["value"]
+    entry = F.struct(*[F.col(f"_o{n}").alias(f"r{n}") for n in range(len(order))], value.alias("value"))
+    if not any(descending for _, descending in order):
+        found = F.min(entry)["value"] if f.kind.startswith("object") else F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["value"])
     else:
-        found = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["value"])
+        in_order = F.array_sort(F.collect_list(entry), lambda x, y: _compared(x, y, [d for _, d in order]))
+        found = F.get(in_order, F.lit(0))["value"] if f.kind.startswith("object") else F.transform(in_order, lambda e: e["value"])
     return rows.groupBy(*keys).agg(found.alias(f.name))
 
 
@@ -143,16 +163,20 @@ def build_view(
     only: DataFrame | None = None,
     fields: list[str] | None = None,
     methods: Methods | None = None,
+    models: Models | None = None,
+    where: str | None = None,
     analyser: Analyser | None = None,
 ) -> DataFrame:
     """The documents of a mapping over the registered tables, one row each: _id, the main columns and the nested fields.
 
     only (_id) restricts it to some documents: the main query is semi-joined first and nested queries by the keys of
-    what remains, so recomputing a few documents reads their rows only. fields restricts the nested fields.
-    Keys join by equality, so documents without nested rows have null, or an empty array."""
+    what remains, so recomputing a few documents reads their rows only. where is a predicate on the main table's columns,
+    which reaches its scan. fields restricts the nested fields. models are the embedding models of vector fields by name
+    (a field's paramLlmVector names one in modelClass; the name "" stands for all others). Keys join by equality, so documents without nested rows have null, or an empty array."""
     analyser, methods = analyser or Analyser(spark), methods or {}
     q = analyser.query(mapping.sql)
-    docs = main_rows(spark, q, mapping)
+    replaced = {q.main.alias: temporary(spark.table(q.main.table).filter(trim_where(where)))} if where else None
+    docs = main_rows(spark, q, mapping, replaced)
     if only is not None:
         docs = docs.join(only.select(F.col("_id").cast("string").alias("_id")), "_id", "left_semi")
     scalars = {f.name: f for f in mapping.scalars}
@@ -161,7 +185,7 @@ def build_view(
             continue
         rows, names = nested_rows(spark, analyser, f, mapping)
         keys = [f"_k_{v}" for _, v in keys_of(f)]
-        if only is not None:
+        if only is not None or where:
             own = docs.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).distinct()
             rows = rows.join(own, [f"_k{n}" for n in range(len(keys))], "left_semi")
         values = nested_values(rows, names, f, mapping, methods)
@@ -171,16 +195,37 @@ def build_view(
         if isinstance(kind, T.ArrayType):
             docs = docs.withColumn(f.name, F.coalesce(f.name, F.array().cast(kind)))
     for x in docs.schema.fields:
-        if x.name in scalars:
+        if x.name in scalars and scalars[x.name].kind == "llm-vector":
+            docs = embed(docs, x.name, x.name, _model(scalars[x.name], models or {}))
+        elif x.name in scalars:
             docs = docs.withColumn(x.name, derived(F.col(f"`{x.name}`"), x.dataType, scalars[x.name], methods))
     return docs.drop(*[c for c in docs.columns if c.startswith("_k_")])
 
 
-def typed(docs: DataFrame, target: dict[str, str | tuple[str, str]]) -> DataFrame:
-    """docs with their columns as an index's types have them: target gives a type, or a type and its date formats."""
-    out = []
-    for x in docs.schema.fields:
-        t = target.get(x.name)
-        name, formats = t if isinstance(t, tuple) else (t, None)
-        out.append(F.col(x.name) if x.name == "_id" else convert.to_target(F.col(f"`{x.name}`"), x.dataType, name, formats).alias(x.name))
-    return docs.select(*out)
+def _model(f: Field, models: Models) -> Model:
+    name = str({k.lower(): v for k, v in f.params.items()}.get("modelclass", ""))
+    if name not in models and "" not in models:
+        raise MappingError(f"{f.name}: no embedding model {name or 'at all'} is registered")
+    return models.get(name, models.get(""))
+
+
+def trim_where(text: str) -> str:
+    """A user's predicate without the WHERE that it may begin with and the ; that it may end with."""
+    return re.sub(r"^\s*(?:where\b)?\s*|[\s;]+$", "", text, flags=re.I)
+
+
+def _typed(col: Column, kind: T.DataType, target) -> Column:
+    """A value of any shape by its target: nested targets are dicts by child name."""
+    if isinstance(kind, T.StructType) and isinstance(target, dict):
+        inner = F.struct(*[_typed(col[f.name], f.dataType, target.get(f.name)).alias(f.name) for f in kind.fields])
+        return F.when(col.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType) and (isinstance(target, dict) or not isinstance(kind.elementType, T.StructType) and target not in (None, "array")):
+        return F.transform(col, lambda x: _typed(x, kind.elementType, target))
+    name, formats = target if isinstance(target, tuple) else (target, None)
+    return convert.to_target(col, kind, None if isinstance(name, dict) else name, formats)
+
+
+def typed(docs: DataFrame, target: dict) -> DataFrame:
+    """docs with their columns as an index's types have them: target gives a type, a type and its date formats, or for
+    nested fields a dict of their children's. Lists of scalars are converted item by item."""
+    return docs.select(*[F.col(x.name) if x.name == "_id" else _typed(F.col(f"`{x.name}`"), x.dataType, target.get(x.name)).alias(x.name) for x in docs.schema.fields])

@@ -5,17 +5,17 @@ function of their keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions import convert
+from .functions import convert, equality
 from .functions.embed import embed, hashed_model
 from .operators import changes as ch
 from .operators import compact, history, incremental, load, ranges, reconcile, replay
 from .operators.view import build_view, register, typed
 from .plans.lineage import Analyser, routes
-from .plans.mapping import Field, Mapping
+from .plans.mapping import Field, Mapping, from_dict
 from .sources.changes import captured_changes, file_changes, from_messages
 from .sources.snapshots import Snapshots, scratch
 from .streaming.maintain import DocumentStream, server_sent
@@ -556,12 +556,39 @@ def compact_apply(spark, d):
     return out.select("id", F.element_at("fields", "_old").alias("old"), F.when(F.size(new) > 0, listed).alias("fields"))
 
 
-@query("""select count(*) as n, count(distinct user_id % 64) as n_ids from events""")
+@query("""select count(*) as n, count(distinct user_id % 64) as n_ids, true as in_order from events""")
 def compact_bulk_groups(spark, d):
-    """Every request is in one bulk, and no bulk is too large."""
-    out = compact.bulk_groups(event_requests(tables(spark, d, "events")["events"]), 1 << 20, 200)
-    sizes = out.groupBy("index", "lane", "bulk").agg(F.count("*").alias("n")).filter("n <= 200").agg(F.sum("n").alias("n"))
-    return sizes.crossJoin(out.agg(F.countDistinct(F.col("id").cast("bigint") % 64).alias("n_ids")))
+    """Every request is in one bulk, no bulk is too large, and a document's bulks are in the order of its requests."""
+    out = compact.bulk_groups(event_requests(tables(spark, d, "events")["events"]), 64, 20, block_rows=500)
+    size = F.coalesce(F.octet_length(F.get(F.map_values("fields"), F.lit(0))), F.lit(0))
+    place = F.struct("block", "bulk")
+    before = F.lag(place).over(Window.partitionBy("index", "id").orderBy("seq"))
+    rows = out.withColumn("size", size).withColumn("good", F.coalesce(before <= place, F.lit(True)))
+    bulks = rows.groupBy("index", "lane", "block", "bulk").agg(
+        F.count("*").alias("n"), (F.sum("size") - F.max_by("size", "seq")).alias("before_last"), F.bool_and("good").alias("good"), F.collect_set(F.col("id").cast("bigint") % 64).alias("ids")
+    )
+    legal = bulks.filter("n <= 20 and before_last < 64")
+    return legal.agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("ids")))).cast("bigint").alias("n_ids"), F.bool_and("good").alias("in_order"))
+
+
+class Flaky:
+    """A receiver that rejects every fifth request for load when it first sees it, and fails every eleventh."""
+
+    def __init__(self):
+        self.seen = set()
+
+    def __call__(self, requests: list[dict]) -> list[int]:
+        out = [500 if r["seq"] % 11 == 0 else 429 if r["seq"] % 5 == 0 and r["seq"] not in self.seen else 200 for r in requests]
+        self.seen |= {r["seq"] for r in requests}
+        return out
+
+
+@query("select event_id as seq, case when event_id % 11 = 0 then 'fail' else 'done' end as action, event_id % 5 = 0 and event_id % 11 <> 0 as again from events")
+def compact_bulk_retry(spark, d):
+    """Rejected requests are sent again; what fails is collected."""
+    bulks = compact.bulk_groups(event_requests(tables(spark, d, "events")["events"]), 1 << 20, 50)
+    out = compact.send_bulks(bulks, Flaky(), pause_s=0)
+    return out.select("seq", "action", ((F.col("seq") % 5 == 0) & (F.col("tries") > 1) & (F.col("action") == "done")).alias("again"))
 
 
 @query("""select event_id, case when event_id % 5 = 0 then 'retry' when event_id % 5 = 1 then 'warn' when event_id % 5 = 2 then 'fail' else 'done' end as action from events""")
@@ -686,9 +713,11 @@ def rec_delete_range(spark, d):
     return reconcile.delete_range(view(spark, d, orders_mapping(), "orders"), "price", 100000, 200000).select("_id")
 
 
-@query("select min(o_orderkey)::double as least, max(o_orderkey)::double as greatest from orders")
+@query("select min(o_orderkey) + 9007199254740992 as least, max(o_orderkey) + 9007199254740992 as greatest from orders")
 def rec_field_bounds(spark, d):
-    return reconcile.field_bounds(view(spark, d, orders_mapping(), "orders"), "_id")
+    """Bounds of keys beyond 2**53, held as texts, are exact."""
+    docs = view(spark, d, orders_mapping(), "orders").withColumn("_id", (F.col("id") + F.lit(9007199254740992)).cast("string"))
+    return reconcile.field_bounds(docs, "_id").select(F.col("least").cast("bigint").alias("least"), F.col("greatest").cast("bigint").alias("greatest"))
 
 
 # Replay and history
@@ -811,3 +840,282 @@ def embed_batch(spark, d):
     out = embed(tables(spark, d, "conversations")["conversations"], "text", "vector", hashed_model(64))
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     return out.select("conv_id", "turn", F.size("vector").alias("dimensions"), F.round(norm, 3).alias("norm"))
+
+
+# Cases of one operator each
+
+
+@query("select c_custkey::varchar as _id, o_orderpriority as priority, o_totalprice as price from customer left join (select *, row_number() over (partition by o_custkey order by o_orderpriority, o_totalprice) as n from orders) o on o_custkey = c_custkey and n = 1")
+def doc_one_row_of_many(spark, d):
+    """A main query that joins many rows to a document: all its values are of one of them."""
+    m = Mapping("first", "SELECT c.c_custkey AS id, o.o_orderpriority AS priority, o.o_totalprice AS price FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey").check()
+    return view(spark, d, m, "customer", "orders").drop("id")
+
+
+ORDERED = Field(
+    "orders", "array-sql", sql="SELECT o.o_orderpriority AS priority, o.o_orderkey AS k FROM orders o",
+    on_main="WHERE o.o_custkey = #{c_custkey} ORDER BY o.o_orderpriority DESC, o.o_orderdate, o.o_orderstatus DESC",
+)
+LATEST = Field("latest", "object-flat-sql", sql="SELECT o.o_orderkey FROM orders o", on_main="WHERE o.o_custkey = #{c_custkey} ORDER BY o.o_orderdate DESC")
+BUYERS = Mapping("buyers", "SELECT c.c_custkey AS id, c.c_name AS name FROM customer c", fields=(ORDERED, LATEST)).check()
+
+
+@query("""select c_custkey::varchar as _id, row_number() over (partition by c_custkey order by o_orderpriority desc, o_orderdate, o_orderstatus desc, o_orderkey) - 1 as pos, o_orderkey as k,
+first_value(o_orderkey) over (partition by c_custkey order by o_orderdate desc, o_orderkey) as latest from customer join orders on o_custkey = c_custkey""")
+def doc_ordered_descending(spark, d):
+    """Texts and dates in descending order, for lists and for the first row."""
+    out = view(spark, d, BUYERS, "customer", "orders").select("_id", "latest", F.posexplode("orders").alias("pos", "o"))
+    return out.select("_id", F.col("pos").cast("bigint").alias("pos"), F.col("o.k").alias("k"), "latest")
+
+
+@query("""select o_orderkey::varchar as _id, string_agg(distinct l_returnflag, ',' order by l_returnflag) as flags from orders left join lineitem on l_orderkey = o_orderkey group by 1""")
+def doc_distinct_array(spark, d):
+    flags = Field("flags", "array-flat-sql", sql="SELECT DISTINCT l.l_returnflag FROM lineitem l", on_main="WHERE l.l_orderkey = #{o_orderkey}")
+    return view(spark, d, orders_mapping(flags), "orders", "lineitem").select("_id", F.when(F.size("flags") > 0, F.array_join("flags", ",")).alias("flags"))
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    """A model whose vectors SQL can tell: a text's length and its counts of a and e."""
+    return [[float(len(t)), float(t.count("a")), float(t.count("e"))] for t in texts]
+
+
+@query("""select c_custkey::varchar as _id, c_mktsegment as segment, length(c_name)::float as length, (length(c_name) - length(replace(c_name, 'a', '')))::float as n_a,
+(length(c_name) - length(replace(c_name, 'e', '')))::float as n_e from customer""")
+def doc_vector_field(spark, d):
+    m = Mapping(
+        "vectors", "SELECT c.c_custkey AS id, c.c_mktsegment AS segment, c.c_name AS nameVector FROM customer c", fields=(Field("nameVector", "llm-vector", params={"modelClass": "letters"}),)
+    ).check()
+    v = view(spark, d, m, "customer", models={"letters": _letters})
+    return v.select("_id", "segment", *[F.get("nameVector", F.lit(n)).alias(c) for n, c in enumerate(("length", "n_a", "n_e"))])
+
+
+@query("""select o_orderkey::varchar as _id, c_custkey::varchar as customer_id, trunc(c_acctbal)::integer as balance,
+string_agg(l_partkey::varchar, ',' order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as parts, sum(trunc(l_extendedprice)::bigint)::bigint as price
+from orders left join customer on c_custkey = o_custkey left join lineitem on l_orderkey = o_orderkey group by o_orderkey, c_custkey, c_acctbal""")
+def doc_typed_nested(spark, d):
+    """Children of nested fields get their target types too."""
+    target = {"customer": {"id": "keyword", "balance": "integer"}, "lines": {"part": "keyword", "price": "long"}}
+    out = typed(view(spark, d, orders_mapping(CUSTOMER, LINES), "orders", "customer", "nation", "lineitem"), target)
+    parts = F.when(F.size("lines") > 0, F.array_join(F.transform("lines", lambda x: x["part"]), ","))
+    price = F.when(F.size("lines") > 0, F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["price"]))
+    return out.select("_id", F.col("customer.id").alias("customer_id"), F.col("customer.balance").alias("balance"), parts.alias("parts"), price.alias("price"))
+
+
+@query("select o_orderkey::varchar as _id, o_totalprice as price, o_orderstatus as status from orders")
+def doc_from_yaml(spark, d):
+    """A mapping in its file form, with place holders and keys in several spellings."""
+    sql = "SELECT o.${key} AS id, o.o_totalprice AS price, o.o_orderstatus AS status FROM ${table:orders} o"
+    m = from_dict({"esMapping": {"_index": "${name}", "sql": sql, "write-null": True, "objFields": {}}}, {"name": "orders", "key": "o_orderkey"})
+    return view(spark, d, m.check(), "orders").drop("id")
+
+
+@query("select o_orderkey::varchar as _id, o_totalprice as price from orders where o_orderkey % 10 = 1 or o_orderstatus = 'F'")
+def load_where(spark, d):
+    """A user's predicate on the main table, written with WHERE and a semicolon."""
+    register(spark, tables(spark, d, "orders"))
+    return load.sync_all(spark, orders_mapping(), where=" WHERE o_orderkey % 10 = 1 OR o_orderstatus = 'F' ; ").select("_id", "price")
+
+
+@query("select o_orderkey::varchar as _id, o_totalprice as price, count(l_orderkey) as n_lines, -1 as customer from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_totalprice")
+def load_some_fields(spark, d):
+    """Only one nested field is loaded anew; the others stay as they are."""
+    t, m = tables(spark, d, *FULL), orders_mapping(CUSTOMER, LINES)
+    docs = _before(spark, t | {"lineitem": t["lineitem"].filter("l_linenumber < 2")}, m).withColumn("customer", F.struct(F.lit(-1).alias("id")))
+    register(spark, t)
+    out = load.sync_all(spark, m, docs, fields=["lines"])
+    return out.select("_id", "price", F.size("lines").cast("bigint").alias("n_lines"), F.col("customer.id").alias("customer"))
+
+
+@query(r"""select event_id, trim(t) = '' as blank, regexp_matches(t, '^[0-9]+$') as number, replace(replace(regexp_replace(t, '[^ -~]', '', 'g'), '"', chr(39)), ':', '-') as plain from
+(select event_id, case event_id % 4 when 0 then '   ' when 1 then event_id::varchar when 2 then props || 'é' else event_type end as t from events)""")
+def conv_value_filters(spark, d):
+    k = F.col("event_id") % 4
+    t = F.when(k == 0, "   ").when(k == 1, F.col("event_id").cast("string")).when(k == 2, F.concat("props", F.lit("é"))).otherwise(F.col("event_type"))
+    return tables(spark, d, "events")["events"].select("event_id", convert.is_blank(t).alias("blank"), convert.is_number(t).alias("number"), convert.ascii_only(t).alias("plain"))
+
+
+@query("select event_id, case when event_id % 3 = 1 then json_extract_string(props, '$.k') end as k, (case event_id % 3 when 0 then 0 when 1 then 1 end)::integer as n from events")
+def conv_object_target(spark, d):
+    """Blank texts are empty objects; null stays null."""
+    text = F.when(F.col("event_id") % 3 == 0, " ").when(F.col("event_id") % 3 == 1, F.col("props"))
+    out = convert.to_target(text, T.StringType(), "object")
+    return tables(spark, d, "events")["events"].select("event_id", F.element_at(out, "k").alias("k"), F.when(out.isNotNull(), F.size(out)).alias("n"))
+
+
+@query("select event_id, (event_id % 2)::tinyint as bits, case when event_id % 3 <> 0 then event_id * 12345678901 end as big, date_trunc('second', ts) as time, event_type as kind from events")
+def cdc_cast_values(spark, d):
+    """A log's texts by their declared source types."""
+    e = tables(spark, d, "events")["events"]
+    big = F.when(F.col("event_id") % 3 == 0, "x").otherwise((F.col("event_id") * 12345678901).cast("string"))
+    texts = e.select("event_id", (F.col("event_id") % 2).cast("string").alias("bits"), big.alias("big"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("time"), F.col("event_type").alias("kind"))
+    return ch.cast_log_values(texts, {"bits": "bit(1)", "big": "bigint(20)", "time": "datetime", "kind": "varchar(9)"}).withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+def _messages(rows: DataFrame, kind: str, es: int, partition: int, offset: F.Column, price: F.Column) -> DataFrame:
+    """JSON messages of one row each, as a capturer writes them."""
+    data = F.array(F.create_map(F.lit("o_orderkey"), F.col("o_orderkey").cast("string"), F.lit("o_totalprice"), price.cast("string")))
+    m = F.struct(
+        F.lit("shop").alias("database"), F.lit("orders").alias("table"), F.lit(kind).alias("type"), F.lit(False).alias("isDdl"), F.array(F.lit("o_orderkey")).alias("pkNames"),
+        F.lit(es).alias("es"), F.lit(0).alias("ts"), data.alias("data"),
+    )
+    return rows.select(F.lit("shop").alias("topic"), F.lit(partition).alias("partition"), offset.alias("offset"), F.to_json(m).alias("value"))
+
+
+@query("select o_orderkey::varchar as key, case when o_orderkey % 10 <> 7 then o_totalprice end as price, (case when o_orderkey % 10 = 7 then 3 else 2 end)::bigint as n from orders")
+def cdc_kafka_two_partitions(spark, d):
+    """An order's changes at one offset of two partitions stay apart and follow commit time; a tenth is deleted in the end."""
+    o, k = tables(spark, d, "orders")["orders"], F.col("o_orderkey")
+    late, early = _messages(o, "UPDATE", 20, 0, k, F.col("o_totalprice")), _messages(o, "INSERT", 10, 1, k, F.col("o_totalprice") + 100)
+    gone = _messages(o.filter("o_orderkey % 10 = 7"), "DELETE", 30, 1, k + GONE, F.col("o_totalprice"))
+    out = from_messages(late.unionByName(early).unionByName(gone))
+    n = out.groupBy(F.element_at(F.coalesce("after", "before"), "o_orderkey").alias("key")).agg(F.count_distinct("seq").alias("n"))
+    final = replay.final_rows(out).select("key", F.element_at("row", "o_totalprice").try_cast("double").alias("price"))
+    return final.join(n, "key")
+
+
+@query("""select c_custkey as "offset", 'DDL' as kind, 'ALTER TABLE `customer` ADD c' || c_custkey || ' INT COMMENT ''shop.x'', RENAME TO old_shop.y' as sql from customer""")
+def replay_ddl(spark, d):
+    """DDL messages without rows reach the replay, without their schema's name but with others and quoted texts."""
+    text = F.concat(F.lit("ALTER TABLE `shop`.`customer` ADD c"), F.col("c_custkey").cast("string"), F.lit(" INT COMMENT 'shop.x', RENAME TO old_shop.y"))
+    m = F.struct(F.lit("shop").alias("database"), F.lit("customer").alias("table"), F.lit("DDL").alias("type"), F.lit(True).alias("isDdl"), F.lit(5).alias("es"), text.alias("sql"))
+    out = replay.statements(from_messages(tables(spark, d, "customer")["customer"].select(F.col("c_custkey").alias("offset"), F.to_json(m).alias("value"))))
+    return out.select("seq.offset", "kind", "sql")
+
+
+@query(r"""select c_custkey as seq, 'UPDATE `customer` SET `c_``x`=''\\'',`c_name`=''' || replace(c_name, '#', '{sep}''''\\') || ''' WHERE `c_custkey`=''' || c_custkey || '''' as sql from customer""")
+def replay_quoting(spark, d):
+    """Quotes, backslashes and odd names in replayed statements."""
+    name = F.replace(F.col("c_name"), F.lit("#"), F.lit("{sep}'\\"))
+
+    def row(n, x):
+        return F.create_map(F.lit("c_custkey"), F.col("c_custkey").cast("string"), F.lit("c_name"), n, F.lit("c_`x"), x)
+
+    c = tables(spark, d, "customer")["customer"].select(
+        F.col("c_custkey").alias("seq"), F.lit("UPDATE").alias("op"), F.lit(False).alias("is_ddl"), F.lit("shop").alias("db"), F.lit("customer").alias("table"), F.array(F.lit("c_custkey")).alias("pk"),
+        row(F.col("c_name"), F.lit("")).alias("before"), row(name, F.lit("\\")).alias("after"),
+    )
+    return replay.statements(c).select("seq", "sql")
+
+
+@query("select o_orderkey::varchar as _id from orders join customer on c_custkey = o_custkey where c_custkey % 7 = 0")
+def cdc_column_without_alias(spark, d):
+    """A select list's column without a table alias belongs to the table that has it."""
+    t = tables(spark, d, "orders", "customer")
+    register(spark, t)
+    m = Mapping("named", "SELECT o.o_orderkey AS id, c_name AS name FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey").check()
+    renamed = F.transform_values("after", lambda c, v: F.when(c == "c_name", F.lit("was")).otherwise(v))
+    return incremental.affected(spark, m, customer_changes(t["customer"]).withColumn("before", renamed)).select("_id")
+
+
+@query("select o_orderkey as seq from orders where o_orderkey % 10 = 8")
+def cdc_order_dependency(spark, d):
+    """A column that only orders a list counts as read; one that nothing reads does not."""
+    t = tables(spark, d, "orders", "customer")
+    register(spark, t)
+    k, after = F.col("o_orderkey") % 10, image(ORDER_COLUMNS)
+    before = F.transform_values(after, lambda c, v: F.when((k == 8) & (c == "o_orderdate") | (k == 9) & (c == "o_totalprice"), F.lit("1970-01-01")).otherwise(v))
+    log = t["orders"].filter(k >= 8).select(
+        F.col("o_orderkey").alias("seq"), F.lit("UPDATE").alias("op"), F.lit(False).alias("is_ddl"), F.lit("shop").alias("db"), F.lit("orders").alias("table"), F.array(F.lit("o_orderkey")).alias("pk"),
+        F.lit(0).cast("bigint").alias("es"), F.lit(0).cast("bigint").alias("ts"), before.alias("before"), after.alias("after"),
+    )
+    return ch.dependents(log, _routes(spark, BUYERS)).select("seq").distinct()
+
+
+@query(f"with {ORDER_CHANGES_SQL} select max(seq + 1700000000000) as last_es, 'orders' as tables, count(*) as n_changes from c")
+def cdc_batch_statistics(spark, d):
+    return ch.batch_statistics(orders_log(spark, d)).withColumn("tables", F.array_join("tables", ","))
+
+
+@query("select c_custkey as seq, 'INSERT' as op, c_custkey::varchar as key, c_name as name from customer")
+def cdc_rows_as_changes(spark, d):
+    out = ch.rows_as_changes(tables(spark, d, "customer")["customer"], "shop", "customer", ["c_custkey"], seq="c_custkey")
+    return out.select("seq", "op", replay.key_of(F.col("after"), F.col("pk")).alias("key"), F.element_at("after", "c_name").alias("name"))
+
+
+@query(ORDERS_NOW_SQL)
+def cdc_stream_rebuild(spark, d):
+    """Batches before and after a rebuild, and of a new checkpoint whose batches count from 0 again: none is lost."""
+    root, m, at = scratch(spark), orders_mapping(CUSTOMER, LINES), {}
+    t = tables(spark, d, *FULL)
+    stream = DocumentStream(spark, [m], lambda session: {n: session.read.parquet(f"{at['path']}/{n}") for n in FULL}, f"{root}/docs")
+
+    def tables_are(version: str, changed: dict[str, DataFrame]) -> None:
+        at["path"] = f"{root}/tables/{version}"
+        for n, df in (t | changed).items():
+            df.write.parquet(f"{at['path']}/{n}")
+
+    def run(log: DataFrame, folder: str, checkpoint: str) -> None:
+        log.write.mode("append").json(f"{root}/{folder}")
+        stream.start(file_changes(spark, f"{root}/{folder}", files_per_trigger=1000), f"{root}/{checkpoint}", available_now=True).awaitTermination()
+
+    orders = order_changes(t["orders"])
+    tables_are("one", {"orders": earlier_orders(t["orders"]), "customer": earlier_customers(t["customer"])})
+    stream.load()
+    tables_are("two", {"orders": earlier_orders(t["orders"])})
+    run(customer_changes(t["customer"]), "log", "first")
+    stream.rebuild(m)
+    tables_are("three", {})
+    run(orders.filter("seq % 2 = 0"), "log", "first")
+    run(orders.filter("seq % 2 = 1"), "more", "second")
+    return _flat(Snapshots(spark, f"{root}/docs", m.index).read())
+
+
+@query("""with r as (select user_id::varchar as id, event_id as seq, event_id % 4 = 0 as stamp from events), f as (select *, min(seq) over (partition by id) as first from r)
+select id, seq from f where not (stamp and seq > first)""")
+def compact_drop_stamps(spark, d):
+    e = tables(spark, d, "events")["events"]
+    name = F.when(F.col("event_id") % 4 == 0, "updatedAt").otherwise(F.col("event_type"))
+    rows = e.select(
+        F.lit("users").alias("index"), F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), F.lit("update").alias("kind"), F.lit(True).alias("upsert"),
+        F.create_map(name, F.col("ts").cast("string")).alias("fields"),
+    )
+    return compact.drop_repeated_stamps(rows, "updatedAt").select("id", "seq")
+
+
+@query("select o_orderkey::varchar as id, 'update' as kind, 'label' as field, o_orderstatus as value from orders where o_orderkey % 3 = 0")
+def compact_update_by_ids(spark, d):
+    ids = tables(spark, d, "orders")["orders"].filter("o_orderkey % 3 = 0").select(F.lit("orders").alias("index"), F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus")
+    out = compact.update_by_ids(ids, "label", F.col("o_orderstatus"))
+    return out.select("id", "kind", F.get(F.map_keys("fields"), F.lit(0)).alias("field"), F.get(F.map_values("fields"), F.lit(0)).alias("value"))
+
+
+@query("select o_orderkey::varchar as _id from orders where o_orderkey::varchar > '1200' order by 1 limit 100")
+def range_search_ids(spark, d):
+    return ranges.search_after(view(spark, d, orders_mapping(), "orders"), "1200", 100, [])
+
+
+@query("""select p_partkey, p_partkey % 3 <> 2 as any_order, p_partkey % 3 = 0 or (p_partkey % 3 = 1 and string_split(p_name, ' ')[1] = string_split(p_name, ' ')[-1]) as in_order from part""")
+def rec_list_equal(spark, d):
+    """Lists against themselves, reversed, and with one item changed."""
+    a, k = F.split("p_name", " "), F.col("p_partkey") % 3
+    b = F.when(k == 0, a).when(k == 1, F.reverse(a)).otherwise(F.concat(F.array(F.lit("other")), F.slice(a, F.lit(2), F.size(a) - 1)))
+    either, ordered = (equality.list_equal(a, T.StringType(), b, T.StringType(), o) for o in (False, True))
+    return tables(spark, d, "part")["part"].select("p_partkey", either.alias("any_order"), ordered.alias("in_order"))
+
+
+@query("select c_custkey::varchar as _id, 'big' as changed from customer where c_custkey % 3 = 0")
+def rec_big_keys(spark, d):
+    """Whole numbers beyond 2**53, as numbers and as texts, differ by one."""
+    c, big = tables(spark, d, "customer")["customer"], F.col("c_custkey") + F.lit(9007199254740992)
+    now = c.select(F.col("c_custkey").cast("string").alias("_id"), big.cast("string").alias("big"))
+    docs = c.select(F.col("c_custkey").cast("string").alias("_id"), F.when(F.col("c_custkey") % 3 == 0, big + 1).otherwise(big).alias("big"))
+    return reconcile.row_changes(now, docs).withColumn("changed", F.array_join("changed", ","))
+
+
+@query("select c_custkey::varchar as _id, 'nameVector' as changed from customer where c_custkey % 4 = 0")
+def rec_vector_reference(spark, d):
+    """A vector field is compared by the text that it was made from."""
+    c = tables(spark, d, "customer")["customer"]
+    key, vector = F.col("c_custkey").cast("string").alias("_id"), F.array(F.length("c_name").cast("float"))
+    now = c.select(key, F.col("c_name").alias("name"), F.lit(None).cast("array<float>").alias("nameVector"))
+    docs = c.select(key, F.when(F.col("c_custkey") % 4 == 0, "was").otherwise(F.col("c_name")).alias("name"), vector.alias("nameVector"))
+    return reconcile.row_changes(now, docs, ["nameVector"], {"nameVector": "name"}).withColumn("changed", F.array_join("changed", ","))
+
+
+@query("select c_custkey as key, 'big' as path, (c_custkey + 9007199254740992)::varchar as before, (c_custkey + 9007199254740993)::varchar as after from customer where c_custkey % 3 = 0")
+def history_big_numbers(spark, d):
+    """Neighbouring whole numbers beyond 2**53 are not the same; 1 and 1.0 are."""
+    c, big = tables(spark, d, "customer")["customer"], F.col("c_custkey") + F.lit(9007199254740992)
+    old = c.select("c_custkey", big.alias("big"), F.lit("1").alias("one"))
+    new = c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, big + 1).otherwise(big).alias("big"), F.lit("1.0").alias("one"))
+    return history.deep_diff(old, new, "c_custkey")

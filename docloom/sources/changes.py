@@ -22,24 +22,26 @@ CAPTURED = (
 def from_messages(df: DataFrame) -> DataFrame:
     """Changes from Kafka rows (value, offset, and topic and partition where df has them): one row for each row image.
 
+    DDL messages without rows are one change each, with their statement in sql and no images.
     seq is a struct (es, topic, partition, offset, idx), which no two row images share: by commit time, then by the
     message's place in the topics, then by the row's in the message. It orders, groups and compares like a number."""
     topic = (F.col("topic") if "topic" in df.columns else F.lit(None)).cast("string").alias("topic")
     partition = (F.col("partition") if "partition" in df.columns else F.lit(None)).cast("int").alias("partition")
     place = F.struct(topic, partition, F.col("offset").cast("bigint").alias("offset")).alias("place")
     m = df.select(place, F.from_json(F.col("value").cast("string"), MESSAGE).alias("m")).select("place", "m.*")
-    rows = m.select("*", F.posexplode("data").alias("idx", "row"))
-    seq = F.struct("es", "place.topic", "place.partition", "place.offset", "idx")
+    rows = m.select("*", F.posexplode_outer("data").alias("idx", "row"))
+    seq = F.struct("es", "place.topic", "place.partition", "place.offset", F.coalesce("idx", F.lit(0)).alias("idx"))
     old = F.when(F.size("old") > F.col("idx"), F.get("old", F.col("idx")))
     flat = rows.select(
         seq.alias("seq"), "type", F.col("isDdl").alias("is_ddl"), F.col("database").alias("db"), "table", F.col("pkNames").alias("pk"), "es", "ts",
-        F.col("row").alias("data"), old.alias("old"),
+        F.col("row").alias("data"), old.alias("old"), "sql",
     )
-    return from_log(flat)
+    return from_log(flat.filter("data is not null or is_ddl"))
 
 
 def kafka_changes(spark: SparkSession, servers: str, topics: str, *, stream: bool = True, starting: str = "latest", per_trigger: int | None = None) -> DataFrame:
-    """Changes from Kafka topics. starting "latest" with a new checkpoint discards a backlog."""
+    """Changes from Kafka topics, ordered by their seq. starting "latest" with a new checkpoint discards a backlog: documents
+    are then as the load or rebuild left them, and every later batch is applied (see DocumentStream)."""
     reader = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics)
     reader = reader.option("startingOffsets", starting if stream else "earliest").option("failOnDataLoss", "false")
     if per_trigger and stream:

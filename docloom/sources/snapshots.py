@@ -1,32 +1,45 @@
-"""Versioned document snapshots: Parquet folders, and a pointer to the current one that is moved in one step."""
+"""Versioned document snapshots in buckets of ids: a version names, for each bucket, the folder that holds it."""
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")
+    """A fresh folder in spark.checkpoint.dir, which driver and executors share. Only where all run in one process, and it
+    is unset, a temporary folder takes its place."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="docloom-")
     return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once: written to a scratch folder and read again, which also cuts its lineage."""
-    path = scratch(df.sparkSession)
+    """df, computed once: written to a scratch folder, which goes with the session, and read again, which also cuts its lineage."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Snapshots:
-    """An index's documents under root/index. Versions are numbered; the pointer is a one-row file of its own."""
+    """An index's documents under root/index, in buckets by a hash of _id.
 
-    def __init__(self, spark: SparkSession, root: str, index: str):
-        self.spark, self.path = spark, f"{root.rstrip('/')}/{index}"
+    Version v is the file committed-v, which appears in one step: the folder of each bucket, and for each stream the last
+    batch that is in it. An update writes the buckets that it touches and leaves the others where they are, so a small
+    batch costs a small part of the index."""
+
+    def __init__(self, spark: SparkSession, root: str, index: str, buckets: int = 32):
+        self.spark, self.path, self.buckets = spark, f"{root.rstrip('/')}/{index}", buckets
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._root = self._hadoop.Path(self.path)
         self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -34,30 +47,85 @@ class Snapshots:
     def _names(self) -> list[str]:
         return [s.getPath().getName() for s in self._fs.listStatus(self._root)] if self._fs.exists(self._root) else []
 
+    def _versions(self) -> list[int]:
+        return sorted(int(m[1]) for m in (re.fullmatch(r"committed-(\d+)", n) for n in self._names()) if m)
+
     def version(self) -> int | None:
         """The current version: the highest that was committed."""
-        found = [int(m[1]) for m in (re.fullmatch(r"committed-(\d+)", n) for n in self._names()) if m]
-        return max(found, default=None)
+        return max(self._versions(), default=None)
+
+    def _commit(self, version: int) -> dict:
+        stream = self._fs.open(self._hadoop.Path(f"{self.path}/committed-{version}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def applied(self, stream: str) -> int:
+        """The last batch of a stream that the current version holds; -1 if none."""
+        v = self.version()
+        return -1 if v is None else self._commit(v)["marks"].get(stream, -1)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         v = self.version() if version is None else version
-        return None if v is None else self.spark.read.parquet(f"{self.path}/v-{v}")
+        return None if v is None else self._read(self._commit(v), None)
+
+    def _read(self, commit: dict, buckets: list[int] | None) -> DataFrame | None:
+        """All documents of a version, or those of some buckets."""
+        paths = [f"{self.path}/{folder}/_bucket={b}" for b, folder in commit["folders"].items() if buckets is None or int(b) in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], commit["schema"])
+        return self.spark.read.option("mergeSchema", "true").schema(commit["schema"]).parquet(*paths)
 
-    def write(self, docs: DataFrame, version: int | None = None) -> int:
-        """Writes the next version and makes it current. Writing a committed version again changes nothing, so a batch
-        that is run twice is applied once."""
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(buckets)).cast("int")
+
+    def _put(self, docs: DataFrame, version: int, buckets: int, kept: dict, marks: dict) -> int:
+        """Writes docs as the buckets that they lie in, and commits them with the folders that are kept."""
+        folder = f"v-{version}-{uuid.uuid4().hex[:8]}"
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+        # Spark splits a bucket that is too large for a task, and joins small ones
+        docs.withColumn("_bucket", self._bucket(buckets)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        at = self._hadoop.Path(f"{self.path}/{folder}")
+        written = [m[1] for m in (re.fullmatch(r"_bucket=(\d+)", s.getPath().getName()) for s in self._fs.listStatus(at)) if m]
+        text = json.dumps({"buckets": buckets, "schema": schema, "folders": kept | dict.fromkeys(written, folder), "marks": marks})
+        half, whole = (self._hadoop.Path(f"{self.path}/{n}") for n in (f"writing-{uuid.uuid4().hex}", f"committed-{version}"))
+        out = self._fs.create(half, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self._fs.rename(half, whole):
+            raise RuntimeError(f"version {version} of {self.path} was committed by another writer")
+        return version
+
+    def write(self, docs: DataFrame, version: int | None = None, marks: dict[str, int] | None = None) -> int:
+        """Writes docs as the next version. A version that is committed already is not written again. The batches that the
+        version before held count as held: its documents are those of the tables as they are now."""
         current = self.version()
         v = (0 if current is None else current + 1) if version is None else version
         if current is not None and v <= current:
             return current
-        docs.write.mode("overwrite").parquet(f"{self.path}/v-{v}")
-        self._fs.create(self._hadoop.Path(f"{self.path}/committed-{v}"), True).close()
-        return v
+        before = {} if current is None else self._commit(current)["marks"]
+        return self._put(docs, v, self.buckets, {}, before | (marks or {}))
+
+    def update(self, upserts: DataFrame, deletes: DataFrame, marks: dict[str, int] | None = None) -> int:
+        """The next version: upserts (whole documents) in, deletes (_id) out. Only the buckets of these are read and written."""
+        current = self.version()
+        commit = self._commit(current)
+        buckets = commit["buckets"]
+        gone = stored(upserts.select("_id").unionByName(deletes.select("_id")).withColumn("_bucket", self._bucket(buckets)))
+        touched = [r["_bucket"] for r in gone.select("_bucket").distinct().collect()]  # at most one row a bucket
+        old = self._read(commit, touched)
+        docs = old.join(gone.select("_id"), "_id", "left_anti").unionByName(upserts, allowMissingColumns=True)
+        kept = {b: f for b, f in commit["folders"].items() if int(b) not in touched}
+        return self._put(docs, current + 1, buckets, kept, commit["marks"] | (marks or {}))
 
     def prune(self, keep: int = 2) -> None:
-        """Deletes all but the last versions."""
-        current = self.version() or 0
+        """Deletes all but the last versions, and the folders that none of those needs."""
+        versions = self._versions()
+        needed = {f for v in versions[-keep:] for f in self._commit(v)["folders"].values()}
+        old = {f"committed-{v}" for v in versions[:-keep]}
+        newest = max(versions, default=-1)
         for n in self._names():
-            m = re.fullmatch(r"(?:v|committed)-(\d+)", n)
-            if m and int(m[1]) <= current - keep:
+            m = re.fullmatch(r"v-(\d+)-\w+", n)
+            if n in old or m and n not in needed and int(m[1]) <= newest:
                 self._fs.delete(self._hadoop.Path(f"{self.path}/{n}"), True)

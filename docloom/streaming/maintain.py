@@ -1,7 +1,8 @@
-"""Documents kept current from a stream of changes: one foreachBatch, idempotent by batch."""
+"""Documents kept current from a stream of changes: one foreachBatch, idempotent by stream and batch."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import dependents, notifications, wanted
-from ..operators.incremental import maintain
-from ..operators.view import Methods, build_view, register
+from ..operators.incremental import recompute
+from ..operators.view import Methods, Models, build_view, register
 from ..plans.lineage import Analyser, routes
 from ..plans.mapping import Mapping
 from ..sources.snapshots import Snapshots
@@ -23,15 +24,17 @@ Listener = Callable[[DataFrame, int], None]
 class DocumentStream:
     """Keeps the snapshots of several mappings at view(current tables).
 
-    tables is called for every batch with the batch's session, so that it sees the tables as they are then. Each mapping's snapshot version is the
-    batch's number plus one: a batch that runs again after a failure finds its version committed and changes nothing.
-    The stream's position moves only when all mappings and listeners are through."""
+    tables is called for every batch with the batch's session, so that it sees the tables as they are then. A version of a
+    snapshot names the last batch of each stream that it holds, a stream being a checkpoint: a batch that runs again after
+    a failure finds itself held and changes nothing, while rebuilt snapshots and new checkpoints lose no batch. The
+    stream's position moves only when all mappings and listeners are through."""
 
     spark: SparkSession
     mappings: list[Mapping]
     tables: Callable[[SparkSession], dict[str, DataFrame]]
     root: str
     methods: Methods = field(default_factory=dict)
+    models: Models = field(default_factory=dict)
     listeners: list[Listener] = field(default_factory=list)
     ignore_until: int | None = None
 
@@ -41,14 +44,14 @@ class DocumentStream:
         for m in self.mappings:
             store = Snapshots(self.spark, self.root, m.index)
             if store.version() is None:
-                store.write(build_view(self.spark, m, methods=self.methods), 0)
+                store.write(build_view(self.spark, m, methods=self.methods, models=self.models), 0)
 
     def rebuild(self, mapping: Mapping) -> int:
         """A fresh version from the tables alone."""
         register(self.spark, self.tables(self.spark))
-        return Snapshots(self.spark, self.root, mapping.index).write(build_view(self.spark, mapping, methods=self.methods))
+        return Snapshots(self.spark, self.root, mapping.index).write(build_view(self.spark, mapping, methods=self.methods, models=self.models))
 
-    def apply(self, changes: DataFrame, batch: int) -> None:
+    def apply(self, changes: DataFrame, batch: int, stream: str = "") -> None:
         spark = changes.sparkSession  # a batch has a session of its own, and so have the names in it
         changes = wanted(changes, self.ignore_until).persist()
         try:
@@ -60,8 +63,10 @@ class DocumentStream:
                 if m.index not in concerned:
                     continue
                 store = Snapshots(spark, self.root, m.index)
-                if (store.version() or 0) <= batch:
-                    store.write(maintain(spark, m, store.read(), changes, methods=self.methods), batch + 1)
+                if store.version() is None:
+                    store.write(build_view(spark, m, methods=self.methods, models=self.models), marks={stream: batch})
+                elif store.applied(stream) < batch:
+                    store.update(*recompute(spark, m, changes, methods=self.methods, models=self.models), marks={stream: batch})
                     store.prune()
             told = notifications(dependents(changes, listed))
             for listener in self.listeners:
@@ -69,8 +74,24 @@ class DocumentStream:
         finally:
             changes.unpersist()
 
+    def stream_id(self, checkpoint: str) -> str:
+        """The name of a checkpoint, kept in it: a new checkpoint is a new stream, whose batches count from 0 again."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(f"{checkpoint.rstrip('/')}/docloom-stream")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            out = fs.create(path, False)
+            out.write(bytearray(uuid.uuid4().hex.encode()))
+            out.close()
+        inside = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(inside, "UTF-8")
+        finally:
+            inside.close()
+
     def start(self, changes: DataFrame, checkpoint: str, *, available_now: bool = False) -> StreamingQuery:
-        writer = changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
+        stream = self.stream_id(checkpoint)
+        writer = changes.writeStream.foreachBatch(lambda df, batch: self.apply(df, batch, stream)).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 

@@ -5,6 +5,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from docloom import queries as q
+from docloom.functions.embed import embed, hashed_model, vectors
 from docloom.functions.names import clean_identifier, to_camel, to_snake
 from docloom.operators import changes as ch
 from docloom.operators import compact, history, incremental, ranges, reconcile, replay
@@ -114,10 +115,15 @@ def test_stream(spark, tmp_path):
     s.start(file_changes(spark, str(tmp_path / "log")), str(tmp_path / "cp"), available_now=True).awaitTermination(120)
     store = Snapshots(spark, str(tmp_path / "docs"), "job")
     assert plain(store.read()) == plain(build_view(spark, MAPPING)) and told and told[0] > 0
-    version = store.version()
-    s.apply(changes, version - 1)
+    version, stream = store.version(), s.stream_id(str(tmp_path / "cp"))
+    s.apply(changes, 0, stream)
     assert store.version() == version
     assert s.rebuild(MAPPING) == version + 1
+    s.apply(changes, 0, stream)
+    assert store.version() == version + 1, "a rebuilt snapshot holds what the one before held"
+    s.apply(changes, 1, stream)
+    s.apply(changes, 0, s.stream_id(str(tmp_path / "cp2")))
+    assert store.version() == version + 3 and plain(store.read()) == plain(build_view(spark, MAPPING)), "the next batch and a new checkpoint's are applied"
 
 
 def requests(spark, rows):
@@ -298,3 +304,90 @@ def test_messages_of_several_partitions(spark):
     deps = out.selectExpr("*", "'i' as index", "'v' as view", "'main' as role")
     assert notifications(deps).count() == 5
     assert {r.key: r.row and r.row["v"] for r in final_rows(out).collect()} == {"1": "new", "2": "x", "3": None}
+
+
+def test_snapshots_rewrite_touched_buckets_only(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path), "x", buckets=8)
+    docs = spark.range(200).select(F.col("id").cast("string").alias("_id"), F.lit("old").alias("v"))
+    assert store.write(docs, marks={"s": 4}) == 0 and store.applied("s") == 4 and store.applied("t") == -1
+    new = spark.createDataFrame([("7", "new"), ("1000", "new")], "_id string, v string")
+    assert store.update(new, spark.createDataFrame([("9",)], "_id string"), {"t": 0}) == 1
+    got = {r["_id"]: r["v"] for r in store.read().collect()}
+    assert len(got) == 200 and got["7"] == got["1000"] == "new" and "9" not in got and store.applied("s") == 4 and store.applied("t") == 0
+    folders = store._commit(1)["folders"]
+    assert 1 <= sum(f.startswith("v-1-") for f in folders.values()) <= 3 and store.read(0).count() == 200
+    store.prune(1)
+    assert store.read().count() == 200
+    store.update(spark.createDataFrame([("5", "w", 1)], "_id string, v string, n int"), spark.createDataFrame([], "_id string"))
+    assert store.read().filter("n = 1").count() == 1 and store.read().count() == 200
+
+
+def test_write_jdbc(spark):
+    """Final rows reach a relational table, twice with one outcome; keys that hold the parts' mark too."""
+    url = "jdbc:derby:memory:docloom;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    made = spark._jvm.java.sql.DriverManager.getConnection(url).createStatement()
+    made.executeUpdate("CREATE TABLE t (a VARCHAR(20), b INT, v VARCHAR(20))")
+    made.executeUpdate("INSERT INTO t VALUES ('x|', 1, 'old'), ('y', 2, 'old'), ('|_', 3, 'old')")
+
+    def row(a, b, v):
+        return {"a": a, "b": str(b), "v": v}
+
+    def there():
+        return sorted(tuple(r) for r in spark.read.format("jdbc").options(url=url, dbtable="t", **options).load().collect())
+
+    log = spark.createDataFrame(
+        [
+            (1, "UPDATE", False, "d", "t", ["a", "b"], 0, 0, row("x|", 1, "old"), row("x|", 1, "it's")), (2, "DELETE", False, "d", "t", ["a", "b"], 0, 0, row("|_", 3, "old"), None),
+            (3, "INSERT", False, "d", "t", ["a", "b"], 0, 0, None, row("z", 4, "w")),
+        ],
+        ch.CHANGE,
+    )
+    target = spark.read.format("jdbc").options(url=url, dbtable="t", **options).load()
+    for _ in range(2):
+        replay.write_jdbc(spark, replay.final_rows(log), target, url, "t", ["a", "b"], **options)
+        assert there() == [("x|", 1, "it's"), ("y", 2, "old"), ("z", 4, "w")]
+    skipped = spark.createDataFrame([("t", "y|_2", row("y", 2, "no")), ("t", "q|_9", row("q", 9, "yes"))], "table string, key string, row map<string,string>")
+    replay.write_jdbc(spark, skipped, target, url, "t", ["a", "b"], insert_only=True, **options)
+    assert ("y", 2, "old") in there() and ("q", 9, "yes") in there()
+
+
+def test_ddl_text(spark):
+    cases = [
+        ("ALTER TABLE shop.t ADD x", "ALTER TABLE t ADD x"), ("ALTER TABLE `shop` . `t` ADD myshop.x", "ALTER TABLE `t` ADD myshop.x"),
+        ("COMMENT 'shop.t it''s shop.x' ON \"shop.y\" shop.z", "COMMENT 'shop.t it''s shop.x' ON \"shop.y\" z"), ("x.shop.t", "x.shop.t"),
+    ]
+    df = spark.createDataFrame([(n, a, "shop") for n, (a, _) in enumerate(cases)], "n int, sql string, db string")
+    assert [r.t for r in df.orderBy("n").select(replay.ddl_text(F.col("sql"), F.col("db")).alias("t")).collect()] == [b for _, b in cases]
+
+
+def test_columns_without_alias(spark):
+    register(spark, frames(spark, start()))
+    q = Analyser(spark).query("SELECT j.id AS id, city AS city FROM job j LEFT JOIN region r ON r.job_id = j.id")
+    assert Analyser(spark).owner(q, "city") == "r"
+    with pytest.raises(MappingError):
+        Analyser(spark).owner(q, "id")
+    with pytest.raises(MappingError):
+        Analyser(spark).owner(q, "nowhere")
+
+
+class Failing:
+    """A model that fails at its first request."""
+
+    def __init__(self, calls):
+        self.calls, self.failed = calls, False
+
+    def __call__(self, texts):
+        self.calls.add(len(texts))
+        if not self.failed:
+            self.failed = True
+            raise OSError("limit_requests")
+        return [[1.0, 2.0] for _ in texts]
+
+
+def test_vectors_are_kept_and_tried_again(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
+    known = vectors(df.filter("id = 1").selectExpr("sha2(text, 256) as digest", "text"), hashed_model(2))
+    calls = spark.sparkContext.accumulator(0)
+    got = {r["id"]: r["v"] for r in embed(df, "text", "v", Failing(calls), known=known, per_minute=6000).collect()}
+    assert got[2] == [1.0, 2.0] and len(got[1]) == 2 and got[1] != got[2] and calls.value == 2, "one text was sent, twice"
