@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -29,10 +30,11 @@ def encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
 def safe_pieces(text: str, target: int = 1 << 17) -> Iterator[str]:
     """text in pieces of about target characters, cut only where no match of the pattern can reach across.
 
-    No alternative of the pattern holds a letter or digit followed by white space, or a letter followed by a digit, and
-    none looks back; so a match ends there in any case, and the rest is split as it would be at a text's start. A run
-    of white space is cut before its last character, where \\s+(?!\\S) ends if something follows. Texts without such a
-    place (one endless word) stay whole from there on."""
+    No alternative of the pattern holds a letter or number followed by something of another kind (letters, numbers, white
+    space, the rest), and none looks back; so a match ends there in any case, and the rest is split as it would be at a
+    text's start. A run of spaces is cut before its last one, where \\s+(?!\\S) ends if something follows. What has no
+    such place is one match (an endless word, number or line of dashes), which is encoded whole by definition, or a run
+    of white space and signs."""
     start, n = 0, len(text)
     while n - start > target:
         at = start + target
@@ -46,10 +48,11 @@ def safe_pieces(text: str, target: int = 1 << 17) -> Iterator[str]:
 
 def _safe(text: str, at: int) -> bool:
     before, after = text[at - 1], text[at]
-    if before.isalpha() or before.isdecimal():
-        return after in " \t\n\r" or (before.isalpha() and after.isdecimal())
+    kind, other = unicodedata.category(before)[0], unicodedata.category(after)[0]
+    if kind in "LN":
+        return other != kind and (other in "LNPSZ" or after in " \t\n\r")
     # between the last two characters of a run of spaces: the first part is one match, the rest begins anew
-    return before == after == " " and at + 1 < len(text) and (text[at + 1].isalpha() or text[at + 1].isdecimal())
+    return before == after == " " and at + 1 < len(text) and unicodedata.category(text[at + 1])[0] in "LN"
 
 
 def encode_text(enc: tiktoken.Encoding, text: str) -> list[int]:

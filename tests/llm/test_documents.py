@@ -219,12 +219,14 @@ def test_safe_pieces_change_no_token():
     enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert isinstance(enc, tiktoken.Encoding)
     rng = random.Random(5)
-    for alphabet in ("ab '1 ", " \n\t.", "é日a1 '’s ", "a1", " ", "'sd  ll"):
+    for alphabet in ("ab '1 ", " \n\t.", "é日a1 '’s ", "a1", " ", "'sd  ll", "日本，。「」 x", "½Ⅷ٣a-'", "e\u0301n\u00a0\u3000x1", "''ss--"):
         for _ in range(30):
             text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 300)))
             pieces = list(bpe.safe_pieces(text, 8))
             assert "".join(pieces) == text
             assert [t for p in pieces for t in enc.encode_ordinary(p)] == enc.encode_ordinary(text), repr(text)
+    chinese = "日本語の文。" * 100_000
+    assert max(map(len, bpe.safe_pieces(chinese))) < (1 << 17) + 10, "a text without white space is cut too"
 
 
 def test_secrets(spark, docs):
