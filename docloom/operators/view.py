@@ -178,7 +178,7 @@ def build_view(
     replaced = {q.main.alias: temporary(spark.table(q.main.table).filter(trim_where(where)))} if where else None
     docs = main_rows(spark, q, mapping, replaced)
     if only is not None:
-        docs = docs.join(only.select(F.col("_id").cast("string").alias("_id")), "_id", "left_semi")
+        docs = _restricted(docs, q.item(mapping.pk).name, only)
     scalars = {f.name: f for f in mapping.scalars}
     for f in mapping.nested:
         if fields is not None and f.name not in fields:
@@ -202,6 +202,16 @@ def build_view(
     return docs.drop(*[c for c in docs.columns if c.startswith("_k_")])
 
 
+def _restricted(docs: DataFrame, key: str, only: DataFrame) -> DataFrame:
+    """docs whose id is in only (_id). Whole numbers and texts are compared in the key's own type, so that the join reaches
+    below the grouping and runtime filters reach the scan."""
+    kind, ids = docs.schema[key].dataType, F.col("_id").cast("string")
+    if not isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType | T.StringType):
+        return docs.join(only.select(ids.alias("_id")), "_id", "left_semi")
+    wanted = only.select(ids.try_cast(kind).alias("_only"))
+    return docs.join(wanted, F.col(f"`{key}`") == F.col("_only"), "left_semi")
+
+
 def _model(f: Field, models: Models) -> Model:
     name = str({k.lower(): v for k, v in f.params.items()}.get("modelclass", ""))
     if name not in models and "" not in models:

@@ -39,11 +39,12 @@ def from_messages(df: DataFrame) -> DataFrame:
     return from_log(flat.filter("data is not null or is_ddl"))
 
 
-def kafka_changes(spark: SparkSession, servers: str, topics: str, *, stream: bool = True, starting: str = "latest", per_trigger: int | None = None) -> DataFrame:
+def kafka_changes(spark: SparkSession, servers: str, topics: str, *, stream: bool = True, starting: str = "latest", per_trigger: int | None = None, fail_on_loss: bool = True) -> DataFrame:
     """Changes from Kafka topics, ordered by their seq. starting "latest" with a new checkpoint discards a backlog: documents
-    are then as the load or rebuild left them, and every later batch is applied (see DocumentStream)."""
+    are then as the load or rebuild left them, and every later batch is applied (see DocumentStream). A stream whose messages
+    expired fails unless fail_on_loss is off; supervised() can rebuild then."""
     reader = (spark.readStream if stream else spark.read).format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics)
-    reader = reader.option("startingOffsets", starting if stream else "earliest").option("failOnDataLoss", "false")
+    reader = reader.option("startingOffsets", starting if stream else "earliest").option("failOnDataLoss", str(fail_on_loss).lower())
     if per_trigger and stream:
         reader = reader.option("maxOffsetsPerTrigger", per_trigger)
     return from_messages(reader.load())

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import dependents, notifications, wanted
+from ..operators.changes import batch_statistics, dependents, notifications, wanted
 from ..operators.incremental import recompute
 from ..operators.view import Methods, Models, build_view, register
 from ..plans.lineage import Analyser, routes
@@ -37,6 +38,8 @@ class DocumentStream:
     models: Models = field(default_factory=dict)
     listeners: list[Listener] = field(default_factory=list)
     ignore_until: int | None = None
+    parallel: int = 4
+    last_es: int | None = None  # the latest commit time of a change that was applied, in epoch ms
 
     def load(self) -> None:
         """The first version of each snapshot, from the tables."""
@@ -59,21 +62,24 @@ class DocumentStream:
             analyser = Analyser(spark)
             listed = [r for m in self.mappings for r in routes(analyser, m)]
             concerned = {r["index"] for r in dependents(changes, listed).select("index").distinct().collect()}  # at most one row a mapping
-            for m in self.mappings:
-                if m.index not in concerned:
-                    continue
-                store = Snapshots(spark, self.root, m.index)
-                if store.version() is None:
-                    store.write(build_view(spark, m, methods=self.methods, models=self.models), marks={stream: batch})
-                elif store.applied(stream) < batch:
-                    store.update(*recompute(spark, m, changes, methods=self.methods, models=self.models), marks={stream: batch})
-                    store.prune()
+            with ThreadPoolExecutor(self.parallel) as pool:  # the mappings' jobs run side by side; the batch waits for all
+                list(pool.map(lambda m: self._bring(spark, m, changes, batch, stream), [m for m in self.mappings if m.index in concerned]))
+            self.last_es = batch_statistics(changes).first()["last_es"] or self.last_es
             told = notifications(dependents(changes, listed))
             for listener in self.listeners:
                 listener(told, batch)
         finally:
             changes.unpersist()
 
+    def _bring(self, spark: SparkSession, m: Mapping, changes: DataFrame, batch: int, stream: str) -> None:
+        """One mapping's snapshot with the batch in it, unless it is there already."""
+        store = Snapshots(spark, self.root, m.index)
+        if store.version() is None:
+            store.write(build_view(spark, m, methods=self.methods, models=self.models), marks={stream: batch})
+        elif store.applied(stream) < batch:
+            store.update(*recompute(spark, m, changes, methods=self.methods, models=self.models), marks={stream: batch})
+            store.prune()
+
     def stream_id(self, checkpoint: str) -> str:
         """The name of a checkpoint, kept in it: a new checkpoint is a new stream, whose batches count from 0 again."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 
@@ -27,8 +28,11 @@ class Alerts:
         return True
 
 
-def supervised(start: Callable[[], StreamingQuery], alerts: Alerts, *, attempts: int | None = None, pause_s: float = 0.5) -> int:
-    """Runs a stream to its end, starting it again from its checkpoint after each failure. Returns how often it failed."""
+def supervised(start: Callable[[], StreamingQuery], alerts: Alerts, *, attempts: int | None = None, pause_s: float = 0.5, on_loss: Callable[[], None] | None = None) -> int:
+    """Runs a stream to its end, starting it again from its checkpoint after each failure. Returns how often it failed.
+
+    Where the source says that it has lost changes, on_loss is called before the next start: there a caller rebuilds the
+    documents and gives start a new checkpoint."""
     failed = 0
     while True:
         query = start()
@@ -38,12 +42,14 @@ def supervised(start: Callable[[], StreamingQuery], alerts: Alerts, *, attempts:
         except StreamingQueryException as error:
             failed += 1
             alerts(str(error).splitlines()[0][:500])
+            if on_loss and re.search("data loss|failOnDataLoss|OffsetOutOfRange", str(error), re.I):
+                on_loss()
             if attempts is not None and failed >= attempts:
                 raise
             time.sleep(pause_s)
 
 
-def status(query: StreamingQuery) -> dict:
-    """Where a stream is: its last batch, rows and lag."""
+def status(query: StreamingQuery, last_es: int | None = None) -> dict:
+    """Where a stream is: its last batch and rows, and how far the documents are (last_es, from DocumentStream)."""
     p = query.lastProgress
-    return {"active": query.isActive, "batch": p["batchId"] if p else None, "rows": p["numInputRows"] if p else 0, "message": query.status["message"]}
+    return {"active": query.isActive, "batch": p["batchId"] if p else None, "rows": p["numInputRows"] if p else 0, "message": query.status["message"], "last_es": last_es}

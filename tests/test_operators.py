@@ -18,31 +18,31 @@ from docloom.sources.snapshots import Snapshots
 from docloom.streaming.maintain import DocumentStream
 from docloom.streaming.supervise import Alerts, supervised
 
-COLUMNS = {"job": ("id", "name", "corp_id"), "corp": ("id", "name"), "corp_name": ("id", "corp_id", "kind", "name"), "region": ("id", "job_id", "city")}
+COLUMNS = {"trip": ("id", "name", "carrier_id"), "carrier": ("id", "name"), "carrier_alias": ("id", "carrier_id", "kind", "name"), "stop": ("id", "trip_id", "city")}
 MAPPING = Mapping(
-    "job",
-    "SELECT j.id AS id, j.name AS name, j.corp_id AS corpId FROM job j",
+    "trip",
+    "SELECT j.id AS id, j.name AS name, j.carrier_id AS carrierId FROM trip j",
     fields=(
-        Field("corp", "object-sql", sql="SELECT c.id, c.name, group_concat(if(n.kind = 2, n.name, null)) AS aliases FROM corp c LEFT JOIN corp_name n ON n.corp_id = c.id", on_main="WHERE c.id = #{corp_id}"),
-        Field("corp$aliases", "array", split=","),
-        Field("regions", "array-sql", sql="SELECT r.id AS id, r.city AS city FROM region r", on_main="WHERE r.job_id = #{id} ORDER BY r.id DESC"),
-        Field("stats", "object-sql", sql="SELECT r.job_id AS job, s.n AS n FROM region r INNER JOIN (SELECT job_id, count(*) AS n FROM region GROUP BY job_id) s ON s.job_id = r.job_id", on_main="WHERE r.job_id = #{id}"),
-        Field("cities", "array-flat-sql", sql="SELECT r.city FROM region r", on_main="WHERE r.job_id = #{id}"),
+        Field("carrier", "object-sql", sql="SELECT c.id, c.name, group_concat(if(n.kind = 2, n.name, null)) AS aliases FROM carrier c LEFT JOIN carrier_alias n ON n.carrier_id = c.id", on_main="WHERE c.id = #{carrier_id}"),
+        Field("carrier$aliases", "array", split=","),
+        Field("stops", "array-sql", sql="SELECT r.id AS id, r.city AS city FROM stop r", on_main="WHERE r.trip_id = #{id} ORDER BY r.id DESC"),
+        Field("stats", "object-sql", sql="SELECT r.trip_id AS trip, s.n AS n FROM stop r INNER JOIN (SELECT trip_id, count(*) AS n FROM stop GROUP BY trip_id) s ON s.trip_id = r.trip_id", on_main="WHERE r.trip_id = #{id}"),
+        Field("cities", "array-flat-sql", sql="SELECT r.city FROM stop r", on_main="WHERE r.trip_id = #{id}"),
     ),
 )
 
 
 def frames(spark, state):
-    kinds = {"id": "bigint", "corp_id": "bigint", "job_id": "bigint", "kind": "int"}
+    kinds = {"id": "bigint", "carrier_id": "bigint", "trip_id": "bigint", "kind": "int"}
     return {t: spark.createDataFrame([tuple(r) for r in state[t].values()], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in cols)) for t, cols in COLUMNS.items()}
 
 
 def start():
     return {
-        "job": {i: (i, f"job{i}", i % 4) for i in range(12)},
-        "corp": {i: (i, f"corp{i}") for i in range(4)},
-        "corp_name": {i: (i, i % 3, i % 3, f"n{i}") for i in range(9)},
-        "region": {i: (i, i % 10, f"c{i % 5}") for i in range(25)},
+        "trip": {i: (i, f"trip{i}", i % 4) for i in range(12)},
+        "carrier": {i: (i, f"carrier{i}") for i in range(4)},
+        "carrier_alias": {i: (i, i % 3, i % 3, f"n{i}") for i in range(9)},
+        "stop": {i: (i, i % 10, f"c{i % 5}") for i in range(25)},
     }
 
 
@@ -60,7 +60,7 @@ def evolve(state, rng, n):
         if op == "DELETE":
             after = rows.pop(key) and None
         else:
-            after = tuple(key if c == "id" else rng.randrange(5) if c in ("corp_id", "kind") else rng.randrange(14) if c == "job_id" else rng.choice("abcde") for c in cols)
+            after = tuple(key if c == "id" else rng.randrange(5) if c in ("carrier_id", "kind") else rng.randrange(14) if c == "trip_id" else rng.choice("abcde") for c in cols)
             rows[key] = after
         text = lambda r: None if r is None else {c: str(v) for c, v in zip(cols, r, strict=True)}
         log.append((seq, op, False, "db", t, ["id"], seq, 0, text(before if op != "INSERT" else None), text(after)))
@@ -73,7 +73,7 @@ def plain(df):
 
 TALLY = Mapping(
     "tally",
-    "SELECT j.id AS id, j.name AS name, c.name AS corp, t.n AS n FROM job j JOIN corp c ON c.id = j.corp_id LEFT JOIN (SELECT job_id, count(*) AS n FROM region GROUP BY job_id) t ON t.job_id = j.id",
+    "SELECT j.id AS id, j.name AS name, c.name AS carrier, t.n AS n FROM trip j JOIN carrier c ON c.id = j.carrier_id LEFT JOIN (SELECT trip_id, count(*) AS n FROM stop GROUP BY trip_id) t ON t.trip_id = j.id",
 )
 
 
@@ -96,8 +96,8 @@ def test_incremental_is_the_view(spark, seed, mapping):
 def test_view_shapes(spark):
     register(spark, frames(spark, start()))
     docs = {r["_id"]: r for r in build_view(spark, MAPPING).collect()}
-    assert docs["2"]["corp"]["aliases"] == ["n2", "n5", "n8"] and docs["1"]["corp"]["aliases"] is None
-    assert [x["id"] for x in docs["3"]["regions"]] == [23, 13, 3] and docs["11"]["regions"] == [] and docs["11"]["cities"] == []
+    assert docs["2"]["carrier"]["aliases"] == ["n2", "n5", "n8"] and docs["1"]["carrier"]["aliases"] is None
+    assert [x["id"] for x in docs["3"]["stops"]] == [23, 13, 3] and docs["11"]["stops"] == [] and docs["11"]["cities"] == []
 
 
 def test_stream(spark, tmp_path):
@@ -113,7 +113,7 @@ def test_stream(spark, tmp_path):
     now["state"] = new
     register(spark, frames(spark, new))
     s.start(file_changes(spark, str(tmp_path / "log")), str(tmp_path / "cp"), available_now=True).awaitTermination(120)
-    store = Snapshots(spark, str(tmp_path / "docs"), "job")
+    store = Snapshots(spark, str(tmp_path / "docs"), "trip")
     assert plain(store.read()) == plain(build_view(spark, MAPPING)) and told and told[0] > 0
     version, stream = store.version(), s.stream_id(str(tmp_path / "cp"))
     s.apply(changes, 0, stream)
@@ -190,10 +190,10 @@ def test_log_values_cast(spark):
 
 
 def test_direct_updates_write_nulls_only_if_asked(spark):
-    log = spark.createDataFrame([(1, "INSERT", False, "d", "job", ["id"], 0, 0, None, {"id": "1", "name": None, "corp_id": "2"})], ch.CHANGE)
+    log = spark.createDataFrame([(1, "INSERT", False, "d", "trip", ["id"], 0, 0, None, {"id": "1", "name": None, "carrier_id": "2"})], ch.CHANGE)
     query = Analyser(spark).query(MAPPING.sql)
-    assert incremental.direct_updates(log, query, "id").first()["doc"] == {"id": "1", "corpId": "2"}
-    assert incremental.direct_updates(log, query, "id", write_null=True).first()["doc"] == {"id": "1", "name": None, "corpId": "2"}
+    assert incremental.direct_updates(log, query, "id").first()["doc"] == {"id": "1", "carrierId": "2"}
+    assert incremental.direct_updates(log, query, "id", write_null=True).first()["doc"] == {"id": "1", "name": None, "carrierId": "2"}
 
 
 def test_nested_order_matters_if_declared(spark):
@@ -271,16 +271,18 @@ def test_supervised_stream_restarts():
     runs = iter([Query(StreamingQueryException("lost")), Query(StreamingQueryException("lost")), Query(StreamingQueryException("lost")), Query(None)])
     assert supervised(lambda: next(runs), alerts, pause_s=0) == 3
     assert sent == ["lost", "lost"], "the second is too soon"
+    rebuilt, more = [], iter([Query(StreamingQueryException("Cannot fetch offset: some data may have been lost (failOnDataLoss)")), Query(None)])
+    assert supervised(lambda: next(more), alerts, pause_s=0, on_loss=lambda: rebuilt.append(1)) == 1 and rebuilt == [1]
 
 
 def test_index_types(spark):
-    text = '{"a": {"mappings": {"properties": {"x": {"type": "long"}}}}, "job_1": {"mappings": {"properties": {"id": {"type": "long"}, "at": {"type": "date", "format": "s || ms"}, "regions": {"type": "nested", "properties": {"id": {"type": "integer"}}}}}}}'
-    target = target_types(text, "job")
-    assert target == {"id": "long", "at": ("date", "s || ms"), "regions": {"id": "integer"}} and target_types(text) == {"x": "long"}
-    docs = spark.createDataFrame([("1", 1, [(1, "c")])], "_id string, id bigint, regions array<struct<id:int,city:string>>")
-    with pytest.raises(MappingError, match="regions.city"):
+    text = '{"a": {"mappings": {"properties": {"x": {"type": "long"}}}}, "trip_1": {"mappings": {"properties": {"id": {"type": "long"}, "at": {"type": "date", "format": "s || ms"}, "stops": {"type": "nested", "properties": {"id": {"type": "integer"}}}}}}}'
+    target = target_types(text, "trip")
+    assert target == {"id": "long", "at": ("date", "s || ms"), "stops": {"id": "integer"}} and target_types(text) == {"x": "long"}
+    docs = spark.createDataFrame([("1", 1, [(1, "c")])], "_id string, id bigint, stops array<struct<id:int,city:string>>")
+    with pytest.raises(MappingError, match="stops.city"):
         check_strict(docs, target)
-    assert check_strict(docs.drop("regions"), target).count() == 1
+    assert check_strict(docs.drop("stops"), target).count() == 1
 
 
 def test_names():
@@ -363,7 +365,7 @@ def test_ddl_text(spark):
 
 def test_columns_without_alias(spark):
     register(spark, frames(spark, start()))
-    q = Analyser(spark).query("SELECT j.id AS id, city AS city FROM job j LEFT JOIN region r ON r.job_id = j.id")
+    q = Analyser(spark).query("SELECT j.id AS id, city AS city FROM trip j LEFT JOIN stop r ON r.trip_id = j.id")
     assert Analyser(spark).owner(q, "city") == "r"
     with pytest.raises(MappingError):
         Analyser(spark).owner(q, "id")

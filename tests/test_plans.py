@@ -5,13 +5,13 @@ import pytest
 from docloom.plans.lineage import Analyser, clauses, keys_of, routes, split_list, to_spark
 from docloom.plans.mapping import Field, Mapping, MappingError, digest, fits_adapter, from_dict, load_mappings, order_columns, variables
 
-JOB = Field(
-    "corp", "object-sql",
-    sql="SELECT c.id, c.`name`, GROUP_CONCAT(if(n.type = 2, n.`name`, null)) as aliasNames FROM corp c LEFT JOIN corp_name n on n.corp_id = c.id",
-    on_main="WHERE c.id = #{corp_id} ", on_slave="WHERE c.id = #{id}",
+CARRIER = Field(
+    "carrier", "object-sql",
+    sql="SELECT c.id, c.`name`, GROUP_CONCAT(if(n.type = 2, n.`name`, null)) as otherNames FROM carrier c LEFT JOIN carrier_alias n on n.carrier_id = c.id",
+    on_main="WHERE c.id = #{carrier_id} ", on_slave="WHERE c.id = #{id}",
 )
-REGIONS = Field("regionList", "array-sql", sql="SELECT r.id as id, r.city as city FROM job_region r", on_main="WHERE r.job_id = #{id} ORDER BY r.city DESC, r.id")
-MAPPING = Mapping("job", "SELECT job.id as id, job.`name` as name, concat(job.a, ',', job.b) as both FROM job job", fields=(JOB, REGIONS))
+STOPS = Field("stopList", "array-sql", sql="SELECT r.id as id, r.city as city FROM trip_stop r", on_main="WHERE r.trip_id = #{id} ORDER BY r.city DESC, r.id")
+MAPPING = Mapping("trip", "SELECT trip.id as id, trip.`name` as name, concat(trip.a, ',', trip.b) as both FROM trip trip", fields=(CARRIER, STOPS))
 
 
 def test_clauses_and_lists():
@@ -27,17 +27,17 @@ def test_group_concat_is_ordered():
 def test_fragments():
     assert variables("WHERE a.x = #{id} and #{other} = b.y") == [("a.x", "id"), ("b.y", "other")]
     assert order_columns("WHERE a = #{b} ORDER BY t.c DESC, d") == [("t.c", True), ("d", False)]
-    assert keys_of(JOB) == [("c.id", "corp_id")]
+    assert keys_of(CARRIER) == [("c.id", "carrier_id")]
 
 
 def test_lineage(spark):
     q = Analyser(spark).query(MAPPING.sql)
     assert [(i.name, i.plain) for i in q.items] == [("id", True), ("name", True), ("both", False)]
-    assert q.item("both").columns == (("job", "a"), ("job", "b")) and not q.simple
-    nested = Analyser(spark).query(JOB.sql, check=False)
-    assert [(t.alias, t.table) for t in nested.tables] == [("c", "corp"), ("n", "corp_name")]
-    assert nested.tables[1].pairs == ((("n", "corp_id"), ("c", "id")),)
-    assert nested.item("aliasNames").aggregate
+    assert q.item("both").columns == (("trip", "a"), ("trip", "b")) and not q.simple
+    nested = Analyser(spark).query(CARRIER.sql, check=False)
+    assert [(t.alias, t.table) for t in nested.tables] == [("c", "carrier"), ("n", "carrier_alias")]
+    assert nested.tables[1].pairs == ((("n", "carrier_id"), ("c", "id")),)
+    assert nested.item("otherNames").aggregate
 
 
 def test_case_branches_are_lineage(spark):
@@ -47,9 +47,9 @@ def test_case_branches_are_lineage(spark):
 
 def test_routes(spark):
     found = {(r.view, r.table, r.role): set(r.columns) for r in routes(Analyser(spark), MAPPING)}
-    assert found["", "job", "main"] == {"id", "name", "a", "b", "corp_id"}
-    assert found["corp", "corp", "main_join"] >= {"id", "name"} and found["corp", "corp_name", "slave"] == {"corp_id", "type", "name"}
-    assert found["corp", "job", "owner"] == {"corp_id"} and found["regionList", "job_region", "main"] == {"id", "city", "job_id"}
+    assert found["", "trip", "main"] == {"id", "name", "a", "b", "carrier_id"}
+    assert found["carrier", "carrier", "main_join"] >= {"id", "name"} and found["carrier", "carrier_alias", "slave"] == {"carrier_id", "type", "name"}
+    assert found["carrier", "trip", "owner"] == {"carrier_id"} and found["stopList", "trip_stop", "main"] == {"id", "city", "trip_id"}
 
 
 @pytest.mark.parametrize(
@@ -93,7 +93,7 @@ def test_yaml(tmp_path):
         adapterNamePattern: 'es-*'
         esMapping:
           env: dev
-          _index: kn
+          _index: faq
           pk: id
           write-null: true
           sql: "SELECT q.id AS id, q.words AS words FROM q q"
@@ -111,9 +111,9 @@ def test_yaml(tmp_path):
     found = load_mappings(str(tmp_path), "dev", {"key": "k1"})
     assert list(found) == ["a.yml"]
     m = found["a.yml"]
-    assert m.index == "kn" and m.write_null and m.fields[0].split == "[;]" and m.fields[0].element_type == "int"
+    assert m.index == "faq" and m.write_null and m.fields[0].split == "[;]" and m.fields[0].element_type == "int"
     assert m.fields[1].params == {"apiKey": "k1", "baseUrl": "none"}
-    assert digest(m) != digest(from_dict({"index": "kn", "sql": "SELECT 1 AS id FROM q"}))
+    assert digest(m) != digest(from_dict({"index": "faq", "sql": "SELECT 1 AS id FROM q"}))
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "a.yml").write_text(text)
     with pytest.raises(MappingError):
