@@ -173,6 +173,17 @@ def test_line_dedup(spark, docs):
     assert {r.doc_id for r in left.collect()} == {None} | {i for i, (_, n, t) in expected.items() if not n or t.split()}
 
 
+def test_documents_with_several_texts(spark):
+    """Rows that share an id are one document for lines and benchmark passages; each keeps a row of its own."""
+    line = "a line that is long enough"
+    rows = [(5, f"{line}\nx"), (5, f"other\n{line}"), (6, f"{line}\ny"), (7, "alone in its document"), (7, "alone in its document")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in linededup.line_dedup(df).collect())
+    assert got == [(5, f"{line}\nx", 0), (5, f"other\n{line}", 0), (6, "y", 1), (7, "alone in its document", 0), (7, "alone in its document", 0)]
+    left = decontam.uncontaminated(df, spark.createDataFrame([(1, "other a")], "item_id bigint, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == [6, 7, 7]
+
+
 def test_line_dedup_with_a_full_filter(spark, docs):
     """Filters that suspect everything change nothing."""
     assert sorted(map(str, linededup.line_dedup(docs, bits=20).select("doc_id", "text").collect())) == sorted(map(str, linededup.line_dedup(docs, bits=28).select("doc_id", "text").collect()))
