@@ -1119,3 +1119,58 @@ def history_big_numbers(spark, d):
     old = c.select("c_custkey", big.alias("big"), F.lit("1").alias("one"))
     new = c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, big + 1).otherwise(big).alias("big"), F.lit("1.0").alias("one"))
     return history.deep_diff(old, new, "c_custkey")
+
+
+@query("""select o_orderkey::varchar as _id, count(p_partkey) as n, min(p_brand) as brand from orders left join (lineitem join part on p_partkey = l_partkey and l_returnflag = 'R') on l_orderkey = o_orderkey group by 1""")
+def doc_literal_in_on(spark, d):
+    """A nested query whose ON compares a column with a literal."""
+    sql = "SELECT p.p_brand AS brand, p.p_partkey AS part FROM lineitem l INNER JOIN part p ON p.p_partkey = l.l_partkey AND l.l_returnflag = 'R'"
+    returned = Field("returned", "array-sql", sql=sql, on_main="WHERE l.l_orderkey = #{o_orderkey}")
+    out = view(spark, d, orders_mapping(returned), "orders", "lineitem", "part")
+    return out.select("_id", F.size("returned").cast("bigint").alias("n"), F.get("returned", F.lit(0))["brand"].alias("brand"))
+
+
+@query("select (case when o_orderkey % 6 = 1 then o_orderkey + 100000000 else o_orderkey end)::varchar as _id, o_totalprice as price, c_name as customer from orders left join customer on c_custkey = o_custkey")
+def cdc_key_move(spark, d):
+    """Rows whose primary key changed: the documents move with them."""
+    t, m = tables(spark, d, "orders", "customer", "nation"), orders_mapping(CUSTOMER)
+    moved, k = F.col("o_orderkey") % 6 == 1, F.col("o_orderkey")
+    now = t["orders"].withColumn("o_orderkey", F.when(moved, k + GONE).otherwise(k))
+    snapshot = _before(spark, t, m)
+    register(spark, t | {"orders": now})
+    before = image(ORDER_COLUMNS)
+    after = F.transform_values(before, lambda c, v: F.when(c == "o_orderkey", (k + GONE).cast("string")).otherwise(v))
+    log = t["orders"].filter(moved).select(
+        k.alias("seq"), F.lit("UPDATE").alias("op"), F.lit(False).alias("is_ddl"), F.lit("shop").alias("db"), F.lit("orders").alias("table"), F.array(F.lit("o_orderkey")).alias("pk"),
+        F.lit(0).cast("bigint").alias("es"), F.lit(0).cast("bigint").alias("ts"), before.alias("before"), after.alias("after"),
+    )
+    return incremental.maintain(spark, m, snapshot, log).select("_id", "price", F.col("customer.name").alias("customer"))
+
+
+@query("""select event_id, event_id % 2 = 0 as flag, true as day, event_id % 3 <> 1 as fraction, event_id % 2 = 0 as empty, event_id % 5 <> 0 as place from events""")
+def rec_value_equal(spark, d):
+    """Booleans in several spellings, times against shorter texts, numbers against fractions and texts, emptiness, and places."""
+    e, k = tables(spark, d, "events")["events"], F.col("event_id")
+    s, big, double, flag, time = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
+    ts, same = F.col("ts").cast("timestamp"), equality.value_equal
+    place = F.struct(k.cast("double").alias("lat"), F.lit(2.5).alias("lon"))
+    kind = T.StructType([T.StructField("lat", double), T.StructField("lon", double)])
+    lat = F.when(k % 5 == 0, k + 1).otherwise(k).cast("string")
+    return e.select(
+        "event_id", same(F.lit(True), flag, F.when(k % 2 == 0, "Y").otherwise("0"), s).alias("flag"), same(ts, time, F.date_format(ts, "yyyy-MM-dd"), s).alias("day"),
+        same(k, big, F.when(k % 3 == 1, k + 1.5).otherwise(k + 0.5), double).alias("fraction"), same(F.lit(None).cast("string"), s, F.when(k % 2 == 0, "").otherwise("x"), s).alias("empty"),
+        same(F.concat(lat, F.lit(",2.5")), s, place, kind).alias("place"),
+    )
+
+
+@query(f"with {ORDER_CHANGES_SQL} select seq, op, case when op <> 'UPDATE' or a_cust <> b_cust then 2 else 1 end::bigint as n_views from c where op <> 'UPDATE' or a_price <> b_price or a_cust <> b_cust")
+def cdc_stream_listeners(spark, d):
+    """What a stream's listeners are told, batch after batch."""
+    root, m = scratch(spark), orders_mapping(CUSTOMER)
+    t = tables(spark, d, "orders", "customer", "nation")
+    Snapshots(spark, f"{root}/docs", m.index).write(_before(spark, t | {"orders": earlier_orders(t["orders"])}, m))
+    order_changes(t["orders"]).write.json(f"{root}/log")
+    told = [lambda df, batch: df.write.parquet(f"{root}/told/batch={batch}")]
+    stream = DocumentStream(spark, [m], lambda session: {n: session.read.parquet(f"{d}/{n}.parquet") for n in t}, f"{root}/docs", listeners=told)
+    stream.start(file_changes(spark, f"{root}/log", files_per_trigger=1000), f"{root}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{root}/told").select("seq", "op", F.size("views").cast("bigint").alias("n_views"))
