@@ -35,12 +35,31 @@ def _with_last_delete(requests: DataFrame) -> DataFrame:
     return requests.join(last, ["index", "id"], "left")
 
 
-def merge_adjacent(requests: DataFrame) -> DataFrame:
+def _blocked(requests: DataFrame, block_rows: int) -> DataFrame:
+    """requests with block: runs of consecutive seq, of about block_rows requests each where seq is dense."""
+    totals = requests.agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    low, parts = totals["low"] or 0, max(1, -(-totals["n"] // block_rows))
+    span = max(1, -(-((totals["high"] or 0) - low + 1) // parts))
+    return requests.withColumn("block", F.expr(f"(seq - {low}L) div {span}L"))
+
+
+def merge_adjacent(requests: DataFrame, block_rows: int = 100_000) -> DataFrame:
     """Neighbouring updates of a document with one upsert flag become one. Where several of them write a field the last
-    value stands, so the outcome is that of the sequence. One row for each merged run."""
-    order = Window.partitionBy("index", "id").orderBy("seq")
-    start = (F.lag("kind").over(order).isNull() | (F.lag("kind").over(order) != F.col("kind")) | (F.lag("upsert").over(order) != F.col("upsert")) | (F.col("kind") == "delete")).cast("int")
-    runs = requests.withColumn("_run", F.sum(start).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    value stands, so the outcome is that of the sequence. One row for each merged run.
+
+    Runs are numbered inside blocks of consecutive seq, and each block goes on from the last request and the number of
+    runs of the document's blocks before it; so a document with very many requests is no single task's work."""
+    own = F.struct("kind", "upsert")
+    within, blocks = Window.partitionBy("index", "id", "block").orderBy("seq"), Window.partitionBy("index", "id").orderBy("block")
+    rows = _blocked(requests, block_rows)
+    ends = rows.groupBy("index", "id", "block").agg(F.max_by(own, "seq").alias("end"))
+    rows = rows.join(ends.select("index", "id", "block", F.lag("end").over(blocks).alias("_before")), ["index", "id", "block"])
+    before = F.coalesce(F.lag(own).over(within), F.col("_before"))
+    rows = rows.withColumn("_start", (before.isNull() | (before != own) | (F.col("kind") == "delete")).cast("int"))
+    starts = rows.groupBy("index", "id", "block").agg(F.sum("_start").alias("n"))
+    starts = starts.select("index", "id", "block", F.coalesce(F.sum("n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    runs = rows.withColumn("_run", F.sum("_start").over(within.rowsBetween(Window.unboundedPreceding, 0))).join(starts, ["index", "id", "block"])
+    runs = runs.withColumn("_run", F.col("_run") + F.col("_earlier"))
     each = runs.select("index", "id", "seq", "kind", "upsert", "_run", F.explode_outer("fields").alias("field", "value"))
     last = each.groupBy("index", "id", "kind", "upsert", "_run", "field").agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"))
     entry = F.when(F.col("field").isNotNull(), F.struct("field", "value"))
@@ -114,17 +133,14 @@ def bulk_groups(requests: DataFrame, max_bytes: int, max_requests: int, block_ro
     """requests with lane, block and bulk: bulks of at most max_requests requests and max_bytes of field text, and of one
     request more than that where its text begins below the limit.
 
-    A document's requests are in one lane, and the order of its bulks (block, then bulk) is theirs. Lanes and blocks of
-    consecutive seq follow the number of requests, so a task numbers about block_rows of them, also of one document."""
-    totals = requests.agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
-    parts = max(1, -(-totals["n"] // block_rows))
-    span = max(1, -(-((totals["high"] or 0) - (totals["low"] or 0) + 1) // parts))
+    A document's requests are in one of eight lanes, and the order of its bulks (block, then bulk) is theirs. Blocks of
+    consecutive seq follow the number of requests, so a task numbers about block_rows of them at most, also of one document."""
+    rows = _blocked(requests, block_rows)
     text = F.aggregate(F.map_values("fields"), F.lit(0).cast("bigint"), lambda a, v: a + F.coalesce(F.octet_length(v), F.lit(0)))
-    lane = F.pmod(F.xxhash64("id"), F.lit(min(parts, 64)))
-    block = F.floor((F.col("seq") - F.lit(totals["low"] or 0)) / F.lit(span)).cast("bigint")
+    lane = F.pmod(F.xxhash64("id"), F.lit(8))
     # a request takes its share of the requests or of the bytes of a bulk, whichever is larger, in whole units of both
     cost = F.greatest(F.lit(max_bytes).cast("bigint"), F.coalesce(text, F.lit(0).cast("bigint")) * max_requests)
-    rows = requests.withColumn("lane", lane).withColumn("block", block).withColumn("_cost", cost)
+    rows = rows.withColumn("lane", lane).withColumn("_cost", cost)
     order = Window.partitionBy("index", "lane", "block").orderBy("seq", "id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_cost").over(order), F.lit(0).cast("bigint"))
     return rows.withColumn("bulk", F.floor(before / F.lit(max_bytes * max_requests)).cast("bigint")).drop("_cost")

@@ -167,6 +167,8 @@ def test_merge_keeps_outcome(spark):
     rows = [(str(rng.randrange(3)), rng.choice(["update", "update", "delete"]), True, {rng.choice("abc"): str(n)}) for n in range(40)]
     merged = compact.merge_adjacent(requests(spark, rows)).orderBy("seq").collect()
     assert naive({}, [(r["id"], r["kind"], r["upsert"], r["fields"]) for r in merged]) == naive({}, rows)
+    for size in (1, 3, 7):
+        assert compact.merge_adjacent(requests(spark, rows), block_rows=size).orderBy("seq").collect() == merged, "blocks change nothing"
 
 
 def test_repeated_stamps_go(spark):
