@@ -834,9 +834,9 @@ def field_static_method(spark, d):
     return view(spark, d, m, "customer", methods={"shout": F.upper}).select("_id", "segment")
 
 
-@query()
+@query("select conv_id, turn, (case when trim(text) <> '' then 64 end)::integer as dimensions, case when trim(text) <> '' then 1.0::double end as norm from conversations")
 def embed_batch(spark, d):
-    """Vectors of all conversation texts; equal texts are embedded once."""
+    """Vectors of all conversation texts, of length one; equal texts are embedded once."""
     out = embed(tables(spark, d, "conversations")["conversations"], "text", "vector", hashed_model(64))
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     return out.select("conv_id", "turn", F.size("vector").alias("dimensions"), F.round(norm, 3).alias("norm"))
