@@ -12,8 +12,11 @@ from .licenses import DIGESTS, LICENSES, SPELLINGS, TITLES, known_licenses, lice
 from .linededup import line_dedup
 from .neardup import near_duplicates
 from .quality import quality_rules
+from .search import ranked_search
 from .secrets import secret_scan
 from .shards import kd_shards
+from .spelling import spelling_groups
+from .suffixes import without_repeats
 from .urls import url_filter
 from .warc import warc_round_trip
 
@@ -84,6 +87,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text_digest", "license_id", F.array_join("notices", ",").alias("notices"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +113,9 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_secret_scan,
         op10_license_scan,
+        op11_spelling_variants,
+        op12_ranked_search,
+        op13_suffix_dedup,
     )
 }
 
@@ -122,6 +141,17 @@ _GENERALISED = ",\n".join(
     for k in range(1, _LEVELS + 1)
 )
 
+
+def _crc_table() -> str:
+    """The 256 steps of CRC-32, as an SQL list."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return f"{out}::bigint[]"
+
+
 ORACLE_SQL = {
     "op1_quality_rules": r"""
 with docs as (select doc_id, source, coalesce(text, '') as text from documents),
@@ -226,5 +256,51 @@ items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select s.id as doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from split s left join words on words.doc_id = s.id left join items on items.doc_id = s.id where s.kind = 'd'
+""",
+    "op11_spelling_variants": r"""
+with recursive runs as (select doc_id, """ + _LOWERED.format("run") + r""" as run, count(*)::bigint as n from (
+  select coalesce(doc_id::varchar, '') as doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents) where length(run) >= 6 group by all),
+steps as (select """ + _crc_table() + r""" as crc),
+bytes as (select doc_id, run, n, hex(encode(doc_id || ':' || run)) as hexed from runs),
+summed as (select doc_id, run, n, xor(4294967295, list_reduce(list_transform(range(0, length(hexed) // 2), lambda i: ('0x' || substr(hexed, 2 * i + 1, 2))::bigint),
+  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295::bigint)) as h from bytes, steps),
+words as (select word, sum(n)::bigint as n from (
+  select n, case when h % 199 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word from summed) where length(word) >= 6 group by word having sum(n) >= 5),
+cuts as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as cut from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+near as (select distinct * from (
+  select a.word, a.n, b.word as other, b.n as other_n from cuts a join cuts b using (i, cut) where a.word <> b.word
+  union all select w.word, w.n, c.word, c.n from words w join cuts c on c.cut = w.word
+  union all select c.word, c.n, w.word, w.n from words w join cuts c on c.cut = w.word)),
+ranked as (select *, count(*) over (partition by word) as n_near, row_number() over (partition by word order by other_n desc, other collate "C") as r from near),
+forms as (select word, n_near, case when other_n >= 5 * n then other end as form, case when other_n >= 5 * n then other_n end as form_n from ranked where r = 1),
+walk as (select word, form as root from forms where form is not null union all select w.word, f.form from walk w join forms f on f.word = w.root where f.form is not null),
+ends as (select w.word, w.root from walk w join forms f on f.word = w.root where f.form is null)
+select w.word, f.form, coalesce(e.root, w.word) as root, w.n, coalesce(f.n_near, 0)::bigint as n_near, f.form_n from words w left join forms f using (word) left join ends e using (word)
+""",
+    "op12_ranked_search": r"""
+with d as (select doc_id, row_number() over () as row, regexp_extract_all(""" + _LOWERED.format("coalesce(text, '')") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ts from documents),
+total as (select count(*)::bigint as docs, sum(len(ts))::bigint as length from d where len(ts) > 0),
+i as (select item_id, row_number() over () as item, unnest(regexp_extract_all(""" + _LOWERED.format("coalesce(text, '')") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as term from benchmark),
+q as (select item_id, item, term, count(*)::bigint as q from i group by all),
+p as (select row, doc_id, n, term, count(*)::bigint as tf from (select row, doc_id, len(ts)::bigint as n, unnest(ts) as term from d) where term in (select term from q) group by all),
+w as (select term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::double))::bigint as w from p, total group by term, docs),
+s as (select item, item_id, row, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // length)))))::bigint as score from q join p using (term) join w using (term), total group by all)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item order by score desc, doc_id) as rank from s where score > 0) where rank <= 10
+""",
+    # Texts as hexadecimal digits, cut into parts of 200 starts before windows are taken from them.
+    "op13_suffix_dedup": r"""
+with d as (select row_number() over () as row, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+parts as (select row, a, substr(h, 2 * a + 1, 800) as part from (select row, h, unnest(range(0, greatest(length(h) // 2 - 199, 0), 200)) as a from d)),
+windows as (select row, a + i as s, md5(substr(part, 2 * i + 1, 400)) as w from (select row, a, part, unnest(range(0, least(200, length(part) // 2 - 199))) as i from parts)),
+twice as (select w from windows group by w having count(*) > 1),
+starts as (select row, s, s - lag(s) over (partition by row order by s) as gap from windows join twice using (w)),
+islands as (select row, s, sum(case when gap <= 200 then 0 else 1 end) over (partition by row order by s) as k from starts),
+spans as (select row, k, min(s) as low, max(s) + 200 as high from islands group by row, k),
+edges as (select row, 0 as low, coalesce(min(low), max(n)) as high from (select d.row, length(h) // 2 as n, low from d left join spans using (row)) group by row
+  union all select row, high, coalesce(lead(low) over (partition by row order by k), length(h) // 2) from spans join d using (row)),
+kept as (select row, string_agg(substr(h, 2 * low + 1, 2 * (high - low)), '' order by low) as h from edges join d using (row) group by row)
+select doc_id, length(d.h)::bigint // 2 as n_bytes, (length(d.h) - length(kept.h))::bigint // 2 as n_removed, (select count(*) from spans where spans.row = d.row)::bigint as n_spans,
+  sha256(unhex(kept.h)) as kept_sha256
+from d join kept using (row)
 """,
 }
