@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_clashes, free_name, slices, split_marked, written
@@ -219,16 +219,16 @@ def _remover():
     return run
 
 
-def repeated_runs(docs: DataFrame, *, text_col: str = "text", length: int = 200, bucket_bytes: int = 8 << 20) -> DataFrame:
+def repeated_runs(docs: DataFrame, *, text_col: str = "text", length: int = 200, bucket_bytes: int = 2 << 20) -> DataFrame:
     """(text, start, end): byte ranges of texts, named by their MD5, that are covered by repeated strings of length bytes.
 
-    Ranges of one text may touch or overlap; texts without any are left out. See without_repeats."""
+    Ranges of one text may touch, overlap or come again; texts without any are left out. See without_repeats."""
     texts = docs.select(F.col(f"`{text_col}`").alias("text")).filter(F.octet_length("text") >= length)
     runs = written(texts.mapInArrow(_runner(length), _RUNS_DDL), "runs")
     keys = written(runs.groupBy("key").agg(F.count("*").alias("n"), F.min("anchor").alias("least")).filter("n > 1 or least < 0").select("key"), "keys")
     some, _ = split_marked(runs, F.col("key"), keys)
-    some = written(some.groupBy(*runs.columns).agg(F.count("*").alias("copies")), "repeated")
-    pieces = written(some.groupBy("key", "piece", "n", "anchor").agg(F.sum("copies").alias("copies"), F.min(F.struct("text", "start")).alias("at")), "pieces")
+    some = written(some, "repeated")
+    pieces = written(some.groupBy("key", "piece", "n", "anchor").agg(F.count("*").alias("copies"), F.min(F.struct("text", "start")).alias("at")), "pieces")
     groups = pieces.groupBy("key").agg(F.count("*").alias("distinct"), F.sum(F.col("n") + length - 1).alias("size"), F.min("anchor").alias("least"))
     # in text that repeats in itself equal windows need not lie alike, and a group may be too much for a task: those go window by window
     groups = groups.filter("distinct > 1 or least < 0").select("key", ((F.col("least") < 0) | (F.col("size") > bucket_bytes)).alias("apart"))
@@ -247,13 +247,15 @@ def repeated_runs(docs: DataFrame, *, text_col: str = "text", length: int = 200,
     marks = written(lined.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_marker(length), _MARKS_DDL), "marks")
     windows = written(apart.mapInArrow(_windower(length), "key bigint, piece binary, at int, window binary"), "windows")
     twice = written(windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "twice")
-    single = windows.join(twice, "window").select("key", "piece", F.col("at").alias("first"), F.col("at").alias("last"))
+    # windows in a row become one mark: a piece has at most length of them
+    row = F.row_number().over(Window.partitionBy("key", "piece").orderBy("at"))
+    single = windows.join(twice, "window").select("key", "piece", "at").withColumn("run", F.col("at") - row)
+    single = single.groupBy("key", "piece", "run").agg(F.min("at").alias("first"), F.max("at").alias("last")).drop("run")
     marks = equal.unionByName(marks).unionByName(single)
-    found = some.join(marks, ["key", "piece"]).select("text", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + length).alias("end"))
-    return found.distinct()
+    return some.join(marks, ["key", "piece"]).select("text", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + length).alias("end"))
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, bucket_bytes: int = 8 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200, bucket_bytes: int = 2 << 20) -> DataFrame:
     """id_col, n_bytes, n_removed, spans (runs of removed bytes) and kept (the bytes that stay) for each row of docs.
 
     A byte goes if a string of length bytes that covers it also starts anywhere else, in this text or another.
@@ -279,7 +281,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if length < 2 * GRAM or length > 16000:
         raise ValueError(f"length must be from {2 * GRAM} to 16000 bytes")
     found = repeated_runs(docs, text_col=text_col, length=length, bucket_bytes=bucket_bytes)
-    marks = written(found.groupBy(F.col("text").alias("_name")).agg(F.collect_list(F.struct("start", "end")).alias("_marks")), "spans")
+    marks = written(found.groupBy(F.col("text").alias("_name")).agg(F.collect_set(F.struct("start", "end")).alias("_marks")), "spans")
     base = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     base = base.withColumn("_name", F.unhex(F.md5(F.encode(F.coalesce("_text", F.lit("")), "UTF-8"))))
     some, rest = split_marked(base, F.xxhash64("_name"), marks.select(F.xxhash64("_name")))
