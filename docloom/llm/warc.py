@@ -186,18 +186,38 @@ def _before(data: _Bytes, at: int) -> int:
     return -1
 
 
-def _inside(data: _Bytes, at: int, depth: int = 8) -> bool:
-    """Whether one of the depth records that begin before at reaches beyond it: then what begins there is part of a payload."""
-    q = at
-    for _ in range(depth):
-        while (q := _before(data, q)) >= 0:
-            if _starts_record(data, q) and (found := _whole(data, q)):
-                break
-        if q < 0:
-            return False
-        if found[1] > at:
+#: A stored block of deflate holds at most so many bytes in a row; between two of them stands a header.
+STORED = 65_535
+
+
+def _proven(data: _Bytes, at: int, size: int) -> bool:
+    """Whether whole records follow one another from here for more than a stored block holds, or up to the file's end.
+
+    Bytes of another archive can only stand in a member's payload as they are in stored blocks, and a record that reaches over a
+    block's end is broken there. So such a row of records is none of a payload."""
+    p = at
+    while p - at <= STORED:
+        if p == size:
             return True
-    return False
+        found = _whole(data, p) if _starts_record(data, p) else None
+        if not found:
+            return False
+        p = found[1]
+    return True
+
+
+def _enclosing(data: _Bytes, at: int, size: int) -> int | None:
+    """The end of a record before at that reaches beyond it, of whose payload at is a part; None if there is none.
+
+    Records are looked at backwards, however many they are, up to the file's beginning or to one that is proven and ends before at."""
+    q = at
+    while (q := _before(data, q)) >= 0:
+        if _starts_record(data, q) and (found := _whole(data, q)):
+            if found[1] > at:
+                return found[1]
+            if q == 0 or _proven(data, q, size):
+                return None
+    return None
 
 
 def members(file, start: int, end: int, size: int) -> Iterator[tuple[int, bytes | None]]:
@@ -206,10 +226,11 @@ def members(file, start: int, end: int, size: int) -> Iterator[tuple[int, bytes
 
     A range seldom begins at a member, so gzip's magic bytes are looked for from start on; they also occur inside
     compressed data, so a candidate counts only if its first bytes decode to a WARC version line and it decodes to its
-    end, checksum included. Records of another archive, stored inside a payload without compression, do so too; a
-    candidate is taken for one of those if a record before it reaches beyond it (see _inside: only more than 8 records
-    stored in one payload mislead). What lies behind a record has no say, so a record in front of damaged bytes counts,
-    wherever ranges are cut. From there each member's end is the next one's start; the last one may reach beyond end."""
+    end, checksum included. Records of another archive, stored inside a payload without compression, do so too. A candidate is
+    none of those if more whole records follow it than a payload can hold in a row (see _proven); where damage or such a
+    payload leaves that open, it is one if a record before it reaches beyond it, and the search goes on behind that. So the records are the
+    same wherever ranges are cut, and a record in front of damaged bytes counts. From there each member's end is
+    the next one's start; the last one may reach beyond end."""
     data, at, in_step = _Bytes(file), start, start == 0
     while at < end:
         if not in_step:
@@ -222,7 +243,10 @@ def members(file, start: int, end: int, size: int) -> Iterator[tuple[int, bytes
             if at >= end:
                 return
         found = _whole(data, at) if _starts_record(data, at) else None
-        if found and (in_step or not _inside(data, at)):
+        around = None if not found or in_step or at == 0 or _proven(data, at, size) else _enclosing(data, at, size)
+        if around:
+            at = around
+        elif found:
             yield at, found[0]
             at, in_step = found[1], True
             if at >= end and at < size and not (_starts_record(data, at) and _whole(data, at)):

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import random
 import zlib
 from base64 import b32encode
 from pathlib import Path
@@ -73,6 +74,22 @@ def test_ranges_own_each_record_once():
         assert found == contents, size
 
 
+@pytest.mark.parametrize("count", [30, 700])
+def test_archives_inside_payloads_invent_no_record(count):
+    """However many whole records a stored payload holds, in one stored block or in several, no range takes one for its own."""
+    inner = b"".join(warc.member(warc.record("response", 1000 + n, None, bytes(random.Random(n).randbytes(150)), "D", 150, None)) for n in range(count))
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    holder = warc.record("response", 1, None, inner, "D", len(inner), None)
+    contents = [warc.record("response", 0, None, b"first", "D", 5, None), holder, warc.record("response", 2, None, b"last", "D", 4, None)]
+    raw = warc.member(contents[0]) + z.compress(holder) + z.flush() + warc.member(contents[2])
+    assert (len(inner) > 65_535) == (count == 700)
+    for size in (777, 1000, 3000, 4096, 65_536, len(raw)):
+        found = []
+        for start in range(0, len(raw), size):
+            found += [c for _, c in warc.members(io.BytesIO(raw), start, min(start + size, len(raw)), len(raw))]
+        assert found == contents, size
+
+
 def test_broken_member_is_passed_over():
     good = [warc.member(warc.record("response", n, None, b"payload", "D", 7, None)) for n in range(3)]
     raw = good[0] + good[1][:-20] + b"\x00" * 20 + good[2]
@@ -151,7 +168,7 @@ def test_templates(spark):
     rows += [(f"http://u/user-{chr(97 + n)}x/wall", 1 if n % 2 else 0) for n in range(12)]
     rows += [("http://deep/" + "/".join("abcdefghijkl"), None)]
     df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "page_id int, url string, bad int")
-    got = {rows[r.page_id][0]: r for r in urls.url_filter(df, [], label_col="bad").collect()}
+    got = {rows[r.page_id][0]: r for r in urls.url_filter(df, [], label_col="bad", max_depth=8).collect()}
     assert got["http://h/ads/999.html"].verdict == "block" and got["http://h/news/999.html"].verdict == "allow" and got["http://h/other/1.html"].verdict == "allow"
     assert got["http://u/user-ax/wall"].template == "*/wall" and got["http://u/user-ax/wall"].verdict == "allow"
     assert got["http://deep/a/b/c/d/e/f/g/h/i/j/k/l"].template == "a/b/c/d/e/f/g/h/**"
