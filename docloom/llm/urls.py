@@ -109,7 +109,6 @@ def judge_templates(
     variable_repeats: float = 3.0,
     similar_z: float = 2.0,
     prior_weight: float = 5.0,
-    back_off_levels: int = 16,
 ) -> DataFrame:
     """labelled (host, segments, label: 1 bad, 0 good, null unknown) -> a row for each host and segments: template, evidence
     (the labels of its own template) and purity, the smoothed share of bad ones.
@@ -121,8 +120,7 @@ def judge_templates(
        and those without a label, stay apart.
     3. Purity: from the whole table's share over the host's domains (com, example.com, ...) and the path's nodes down to
        the template, every level's labels are smoothed with prior_weight labels of the level above. So a template
-       without labels has the purity of the nearest node above it that has some. The nodes are the path's first
-       back_off_levels levels and the template itself, however deep that is."""
+       without labels has the purity of the nearest node above it that has some, at whatever depth."""
     forms = (
         labelled.groupBy("host", "segments")
         .agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("bad"))
@@ -134,12 +132,9 @@ def judge_templates(
     templates = written(forms.groupBy("host", "template").agg(F.first("path").alias("path"), F.sum("known").alias("known"), F.sum("bad").alias("bad")), "counts")
 
     # The path's nodes: level d holds the first d segments; the template itself is the last.
-    depth = F.least(F.size("path"), F.lit(back_off_levels))
     named = lambda d: F.concat_ws("/", F.col("host"), F.slice("path", F.lit(1), d))
     level = lambda d: F.struct(d.alias("depth"), named(d).alias("node"), named(d - 1).alias("parent"))
-    steps = F.transform(F.sequence(F.lit(1), depth), level)
-    last = F.struct((depth + 1).alias("depth"), F.concat_ws("/", "host", "template", F.lit("")).alias("node"), named(depth).alias("parent"))
-    steps = F.when(F.size("path") > depth, F.concat(steps, F.array(last))).otherwise(steps)
+    steps = F.transform(F.sequence(F.lit(1), F.size("path")), level)
     placed = templates.select("host", "template", "known", "bad", F.explode(steps).alias("s")).select("host", "template", "known", "bad", "s.*")
     placed = written(placed, "placed")
     nodes = placed.groupBy("depth", "node", "parent").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
@@ -172,7 +167,7 @@ def url_filter(
     id_col: str = "page_id",
     url_col: str = "url",
     label_col: str | None = None,
-    max_depth: int | None = 8,
+    max_depth: int | None = None,
     block_purity: float = 0.8,
     **tree,
 ) -> DataFrame:
@@ -183,7 +178,7 @@ def url_filter(
     null unknown) or else from the rules' own verdicts, which cover a part of the urls.
 
     Cases: a null url, or one without ://, has an empty host and path, fits no rule and is judged as the template of that
-    host; repeated rows and urls are judged alike (and count as often as they occur); paths deeper than max_depth end in ** (None: whole paths count); an empty
+    host; repeated rows and urls are judged alike (and count as often as they occur); whole paths count, unless max_depth cuts deeper ones, which then end in **; an empty
     table gives an empty result; other columns are ignored, whatever their names.
 
     Scale: only id and url are read. Rows are counted by host and form first, with partial sums in each task, so a host
