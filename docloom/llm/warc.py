@@ -190,32 +190,37 @@ def _before(data: _Bytes, at: int) -> int:
 STORED = 65_535
 
 
-def _proven(data: _Bytes, at: int, size: int) -> bool:
-    """Whether whole records follow one another from here for more than a stored block holds, or up to the file's end.
+def _broken(data: _Bytes, at: int, size: int) -> int | None:
+    """Where the whole records that follow one another from here end; None if that is the file's end, or if they take more
+    than a stored block holds.
 
     Bytes of another archive can only stand in a member's payload as they are in stored blocks, and a record that reaches over a
-    block's end is broken there. So such a row of records is none of a payload."""
+    block's end is broken there. So a row of records longer than a block is none of a payload."""
     p = at
     while p - at <= STORED:
         if p == size:
-            return True
+            return None
         found = _whole(data, p) if _starts_record(data, p) else None
         if not found:
-            return False
+            return p
         p = found[1]
-    return True
+    return None
 
 
-def _enclosing(data: _Bytes, at: int, size: int) -> int | None:
+def _enclosing(data: _Bytes, at: int, broken: int) -> int | None:
     """The end of a record before at that reaches beyond it, of whose payload at is a part; None if there is none.
 
-    Records are looked at backwards, however many they are, up to the file's beginning or to one that is proven and ends before at."""
-    q = at
+    Records are looked at backwards, however many they are, up to the file's beginning or to a row of them (which is broken
+    at a place) that is too long for a payload."""
+    q = first = at
     while (q := _before(data, q)) >= 0:
         if _starts_record(data, q) and (found := _whole(data, q)):
             if found[1] > at:
                 return found[1]
-            if q == 0 or _proven(data, q, size):
+            if found[1] != first:
+                broken = found[1]
+            first = q
+            if q == 0 or broken - first > STORED:
                 return None
     return None
 
@@ -227,7 +232,7 @@ def members(file, start: int, end: int, size: int) -> Iterator[tuple[int, bytes
     A range seldom begins at a member, so gzip's magic bytes are looked for from start on; they also occur inside
     compressed data, so a candidate counts only if its first bytes decode to a WARC version line and it decodes to its
     end, checksum included. Records of another archive, stored inside a payload without compression, do so too. A candidate is
-    none of those if more whole records follow it than a payload can hold in a row (see _proven); where damage or such a
+    none of those if more whole records follow it than a payload can hold in a row (see _broken); where damage or such a
     payload leaves that open, it is one if a record before it reaches beyond it, and the search goes on behind that. So the records are the
     same wherever ranges are cut, and a record in front of damaged bytes counts. From there each member's end is
     the next one's start; the last one may reach beyond end."""
@@ -243,7 +248,8 @@ def members(file, start: int, end: int, size: int) -> Iterator[tuple[int, bytes
             if at >= end:
                 return
         found = _whole(data, at) if _starts_record(data, at) else None
-        around = None if not found or in_step or at == 0 or _proven(data, at, size) else _enclosing(data, at, size)
+        broken = None if not found or in_step or at == 0 else _broken(data, at, size)
+        around = None if broken is None else _enclosing(data, at, broken)
         if around:
             at = around
         elif found:
