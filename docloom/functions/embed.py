@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -15,6 +18,45 @@ from pyspark.sql import functions as F
 Model = Callable[[list[str]], list[list[float]]]
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a vector field's parameters allow: texts of one request, requests of one minute (None: any), and the queue
+    that shares them. Fields that name one queue, in any mapping, keep to its rate together."""
+
+    request_size: int = 6
+    per_minute: int | None = 60
+    queue: str = ""
+
+
+def limits(params: dict) -> Limits:
+    """Limits from a mapping's paramLlmVector; a rate of 0 or below is none. Without a queue name, the model's class and name stand for it."""
+    own = {str(k).replace("-", "").replace("_", "").lower(): v for k, v in params.items()}
+    rate = int(own.get("qpm", 60))
+    queue = own.get("requestqueuename") or "/".join(str(own.get(k) or "") for k in ("modelclass", "baseurl", "modelname"))
+    return Limits(max(1, int(own.get("requestmaxcontentsize", 6))), rate if rate > 0 else None, str(queue))
+
+
+class Vectors(Protocol):
+    """Where vectors are kept over runs; see sources.vectors."""
+
+    def embed(self, df: DataFrame, text_col: str, out_col: str, model: Model, limit: Limits) -> DataFrame: ...
+
+
+class Rate:
+    """The requests of one queue: its jobs go one after another, and the first request of one waits for the last of the one before."""
+
+    _queues: dict[str, Rate] = {}
+    _guard = threading.Lock()
+
+    def __init__(self):
+        self.lock, self.free_at = threading.Lock(), 0.0
+
+    @classmethod
+    def of(cls, queue: str) -> Rate:
+        with cls._guard:
+            return cls._queues.setdefault(queue, cls())
+
+
 def hashed_model(dimensions: int) -> Model:
     """A deterministic stand-in for an embedding service: unit vectors from a text's digest."""
 

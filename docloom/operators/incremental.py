@@ -6,6 +6,7 @@ to another key or are gone. Their values are then recomputed from the current ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,11 @@ from pyspark.sql import types as T
 from ..plans.lineage import Analyser, Query, Route, keys_of, routes
 from ..plans.mapping import Field, Mapping
 from ..sources.snapshots import stored
-from .changes import concerning
-from .view import Methods, Models, build_view, source_sql, temporary
+from .changes import changed_columns, concerning
+from .view import Methods, Models, build_view, field_values, source_sql, temporary
+
+#: Nested keys (_k0, ...) of a field -> the ids of their documents (_id): see streaming.owners.
+Owners = Callable[[Field, DataFrame], DataFrame]
 
 
 def images(changes: DataFrame, schema: T.StructType) -> DataFrame:
@@ -40,21 +44,23 @@ def _through(spark: SparkSession, q: Query, route: Route, rows: DataFrame, out:
     return spark.sql(f"SELECT DISTINCT {out} FROM {source} WHERE {route.alias}._hit")
 
 
-def _owners(spark: SparkSession, whole: Query, mapping: Mapping, keys: DataFrame, f: Field) -> DataFrame:
+def _owners(spark: SparkSession, whole: Query, mapping: Mapping, keys: DataFrame, f: Field, known: Owners | None = None) -> DataFrame:
     """The ids of documents tied to nested keys (_k0, ...): the keys themselves where they are tied by the primary key,
-    else the main table by its key columns. Ids without a document fall out when they are recomputed."""
+    else what is known of them, or the main table by its key columns. Ids without a document fall out when they are recomputed."""
     main = whole.main
     pk = whole.item(mapping.pk).columns[0][1]
     tied = [v for _, v in keys_of(f)]
     if [v.lower() for v in tied] == [pk.lower()]:
         kind = next(x.dataType for x in spark.table(main.table).schema.fields if x.name.lower() == pk.lower())
         return keys.select(F.col("_k0").try_cast(kind).cast("string").alias("_id"))
+    if known is not None:
+        return known(f, keys)
     owners = spark.table(main.table).select(F.col(pk).cast("string").alias("_id"), *[F.col(v).alias(f"_v{n}") for n, v in enumerate(tied)])
     on = reduce(lambda a, b: a & b, [owners[f"_v{n}"] == keys[f"_k{n}"] for n in range(len(tied))])
     return owners.join(keys, on, "left_semi").select("_id")
 
 
-def affected(spark: SparkSession, mapping: Mapping, changes: DataFrame, analyser: Analyser | None = None) -> DataFrame:
+def affected(spark: SparkSession, mapping: Mapping, changes: DataFrame, analyser: Analyser | None = None, known: Owners | None = None) -> DataFrame:
     """(_id, view) for each document and view that the changes concern; view "" is the main query.
 
     main: the documents of the changed rows themselves. Main query slaves: the documents that join the rows. Nested
@@ -74,7 +80,7 @@ def affected(spark: SparkSession, mapping: Mapping, changes: DataFrame, analyser
         else:
             f, q = nested[r.view]
             out = ", ".join(f"{k} AS _k{n}" for n, (k, _) in enumerate(keys_of(f)))
-            own = _owners(spark, whole, mapping, _through(spark, q, r, rows, out), f)
+            own = _owners(spark, whole, mapping, _through(spark, q, r, rows, out), f, known)
         found.append(own.filter("_id is not null").withColumn("view", F.lit(r.view)))
     return reduce(DataFrame.unionByName, found).distinct()
 
@@ -89,6 +95,38 @@ def recompute(spark: SparkSession, mapping: Mapping, changes: DataFrame, *, meth
     return now, ids.join(now.select("_id"), "_id", "left_anti")
 
 
+def recompute_parts(
+    spark: SparkSession, mapping: Mapping, changes: DataFrame, *, known: Owners | None = None, **how
+) -> tuple[DataFrame, DataFrame, list[tuple[list[str], DataFrame]]]:
+    """(upserts, deletes, parts): what recompute gives, by fields. parts holds, for the main columns and for each nested field,
+    their names and their values in the documents where only these may have changed: _id and the fields.
+
+    A document is made whole if its own row came, went or changed its key, or if the main query joins other tables, which
+    may bring documents or take them. Otherwise a changed nested table is the only table read, beside the main table's keys; and of
+    a document's own row, the main columns and the nested fields whose keys it changed. how goes to build_view."""
+    analyser = Analyser(spark)
+    whole = analyser.query(mapping.sql)
+    pk = whole.item(mapping.pk).columns[0][1]
+    found = stored(affected(spark, mapping, changes, analyser, known))
+    own = changes.filter(F.lower("table") == whole.main.table.lower())
+    moved = own.filter((F.col("op") != "UPDATE") | F.array_contains(F.transform(changed_columns(F.col("before"), F.col("after")), F.lower), pk.lower()))
+    kind = next(x for x in spark.table(whole.main.table).schema.fields if x.name.lower() == pk.lower())
+    ids = images(moved, T.StructType([kind])).select(F.col(kind.name).cast("string").alias("_id"))
+    if len(whole.tables) > 1:
+        ids = ids.unionByName(found.filter("view = ''").select("_id"))
+    ids = stored(ids.filter("_id is not null").distinct())
+    upserts = build_view(spark, mapping, only=ids, analyser=analyser, **how)
+    deletes = ids.join(upserts.select("_id"), "_id", "left_anti")
+    rest = found.join(ids, "_id", "left_anti")
+    of = lambda view: rest.filter(F.col("view") == view).select("_id").distinct()
+    parts = []
+    if len(whole.tables) == 1:
+        main = build_view(spark, mapping, only=of(""), fields=[], analyser=analyser, **how)
+        parts.append(([c for c in main.columns if c != "_id"], main))
+    parts += [([f.name], field_values(spark, mapping, f, of(f.name), analyser, **how)) for f in mapping.nested]
+    return upserts, deletes, parts
+
+
 def merged(snapshot: DataFrame, upserts: DataFrame, deletes: DataFrame) -> DataFrame:
     """The snapshot after upserts (whole documents) and deletes (ids). Applying the same twice changes nothing."""
     gone = upserts.select("_id").unionByName(deletes.select("_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import convert
-from ..functions.embed import Model, embed
+from ..functions.embed import Model, Vectors, embed, limits
 from ..plans.lineage import Analyser, Query, keys_of
 from ..plans.mapping import Field, Mapping, MappingError, order_columns
 
@@ -124,38 +124,59 @@ def derived(col: Column, kind: T.DataType, f: Field, methods: Methods) -> Column
 
 
 def _compared(x: Column, y: Column, descending: list[bool]) -> Column:
-    """-1, 0 or 1 for two entries, by their order columns of any type and then by their values. Null is the least."""
+    """-1, 0 or 1 for two entries, by their order columns of any type and then by their rows. Null is the least."""
 
     def by(a: Column, b: Column) -> Column:
         both = F.when(a < b, -1).when(a > b, 1).otherwise(0)
         return F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), -1).when(b.isNull(), 1).otherwise(both)
 
     steps = [(-by(x[f"r{n}"], y[f"r{n}"]) if d else by(x[f"r{n}"], y[f"r{n}"])) for n, d in enumerate(descending)]
-    out = by(x["value"], y["value"])
+    out = by(x["row"], y["row"])
     for step in reversed(steps):
         out = F.when(step != 0, step).otherwise(out)
     return out
 
 
-def nested_values(rows: DataFrame, names: list[str], f: Field, mapping: Mapping, methods: Methods) -> DataFrame:
+def nested_values(rows: DataFrame, names: list[str], f: Field, mapping: Mapping, methods: Methods, models: Models | None = None, vectors: Vectors | None = None) -> DataFrame:
     """One row for each key with the field's value: the first row, all rows, or their first column.
 
-    Rows are in the fragment's order, or else in their own; the first row is the least."""
+    Rows are in the fragment's order, or else in their own; the first row is the least. Children are derived beside the
+    columns that rows are ordered by, so that JSON objects and vectors, which have no order, can be children too."""
     children = {c.leaf: c for c in mapping.children(f.name)}
+    for name in [n for n in names if n in children and children[n].kind == "llm-vector"]:
+        rows = embedded(rows, name, f"_vector_{name}", children[name], models or {}, vectors)
     types = dict(zip(rows.columns, [x.dataType for x in rows.schema], strict=True))
-    cols = [(derived(F.col(f"`{n}`"), types[n], children[n], methods) if n in children else F.col(f"`{n}`")).alias(n) for n in names]
+
+    def value(n: str) -> Column:
+        if n not in children:
+            return F.col(f"`{n}`")
+        return F.col(f"`_vector_{n}`") if children[n].kind == "llm-vector" else derived(F.col(f"`{n}`"), types[n], children[n], methods)
+
+    cols = [value(n).alias(n) for n in names]
     keys = [f"_k{n}" for n in range(len(keys_of(f)))]
     order = order_columns(f.on_main)
-    value = cols[0] if "flat" in f.kind else F.struct(*cols)
-    entry = F.struct(*[F.col(f"_o{n}").alias(f"r{n}") for n in range(len(order))], value.alias("value"))
-    if not any(descending for _, descending in order):
-        found = F.min(entry)["value"] if f.kind.startswith("object") else F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["value"])
+    whole = cols[0] if "flat" in f.kind else F.struct(*cols)
+    in_row = F.col(f"`{names[0]}`") if "flat" in f.kind else F.struct(*[F.col(f"`{n}`") for n in names])
+    apart = any(children[n].kind in ("object", "llm-vector") for n in names if n in children)
+    parts = [F.col(f"_o{n}").alias(f"r{n}") for n in range(len(order))] + ([in_row.alias("row"), whole.alias("value")] if apart else [whole.alias("row")])
+    entry, final = F.struct(*parts), "value" if apart else "row"
+    listed, falling = F.collect_list(entry), [descending for _, descending in order]
+    if apart or any(falling):
+        in_order = F.array_sort(listed, lambda x, y: _compared(x, y, falling))
+        found = F.get(in_order, F.lit(0))[final] if f.kind.startswith("object") else F.transform(in_order, lambda e: e[final])
     else:
-        in_order = F.array_sort(F.collect_list(entry), lambda x, y: _compared(x, y, [d for _, d in order]))
-        found = F.get(in_order, F.lit(0))["value"] if f.kind.startswith("object") else F.transform(in_order, lambda e: e["value"])
+        found = F.min(entry)["row"] if f.kind.startswith("object") else F.transform(F.array_sort(listed), lambda e: e["row"])
     return rows.groupBy(*keys).agg(found.alias(f.name))
 
 
+def embedded(df: DataFrame, text_col: str, out_col: str, f: Field, models: Models, vectors: Vectors | None) -> DataFrame:
+    """df with out_col, the vector of a text, within the limits that the field's parameters set."""
+    limit = limits(f.params)
+    if vectors is not None:
+        return vectors.embed(df, text_col, out_col, _model(f, models), limit)
+    return embed(df, text_col, out_col, _model(f, models), request_size=limit.request_size, per_minute=limit.per_minute)
+
+
 def build_view(
     spark: SparkSession,
     mapping: Mapping,
@@ -166,13 +187,16 @@ def build_view(
     models: Models | None = None,
     where: str | None = None,
     analyser: Analyser | None = None,
+    vectors: Vectors | None = None,
 ) -> DataFrame:
     """The documents of a mapping over the registered tables, one row each: _id, the main columns and the nested fields.
 
     only (_id) restricts it to some documents: the main query is semi-joined first and nested queries by the keys of
     what remains, so recomputing a few documents reads their rows only. where is a predicate on the main table's columns,
     which reaches its scan. fields restricts the nested fields. models are the embedding models of vector fields by name
-    (a field's paramLlmVector names one in modelClass; the name "" stands for all others). Keys join by equality, so documents without nested rows have null, or an empty array."""
+    (a field's paramLlmVector names one in modelClass; the name "" stands for all others); requests keep to the size and the
+    rate that the parameters set. vectors keeps what models answered, and one rate for all who ask. Keys join by equality, so
+    documents without nested rows have null, or an empty array."""
     analyser, methods = analyser or Analyser(spark), methods or {}
     q = analyser.query(mapping.sql)
     replaced = {q.main.alias: temporary(spark.table(q.main.table).filter(trim_where(where)))} if where else None
@@ -188,7 +212,7 @@ def build_view(
         if only is not None or where:
             own = docs.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).distinct()
             rows = rows.join(own, [f"_k{n}" for n in range(len(keys))], "left_semi")
-        values = nested_values(rows, names, f, mapping, methods)
+        values = nested_values(rows, names, f, mapping, methods, models, vectors)
         on = reduce(lambda a, b: a & b, [docs[k] == values[f"_k{n}"] for n, k in enumerate(keys)])
         kind = values.schema[f.name].dataType
         docs = docs.join(values, on, "left").drop(*[f"_k{n}" for n in range(len(keys))])
@@ -196,12 +220,30 @@ def build_view(
             docs = docs.withColumn(f.name, F.coalesce(f.name, F.array().cast(kind)))
     for x in docs.schema.fields:
         if x.name in scalars and scalars[x.name].kind == "llm-vector":
-            docs = embed(docs, x.name, x.name, _model(scalars[x.name], models or {}))
+            docs = embedded(docs, x.name, x.name, scalars[x.name], models or {}, vectors)
         elif x.name in scalars:
             docs = docs.withColumn(x.name, derived(F.col(f"`{x.name}`"), x.dataType, scalars[x.name], methods))
     return docs.drop(*[c for c in docs.columns if c.startswith("_k_")])
 
 
+def field_values(spark: SparkSession, mapping: Mapping, f: Field, only: DataFrame, analyser: Analyser, **how) -> DataFrame:
+    """(_id, value of one nested field) for the documents of only (_id): the main table's keys and the field's own tables are
+    read, and nothing else of the view. how: methods, models, vectors."""
+    q = analyser.query(mapping.sql)
+    pk = q.item(mapping.pk).columns[0][1]
+    tied = [v for _, v in keys_of(f)]
+    keys = [f"_k{n}" for n in range(len(tied))]
+    main = spark.table(q.main.table)
+    owners = _restricted(main.select(F.col(f"`{pk}`").alias("_pk"), *[F.col(f"`{v}`").alias(k) for v, k in zip(tied, keys, strict=True)]), "_pk", only)
+    owners = owners.withColumn("_id", F.col("_pk").cast("string")).drop("_pk").distinct()
+    rows, names = nested_rows(spark, analyser, f, mapping)
+    rows = rows.join(owners.select(*keys).distinct(), keys, "left_semi")
+    values = nested_values(rows, names, f, mapping, how.get("methods") or {}, how.get("models"), how.get("vectors"))
+    out = owners.join(values, keys, "left").select("_id", f.name)
+    kind = values.schema[f.name].dataType
+    return out.withColumn(f.name, F.coalesce(f.name, F.array().cast(kind))) if isinstance(kind, T.ArrayType) else out
+
+
 def _restricted(docs: DataFrame, key: str, only: DataFrame) -> DataFrame:
     """docs whose id is in only (_id). Whole numbers and texts are compared in the key's own type, so that the join reaches
     below the grouping and runtime filters reach the scan."""

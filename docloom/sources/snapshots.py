@@ -31,15 +31,27 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Columns of a delta beside the documents': the version that wrote a row, whether it deletes, and the fields it sets (null: all).
+DELTA = "_v bigint, _gone boolean, _set array<string>"
+
+
 class Snapshots:
-    """An index's documents under root/index, in buckets by a hash of _id.
+    """An index's documents under root/index, merged on read, in buckets by a hash of their key.
+
+    Version v is the file committed-v, which appears in one step. It names what a version changes: for each touched bucket
+    its base folder and the folders of deltas over it, and for each stream the last batch that is in it. Every sixteenth is
+    whole, so a state is read from sixteen small files at most.
+
+    An update writes one delta: whole documents, deletions, and parts of documents (some fields of them). It reads and
+    rewrites nothing that is there, so it costs what it holds. Reading overlays the deltas on their base rows; base rows whose
+    ids are in no delta pass by a bitmap of those ids without a shuffle. compact() rewrites the buckets that have many or large deltas, and
+    splits those that have grown beyond bucket_bytes in two, again and again; other buckets stay as they are.
 
-    Version v is the file committed-v, which appears in one step: the folder of each bucket, and for each stream the last
-    batch that is in it. An update writes the buckets that it touches and leaves the others where they are, so a small
-    batch costs a small part of the index."""
+    by is the column that buckets go by, _id unless all rows of another value are to lie together."""
 
-    def __init__(self, spark: SparkSession, root: str, index: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, root: str, index: str, buckets: int = 32, *, by: str = "_id", bucket_bytes: int = 256 << 20, most_deltas: int = 8):
         self.spark, self.path, self.buckets = spark, f"{root.rstrip('/')}/{index}", buckets
+        self.by, self.bucket_bytes, self.most_deltas = by, bucket_bytes, most_deltas
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._root = self._hadoop.Path(self.path)
         self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -61,42 +73,101 @@ class Snapshots:
         finally:
             stream.close()
 
+    def state(self, version: int) -> dict:
+        """schema, marks and all buckets of a version: the changes since the last whole commit, one over the other."""
+        log = [self._commit(version)]
+        while not log[-1]["whole"]:
+            log.append(self._commit(version - len(log)))
+        buckets: dict[int, dict] = {}
+        for commit in reversed(log):
+            for b in commit["gone"]:
+                buckets.pop(b, None)
+            buckets |= {int(b): x for b, x in commit["buckets"].items()}
+        return {"schema": log[0]["schema"], "marks": log[0]["marks"], "buckets": buckets}
+
     def applied(self, stream: str) -> int:
         """The last batch of a stream that the current version holds; -1 if none."""
         v = self.version()
         return -1 if v is None else self._commit(v)["marks"].get(stream, -1)
 
-    def read(self, version: int | None = None) -> DataFrame | None:
+    def read(self, version: int | None = None, only: DataFrame | None = None) -> DataFrame | None:
+        """The documents of a version, the current one by default. With only, those of the buckets that its keys (a column named
+        as by) lie in: a superset of what the keys name, from as few files."""
         v = self.version() if version is None else version
-        return None if v is None else self._read(self._commit(v), None)
-
-    def _read(self, commit: dict, buckets: list[int] | None) -> DataFrame | None:
-        """All documents of a version, or those of some buckets."""
-        paths = [f"{self.path}/{folder}/_bucket={b}" for b, folder in commit["folders"].items() if buckets is None or int(b) in buckets]
-        if not paths:
-            return self.spark.createDataFrame([], commit["schema"])
-        return self.spark.read.option("mergeSchema", "true").schema(commit["schema"]).parquet(*paths)
-
-    def _bucket(self, buckets: int) -> Column:
-        return F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(buckets)).cast("int")
-
-    def _put(self, docs: DataFrame, version: int, buckets: int, kept: dict, marks: dict) -> int:
-        """Writes docs as the buckets that they lie in, and commits them with the folders that are kept."""
+        if v is None:
+            return None
+        state = self.state(v)
+        if only is None:
+            return self._merged(state, list(state["buckets"]))
+        touched = only.select(self._bucket(list(state["buckets"])).alias("_bucket")).distinct().collect()  # at most a row a bucket
+        return self._merged(state, [r["_bucket"] for r in touched])
+
+    def _merged(self, state: dict, buckets: list[int]) -> DataFrame:
+        """The documents of some buckets: base rows with the deltas over them."""
+        own = [(b, state["buckets"][b]) for b in buckets]
+        base_paths = [f"{self.path}/{x['base']}/_bucket={b}" for b, x in own if x["base"]]
+        delta_paths = [f"{self.path}/{folder}/_bucket={b}" for b, x in own for folder in x["deltas"]]
+        reader = lambda schema: self.spark.read.schema(schema)
+        base = reader(state["schema"]).parquet(*base_paths) if base_paths else self.spark.createDataFrame([], state["schema"])
+        if not delta_paths:
+            return base
+        deltas = reader(f"{state['schema']}, {DELTA}").parquet(*delta_paths)
+        bits = min(31, max(15, (4 * sum(x["added"] for _, x in own)).bit_length()))  # an id takes some bytes: about 16 places each
+        place = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << bits))
+        marks = deltas.select(F.bitmap_bucket_number(place + 1).alias("_at"), F.bitmap_bit_position(place + 1).alias("_bit"))
+        marks = marks.groupBy("_at").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+        rows = base.withColumn("_at", F.bitmap_bucket_number(place + 1)).withColumn("_bit", F.bitmap_bit_position(place + 1))
+        rows = rows.join(F.broadcast(marks), "_at", "left")  # 2**(bits - 3) bytes at most: 256 MB
+        byte = F.conv(F.hex(F.substring("_map", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
+        names = [f"`{c}`" for c in base.columns]
+        passed = rows.filter(~hit).select(*names)
+        under = rows.filter(hit).select(*names, F.lit(-1).cast("bigint").alias("_v"), F.lit(False).alias("_gone"), F.lit(None).cast("array<string>").alias("_set"))
+        both, whole = under.unionByName(deltas), F.when(F.col("_set").isNull(), F.col("_v"))
+        fields = [c for c in base.columns if c != "_id"]
+        latest = [F.max_by(F.col(f"`{c}`"), F.when(F.col("_set").isNull() | F.array_contains("_set", c), F.col("_v"))).alias(c) for c in fields]
+        found = both.groupBy("_id").agg(*latest, F.max(whole).alias("_whole"), F.max_by("_gone", whole).alias("_gone"))
+        return passed.unionByName(found.filter("_whole is not null and not _gone").select(*names))
+
+    def _bucket(self, leaves: list[int]) -> Column:
+        """A row's bucket. Buckets are leaves of a binary tree over the hash's low bits; a leaf's number is a 1 before its bits."""
+        h = F.xxhash64(F.col(f"`{self.by}`").cast("string"))
+        by_depth: dict[int, list[int]] = {}
+        for leaf in leaves:
+            by_depth.setdefault(leaf.bit_length() - 1, []).append(leaf)
+        at = {d: (F.pmod(h, F.lit(1 << d)) + F.lit(1 << d)).cast("bigint") for d in by_depth}
+        most = max(by_depth, key=lambda d: len(by_depth[d]))
+        out = at[most]
+        for d in by_depth:
+            if d != most:
+                out = F.when(at[d].isin(by_depth[d]), at[d]).otherwise(out)
+        return out
+
+    def _put(self, rows: DataFrame, version: int, leaves: list[int]) -> tuple[str, dict[int, int]]:
+        """Writes rows by their buckets; the folder, and the bytes of each bucket that has any."""
         folder = f"v-{version}-{uuid.uuid4().hex[:8]}"
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         # Spark splits a bucket that is too large for a task, and joins small ones
-        docs.withColumn("_bucket", self._bucket(buckets)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
-        at = self._hadoop.Path(f"{self.path}/{folder}")
-        written = [m[1] for m in (re.fullmatch(r"_bucket=(\d+)", s.getPath().getName()) for s in self._fs.listStatus(at)) if m]
-        text = json.dumps({"buckets": buckets, "schema": schema, "folders": kept | dict.fromkeys(written, folder), "marks": marks})
+        rows.withColumn("_bucket", self._bucket(leaves)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        listed = self._fs.listStatus(self._hadoop.Path(f"{self.path}/{folder}"))
+        found = [(m[1], s.getPath()) for s in listed if (m := re.fullmatch(r"_bucket=(\d+)", s.getPath().getName()))]
+        return folder, {int(b): self._fs.getContentSummary(at).getLength() for b, at in found}
+
+    def _publish(self, version: int, commit: dict) -> int:
         half, whole = (self._hadoop.Path(f"{self.path}/{n}") for n in (f"writing-{uuid.uuid4().hex}", f"committed-{version}"))
         out = self._fs.create(half, True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(json.dumps(commit).encode()))
         out.close()
         if not self._fs.rename(half, whole):
             raise RuntimeError(f"version {version} of {self.path} was committed by another writer")
         return version
 
+    def _follow(self, version: int, state: dict, changed: dict[int, dict], gone: list[int], schema: str, marks: dict) -> int:
+        """Commits what a version changes of the state before it, or every sixteenth time all of it."""
+        whole = version % 16 == 0
+        if whole:
+            changed = {b: x for b, x in state["buckets"].items() if b not in gone} | changed
+        return self._publish(version, {"whole": whole, "schema": schema, "marks": marks, "buckets": changed, "gone": [] if whole else gone})
+
     def write(self, docs: DataFrame, version: int | None = None, marks: dict[str, int] | None = None) -> int:
         """Writes docs as the next version. A version that is committed already is not written again. The batches that the
         version before held count as held: its documents are those of the tables as they are now."""
@@ -105,27 +176,68 @@ class Snapshots:
         if current is not None and v <= current:
             return current
         before = {} if current is None else self._commit(current)["marks"]
-        return self._put(docs, v, self.buckets, {}, before | (marks or {}))
-
-    def update(self, upserts: DataFrame, deletes: DataFrame, marks: dict[str, int] | None = None) -> int:
-        """The next version: upserts (whole documents) in, deletes (_id) out. Only the buckets of these are read and written."""
+        depth = max(0, self.buckets - 1).bit_length()
+        leaves = list(range(1 << depth, 2 << depth))
+        folder, sizes = self._put(docs, v, leaves)
+        buckets = {b: {"base": folder if b in sizes else None, "deltas": [], "size": sizes.get(b, 0), "added": 0} for b in leaves}
+        return self._publish(v, {"whole": True, "schema": _ddl(docs), "marks": before | (marks or {}), "buckets": buckets, "gone": []})
+
+    def update(self, upserts: DataFrame, deletes: DataFrame, marks: dict[str, int] | None = None, parts: list[tuple[list[str], DataFrame]] = ()) -> int:
+        """The next version: upserts (whole documents) in, deletes (_id) out, and for each of parts its fields set in the
+        documents that are there (_id and the fields). A document is in one of upserts and deletes, or in parts of different fields."""
         current = self.version()
-        commit = self._commit(current)
-        buckets = commit["buckets"]
-        gone = stored(upserts.select("_id").unionByName(deletes.select("_id")).withColumn("_bucket", self._bucket(buckets)))
-        touched = [r["_bucket"] for r in gone.select("_bucket").distinct().collect()]  # at most one row a bucket
-        old = self._read(commit, touched)
-        docs = old.join(gone.select("_id"), "_id", "left_anti").unionByName(upserts, allowMissingColumns=True)
-        kept = {b: f for b, f in commit["folders"].items() if int(b) not in touched}
-        return self._put(docs, current + 1, buckets, kept, commit["marks"] | (marks or {}))
+        state, v = self.state(current), current + 1
+
+        def delta(rows: DataFrame, gone: bool, fields: list[str] | None) -> DataFrame:
+            names = F.array(*[F.lit(c) for c in fields]) if fields is not None else F.lit(None).cast("array<string>")
+            return rows.withColumn("_v", F.lit(v).cast("bigint")).withColumn("_gone", F.lit(gone)).withColumn("_set", names)
+
+        keys = ["_id"] if self.by == "_id" else ["_id", self.by]
+        rows = delta(upserts, False, None).unionByName(delta(deletes.select(*keys), True, None), allowMissingColumns=True)
+        for fields, part in parts:
+            rows = rows.unionByName(delta(part.select("_id", *fields), False, fields), allowMissingColumns=True)
+        folder, sizes = self._put(rows, v, list(state["buckets"]))
+        changed = {}
+        for b, size in sizes.items():
+            x = state["buckets"][b]
+            changed[b] = x | {"deltas": [*x["deltas"], folder], "added": x["added"] + size}
+        docs = self.spark.createDataFrame([], state["schema"]).unionByName(rows.drop("_v", "_gone", "_set").limit(0), allowMissingColumns=True)
+        return self._follow(v, state, changed, [], _ddl(docs), state["marks"] | (marks or {}))
+
+    def compact(self, ratio: float = 0.3) -> int | None:
+        """The next version with the same documents, where buckets with too many or too large deltas are rewritten and those
+        that are too large are split; None if there is nothing to do."""
+        current = self.version()
+        state, v = self.state(current), current + 1
+        large = lambda x: x["size"] + x["added"] > self.bucket_bytes
+        much = lambda x: x["added"] > max(ratio * x["size"], self.bucket_bytes / 64)
+        due = {b: x for b, x in state["buckets"].items() if len(x["deltas"]) >= self.most_deltas or much(x) or large(x)}
+        if not due:
+            return None
+        children = []
+        for b, x in due.items():
+            levels = max(0, -(-(x["size"] + x["added"]) // self.bucket_bytes) - 1).bit_length() if large(x) else 0
+            half = 1 << b.bit_length() - 1  # a bucket's number is a 1 before the hash's low bits
+            children += [(half << levels) + (b - half) + k * half for k in range(1 << levels)]
+        leaves = [b for b in state["buckets"] if b not in due] + children
+        folder, sizes = self._put(self._merged(state, list(due)), v, leaves)
+        fresh = {b: {"base": folder if b in sizes else None, "deltas": [], "size": sizes.get(b, 0), "added": 0} for b in children}
+        return self._follow(v, state, fresh, [b for b in due if b not in fresh], state["schema"], state["marks"])
 
     def prune(self, keep: int = 2) -> None:
         """Deletes all but the last versions, and the folders that none of those needs."""
         versions = self._versions()
-        needed = {f for v in versions[-keep:] for f in self._commit(v)["folders"].values()}
-        old = {f"committed-{v}" for v in versions[:-keep]}
+        kept = versions[-keep:]
+        needed = {f for v in kept for x in self.state(v)["buckets"].values() for f in [x["base"], *x["deltas"]]}
+        first = kept[0] if kept else 0
+        while first in versions and not self._commit(first)["whole"]:
+            first -= 1
         newest = max(versions, default=-1)
         for n in self._names():
-            m = re.fullmatch(r"v-(\d+)-\w+", n)
-            if n in old or m and n not in needed and int(m[1]) <= newest:
+            m, c = re.fullmatch(r"v-(\d+)-\w+", n), re.fullmatch(r"committed-(\d+)", n)
+            if c and int(c[1]) < first or m and n not in needed and int(m[1]) <= newest:
                 self._fs.delete(self._hadoop.Path(f"{self.path}/{n}"), True)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

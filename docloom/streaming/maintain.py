@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import batch_statistics, dependents, notifications, wanted
-from ..operators.incremental import recompute
+from ..operators.incremental import recompute_parts
+from ..functions.embed import Vectors
 from ..operators.view import Methods, Models, build_view, register
 from ..plans.lineage import Analyser, routes
 from ..plans.mapping import Mapping
 from ..sources.snapshots import Snapshots
+from .owners import OwnerIndex
 
 Listener = Callable[[DataFrame, int], None]
 
@@ -28,7 +30,10 @@ class DocumentStream:
     tables is called for every batch with the batch's session, so that it sees the tables as they are then. A version of a
     snapshot names the last batch of each stream that it holds, a stream being a checkpoint: a batch that runs again after
     a failure finds itself held and changes nothing, while rebuilt snapshots and new checkpoints lose no batch. The
-    stream's position moves only when all mappings and listeners are through."""
+    stream's position moves only when all mappings and listeners are through.
+
+    A batch writes what it changes: whole documents where rows came or went, else the fields that it concerns. Which documents
+    hold a nested key comes from an index that is kept beside the documents (see owners). snapshots goes to Snapshots."""
 
     spark: SparkSession
     mappings: list[Mapping]
@@ -36,23 +41,33 @@ class DocumentStream:
     root: str
     methods: Methods = field(default_factory=dict)
     models: Models = field(default_factory=dict)
+    vectors: Vectors | None = None
+    snapshots: dict = field(default_factory=dict)
     listeners: list[Listener] = field(default_factory=list)
     ignore_until: int | None = None
     parallel: int = 4
     last_es: int | None = None  # the latest commit time of a change that was applied, in epoch ms
 
+    def _how(self) -> dict:
+        return {"methods": self.methods, "models": self.models, "vectors": self.vectors}
+
+    def _store(self, spark: SparkSession, m: Mapping) -> Snapshots:
+        return Snapshots(spark, self.root, m.index, **self.snapshots)
+
     def load(self) -> None:
-        """The first version of each snapshot, from the tables."""
+        """The first version of each snapshot and its indices, from the tables."""
         register(self.spark, self.tables(self.spark))
         for m in self.mappings:
-            store = Snapshots(self.spark, self.root, m.index)
+            store = self._store(self.spark, m)
             if store.version() is None:
-                store.write(build_view(self.spark, m, methods=self.methods, models=self.models), 0)
+                store.write(build_view(self.spark, m, **self._how()), 0)
+            OwnerIndex(self.spark, m, self.root, **self.snapshots).load()
 
     def rebuild(self, mapping: Mapping) -> int:
         """A fresh version from the tables alone."""
         register(self.spark, self.tables(self.spark))
-        return Snapshots(self.spark, self.root, mapping.index).write(build_view(self.spark, mapping, methods=self.methods, models=self.models))
+        OwnerIndex(self.spark, mapping, self.root, **self.snapshots).load()
+        return self._store(self.spark, mapping).write(build_view(self.spark, mapping, **self._how()))
 
     def apply(self, changes: DataFrame, batch: int, stream: str = "") -> None:
         spark = changes.sparkSession  # a batch has a session of its own, and so have the names in it
@@ -73,11 +88,15 @@ class DocumentStream:
 
     def _bring(self, spark: SparkSession, m: Mapping, changes: DataFrame, batch: int, stream: str) -> None:
         """One mapping's snapshot with the batch in it, unless it is there already."""
-        store = Snapshots(spark, self.root, m.index)
+        store, index = self._store(spark, m), OwnerIndex(spark, m, self.root, **self.snapshots)
+        index.load()
+        index.apply(changes, stream, batch)
         if store.version() is None:
-            store.write(build_view(spark, m, methods=self.methods, models=self.models), marks={stream: batch})
+            store.write(build_view(spark, m, **self._how()), marks={stream: batch})
         elif store.applied(stream) < batch:
-            store.update(*recompute(spark, m, changes, methods=self.methods, models=self.models), marks={stream: batch})
+            upserts, deletes, parts = recompute_parts(spark, m, changes, known=index.owners, **self._how())
+            store.update(upserts, deletes, {stream: batch}, parts)
+            store.compact()
             store.prune()
 
     def stream_id(self, checkpoint: str) -> str:
