@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import stored
+
 #: kind is update or delete; upsert says whether an update may create its document; fields holds the written values.
 REQUEST = "index string, id string, seq bigint, kind string, upsert boolean, fields map<string,string>"
 
@@ -36,18 +38,33 @@ def _with_last_delete(requests: DataFrame) -> DataFrame:
 
 
 def _blocked(requests: DataFrame, block_rows: int) -> DataFrame:
-    """requests with block: runs of consecutive seq, of about block_rows requests each where seq is dense."""
-    totals = requests.agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).first()
-    low, parts = totals["low"] or 0, max(1, -(-totals["n"] // block_rows))
-    span = max(1, -(-((totals["high"] or 0) - low + 1) // parts))
-    return requests.withColumn("block", F.expr(f"(seq - {low}L) div {span}L"))
+    """requests with block: runs of consecutive seq, of about block_rows requests each, however seq is spread and of whatever type.
+
+    Ranges come from a sample of seq, so they follow the number of requests and not the span of seq. Since another run may
+    draw another sample, the blocks are written once."""
+    parts = max(1, -(-requests.count() // block_rows))
+    if parts == 1:
+        return requests.withColumn("block", F.lit(0).cast("bigint"))
+    return stored(requests.repartitionByRange(parts, "seq").withColumn("block", F.spark_partition_id().cast("bigint")))
+
+
+def numbered(requests: DataFrame, block_rows: int = 100_000) -> DataFrame:
+    """requests with seq as whole numbers from 0 without gaps, in the order that seq had: for positions of several parts, as
+    messages have them, and for numbers that leap. Each block is numbered by itself, behind the rows of the blocks before it."""
+    rows = _blocked(requests, block_rows)
+    counts = rows.groupBy("block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block
+    counts = counts.select("block", F.coalesce(before, F.lit(0).cast("bigint")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("block").orderBy("seq")) - 1
+    out = rows.withColumn("_n", within).join(counts, "block").withColumn("seq", F.col("_before") + F.col("_n"))
+    return out.select(*requests.columns)
 
 
 def merge_adjacent(requests: DataFrame, block_rows: int = 100_000) -> DataFrame:
     """Neighbouring updates of a document with one upsert flag become one. Where several of them write a field the last
     value stands, so the outcome is that of the sequence. One row for each merged run.
 
-    Runs are numbered inside blocks of consecutive seq, and each block goes on from the last request and the number of
+    Runs are numbered inside blocks of consecutive seq (see _blocked), and each block goes on from the last request and the number of
     runs of the document's blocks before it; so a document with very many requests is no single task's work."""
     own = F.struct("kind", "upsert")
     within, blocks = Window.partitionBy("index", "id", "block").orderBy("seq"), Window.partitionBy("index", "id").orderBy("block")
@@ -146,26 +163,79 @@ def bulk_groups(requests: DataFrame, max_bytes: int, max_requests: int, block_ro
     return rows.withColumn("bulk", F.floor(before / F.lit(max_bytes * max_requests)).cast("bigint")).drop("_cost")
 
 
+class BulkTooLarge(Exception):
+    """A receiver's answer to a bulk with more bytes than it takes (413)."""
+
+
+def _text_bytes(request: dict) -> int:
+    return len(request["id"] or "") + sum(len(k.encode()) + len((v or "").encode()) for k, v in (request["fields"] or {}).items())
+
+
+class _Delivery:
+    """One task's way of sending: halves what is too large, and halves what fails as a whole down to the request at fault."""
+
+    def __init__(self, send: Callable[[list[dict]], list[int]], attempts: int, pause_s: float):
+        self.send, self.attempts, self.pause_s = send, attempts, pause_s
+        self.refused = None  # the least number of bytes that was refused: no larger bulk is tried again
+
+    def __call__(self, rows: list[dict]) -> list[int]:
+        size = sum(map(_text_bytes, rows))
+        if self.refused is not None and size >= self.refused and len(rows) > 1:
+            return self._halves(rows)
+        for n in range(self.attempts):
+            try:
+                return [int(code) for code in self.send(rows)]
+            except BulkTooLarge:
+                self.refused = size if self.refused is None else min(size, self.refused)
+                return self._halves(rows) if len(rows) > 1 else [413]
+            except Exception:
+                if n + 1 < self.attempts:
+                    time.sleep(self.pause_s * 2**n)
+        return self._halves(rows) if len(rows) > 1 else [500]
+
+    def _halves(self, rows: list[dict]) -> list[int]:
+        """By bytes, in order, and at least one request in each."""
+        total, held, cut = sum(map(_text_bytes, rows)), 0, 1
+        for n, r in enumerate(rows[:-1]):
+            held += _text_bytes(r)
+            cut = n + 1
+            if 2 * held >= total:
+                break
+        return self(rows[:cut]) + self(rows[cut:])
+
+
 def send_bulks(bulks: DataFrame, send: Callable[[list[dict]], list[int]], *, attempts: int = 3, pause_s: float = 1.0) -> DataFrame:
     """Sends each bulk of bulk_groups by send, a function of its requests in order that returns a status for each, and
     returns one row for each request: index, id, seq, status, tries and action (see with_status).
 
-    Requests that are rejected for load (429) are sent again, with the requests of their document behind them, up to attempts times and after
-    growing pauses. What fails in the end is in the result, so a caller can write it elsewhere or raise. A bulk is small
-    by its making, and one task's work."""
+    Where send raises BulkTooLarge the bulk is halved by its bytes, and so again; a single request that is too large has
+    status 413. Where it raises anything else, attempts times, the bulk is halved until the request at fault is alone, which
+    has status 500; all others go through. Requests that are rejected for load (429) are sent again, with the requests of
+    their document behind them, up to attempts times and after growing pauses.
+
+    What fails in the end is in the result, so a caller can write it elsewhere or raise. A task that runs again sends again:
+    a receiver takes a request's seq as its version and passes over those that it has. A bulk is small by its making, and one task's work."""
+    kind = bulks.schema["seq"].dataType.simpleString()
+    if kind != "bigint":
+        raise ValueError("number the requests first (numbered): seq is to be a bigint")
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("seq", kind="stable")
         rows = table.to_dict("records")
+        for r in rows:
+            r["fields"] = dict(r["fields"]) if r["fields"] is not None else None
+        deliver = _Delivery(send, attempts, pause_s)
         status, tries, left = [0] * len(rows), [0] * len(rows), list(range(len(rows)))
         for n in range(attempts):
             if n:
                 time.sleep(pause_s * 2 ** (n - 1))
-            for k, code in zip(left, send([rows[k] for k in left]), strict=True):
-                status[k], tries[k] = int(code), n + 1
-            rejected = {rows[k]["id"] for k in left if status[k] == 429}
-            first = {i: min(k for k in left if status[k] == 429 and rows[k]["id"] == i) for i in rejected}
-            left = [k for k in left if rows[k]["id"] in first and k >= first[rows[k]["id"]]]
+            for k, code in zip(left, deliver([rows[k] for k in left]), strict=True):
+                status[k], tries[k] = code, n + 1
+            first: dict[str, int] = {}
+            for k in left:
+                if status[k] == 429:
+                    first.setdefault(rows[k]["id"], k)
+            left = [k for k in left if k >= first.get(rows[k]["id"], len(rows))]
             if not left:
                 break
         return pd.DataFrame({"index": table["index"].tolist(), "id": table["id"].tolist(), "seq": table["seq"].tolist(), "status": status, "tries": tries})

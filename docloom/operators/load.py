@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import Analyser
 from ..plans.mapping import Mapping
-from .reconcile import check_all, missing, repaired
+from .reconcile import check_all, check_ranges, missing, repaired
 from .view import build_view, trim_where
 
 
@@ -62,7 +62,6 @@ def check_and_repair(spark: SparkSession, mapping: Mapping, docs: DataFrame, *,
     documents that the predicate does not pick are left alone, orphans too."""
     view = build_view(spark, mapping, where=where, **how)
     ordered = {f.name: "order by" in (f.on_main or "").lower() for f in mapping.nested if "flat" not in f.kind}
-    work = check_all(view, docs, ordered)
-    if where:
-        work = work.filter("action <> 'delete'")
+    # a part of the documents differs from all of them in nearly every range
+    work = check_all(view, docs, ordered).filter("action <> 'delete'") if where else check_ranges(view, docs, ordered)
     return repaired(view, docs, work), work

@@ -1,4 +1,5 @@
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -171,6 +172,45 @@ def test_merge_keeps_outcome(spark):
         assert compact.merge_adjacent(requests(spark, rows), block_rows=size).orderBy("seq").collect() == merged, "blocks change nothing"
 
 
+@pytest.mark.parametrize("leap", [1, 10**9])
+def test_positions_are_numbered(spark, leap):
+    """Positions of several parts, and numbers that leap, in blocks that hold about as many requests each."""
+    kind = compact.REQUEST.replace("seq bigint", "seq struct<es: bigint, partition: int, offset: bigint>")
+    rows = [("i", str(n % 7), (0 if n == 0 else leap + n // 3, n % 2, n), "update", True, {"a": str(n)}) for n in range(1000)]
+    requests_ = spark.createDataFrame(rows, kind)
+    want = {r[2]: n for n, r in enumerate(sorted(rows, key=lambda r: r[2]))}
+    got = compact.numbered(requests_, block_rows=100)
+    assert {int(r["fields"]["a"]): r["seq"] for r in got.collect()} == {k[2]: n for k, n in want.items()}
+    blocks = [r["count"] for r in compact._blocked(requests_, 100).groupBy("block").count().collect()]
+    assert sum(blocks) == 1000 and max(blocks) < 300
+    assert compact.merge_adjacent(requests_, block_rows=100).count() == 7
+
+
+class Receiver:
+    """Takes at most so many bytes at once, and fails as a whole if a request is poisoned."""
+
+    def __init__(self, most, poison, calls):
+        self.most, self.poison, self.calls = most, poison, calls
+
+    def __call__(self, rows):
+        self.calls.add(1)
+        if sum(map(compact._text_bytes, rows)) > self.most:
+            raise compact.BulkTooLarge
+        if any(r["seq"] in self.poison for r in rows):
+            raise OSError("mapper_parsing_exception")
+        return [200] * len(rows)
+
+
+def test_bulks_are_halved(spark):
+    rows = requests(spark, [(str(n), "update", True, {"a": "x" * (500 if n == 17 else 20)}) for n in range(40)])
+    calls = spark.sparkContext.accumulator(0)
+    bulks = compact.bulk_groups(rows, 1 << 20, 1000)
+    got = {r["seq"]: (r["status"], r["action"]) for r in compact.send_bulks(bulks, Receiver(200, {5, 6, 30}, calls), attempts=2, pause_s=0).collect()}
+    assert {s for s, x in got.items() if x == (500, "fail")} == {5, 6, 30} and got[17] == (413, "fail") and sum(x == (200, "done") for x in got.values()) == 36
+    with pytest.raises(ValueError, match="numbered"):
+        compact.send_bulks(bulks.withColumn("seq", F.struct("seq")), lambda rows: [])
+
+
 def test_repeated_stamps_go(spark):
     rows = requests(spark, [("1", "update", False, {"a": "1"}), ("1", "update", False, {"at": "t"}), ("2", "update", False, {"at": "t"})])
     assert [r["seq"] for r in compact.drop_repeated_stamps(rows, "at").orderBy("seq").collect()] == [0, 2]
@@ -206,6 +246,16 @@ def test_nested_order_matters_if_declared(spark):
     assert sorted(tuple(r) for r in reconcile.nested_changes(a, b, "xs", ordered=True).collect()) == [("1", ["xs.i", "xs.s"]), ("3", ["xs"])]
 
 
+def test_digests_find_what_differs(spark):
+    view = spark.range(3000).select(F.col("id").cast("string").alias("_id"), F.sha2(F.col("id").cast("string"), 256).alias("v"), F.array(F.struct("id")).alias("xs"))
+    assert reconcile.differing_ranges(view, view)[0] is None and reconcile.check_ranges(view, view).count() == 0
+    docs = view.filter("_id <> '5'").withColumn("v", F.when(F.col("_id") == "77", "x").otherwise(F.col("v"))).unionByName(view.limit(1).withColumn("_id", F.lit("z")))
+    docs = docs.withColumn("xs", F.when(F.col("_id") == "88", F.array().cast("array<struct<id:bigint>>")).otherwise(F.col("xs")))
+    ranges_, bits = reconcile.differing_ranges(view, docs)
+    assert bits == 16 and 1 <= ranges_.count() <= 4
+    assert plain(reconcile.check_ranges(view, docs, {"xs": False})) == plain(reconcile.check_all(view, docs, {"xs": False})) and reconcile.check_ranges(view, docs).count() == 3
+
+
 def test_replay_moves_keys(spark):
     table = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, v string")
     log = spark.createDataFrame(
@@ -310,22 +360,6 @@ def test_messages_of_several_partitions(spark):
     assert {r.key: r.row and r.row["v"] for r in final_rows(out).collect()} == {"1": "new", "2": "x", "3": None}
 
 
-def test_snapshots_rewrite_touched_buckets_only(spark, tmp_path):
-    store = Snapshots(spark, str(tmp_path), "x", buckets=8)
-    docs = spark.range(200).select(F.col("id").cast("string").alias("_id"), F.lit("old").alias("v"))
-    assert store.write(docs, marks={"s": 4}) == 0 and store.applied("s") == 4 and store.applied("t") == -1
-    new = spark.createDataFrame([("7", "new"), ("1000", "new")], "_id string, v string")
-    assert store.update(new, spark.createDataFrame([("9",)], "_id string"), {"t": 0}) == 1
-    got = {r["_id"]: r["v"] for r in store.read().collect()}
-    assert len(got) == 200 and got["7"] == got["1000"] == "new" and "9" not in got and store.applied("s") == 4 and store.applied("t") == 0
-    folders = store._commit(1)["folders"]
-    assert 1 <= sum(f.startswith("v-1-") for f in folders.values()) <= 3 and store.read(0).count() == 200
-    store.prune(1)
-    assert store.read().count() == 200
-    store.update(spark.createDataFrame([("5", "w", 1)], "_id string, v string, n int"), spark.createDataFrame([], "_id string"))
-    assert store.read().filter("n = 1").count() == 1 and store.read().count() == 200
-
-
 def test_write_jdbc(spark):
     """Final rows reach a relational table, twice with one outcome; keys that hold the parts' mark too."""
     url = "jdbc:derby:memory:docloom;create=true"
@@ -351,9 +385,26 @@ def test_write_jdbc(spark):
     for _ in range(2):
         replay.write_jdbc(spark, replay.final_rows(log), target, url, "t", ["a", "b"], **options)
         assert there() == [("x|", 1, "it's"), ("y", 2, "old"), ("z", 4, "w")]
+    names = spark._jvm.java.sql.DriverManager.getConnection(url).getMetaData().getTables(None, None, "%STAGE%", None)
+    assert not names.next(), "staging tables go"
+    stale = spark.createDataFrame([(0, "UPDATE", False, "d", "t", ["a", "b"], 0, 0, row("z", 4, "w"), row("z", 4, "stale")), (2, "INSERT", False, "d", "t", ["a", "b"], 0, 0, None, row("|_", 3, "stale")), (9, "UPDATE", False, "d", "t", ["a", "b"], 0, 0, row("y", 2, "old"), row("y", 2, "new"))], ch.CHANGE)
+    stale = stale.withColumn("seq", F.when(F.col("seq") == 2, 1).otherwise(F.col("seq")).cast("bigint"))
+    replay.write_jdbc(spark, replay.final_rows(stale), target, url, "t", ["a", "b"], **options)
+    assert there() == [("x|", 1, "it's"), ("y", 2, "new"), ("z", 4, "w")], "a later batch's older changes are passed over, also of rows that are gone"
+
+    def writer(n):
+        moves = [(s, "UPDATE", False, "d", "t", ["a", "b"], 0, 0, row("z", 4, "w"), row("z", 4, f"w{s}")) for s in range(20 + n, 40, 2)]
+        replay.write_jdbc(spark, replay.final_rows(spark.createDataFrame(moves, ch.CHANGE)), target, url, "t", ["a", "b"], **options)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(writer, [0, 1]))
+    assert ("z", 4, "w39") in there(), "of two writers at once, the newer change stands"
+    assert replay.replay_tables(spark, log, url, {"t": ["a", "b"], "nowhere": ["k"]}, skip_missing=True, **options) == {"t": "written", "nowhere": "skipped"}
+    with pytest.raises(LookupError, match="nowhere"):
+        replay.replay_tables(spark, log, url, {"nowhere": ["k"]}, **options)
     skipped = spark.createDataFrame([("t", "y|_2", row("y", 2, "no")), ("t", "q|_9", row("q", 9, "yes"))], "table string, key string, row map<string,string>")
     replay.write_jdbc(spark, skipped, target, url, "t", ["a", "b"], insert_only=True, **options)
-    assert ("y", 2, "old") in there() and ("q", 9, "yes") in there()
+    assert ("y", 2, "new") in there() and ("q", 9, "yes") in there()
 
 
 def test_ddl_text(spark):
