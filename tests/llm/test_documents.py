@@ -196,6 +196,32 @@ def test_line_dedup_with_doubtful_documents(spark, docs, monkeypatch):
     assert sorted(map(str, linededup.line_dedup(docs, bits=20).collect())) == plain
 
 
+@pytest.mark.parametrize("width", [1, 2, 5, 6])
+def test_half_windows_find_all_windows(width):
+    """Runs followed from half-windows are those of all windows, also in texts that repeat in themselves."""
+    rng = random.Random(width)
+
+    class Sent:
+        value = None
+
+    for trial in range(300):
+        text = lambda n: b" ".join(rng.choice([b"a", b"b", b"cc"][: rng.choice([1, 2, 3])]) for _ in range(n))
+        sent = Sent()
+        sent.value = [(f"i{k}", decontam.normal(text(rng.randrange(1, 14)))) for k in range(rng.randrange(1, 5))]
+        flat = decontam.normal(text(rng.randrange(0, 40)))
+        own, covered, found = flat.split(), set(), set()
+        for name, item in sent.value:
+            words = item.split()
+            n = min(width, len(words))
+            for i in range(len(words) - n + 1):
+                for at in range(len(own) - n + 1):
+                    if own[at : at + n] == words[i : i + n]:
+                        covered |= set(range(at, at + n))
+                        found.add(name)
+        runs, items = decontam._hits(flat, decontam._automaton(sent, f"{width}-{trial}", width), width)
+        assert ({w for a, b in runs for w in range(a, b)}, items) == (covered, found)
+
+
 @pytest.mark.parametrize("size", [64 << 20, 700])
 def test_contamination(spark, docs, size):
     bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
