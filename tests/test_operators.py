@@ -19,31 +19,32 @@ from docloom.sources.snapshots import Snapshots
 from docloom.streaming.maintain import DocumentStream
 from docloom.streaming.supervise import Alerts, supervised
 
-COLUMNS = {"trip": ("id", "name", "carrier_id"), "carrier": ("id", "name"), "carrier_alias": ("id", "carrier_id", "kind", "name"), "stop": ("id", "trip_id", "city")}
+COLUMNS = {"plot": ("id", "label", "keeper_id"), "keeper": ("id", "title", "mentor_id"), "tool": ("id", "keeper_id", "size", "make"), "visit": ("id", "plot_id", "grade")}
 MAPPING = Mapping(
-    "trip",
-    "SELECT j.id AS id, j.name AS name, j.carrier_id AS carrierId FROM trip j",
+    "plot",
+    "SELECT p.id AS id, p.label AS label, p.keeper_id AS keeperId FROM plot p",
     fields=(
-        Field("carrier", "object-sql", sql="SELECT c.id, c.name, group_concat(if(n.kind = 2, n.name, null)) AS aliases FROM carrier c LEFT JOIN carrier_alias n ON n.carrier_id = c.id", on_main="WHERE c.id = #{carrier_id}"),
-        Field("carrier$aliases", "array", split=","),
-        Field("stops", "array-sql", sql="SELECT r.id AS id, r.city AS city FROM stop r", on_main="WHERE r.trip_id = #{id} ORDER BY r.id DESC"),
-        Field("stats", "object-sql", sql="SELECT r.trip_id AS trip, s.n AS n FROM stop r INNER JOIN (SELECT trip_id, count(*) AS n FROM stop GROUP BY trip_id) s ON s.trip_id = r.trip_id", on_main="WHERE r.trip_id = #{id}"),
-        Field("cities", "array-flat-sql", sql="SELECT r.city FROM stop r", on_main="WHERE r.trip_id = #{id}"),
+        Field("label", "array", split=" "),
+        Field("keeper", "object-sql", sql="SELECT upper(k.title) AS title, m.title AS mentor FROM keeper k LEFT JOIN keeper m ON m.id = k.mentor_id", on_main="WHERE k.id = #{keeper_id}"),
+        Field("gear", "array-sql", sql="SELECT t.size AS size, count(*) AS n, max(t.make) AS newest FROM tool t GROUP BY t.keeper_id, t.size", on_main="WHERE t.keeper_id = #{keeper_id}"),
+        Field("visits", "array-sql", sql="SELECT v.grade AS grade, v.id AS visit FROM visit v", on_main="WHERE v.plot_id = #{id} ORDER BY v.grade, v.id DESC"),
+        Field("best", "object-flat-sql", sql="SELECT b.top FROM visit v LEFT JOIN (SELECT plot_id, min(grade) AS top FROM visit GROUP BY plot_id) b ON b.plot_id = v.plot_id", on_main="WHERE v.plot_id = #{id}"),
+        Field("grades", "array-flat-sql", sql="SELECT DISTINCT v.grade FROM visit v", on_main="WHERE v.plot_id = #{id}"),
     ),
 )
 
 
 def frames(spark, state):
-    kinds = {"id": "bigint", "carrier_id": "bigint", "trip_id": "bigint", "kind": "int"}
+    kinds = {"id": "bigint", "keeper_id": "bigint", "mentor_id": "bigint", "plot_id": "bigint", "size": "int"}
     return {t: spark.createDataFrame([tuple(r) for r in state[t].values()], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in cols)) for t, cols in COLUMNS.items()}
 
 
 def start():
     return {
-        "trip": {i: (i, f"trip{i}", i % 4) for i in range(12)},
-        "carrier": {i: (i, f"carrier{i}") for i in range(4)},
-        "carrier_alias": {i: (i, i % 3, i % 3, f"n{i}") for i in range(9)},
-        "stop": {i: (i, i % 10, f"c{i % 5}") for i in range(25)},
+        "plot": {i: (i, f"plot {i}", i % 4) for i in range(12)},
+        "keeper": {i: (i, f"keeper{i}", (i + 1) % 4) for i in range(4)},
+        "tool": {i: (i, i % 3, i % 2, f"make{i}") for i in range(9)},
+        "visit": {i: (i, i % 10, f"g{i % 5}") for i in range(25)},
     }
 
 
@@ -61,7 +62,7 @@ def evolve(state, rng, n):
         if op == "DELETE":
             after = rows.pop(key) and None
         else:
-            after = tuple(key if c == "id" else rng.randrange(5) if c in ("carrier_id", "kind") else rng.randrange(14) if c == "trip_id" else rng.choice("abcde") for c in cols)
+            after = tuple(key if c == "id" else rng.randrange(5) if c in ("keeper_id", "mentor_id", "size") else rng.randrange(14) if c == "plot_id" else rng.choice("abcde") for c in cols)
             rows[key] = after
         text = lambda r: None if r is None else {c: str(v) for c, v in zip(cols, r, strict=True)}
         log.append((seq, op, False, "db", t, ["id"], seq, 0, text(before if op != "INSERT" else None), text(after)))
@@ -74,7 +75,7 @@ def plain(df):
 
 TALLY = Mapping(
     "tally",
-    "SELECT j.id AS id, j.name AS name, c.name AS carrier, t.n AS n FROM trip j JOIN carrier c ON c.id = j.carrier_id LEFT JOIN (SELECT trip_id, count(*) AS n FROM stop GROUP BY trip_id) t ON t.trip_id = j.id",
+    "SELECT p.id AS id, p.label AS label, k.title AS keeper, t.n AS n FROM plot p JOIN keeper k ON k.id = p.keeper_id LEFT JOIN (SELECT plot_id, count(*) AS n FROM visit GROUP BY plot_id) t ON t.plot_id = p.id",
 )
 
 
@@ -97,8 +98,10 @@ def test_incremental_is_the_view(spark, seed, mapping):
 def test_view_shapes(spark):
     register(spark, frames(spark, start()))
     docs = {r["_id"]: r for r in build_view(spark, MAPPING).collect()}
-    assert docs["2"]["carrier"]["aliases"] == ["n2", "n5", "n8"] and docs["1"]["carrier"]["aliases"] is None
-    assert [x["id"] for x in docs["3"]["stops"]] == [23, 13, 3] and docs["11"]["stops"] == [] and docs["11"]["cities"] == []
+    assert docs["2"]["label"] == ["plot", "2"] and docs["2"]["keeper"].asDict() == {"title": "KEEPER2", "mentor": "keeper3"}
+    assert [tuple(x) for x in docs["1"]["gear"]] == [(0, 1, "make4"), (1, 2, "make7")] and docs["3"]["gear"] == []
+    assert [x["visit"] for x in docs["3"]["visits"]] == [23, 13, 3] and docs["11"]["visits"] == [] and docs["11"]["grades"] == []
+    assert docs["3"]["best"] == "g3" and docs["3"]["grades"] == ["g3"] and docs["11"]["best"] is None
 
 
 def test_stream(spark, tmp_path):
@@ -114,7 +117,7 @@ def test_stream(spark, tmp_path):
     now["state"] = new
     register(spark, frames(spark, new))
     s.start(file_changes(spark, str(tmp_path / "log")), str(tmp_path / "cp"), available_now=True).awaitTermination(120)
-    store = Snapshots(spark, str(tmp_path / "docs"), "trip")
+    store = Snapshots(spark, str(tmp_path / "docs"), "plot")
     assert plain(store.read()) == plain(build_view(spark, MAPPING)) and told and told[0] > 0
     version, stream = store.version(), s.stream_id(str(tmp_path / "cp"))
     s.apply(changes, 0, stream)
@@ -232,10 +235,10 @@ def test_log_values_cast(spark):
 
 
 def test_direct_updates_write_nulls_only_if_asked(spark):
-    log = spark.createDataFrame([(1, "INSERT", False, "d", "trip", ["id"], 0, 0, None, {"id": "1", "name": None, "carrier_id": "2"})], ch.CHANGE)
+    log = spark.createDataFrame([(1, "INSERT", False, "d", "plot", ["id"], 0, 0, None, {"id": "1", "label": None, "keeper_id": "2"})], ch.CHANGE)
     query = Analyser(spark).query(MAPPING.sql)
-    assert incremental.direct_updates(log, query, "id").first()["doc"] == {"id": "1", "carrierId": "2"}
-    assert incremental.direct_updates(log, query, "id", write_null=True).first()["doc"] == {"id": "1", "name": None, "carrierId": "2"}
+    assert incremental.direct_updates(log, query, "id").first()["doc"] == {"id": "1", "keeperId": "2"}
+    assert incremental.direct_updates(log, query, "id", write_null=True).first()["doc"] == {"id": "1", "label": None, "keeperId": "2"}
 
 
 def test_nested_order_matters_if_declared(spark):
@@ -328,13 +331,13 @@ def test_supervised_stream_restarts():
 
 
 def test_index_types(spark):
-    text = '{"a": {"mappings": {"properties": {"x": {"type": "long"}}}}, "trip_1": {"mappings": {"properties": {"id": {"type": "long"}, "at": {"type": "date", "format": "s || ms"}, "stops": {"type": "nested", "properties": {"id": {"type": "integer"}}}}}}}'
-    target = target_types(text, "trip")
-    assert target == {"id": "long", "at": ("date", "s || ms"), "stops": {"id": "integer"}} and target_types(text) == {"x": "long"}
-    docs = spark.createDataFrame([("1", 1, [(1, "c")])], "_id string, id bigint, stops array<struct<id:int,city:string>>")
-    with pytest.raises(MappingError, match="stops.city"):
+    text = '{"a": {"mappings": {"properties": {"x": {"type": "long"}}}}, "plot_1": {"mappings": {"properties": {"id": {"type": "long"}, "at": {"type": "date", "format": "s || ms"}, "visits": {"type": "nested", "properties": {"id": {"type": "integer"}}}}}}}'
+    target = target_types(text, "plot")
+    assert target == {"id": "long", "at": ("date", "s || ms"), "visits": {"id": "integer"}} and target_types(text) == {"x": "long"}
+    docs = spark.createDataFrame([("1", 1, [(1, "c")])], "_id string, id bigint, visits array<struct<id:int,grade:string>>")
+    with pytest.raises(MappingError, match="visits.grade"):
         check_strict(docs, target)
-    assert check_strict(docs.drop("stops"), target).count() == 1
+    assert check_strict(docs.drop("visits"), target).count() == 1
 
 
 def test_names():
@@ -418,8 +421,8 @@ def test_ddl_text(spark):
 
 def test_columns_without_alias(spark):
     register(spark, frames(spark, start()))
-    q = Analyser(spark).query("SELECT j.id AS id, city AS city FROM trip j LEFT JOIN stop r ON r.trip_id = j.id")
-    assert Analyser(spark).owner(q, "city") == "r"
+    q = Analyser(spark).query("SELECT p.id AS id, grade AS grade FROM plot p LEFT JOIN visit v ON v.plot_id = p.id")
+    assert Analyser(spark).owner(q, "grade") == "v"
     with pytest.raises(MappingError):
         Analyser(spark).owner(q, "id")
     with pytest.raises(MappingError):

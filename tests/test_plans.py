@@ -5,13 +5,14 @@ import pytest
 from docloom.plans.lineage import Analyser, clauses, keys_of, routes, split_list, to_spark
 from docloom.plans.mapping import Field, Mapping, MappingError, digest, fits_adapter, from_dict, load_mappings, order_columns, variables
 
-CARRIER = Field(
-    "carrier", "object-sql",
-    sql="SELECT c.id, c.`name`, GROUP_CONCAT(if(n.type = 2, n.`name`, null)) as otherNames FROM carrier c LEFT JOIN carrier_alias n on n.carrier_id = c.id",
-    on_main="WHERE c.id = #{carrier_id} ", on_slave="WHERE c.id = #{id}",
+BAND = Field(
+    "band", "array-sql",
+    sql="SELECT m.part AS part, count(distinct m.player_id) AS players, listagg(p.`name`, '/') AS names FROM membership m INNER JOIN player p ON p.id = m.player_id GROUP BY m.band_id, m.part",
+    on_main="WHERE #{band_id} = m.band_id",
 )
-STOPS = Field("stopList", "array-sql", sql="SELECT r.id as id, r.city as city FROM trip_stop r", on_main="WHERE r.trip_id = #{id} ORDER BY r.city DESC, r.id")
-MAPPING = Mapping("trip", "SELECT trip.id as id, trip.`name` as name, concat(trip.a, ',', trip.b) as both FROM trip trip", fields=(CARRIER, STOPS))
+VENUE = Field("venue", "object-sql", sql="SELECT v.`label` AS label, v.seats AS seats FROM venue v", on_main="WHERE v.town = #{town} AND v.code = #{venue_code} ORDER BY v.opened", on_slave="WHERE v.code = #{code}")
+TICKETS = Field("prices", "array-flat-sql", sql="SELECT DISTINCT t.price FROM ticket t", on_main="WHERE t.concert_no = #{no}")
+MAPPING = Mapping("concert", "SELECT c.no AS id, c.`starts` AS starts, coalesce(c.subtitle, c.title) AS heading FROM concert c", fields=(BAND, VENUE, TICKETS))
 
 
 def test_clauses_and_lists():
@@ -27,17 +28,17 @@ def test_group_concat_is_ordered():
 def test_fragments():
     assert variables("WHERE a.x = #{id} and #{other} = b.y") == [("a.x", "id"), ("b.y", "other")]
     assert order_columns("WHERE a = #{b} ORDER BY t.c DESC, d") == [("t.c", True), ("d", False)]
-    assert keys_of(CARRIER) == [("c.id", "carrier_id")]
+    assert keys_of(BAND) == [("m.band_id", "band_id")] and keys_of(VENUE) == [("v.town", "town"), ("v.code", "venue_code")]
 
 
 def test_lineage(spark):
     q = Analyser(spark).query(MAPPING.sql)
-    assert [(i.name, i.plain) for i in q.items] == [("id", True), ("name", True), ("both", False)]
-    assert q.item("both").columns == (("trip", "a"), ("trip", "b")) and not q.simple
-    nested = Analyser(spark).query(CARRIER.sql, check=False)
-    assert [(t.alias, t.table) for t in nested.tables] == [("c", "carrier"), ("n", "carrier_alias")]
-    assert nested.tables[1].pairs == ((("n", "carrier_id"), ("c", "id")),)
-    assert nested.item("otherNames").aggregate
+    assert [(i.name, i.plain) for i in q.items] == [("id", True), ("starts", True), ("heading", False)]
+    assert q.item("heading").columns == (("c", "subtitle"), ("c", "title")) and not q.simple
+    nested = Analyser(spark).query(BAND.sql, check=False)
+    assert [(t.alias, t.table) for t in nested.tables] == [("m", "membership"), ("p", "player")]
+    assert nested.tables[1].pairs == ((("p", "id"), ("m", "player_id")),) and nested.group_by == ("m.band_id", "m.part")
+    assert nested.item("players").aggregate and nested.item("names").aggregate and not nested.item("part").aggregate
 
 
 def test_case_branches_are_lineage(spark):
@@ -47,9 +48,10 @@ def test_case_branches_are_lineage(spark):
 
 def test_routes(spark):
     found = {(r.view, r.table, r.role): set(r.columns) for r in routes(Analyser(spark), MAPPING)}
-    assert found["", "trip", "main"] == {"id", "name", "a", "b", "carrier_id"}
-    assert found["carrier", "carrier", "main_join"] >= {"id", "name"} and found["carrier", "carrier_alias", "slave"] == {"carrier_id", "type", "name"}
-    assert found["carrier", "trip", "owner"] == {"carrier_id"} and found["stopList", "trip_stop", "main"] == {"id", "city", "trip_id"}
+    assert found["", "concert", "main"] == {"no", "starts", "subtitle", "title", "band_id", "town", "venue_code"}
+    assert found["band", "membership", "main_join"] == {"band_id", "part", "player_id"} and found["band", "player", "slave"] == {"id", "name"}
+    assert found["venue", "venue", "main_join"] == {"label", "seats", "town", "code", "opened"} and found["venue", "concert", "owner"] == {"town", "venue_code"}
+    assert found["prices", "ticket", "main"] == {"price", "concert_no"} and found["prices", "concert", "owner"] == {"no"}
 
 
 @pytest.mark.parametrize(

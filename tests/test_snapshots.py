@@ -73,31 +73,31 @@ def test_parts_and_owner_index_keep_the_view(spark, tmp_path, seed, mapping):
         assert plain(stream._store(spark, mapping).read()) == plain(build_view(spark, mapping))
     if mapping is MAPPING:
         index = OwnerIndex(spark, mapping, str(tmp_path))
-        assert [f.name for f in index.fields] == ["carrier"]
+        assert [f.name for f in index.fields] == ["keeper", "gear"]
         pairs = {(r["_key"], r["document"]) for r in index.store(index.fields[0]).read().collect()}
-        assert pairs == {(str(c), str(i)) for i, _, c in now["state"]["trip"].values()}
+        assert pairs == {(str(c), str(i)) for i, _, c in now["state"]["plot"].values()}
 
 
 def test_a_nested_change_reads_its_own_tables(spark):
-    """The plan of the parts of a changed stop names no table of another field."""
+    """The plan of the parts of a changed visit names no table of another field."""
     register(spark, frames(spark, start()))
-    log = [(1, "UPDATE", False, "db", "stop", ["id"], 1, 0, {"id": "3", "trip_id": "3", "city": "x"}, {"id": "3", "trip_id": "3", "city": "c3"})]
+    log = [(1, "UPDATE", False, "db", "visit", ["id"], 1, 0, {"id": "3", "plot_id": "3", "grade": "x"}, {"id": "3", "plot_id": "3", "grade": "g3"})]
     _, _, parts = incremental.recompute_parts(spark, MAPPING, spark.createDataFrame(log, ch.CHANGE))
     named = {names[0]: df for names, df in parts}
-    plan = named["cities"]._jdf.queryExecution().optimizedPlan().toString()
-    assert "kind" not in plan and [r["_id"] for r in named["cities"].collect()] == ["3"]
-    assert named["carrier"].count() == 0 and named["name" if "name" in named else "id"].count() == 0
+    plan = named["grades"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "make" not in plan and "mentor_id" not in plan and [r["_id"] for r in named["grades"].collect()] == ["3"]
+    assert named["keeper"].count() == 0 and named["id"].count() == 0
 
 
 def test_the_owner_index_follows_rows_that_move(spark, tmp_path):
     register(spark, frames(spark, start()))
     index = OwnerIndex(spark, MAPPING, str(tmp_path), buckets=2)
     index.load()
-    row = lambda i, c: {"id": str(i), "name": "n", "carrier_id": str(c)}
+    row = lambda i, c: {"id": str(i), "label": "n", "keeper_id": str(c)}
     log = [
-        (1, "INSERT", False, "db", "trip", ["id"], 1, 0, None, row(50, 1)), (2, "UPDATE", False, "db", "trip", ["id"], 1, 0, row(50, 1), row(50, 2)),
-        (3, "UPDATE", False, "db", "trip", ["id"], 1, 0, row(50, 2), row(50, 1)), (4, "UPDATE", False, "db", "trip", ["id"], 1, 0, row(1, 1), row(99, 1)),
-        (5, "DELETE", False, "db", "trip", ["id"], 1, 0, row(5, 1), None), (6, "UPDATE", False, "db", "trip", ["id"], 1, 0, row(9, 1), {**row(9, 1), "name": "m"}),
+        (1, "INSERT", False, "db", "plot", ["id"], 1, 0, None, row(50, 1)), (2, "UPDATE", False, "db", "plot", ["id"], 1, 0, row(50, 1), row(50, 2)),
+        (3, "UPDATE", False, "db", "plot", ["id"], 1, 0, row(50, 2), row(50, 1)), (4, "UPDATE", False, "db", "plot", ["id"], 1, 0, row(1, 1), row(99, 1)),
+        (5, "DELETE", False, "db", "plot", ["id"], 1, 0, row(5, 1), None), (6, "UPDATE", False, "db", "plot", ["id"], 1, 0, row(9, 1), {**row(9, 1), "label": "m"}),
     ]
     for _ in range(2):
         index.apply(spark.createDataFrame(log, ch.CHANGE), "s", 0)
