@@ -163,35 +163,45 @@ def added_secrets(text):
 
 
 def kd_tree(rows, n, ordinal, share):
-    """rows: (id, size, text hash, id hash, codes) -> {id: shard}"""
+    """rows: (id, size, text hash, id hash, codes) -> {id: shard}, hashes of the groups that are split"""
     groups = {}
     for i, size, text, by_id, codes in rows:
         groups.setdefault(text, []).append((i, size, by_id, codes))
     total = sum(r[1] for r in rows)
+    sizes = {text: sum(m[1] for m in members) for text, members in groups.items()}
+    large = [t for t in groups if sizes[t] > share * total / n or len(groups[t]) > share * len(rows) / n]
+    out, loads, split = {}, [0] * n, set()
+    for text in sorted(large, key=lambda t: (-sizes[t], t)):
+        at = loads.index(min(loads))
+        if loads[at] + sizes[text] > total / n:
+            split.add(text)
+            continue
+        loads[at] += sizes[text]
+        out.update({m[0]: at for m in groups[text]})
     units = []  # (sort key behind the value, size, codes, ids)
     for text, members in groups.items():
         least = [min(m[3][d] for m in members) for d in range(len(ordinal))]
         digits = [(text % 2**64) >> s & 4095 for s in (52, 40, 28)]
         parts = {}
-        large = sum(m[1] for m in members) > share * total / n
-        for i, size, by_id, _ in members:
-            parts.setdefault(by_id % 4096 + 1 if large else 0, []).append((i, size))
+        for i, size, by_id, _ in [] if text in large and text not in split else members:
+            parts.setdefault(by_id % 4096 + 1 if text in split else 0, []).append((i, size))
         units += [((*digits, tie), sum(m[1] for m in own), least, [m[0] for m in own]) for tie, own in parts.items()]
 
-    def width(own, d):
-        values = [u[2][d] for u in own]
+    def width(values, d):
         return max(values) - min(values) if ordinal[d] else len(set(values)) - 1
 
-    whole = [max(1, width(units, d)) for d in range(len(ordinal))]
-    out = {}
+    whole = [max(1, width([min(m[3][d] for m in members) for members in groups.values()], d)) for d in range(len(ordinal))]
+    room = [total / n - load for load in loads]
 
     def place(own, leaves, first):
         if leaves == 1 or not own:
             out.update({i: first for u in own for i in u[3]})
             return
-        widths = [width(own, d) / whole[d] for d in range(len(ordinal))]
+        widths = [width([u[2][d] for u in own], d) / whole[d] for d in range(len(ordinal))]
         along = widths.index(max(widths))
-        goal, upto, cells = sum(u[1] for u in own) * (leaves // 2) / leaves, 0, {}
+        all_room = sum(room[first : first + leaves])
+        part = sum(room[first : first + leaves // 2]) / all_room if all_room else 0.5
+        goal, upto, cells = sum(u[1] for u in own) * part, 0, {}
         for u in own:
             cells.setdefault((u[2][along], *u[0]), []).append(u)
         left, right = [], []
@@ -204,4 +214,4 @@ def kd_tree(rows, n, ordinal, share):
         place(right, leaves - leaves // 2, first + leaves // 2)
 
     place(units, n, 0)
-    return out
+    return out, split

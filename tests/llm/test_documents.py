@@ -346,26 +346,43 @@ def test_shards_are_even(spark):
         shards.kd_shards(df, dimensions=[])
 
 
-@pytest.mark.parametrize("n", [8, 5])
-def test_shards_are_the_plain_tree(spark, n):
-    """The same k-d tree from sorted lists; every group of equal texts lies in one shard unless it is a large part of one."""
+@pytest.mark.parametrize(("n", "copies_of_7"), [(8, 60), (5, 60), (8, 8)])
+def test_shards_are_the_plain_tree(spark, n, copies_of_7):
+    """The same dealing and k-d tree from sorted lists; every group of equal texts lies in one shard unless no shard has room for it."""
     rng = random.Random(6)
     rows = []
     for k in range(600):
-        copies = 40 if k == 7 else rng.choice([1, 1, 1, 2, 3])
-        text = None if k == 11 else f"text {k} " * (200 if k == 7 else rng.randrange(1, 60))
+        copies = {7: copies_of_7, 11: 60, 13: 5, 17: 3}.get(k) or rng.choice([1, 1, 1, 2, 3])
+        text = None if k == 11 else f"text {k} " * (200 if k in (7, 13, 17) else rng.randrange(1, 60))
         rows += [(1000 * k + c, text, rng.choice(["en", "en", "fr", None]), rng.choice(["a", "b", "c"]), rng.choice([5, 50, 500, None])) for c in range(copies)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
     dims = ["n_chars", "lang", "source"]
     coded = df.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))) + 1, F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.array(*[shards._code(df, c) for c in dims])).collect()
     got = {r.doc_id: r.shard for r in shards.kd_shards(df, dimensions=dims, n_shards=n).collect()}
-    assert got == brute.kd_tree([tuple(r) for r in coded], n, [True, False, False], 0.05)
-    where, sizes = {}, {}
+    plain, split = brute.kd_tree([tuple(r) for r in coded], n, [True, False, False], 0.05)
+    assert got == plain
+    where, sizes, filled = {}, {}, {}
     for i, size, text, _, _ in map(tuple, coded):
         where.setdefault(text, set()).add(got[i])
         sizes[text] = sizes.get(text, 0) + size
-    limit = 0.05 * sum(sizes.values()) / n
-    assert all(len(w) == 1 for t, w in where.items() if sizes[t] <= limit) and any(len(w) > 1 for w in where.values())
+        filled[got[i]] = filled.get(got[i], 0) + size
+    shard = sum(sizes.values()) / n
+    assert {t for t, w in where.items() if len(w) > 1} == split == {t for t in where if sizes[t] > shard}
+    assert len(split) == (copies_of_7 == 60) and sum(sizes[t] > 0.05 * shard for t in where) > 2
+    assert max(filled.values()) - min(filled.values()) < 0.05 * shard
+
+
+def test_shards_keep_large_groups_whole(spark):
+    """Groups of a third of a shard and more stay whole, and others make up for them; what fits nowhere is split."""
+    rows = [(100 * k + c, f"group {k} " * 100, "en") for k in range(10) for c in range(9)] + [(10_000 + i, f"text {i} " * 3, "en") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = shards.kd_shards(df, dimensions=["lang"], n_shards=8).collect()
+    where, sizes = {}, {}
+    for r in out:
+        where.setdefault(r.doc_id // 100 if r.doc_id < 10_000 else r.doc_id, set()).add(r.shard)
+        sizes[r.shard] = sizes.get(r.shard, 0) + r["size"]
+    assert all(len(w) == 1 for w in where.values()) and len(out) == len(rows)
+    assert max(sizes.values()) - min(sizes.values()) < 200 and len(sizes) == 8
 
 
 def test_licenses(spark, docs):
