@@ -56,8 +56,9 @@ def _dealt(large: DataFrame, total: int, n_shards: int) -> DataFrame:
     return large.agg(F.aggregate(ordered, nothing, step)["placed"].alias("placed")).select(F.inline("placed"))
 
 
-#: The order inside a node: the value along its dimension, the text's hash digit by digit, and for split groups the id's.
-ORDER = (("value",), ("h0",), ("h1",), ("h2", "tie"))
+#: The order inside a node: the value along its dimension, the text's hash digit by digit, and for split groups the id's. Groups
+#: of one node, value and both digits (one pair in 16 million) stay together.
+ORDER = (("value",), ("h0",), ("h1", "tie"))
 
 
 def _cut(rows: DataFrame, cell: tuple[str, ...], given: list[str]) -> DataFrame:
@@ -167,7 +168,7 @@ def kd_shards(
     small = groups.filter(~heavy).withColumn("tie", F.lit(0)).select("group", "tie", "size", *dims)
     units = small.unionByName(parts)
     digit = lambda shift: F.shiftrightunsigned("group", shift).bitwiseAND(F.lit(CELLS - 1)).cast("int")
-    units = units.select("group", "tie", "size", *dims, digit(52).alias("h0"), digit(40).alias("h1"), digit(28).alias("h2"), F.lit(0).cast("bigint").alias("first"), F.lit(n_shards).cast("bigint").alias("leaves"))
+    units = units.select("group", "tie", "size", *dims, digit(52).alias("h0"), digit(40).alias("h1"), F.lit(0).cast("bigint").alias("first"), F.lit(n_shards).cast("bigint").alias("leaves"))
     units = written(units, "units")
     for _ in range(math.ceil(math.log2(n_shards))):
         units = _halved(units, dims, totals.asDict(), room)
