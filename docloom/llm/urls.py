@@ -82,19 +82,51 @@ def _generalised(forms: DataFrame, variable_children: int, variable_repeats: flo
 
 
 def _merged(children: DataFrame, similar_z: float) -> DataFrame:
-    """children (node, parent, known, bad) -> node, parent, merged, known and bad: siblings that are statistically similar
-    share their labels.
+    """children (node, child, known, bad) -> node, child, merged, known and bad: siblings that are statistically similar
+    are one branch, with the labels of all of them.
 
     A labelled child is similar if its share of bad labels is within similar_z standard errors of the share of all of
     its siblings' labels together. Children without a label are merged with nobody."""
-    pools = written(children.filter("known > 0").groupBy("parent").agg((F.sum("bad") / F.sum("known")).alias("common")), "pools")
+    pools = children.filter("known > 0").groupBy("node").agg((F.sum("bad") / F.sum("known")).alias("common"))
     near = F.abs(F.col("bad") / F.col("known") - F.col("common")) <= similar_z * F.sqrt(F.col("common") * (1 - F.col("common")) / F.col("known"))
     known = F.col("known") > 0
-    marked = children.join(pools, "parent", "left").withColumn("merged", known & F.coalesce(F.when(known, near), F.lit(False)))
-    marked = written(marked.drop("common"), "marked")
-    sums = marked.filter("merged").groupBy("parent").agg(F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
-    out = marked.join(written(sums, "merged"), "parent", "left")
-    return out.select("node", "parent", "merged", *[F.when(F.col("merged"), F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in ("known", "bad")])
+    marked = children.join(pools, "node", "left").withColumn("merged", known & F.coalesce(F.when(known, near), F.lit(False)))
+    sums = marked.filter("merged").groupBy("node").agg(F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
+    out = marked.join(sums, "node", "left")
+    return out.select("node", "child", "merged", *[F.when(F.col("merged"), F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in ("known", "bad")])
+
+
+def _branches(templates: DataFrame, similar_z: float) -> DataFrame:
+    """templates (host, template, path, known, bad) -> host, template, evidence (its own labels) and levels, the known and
+    bad labels of every node on its path.
+
+    Node by node from the host: similar children become one node, below which their subtrees lie over one another, so
+    that equal segments are one child there, and are compared with their siblings in turn. What all templates of a node
+    have in common is passed in one step, so the rounds are as many as nodes with a choice on one path, and a template
+    that has a node to itself is done. A node is named by its segments, null for those that were merged."""
+    none = F.array().cast("array<struct<known: bigint, bad: bigint>>")
+    active, done = templates.select("host", "template", "known", "bad", F.array("host").alias("node"), F.col("path").alias("rest"), none.alias("levels")), []
+    labels = lambda known, bad: F.struct(F.col(known).cast("bigint").alias("known"), F.col(bad).cast("bigint").alias("bad"))
+    while True:
+        more = active.filter(F.size("rest") > 0)
+        alike = more.groupBy("node").agg(F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        differs = F.array_position(F.zip_with("low", "high", lambda x, y: ~x.eqNullSafe(y)), True)
+        shared = F.when(differs == 0, F.size("low")).otherwise(differs - 1).cast("int")
+        at = active.join(alike.select("node", shared.alias("shared"), "all_known", "all_bad"), "node", "left")
+        own = (F.size("rest") > 0) & F.col("shared").isNotNull()
+        at = at.withColumn("levels", F.when(own, F.concat("levels", F.array_repeat(labels("all_known", "all_bad"), F.col("shared")))).otherwise(F.col("levels")))
+        at = written(at.withColumn("rest", F.when(own, F.expr("slice(rest, shared + 1, size(rest))")).otherwise(F.col("rest"))).drop("shared", "all_known", "all_bad"), "branches")
+        done.append(at.filter(F.size("rest") == 0).select("host", "template", F.col("known").alias("evidence"), "levels"))
+        at = at.filter(F.size("rest") > 0)
+        if at.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        at = at.withColumn("child", F.get("rest", F.lit(0)))
+        children = written(at.groupBy("node", "child").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")), "children")
+        merged = _merged(children, similar_z).select("node", "child", "merged", labels("known", "bad").alias("level"))
+        segment = F.when(~F.col("merged"), F.col("child"))
+        active = at.join(merged, ["node", "child"]).select(
+            "host", "template", "known", "bad", F.concat("node", F.array(segment)).alias("node"), F.expr("slice(rest, 2, size(rest))").alias("rest"), F.concat("levels", F.array("level")).alias("levels")
+        )
 
 
 def _purity(start: Column, levels: Column, m: float) -> Column:
@@ -116,8 +148,8 @@ def judge_templates(
     1. The tree: rows are counted by host and path form, so that everything after works on distinct forms. A node with
        at least variable_children children that occur fewer than variable_repeats times on average is variable: its
        children become *, and are one node whose own children are counted together.
-    2. Branches: siblings of one node that are statistically similar are merged (see _merged), level by level; others,
-       and those without a label, stay apart.
+    2. Branches: siblings of one node that are statistically similar are merged (see _merged), and their subtrees with
+       them (see _branches), level by level; others, and those without a label, stay apart.
     3. Purity: from the whole table's share over the host's domains (com, example.com, ...) and the path's nodes down to
        the template, every level's labels are smoothed with prior_weight labels of the level above. So a template
        without labels has the purity of the nearest node above it that has some, at whatever depth."""
@@ -131,20 +163,7 @@ def judge_templates(
     forms = written(forms.join(general, ["host", "form"]).select("host", "segments", "path", "template", "known", "bad"), "templates")
     templates = written(forms.groupBy("host", "template").agg(F.first("path").alias("path"), F.sum("known").alias("known"), F.sum("bad").alias("bad")), "counts")
 
-    # The path's nodes: level d holds the first d segments; the template itself is the last.
-    named = lambda d: F.concat_ws("/", F.col("host"), F.slice("path", F.lit(1), d))
-    level = lambda d: F.struct(d.alias("depth"), named(d).alias("node"), named(d - 1).alias("parent"))
-    steps = F.transform(F.sequence(F.lit(1), F.size("path")), level)
-    placed = templates.select("host", "template", "known", "bad", F.explode(steps).alias("s")).select("host", "template", "known", "bad", "s.*")
-    placed = written(placed, "placed")
-    nodes = placed.groupBy("depth", "node", "parent").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
-    nodes = nodes.select(F.struct("depth", "node").alias("node"), F.struct("depth", "parent").alias("parent"), "known", "bad")
-    nodes = written(_merged(nodes, similar_z), "nodes")
-    held = placed.select("host", "template", "known", F.struct("depth", "node").alias("node")).withColumnRenamed("known", "own")
-    levels = (
-        held.join(nodes.select("node", "known", "bad"), "node")
-        .groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("node.depth", "known", "bad"))).alias("levels"), F.max("own").alias("evidence"))
-    )
+    levels = _branches(templates, similar_z)
 
     # The host's domains, the shortest first.
     hosts = written(templates.groupBy("host").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")), "hosts")

@@ -215,3 +215,30 @@ def kd_tree(rows, n, ordinal, share):
 
     place(units, n, 0)
     return out, split
+
+
+def branch_levels(templates, z):
+    """templates: {(host, path): (known, bad)} -> {(host, path): labels of each node on the path}; similar siblings are one node,
+    and their subtrees are merged."""
+    out = {t: [] for t in templates}
+
+    def below(members, depth):
+        children = {}
+        for t in members:
+            if len(t[1]) > depth:
+                children.setdefault(t[1][depth], []).append(t)
+        sums = {c: tuple(sum(templates[t][i] for t in own) for i in (0, 1)) for c, own in children.items()}
+        known = sum(k for k, _ in sums.values())
+        common = sum(b for _, b in sums.values()) / known if known else 0
+        similar = [c for c, (k, b) in sums.items() if k and abs(b / k - common) <= z * (common * (1 - common) / k) ** 0.5]
+        branches = [[c] for c in children if c not in similar] + ([similar] if similar else [])
+        for branch in branches:
+            own = [t for c in branch for t in children[c]]
+            labels = tuple(sum(sums[c][i] for c in branch) for i in (0, 1))
+            for t in own:
+                out[t].append(labels)
+            below(own, depth + 1)
+
+    for host in {h for h, _ in templates}:
+        below([t for t in templates if t[0] == host], 0)
+    return out

@@ -207,3 +207,35 @@ def test_evidence_backs_off_along_the_tree(spark):
     assert got["http://h.good.example/z"].evidence == 0 and got["http://h.good.example/p/1"].evidence == 30
     few, many, none = (got[f"http://m.good.example/{k}/1"].purity for k in "spu")
     assert abs(few - many) < 0.001 < none - few, "one label, merged with its similar siblings, counts as much as theirs; no label is merged with nobody"
+
+
+def test_merged_branches_share_what_lies_below(spark):
+    """Two branches that are alike are one: /a/x has the evidence of /b/x; a branch that differs keeps its own."""
+    rows = [(f"http://h.example/{kind}/{leaf}/{n}", int(leaf == "x")) for kind in ("a", "b") for leaf in "xy" for n in range(40)]
+    rows += [(f"http://h.example/c/{leaf}/{n}", 0) for leaf in "xy" for n in range(8)]
+    rows += [(f"http://h.example/b/only/{n}", 1 if n < 4 else None) for n in range(40)] + [(f"http://h.example/a/only/{n}", None if n else 1) for n in range(40)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "page_id int, url string, bad int")
+    got = {rows[r.page_id][0].removeprefix("http://h.example"): r for r in urls.url_filter(df, [], label_col="bad").collect()}
+    assert got["/a/only/3"].evidence == 1 and got["/a/only/3"].purity == got["/b/only/3"].purity > 0.8, "one label of its own, four of its twin"
+    assert got["/a/x/1"].verdict == got["/b/x/1"].verdict == got["/a/only/3"].verdict == "block"
+    assert got["/c/x/1"].verdict == got["/a/y/1"].verdict == "allow"
+
+
+def test_branches_are_the_plain_tree(spark):
+    """Levels of every template against a recursive tree, with deep, shared, empty and equal segments."""
+    from random import Random
+
+    from . import brute
+
+    rng = Random(5)
+    templates = {}
+    for _ in range(400):
+        path = tuple(rng.choice(["", "a", "b", "c", "*"]) for _ in range(rng.randrange(1, 5))) + rng.choice([(), (), ("t",) * 30])
+        known = rng.choice([0, 0, 1, 5, 40])
+        templates[rng.choice(["h", "i.j"]), path] = (known, sum(rng.random() < (0.9 if path[0] == "c" else 0.1) for _ in range(known)))
+    df = spark.createDataFrame([(h, "/".join(p), list(p), *labels) for (h, p), labels in templates.items()], "host string, template string, path array<string>, known bigint, bad bigint").repartition(3)
+    got = {(r.host, tuple(r.template.split("/"))): (r.evidence, [tuple(x) for x in r.levels]) for r in urls._branches(df, 2.0).collect()}
+    plain = brute.branch_levels(templates, 2.0)
+    assert got == {t: (templates[t][0], levels) for t, levels in plain.items()}
+    apart = {t: sum(k for (h, p), (k, _) in templates.items() if h == t[0] and p[:2] == t[1][:2]) for t in templates}
+    assert any(levels[1][0] > apart[t] for t, (_, levels) in got.items() if len(levels) > 1), "subtrees were merged"
