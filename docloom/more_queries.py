@@ -23,6 +23,7 @@ from .plans.mapping import Field, Mapping, load_mappings
 from .queries import CUSTOMER, CUSTOMERS, FLAGS, FULL, LINES, ORDERS_NOW_SQL, ORDERS_SQL, orders_mapping, query, tables, view
 from .sources.capture import capture_log
 from .sources.changes import file_changes
+from .sources.indices import Indices
 from .sources.snapshots import Snapshots, scratch
 from .sources.vectors import KeptVectors
 from .streaming.maintain import DocumentStream
@@ -51,6 +52,39 @@ def snap_merge_on_read(spark, d):
     return q._flat(store.read())
 
 
+#: An index's own mapping of the orders' documents.
+ORDER_TYPES = json.dumps({"orders_1": {"mappings": {"properties": {
+    "id": {"type": "keyword"}, "customerId": {"type": "byte"}, "status": {"type": "text"}, "price": {"type": "integer"}, "orderDate": {"type": "date", "format": "yyyy-MM-dd"}, "priority": {"type": "keyword"},
+}}}})
+
+
+@query(q.ORACLE_SQL["doc_typed"])
+def snap_reindex(spark, d):
+    """The earlier orders behind an alias, copied into an index of other types while they are brought up to date in two writes, of
+    which one falls into the copying and one into the catching up; then the alias moves."""
+    t, m = tables(spark, d, "orders"), orders_mapping()
+    old, now = (q._before(spark, {"orders": o}, m) for o in (q.earlier_orders(t["orders"]), t["orders"]))
+    indices = Indices(spark, scratch(spark), **SMALL)
+    indices.create("orders_1")
+    indices.write("orders_1", old)
+    indices.point({"orders": "orders_1"})
+    indices.create("orders_2", ORDER_TYPES)
+    store, kind = indices.open("orders"), F.col("_id").cast("bigint") % 10
+    writes = [
+        lambda: store.update(now.filter(kind == 0), old.select("_id").filter(F.col("_id").cast("bigint") >= q.GONE)),
+        lambda: store.update(now.limit(0), now.select("_id").limit(0), parts=[(["price"], now.filter(kind.isin(1, 2)).select("_id", "price")), (["customerId"], now.filter(kind == 3).select("_id", "customerId"))]),
+    ]
+
+    def meanwhile(docs: DataFrame) -> DataFrame:
+        if writes:
+            writes.pop(0)()
+        return docs
+
+    indices.reindex("orders", "orders_2", meanwhile)
+    indices.drop("orders_1")
+    return indices.read("orders")
+
+
 def _line_changes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lines before, and the changes since: of parts with key % 9 = 1 moved from the next order, of key % 9 = 0 new."""
     columns = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
@@ -304,8 +338,7 @@ def rec_check_tree(spark, d):
 @query(q.ORACLE_SQL["doc_typed"])
 def doc_typed_by_index(spark, d):
     """Target types as an index's own mapping states them."""
-    properties = {"id": {"type": "keyword"}, "customerId": {"type": "byte"}, "status": {"type": "text"}, "price": {"type": "integer"}, "orderDate": {"type": "date", "format": "yyyy-MM-dd"}, "priority": {"type": "keyword"}}
-    target = target_types(json.dumps({"orders_1": {"mappings": {"properties": properties}}}), "orders")
+    target = target_types(ORDER_TYPES, "orders")
     return typed(view(spark, d, orders_mapping(), "orders"), target)
 
 

@@ -6,6 +6,7 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,23 +36,11 @@ def stored(df: DataFrame) -> DataFrame:
 DELTA = "_v bigint, _gone boolean, _set array<string>"
 
 
-class Snapshots:
-    """An index's documents under root/index, merged on read, in buckets by a hash of their key.
+class Commits:
+    """Numbered states of something under a path: each is a JSON file, committed-v, which appears in one step."""
 
-    Version v is the file committed-v, which appears in one step. It names what a version changes: for each touched bucket
-    its base folder and the folders of deltas over it, and for each stream the last batch that is in it. Every sixteenth is
-    whole, so a state is read from sixteen small files at most.
-
-    An update writes one delta: whole documents, deletions, and parts of documents (some fields of them). It reads and
-    rewrites nothing that is there, so it costs what it holds. Reading overlays the deltas on their base rows; base rows whose
-    ids are in no delta pass by a bitmap of those ids without a shuffle. compact() rewrites the buckets that have many or large deltas, and
-    splits those that have grown beyond bucket_bytes in two, again and again; other buckets stay as they are.
-
-    by is the column that buckets go by, _id unless all rows of another value are to lie together."""
-
-    def __init__(self, spark: SparkSession, root: str, index: str, buckets: int = 32, *, by: str = "_id", bucket_bytes: int = 256 << 20, most_deltas: int = 8):
-        self.spark, self.path, self.buckets = spark, f"{root.rstrip('/')}/{index}", buckets
-        self.by, self.bucket_bytes, self.most_deltas = by, bucket_bytes, most_deltas
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         self._root = self._hadoop.Path(self.path)
         self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -73,6 +62,39 @@ class Snapshots:
         finally:
             stream.close()
 
+    def _publish(self, version: int, commit: dict) -> int:
+        half, whole = (self._hadoop.Path(f"{self.path}/{n}") for n in (f"writing-{uuid.uuid4().hex}", f"committed-{version}"))
+        out = self._fs.create(half, True)
+        out.write(bytearray(json.dumps(commit).encode()))
+        out.close()
+        if self._fs.exists(whole) or not self._fs.rename(half, whole):  # a local rename would replace a file
+            self._fs.delete(half, False)
+            raise RuntimeError(f"version {version} of {self.path} was committed by another writer")
+        return version
+
+
+class Sealed(RuntimeError):
+    """An index that takes no more writes, since another stands in for it."""
+
+
+class Snapshots(Commits):
+    """An index's documents under root/index, merged on read, in buckets by a hash of their key.
+
+    Version v is the file committed-v, which appears in one step. It names what a version changes: for each touched bucket
+    its base folder and the folders of deltas over it, and for each stream the last batch that is in it. Every sixteenth is
+    whole, so a state is read from sixteen small files at most.
+
+    An update writes one delta: whole documents, deletions, and parts of documents (some fields of them). It reads and
+    rewrites nothing that is there, so it costs what it holds. Reading overlays the deltas on their base rows; base rows whose
+    ids are in no delta pass by a bitmap of those ids without a shuffle. compact() rewrites the buckets that have many or large deltas, and
+    splits those that have grown beyond bucket_bytes in two, again and again; other buckets stay as they are.
+
+    by is the column that buckets go by, _id unless all rows of another value are to lie together."""
+
+    def __init__(self, spark: SparkSession, root: str, index: str, buckets: int = 32, *, by: str = "_id", bucket_bytes: int = 256 << 20, most_deltas: int = 8):
+        super().__init__(spark, f"{root.rstrip('/')}/{index}")
+        self.buckets, self.by, self.bucket_bytes, self.most_deltas = buckets, by, bucket_bytes, most_deltas
+
     def state(self, version: int) -> dict:
         """schema, marks and all buckets of a version: the changes since the last whole commit, one over the other."""
         log = [self._commit(version)]
@@ -83,7 +105,7 @@ class Snapshots:
             for b in commit["gone"]:
                 buckets.pop(b, None)
             buckets |= {int(b): x for b, x in commit["buckets"].items()}
-        return {"schema": log[0]["schema"], "marks": log[0]["marks"], "buckets": buckets}
+        return {"schema": log[0]["schema"], "marks": log[0]["marks"], "buckets": buckets, "sealed": log[0].get("sealed", False)}
 
     def applied(self, stream: str) -> int:
         """The last batch of a stream that the current version holds; -1 if none."""
@@ -129,9 +151,9 @@ class Snapshots:
         found = both.groupBy("_id").agg(*latest, F.max(whole).alias("_whole"), F.max_by("_gone", whole).alias("_gone"))
         return passed.unionByName(found.filter("_whole is not null and not _gone").select(*names))
 
-    def _bucket(self, leaves: list[int]) -> Column:
+    def _bucket(self, leaves: list[int], key: Column | None = None) -> Column:
         """A row's bucket. Buckets are leaves of a binary tree over the hash's low bits; a leaf's number is a 1 before its bits."""
-        h = F.xxhash64(F.col(f"`{self.by}`").cast("string"))
+        h = F.xxhash64((F.col(f"`{self.by}`") if key is None else key).cast("string"))
         by_depth: dict[int, list[int]] = {}
         for leaf in leaves:
             by_depth.setdefault(leaf.bit_length() - 1, []).append(leaf)
@@ -143,6 +165,32 @@ class Snapshots:
                 out = F.when(at[d].isin(by_depth[d]), at[d]).otherwise(out)
         return out
 
+    def changed_since(self, version: int) -> tuple[DataFrame, Callable[[Column], Column]]:
+        """The current documents of the buckets that differ from a version's, and a test whether a key lies in one of them: what
+        such a bucket does not hold is gone. Other buckets are not read."""
+        then, now = self.state(version)["buckets"], self.state(self.version())
+        touched = [b for b, x in now["buckets"].items() if then.get(b) != x]
+        leaves = list(now["buckets"])
+        return self._merged(now, touched), lambda key: self._bucket(leaves, key).isin(touched)
+
+    def _open_to_writes(self, state: dict) -> None:
+        if state.get("sealed"):
+            raise Sealed(f"{self.path} takes no more writes")
+
+    def seal(self, version: int, sealed: bool = True) -> bool:
+        """Ends writing, if version is the current one still: False if another writer has committed the next. The seal is a commit
+        of its own, so that of a seal and a write at one time only one succeeds. sealed=False takes a seal back."""
+        state = self.state(version)
+        try:
+            self._follow(version + 1, state, {}, [], state["schema"], state["marks"], sealed)
+            return True
+        except RuntimeError:
+            return False
+
+    def drop(self) -> None:
+        """Deletes the index with all its versions."""
+        self._fs.delete(self._root, True)
+
     def _put(self, rows: DataFrame, version: int, leaves: list[int]) -> tuple[str, dict[int, int]]:
         """Writes rows by their buckets; the folder, and the bytes of each bucket that has any."""
         folder = f"v-{version}-{uuid.uuid4().hex[:8]}"
@@ -152,21 +200,12 @@ class Snapshots:
         found = [(m[1], s.getPath()) for s in listed if (m := re.fullmatch(r"_bucket=(\d+)", s.getPath().getName()))]
         return folder, {int(b): self._fs.getContentSummary(at).getLength() for b, at in found}
 
-    def _publish(self, version: int, commit: dict) -> int:
-        half, whole = (self._hadoop.Path(f"{self.path}/{n}") for n in (f"writing-{uuid.uuid4().hex}", f"committed-{version}"))
-        out = self._fs.create(half, True)
-        out.write(bytearray(json.dumps(commit).encode()))
-        out.close()
-        if not self._fs.rename(half, whole):
-            raise RuntimeError(f"version {version} of {self.path} was committed by another writer")
-        return version
-
-    def _follow(self, version: int, state: dict, changed: dict[int, dict], gone: list[int], schema: str, marks: dict) -> int:
+    def _follow(self, version: int, state: dict, changed: dict[int, dict], gone: list[int], schema: str, marks: dict, sealed: bool = False) -> int:
         """Commits what a version changes of the state before it, or every sixteenth time all of it."""
         whole = version % 16 == 0
         if whole:
             changed = {b: x for b, x in state["buckets"].items() if b not in gone} | changed
-        return self._publish(version, {"whole": whole, "schema": schema, "marks": marks, "buckets": changed, "gone": [] if whole else gone})
+        return self._publish(version, {"whole": whole, "schema": schema, "marks": marks, "buckets": changed, "gone": [] if whole else gone, "sealed": sealed})
 
     def write(self, docs: DataFrame, version: int | None = None, marks: dict[str, int] | None = None) -> int:
         """Writes docs as the next version. A version that is committed already is not written again. The batches that the
@@ -175,7 +214,9 @@ class Snapshots:
         v = (0 if current is None else current + 1) if version is None else version
         if current is not None and v <= current:
             return current
-        before = {} if current is None else self._commit(current)["marks"]
+        last = {} if current is None else self._commit(current)
+        self._open_to_writes(last)
+        before = last.get("marks", {})
         depth = max(0, self.buckets - 1).bit_length()
         leaves = list(range(1 << depth, 2 << depth))
         folder, sizes = self._put(docs, v, leaves)
@@ -187,6 +228,7 @@ class Snapshots:
         documents that are there (_id and the fields). A document is in one of upserts and deletes, or in parts of different fields."""
         current = self.version()
         state, v = self.state(current), current + 1
+        self._open_to_writes(state)
 
         def delta(rows: DataFrame, gone: bool, fields: list[str] | None) -> DataFrame:
             names = F.array(*[F.lit(c) for c in fields]) if fields is not None else F.lit(None).cast("array<string>")
@@ -209,6 +251,8 @@ class Snapshots:
         that are too large are split; None if there is nothing to do."""
         current = self.version()
         state, v = self.state(current), current + 1
+        if state["sealed"]:
+            return None
         large = lambda x: x["size"] + x["added"] > self.bucket_bytes
         much = lambda x: x["added"] > max(ratio * x["size"], self.bucket_bytes / 64)
         due = {b: x for b, x in state["buckets"].items() if len(x["deltas"]) >= self.most_deltas or much(x) or large(x)}

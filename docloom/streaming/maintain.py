@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -17,7 +18,8 @@ from ..functions.embed import Vectors
 from ..operators.view import Methods, Models, build_view, register
 from ..plans.lineage import Analyser, routes
 from ..plans.mapping import Mapping
-from ..sources.snapshots import Snapshots
+from ..sources.indices import Indices
+from ..sources.snapshots import Sealed, Snapshots
 from .owners import OwnerIndex
 
 Listener = Callable[[DataFrame, int], None]
@@ -46,13 +48,14 @@ class DocumentStream:
     listeners: list[Listener] = field(default_factory=list)
     ignore_until: int | None = None
     parallel: int = 4
+    patience: int = 120  # how often a batch looks for the index that stands in for a sealed one, every half second
     last_es: int | None = None  # the latest commit time of a change that was applied, in epoch ms
 
     def _how(self) -> dict:
         return {"methods": self.methods, "models": self.models, "vectors": self.vectors}
 
     def _store(self, spark: SparkSession, m: Mapping) -> Snapshots:
-        return Snapshots(spark, self.root, m.index, **self.snapshots)
+        return Indices(spark, self.root, **self.snapshots).open(m.index)
 
     def load(self) -> None:
         """The first version of each snapshot and its indices, from the tables."""
@@ -87,7 +90,17 @@ class DocumentStream:
             changes.unpersist()
 
     def _bring(self, spark: SparkSession, m: Mapping, changes: DataFrame, batch: int, stream: str) -> None:
-        """One mapping's snapshot with the batch in it, unless it is there already."""
+        """One mapping's snapshot with the batch in it, unless it is there already. A mapping's index may be an alias; where its
+        index was sealed meanwhile, the batch waits for the alias to move and goes into the index that it then stands for."""
+        for n in range(self.patience):
+            try:
+                return self._put(spark, m, changes, batch, stream)
+            except Sealed:
+                if n + 1 == self.patience:
+                    raise
+                time.sleep(0.5)
+
+    def _put(self, spark: SparkSession, m: Mapping, changes: DataFrame, batch: int, stream: str) -> None:
         store, index = self._store(spark, m), OwnerIndex(spark, m, self.root, **self.snapshots)
         index.load()
         index.apply(changes, stream, batch)
