@@ -21,13 +21,14 @@ from .operators.view import build_view, register, typed
 from .plans.index_types import target_types
 from .plans.mapping import Field, Mapping, load_mappings
 from .queries import CUSTOMER, CUSTOMERS, FLAGS, FULL, LINES, ORDERS_NOW_SQL, ORDERS_SQL, orders_mapping, query, tables, view
-from .sources.capture import capture_log
+from .sources.capture import capture_log, retained
 from .sources.changes import file_changes
 from .sources.indices import Indices
 from .sources.snapshots import Snapshots, scratch
 from .sources.vectors import KeptVectors
 from .streaming.maintain import DocumentStream
 from .streaming.owners import OwnerIndex
+from .streaming.supervise import Alerts, lost_since, supervised
 
 #: Buckets that split, and deltas that are compacted, at the size of the given tables.
 SMALL = {"buckets": 4, "bucket_bytes": 200_000, "most_deltas": 2}
@@ -171,6 +172,55 @@ def cdc_capture_log(spark, d):
     return found.groupBy("seq", "op").agg(F.max(F.element_at("after", "o_totalprice").try_cast("double")).alias("price"), F.count("*").alias("times"))
 
 
+class _ToItsEnd:
+    """A stream that ends when all that is there is read."""
+
+    def __init__(self, query):
+        self.query = query
+
+    def awaitTermination(self):  # noqa: N802
+        try:
+            self.query.processAllAvailable()
+        finally:
+            self.query.stop()
+
+
+@query(ORDERS_NOW_SQL)
+def cdc_lost_log(spark, d):
+    """A log that drops a third of the changes before they are read: the gap is found by its place, the documents are rebuilt in a new
+    index behind their alias, and a new stream goes on with what the log still holds."""
+    root, m, t = scratch(spark), orders_mapping(CUSTOMER, LINES), tables(spark, d, *FULL)
+    rows = q.orders_log(spark, d).select("seq", F.col("op").alias("type"), "is_ddl", "db", "table", "pk", "es", "ts", "before", "after", F.map_keys(F.coalesce("after", "before")).alias("updated"))
+    lines, log, docs = rows.select(F.to_json(F.struct("*")).alias("value"), (F.col("seq") % 3).alias("part")), f"{root}/log", f"{root}/docs"
+    stream = DocumentStream(spark, [m], lambda session: tables(session, d, *FULL), docs)
+    indices, state, sent = Indices(spark, docs), {"checkpoint": f"{root}/first"}, []
+    indices.create("orders_1")
+    indices.write("orders_1", q._before(spark, t | {"orders": q.earlier_orders(t["orders"])}, m))
+    indices.point({m.index: "orders_1"})
+
+    def start():
+        return _ToItsEnd(stream.start(capture_log(spark, log), state["checkpoint"]))
+
+    def rebuild():
+        stream.rebuild(m, "orders_2")
+        state["checkpoint"] = f"{root}/second"
+
+    lost = lost_since(spark, lambda: state["checkpoint"], lambda: retained(log))
+    run = lambda: supervised(start, Alerts(sent.append), pause_s=0, attempts=1, lost=lost, on_loss=rebuild)
+    _land(spark, lines.filter("part = 0").select("value"), log, "000000")
+    run()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(log)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    _land(spark, lines.filter("part = 1").select("value"), log, "000001")
+    for s in fs.listStatus(folder):
+        fs.delete(s.getPath(), False)
+    _land(spark, lines.filter("part = 2").select("value"), log, "000002")
+    run()
+    if len(sent) != 1 or indices.resolve(m.index) != "orders_2":
+        raise RuntimeError(f"one gap was to be found: {sent}")
+    return q._flat(indices.read(m.index))
+
+
 # Write sets
 
 

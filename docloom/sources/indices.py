@@ -68,9 +68,9 @@ class Indices(Commits):
         meta = self.state()["meta"].get(self.resolve(name))
         return target_types(meta, name) if meta else {}
 
-    def write(self, name: str, docs: DataFrame) -> int:
+    def write(self, name: str, docs: DataFrame, marks: dict[str, int] | None = None) -> int:
         """Documents as the index's next version, in its types; fields that its declaration lacks are an error."""
-        return self.open(name).write(self._typed(name, docs))
+        return self.open(name).write(self._typed(name, docs), marks=marks)
 
     def _typed(self, name: str, docs: DataFrame) -> DataFrame:
         target = self.target(name)
@@ -125,6 +125,24 @@ class Indices(Commits):
             since = self.catch_up(source, to, since, change)
         self.point({alias: to})
 
+    def replace(self, alias: str, to: str, docs: Callable[[], DataFrame]) -> int:
+        """Fills a new index with docs() and moves the alias to it. The old index is sealed before docs is called, so that what
+        docs reads is no older than the last write to it; readers have the old one until the alias moves, and writers wait.
+        If that fails, the old index is opened again. Returns the new index's version."""
+        old = self.open(alias)
+        while (version := old.version()) is not None and not old.seal(version):
+            pass
+        try:
+            if to not in self.state()["meta"]:
+                self.create(to, like=alias)
+            out = self.write(to, docs(), {} if version is None else old.state(version)["marks"])
+            self.point({alias: to})
+            return out
+        except BaseException:
+            if version is not None:
+                old.seal(version + 1, sealed=False)
+            raise
+
     def drop(self, index: str) -> None:
         """Deletes an index, unless an alias stands for it."""
         def edit(state: dict) -> None:

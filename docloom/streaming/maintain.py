@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.changes import batch_statistics, dependents, notifications, wanted
 from ..operators.incremental import recompute_parts
 from ..functions.embed import Vectors
-from ..operators.view import Methods, Models, build_view, register
+from ..operators.view import Methods, Models, build_view, register, typed
 from ..plans.lineage import Analyser, routes
 from ..plans.mapping import Mapping
 from ..sources.indices import Indices
@@ -63,14 +63,20 @@ class DocumentStream:
         for m in self.mappings:
             store = self._store(self.spark, m)
             if store.version() is None:
-                store.write(build_view(self.spark, m, **self._how()), 0)
+                Indices(self.spark, self.root, **self.snapshots).write(m.index, build_view(self.spark, m, **self._how()))
             OwnerIndex(self.spark, m, self.root, **self.snapshots).load()
 
-    def rebuild(self, mapping: Mapping) -> int:
-        """A fresh version from the tables alone."""
-        register(self.spark, self.tables(self.spark))
-        OwnerIndex(self.spark, mapping, self.root, **self.snapshots).load()
-        return self._store(self.spark, mapping).write(build_view(self.spark, mapping, **self._how()))
+    def rebuild(self, mapping: Mapping, to: str | None = None) -> int:
+        """A fresh version from the tables alone. With to, in a new index of that name, to which the mapping's alias then moves:
+        batches that come meanwhile wait and are in the new index, readers have the old one until then."""
+
+        def docs() -> DataFrame:
+            register(self.spark, self.tables(self.spark))
+            OwnerIndex(self.spark, mapping, self.root, **self.snapshots).load()
+            return build_view(self.spark, mapping, **self._how())
+
+        indices = Indices(self.spark, self.root, **self.snapshots)
+        return indices.write(mapping.index, docs()) if to is None else indices.replace(mapping.index, to, docs)
 
     def apply(self, changes: DataFrame, batch: int, stream: str = "") -> None:
         spark = changes.sparkSession  # a batch has a session of its own, and so have the names in it
@@ -105,9 +111,11 @@ class DocumentStream:
         index.load()
         index.apply(changes, stream, batch)
         if store.version() is None:
-            store.write(build_view(spark, m, **self._how()), marks={stream: batch})
+            Indices(spark, self.root, **self.snapshots).write(m.index, build_view(spark, m, **self._how()), {stream: batch})
         elif store.applied(stream) < batch:
             upserts, deletes, parts = recompute_parts(spark, m, changes, known=index.owners, **self._how())
+            if target := Indices(spark, self.root).target(m.index):
+                upserts, parts = typed(upserts, target), [(fields, typed(part, target)) for fields, part in parts]
             store.update(upserts, deletes, {stream: batch}, parts)
             store.compact()
             store.prune()

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import changes as ch
-from docloom.operators.view import build_view, register
+from docloom.operators.view import build_view, register, typed
 from docloom.plans.mapping import MappingError
 from docloom.sources.indices import IndexConflict, Indices
 from docloom.sources.snapshots import Sealed, Snapshots
@@ -143,3 +143,16 @@ def test_a_stream_goes_on_in_the_new_index(spark, tmp_path):
     register(spark, frames(spark, now["state"]))
     assert plain(indices.read(TALLY.index)) == plain(build_view(spark, TALLY))
     assert indices.open("tally_2").applied("s") == 1 and indices.open("tally_1").applied("s") == 0
+
+    types = {"id": {"type": "keyword"}, "label": {"type": "keyword"}, "keeper": {"type": "keyword"}, "n": {"type": "integer"}}
+    indices.create("tally_3", json.dumps({"properties": types}))
+    stream.rebuild(TALLY, "tally_3")
+    batch(2)
+    register(spark, frames(spark, now["state"]))
+    assert plain(indices.read(TALLY.index)) == plain(typed(build_view(spark, TALLY), indices.target("tally_3"))), "batches have the new index's types too"
+    assert indices.open("tally_3").applied("s") == 2
+    indices.create("tally_4", json.dumps({"properties": {"id": {"type": "keyword"}}}))
+    with pytest.raises(MappingError):
+        stream.rebuild(TALLY, "tally_4")
+    batch(3)
+    assert indices.resolve(TALLY.index) == "tally_3" and indices.open("tally_3").applied("s") == 3, "what failed leaves the old index open"
