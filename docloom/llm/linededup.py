@@ -286,7 +286,8 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     some, rest = split_marked(plain, own_id, doubtful)
     done = rest.mapInArrow(_line_dropper(arrow, text_at, id_at, least, _by_filters(seen, bits, lost, lost_bits)), result)
     key, keys = free_name(plain, "id"), free_name(plain, "keys")
-    exact = gone.join(doubtful, "id").groupBy(F.col("id").alias(key)).agg(F.collect_set("key").alias(keys))
+    lines, _ = split_marked(gone, F.col("id"), doubtful)  # the same bitmap: the lines of all documents in some, also of those that fell there by a collision
+    exact = lines.groupBy(F.col("id").alias(key)).agg(F.collect_set("key").alias(keys))
     some = some.join(exact, own_id == F.col(key), "left").select(*[F.col(f"`{c}`") for c in names], keys)
     return done.unionByName(some.mapInArrow(_line_dropper(arrow, text_at, id_at, least, _by_keys(len(names))), result))
 

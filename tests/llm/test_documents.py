@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontam, licenses, linededup, neardup, quality, secrets, shards
+from docloom.llm import bpe, common, decontam, licenses, linededup, neardup, quality, secrets, shards
 
 from . import brute
 
@@ -196,6 +196,14 @@ def test_line_dedup_with_doubtful_documents(spark, docs, monkeypatch):
     assert sorted(map(str, linededup.line_dedup(docs, bits=20).collect())) == plain
 
 
+def test_line_dedup_with_documents_that_collide_with_doubtful_ones(spark, docs, monkeypatch):
+    """Documents that the bitmap of doubtful ones holds by a collision lose their lines too."""
+    plain = sorted(map(str, linededup.line_dedup(docs, bits=20).collect()))
+    monkeypatch.setattr(linededup, "lost_lines", lambda gone, bits: b"\xff" * (1 << (bits - 3)))
+    monkeypatch.setattr(common, "bits_for", lambda keys, least=15: 1)
+    assert sorted(map(str, linededup.line_dedup(docs, bits=20).collect())) == plain
+
+
 @pytest.mark.parametrize("width", [1, 2, 5, 6])
 def test_half_windows_find_all_windows(width):
     """Runs followed from half-windows are those of all windows, also in texts that repeat in themselves."""
