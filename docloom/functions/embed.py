@@ -6,7 +6,7 @@ import hashlib
 import threading
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import numpy as np
@@ -27,6 +27,16 @@ class Limits:
     per_minute: int | None = 60
     queue: str = ""
 
+    def of(self, model: Model) -> Limits:
+        """These limits for a model: the rate is a service's, so one that computes in the task (see in_task) has none."""
+        return replace(self, per_minute=None) if getattr(model, "in_task", False) else self
+
+
+def in_task(model: Model) -> Model:
+    """Marks a model that computes its vectors in the task and asks no service."""
+    model.in_task = True
+    return model
+
 
 def limits(params: dict) -> Limits:
     """Limits from a mapping's paramLlmVector; a rate of 0 or below is none. Without a queue name, the model's class and name stand for it."""
@@ -60,6 +70,7 @@ class Rate:
 def hashed_model(dimensions: int) -> Model:
     """A deterministic stand-in for an embedding service: unit vectors from a text's digest."""
 
+    @in_task
     def run(texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:

@@ -171,10 +171,11 @@ def nested_values(rows: DataFrame, names: list[str], f: Field, mapping: Mapping,
 
 def embedded(df: DataFrame, text_col: str, out_col: str, f: Field, models: Models, vectors: Vectors | None) -> DataFrame:
     """df with out_col, the vector of a text, within the limits that the field's parameters set."""
-    limit = limits(f.params)
+    model = _model(f, models)
+    limit = limits(f.params).of(model)
     if vectors is not None:
-        return vectors.embed(df, text_col, out_col, _model(f, models), limit)
-    return embed(df, text_col, out_col, _model(f, models), request_size=limit.request_size, per_minute=limit.per_minute)
+        return vectors.embed(df, text_col, out_col, model, limit)
+    return embed(df, text_col, out_col, model, request_size=limit.request_size, per_minute=limit.per_minute)
 
 
 def build_view(
@@ -195,7 +196,7 @@ def build_view(
     what remains, so recomputing a few documents reads their rows only. where is a predicate on the main table's columns,
     which reaches its scan. fields restricts the nested fields. models are the embedding models of vector fields by name
     (a field's paramLlmVector names one in modelClass; the name "" stands for all others); requests keep to the size and the
-    rate that the parameters set. vectors keeps what models answered, and one rate for all who ask. Keys join by equality, so
+    rate that the parameters set (models that compute in the task have no rate, see functions.embed.in_task). vectors keeps what models answered, and one rate for all who ask. Keys join by equality, so
     documents without nested rows have null, or an empty array."""
     analyser, methods = analyser or Analyser(spark), methods or {}
     q = analyser.query(mapping.sql)

@@ -1,12 +1,13 @@
 """A capturer's log as a source, gaps in it, vectors kept over runs, and children that have no order."""
 
 import json
+import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from docloom.functions.embed import Limits, limits
+from docloom.functions.embed import Limits, in_task, limits
 from docloom.operators.view import build_view, register
 from docloom.plans.mapping import Field, Mapping
 from docloom.sources.capture import capture_log, retained
@@ -91,6 +92,16 @@ def test_limits_come_from_the_mapping():
     assert limits({"modelClass": "m"}) == Limits(6, 60, "m//") and limits({"request-max-content-size": 3, "qpm": 0, "requestQueueName": "q"}) == Limits(3, None, "q")
 
 
+def test_models_in_the_task_have_no_rate(spark):
+    """The default rate is a service's: a model that computes in the task is not slowed by it, a service keeps to it."""
+    m = Mapping("docs", "SELECT a.id AS id, a.name AS name FROM author a", fields=(Field("name", "llm-vector", params={"modelClass": "m", "requestMaxContentSize": 1}),)).check()
+    register(spark, {"author": spark.range(60).selectExpr("id", "concat('name', id) AS name")})
+    began = time.monotonic()
+    got = build_view(spark, m, models={"m": in_task(lambda texts: [[float(len(t))] for t in texts])}).collect()
+    assert time.monotonic() - began < 40 and sorted(r["name"][0] for r in got) == [5.0] * 10 + [6.0] * 50  # 60 requests took 59 s
+    assert limits({}).of(len) == Limits(6, 60, "//") and limits({"qpm": 5}).of(in_task(lambda texts: [])).per_minute is None
+
+
 def test_vectors_are_asked_for_once(spark, tmp_path):
     """Children of nested fields and main columns of one queue share what is kept, within the mapping's limits."""
     params = {"modelClass": "m", "qpm": 6000, "requestMaxContentSize": 1}
