@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def split_range(spark: SparkSession, low: int, high: int, n: int) -> DataFrame:
@@ -47,10 +48,24 @@ def search_after(docs: DataFrame, cursor: str | None, size: int, include: list[s
 
 
 def date_windows(df: DataFrame, time: str, start, width_ms: int = 600_000) -> DataFrame:
-    """df with window_no and window_start: half-open windows of width_ms counted from start; earlier rows are left out."""
-    offset = F.unix_millis(F.col(time).cast("timestamp")) - F.unix_millis(F.lit(start).cast("timestamp"))
+    """df with window_no and window_start: half-open windows of width_ms counted from start; earlier rows are left out.
+
+    Times without a zone are counted as they are written, whatever the session's zone, so that none falls into the hour that
+    a change to summer time leaves out."""
+    column, begin = F.col(time), F.lit(start)
+    if isinstance(df.schema[time].dataType, T.TimestampNTZType):
+        begin = begin.cast("timestamp_ntz")
+
+        def millis(c: Column) -> Column:
+            seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+            return seconds * 1000 + F.floor(F.date_part(F.lit("SECOND"), c) * 1000)
+
+        offset = millis(column) - millis(begin)
+    else:
+        begin = begin.cast("timestamp")
+        offset = F.unix_millis(column.cast("timestamp")) - F.unix_millis(begin)
     n = F.floor(offset / width_ms)
-    stamp = F.timestamp_millis(F.unix_millis(F.lit(start).cast("timestamp")) + n * width_ms)
+    stamp = begin + F.make_dt_interval(secs=n * width_ms / F.lit(1000).cast("decimal(4,0)"))
     return df.filter(offset >= 0).withColumn("window_no", n.cast("bigint")).withColumn("window_start", stamp)
 
 

@@ -449,3 +449,17 @@ def test_vectors_are_kept_and_tried_again(spark):
     calls = spark.sparkContext.accumulator(0)
     got = {r["id"]: r["v"] for r in embed(df, "text", "v", Failing(calls), known=known, per_minute=6000).collect()}
     assert got[2] == [1.0, 2.0] and len(got[1]) == 2 and got[1] != got[2] and calls.value == 2, "one text was sent, twice"
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_date_windows_keep_their_width_over_summer_time(spark, kind):
+    """Times without a zone are counted as written in any session's zone; others by their instants."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York" if kind == "timestamp_ntz" else "UTC")
+    try:
+        times = ["2024-03-09 23:59:59.999", "2024-03-10 00:00:00", "2024-03-10 01:59:59.9999", "2024-03-10 02:30:00", "2024-03-10 03:30:00", "2024-03-11 00:10:00"]
+        df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast(kind).alias("t"))
+        got = ranges.date_windows(df, "t", "2024-03-10 00:00:00").selectExpr("window_no", "cast(window_start as string) as at").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(map(tuple, got)) == [(0, "2024-03-10 00:00:00"), (11, "2024-03-10 01:50:00"), (15, "2024-03-10 02:30:00"), (21, "2024-03-10 03:30:00"), (145, "2024-03-11 00:10:00")]
