@@ -30,6 +30,10 @@ class LogRange(InputPartition):
     end: int
 
 
+#: About as many tasks read a batch at most, as long as none of them has more than TASK_BYTES.
+MOST_TASKS, TASK_BYTES = 128, 32 << 20
+
+
 class LostLog(RuntimeError):
     """The log no longer holds what a stream has still to read."""
 
@@ -61,12 +65,16 @@ class _Log:
         return 0
 
     def ranges(self, start: dict, end: dict) -> list[LogRange]:
-        out = []
+        """Ranges of range_bytes, or larger ones where a batch holds so much that these would be very many tasks."""
+        out, found = [], []
         for name, size in self.files():
             low = start["position"] if name == start["file"] else 0
             high = end["position"] if name == end["file"] else size
             if start["file"] <= name <= end["file"]:
-                out += [LogRange(name, at, min(high, at + self.range_bytes)) for at in range(low, high, self.range_bytes)]
+                found.append((name, low, high))
+        share = max(self.range_bytes, min(TASK_BYTES, -(-sum(high - low for _, low, high in found) // MOST_TASKS)))
+        for name, low, high in found:
+            out += [LogRange(name, at, min(high, at + share)) for at in range(low, high, share)]
         return out
 
     def read(self, part: LogRange) -> Iterator[pa.RecordBatch]:
@@ -79,7 +87,7 @@ class _Log:
             source.seek(at)
             rest, base = b"", at
             while base < part.end:
-                data = source.read(1 << 20)
+                data = source.read(min(1 << 20, max(1 << 16, part.end - base)))
                 lines = (rest + data).split(b"\n")
                 rest = lines.pop()
                 for line in lines:
@@ -185,7 +193,7 @@ class CaptureLog(DataSource):
 
     Files follow one another by name; the last one may still grow, and a line without its end waits for it. Options: path (a
     folder that driver and executors share, or a URI that pyarrow opens), start (earliest or latest), rangeBytes (a task's
-    share of a file) and maxBytesPerTrigger."""
+    share of a file; up to 32 MB where a batch would be more than 128 tasks) and maxBytesPerTrigger."""
 
     @classmethod
     def name(cls) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions.embed import Limits, in_task, limits
 from docloom.operators.view import build_view, register
 from docloom.plans.mapping import Field, Mapping
-from docloom.sources.capture import capture_log, retained
+from docloom.sources.capture import _Log, capture_log, retained
 from docloom.sources.vectors import KeptVectors
 from docloom.streaming.supervise import Alerts, committed_offsets, gaps, lost_since, supervised
 
@@ -123,3 +123,13 @@ def test_vectors_are_asked_for_once(spark, tmp_path):
     again = sc.accumulator(0)
     plain = build_view(spark, m, models={"m": Counting(again, sc.accumulator(0))}).filter(F.col("id") == 1).collect()
     assert plain[0]["books"] == got[1]["books"] and again.value == 4, "without what is kept, each field asks for itself"
+
+
+def test_many_small_ranges_are_few_tasks(spark, tmp_path):
+    """A log of very many times rangeBytes is read by a bounded number of tasks, each line once."""
+    for n in range(3):
+        (tmp_path / f"bin.{n}").write_text("".join(map(line, range(n * 1000, n * 1000 + 1000))))
+    log = _Log({"path": str(tmp_path), "rangebytes": 100})
+    ends = log.ranges({"file": "", "position": 0}, {"file": "bin.2", "position": log.files()[-1][1]})
+    assert 100 < len(ends) <= 128 + 3
+    assert sorted(n for part in ends for batch in log.read(part) for n in batch.column("seq").to_pylist()) == list(range(3000))
