@@ -69,10 +69,16 @@ def modify_history(old: DataFrame, new: DataFrame, key: str, fields: dict[str, s
 
 
 def list_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of new that old has not, as insert, and the other way round, as delete; of repeated keys one counts."""
-    came = new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(key, F.lit("insert").alias("kind"))
-    gone = old.dropDuplicates([key]).join(new.select(key), key, "left_anti").select(key, F.lit("delete").alias("kind"))
-    return came.unionByName(gone)
+    """Rows of new that old has not, as insert, and the other way round, as delete; of repeated keys one counts.
+
+    Both sides' keys are counted together, without a pass in each task before the shuffle: keys are mostly different, and a task would hold all
+    of its own. A null key equals none, so it is on either side that has it."""
+    spark = old.sparkSession
+    sides = [df.select(F.col(f"`{key}`"), F.lit(kind).alias("kind")) for df, kind in ((new, "insert"), (old, "delete"))]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    both = sides[0].unionByName(sides[1]).repartition(parts, F.col(f"`{key}`"))  # a fixed number, so that none of them is joined to others
+    kinds = both.groupBy(F.col(f"`{key}`")).agg(F.collect_set("kind").alias("_kinds"))
+    return kinds.filter((F.size("_kinds") == 1) | F.col(f"`{key}`").isNull()).select(F.col(f"`{key}`"), F.explode("_kinds").alias("kind"))
 
 
 def change_log(changes: DataFrame, fields: list[str] | None = None) -> DataFrame:
