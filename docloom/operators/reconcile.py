@@ -20,21 +20,19 @@ def orphans(view: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("_id").join(view.select("_id"), "_id", "left_anti")
 
 
-def _pairs(view: DataFrame, docs: DataFrame) -> tuple[DataFrame, dict, dict]:
-    """Documents beside their source, by id."""
+def _pairs(view: DataFrame, docs: DataFrame, how: str = "inner") -> tuple[DataFrame, dict, dict]:
+    """Documents beside their source, by id; for an outer join, _s and _d are true for the sides that are there."""
     a = {f.name: f.dataType for f in view.schema.fields}
     b = {f.name: f.dataType for f in docs.schema.fields}
     left = view.select("_id", *[F.col(f"`{c}`").alias(f"s_{c}") for c in a if c != "_id"])
     right = docs.select("_id", *[F.col(f"`{c}`").alias(f"d_{c}") for c in b if c != "_id"])
-    return left.join(right, "_id"), a, b
+    if how != "inner":
+        left, right = left.withColumn("_s", F.lit(True)), right.withColumn("_d", F.lit(True))
+    return left.join(right, "_id", how), a, b
 
 
-def row_changes(view: DataFrame, docs: DataFrame, fields: list[str] | None = None, references: dict[str, str] | None = None) -> DataFrame:
-    """_id and changed, the sorted names of fields whose document value differs from the source; equal ones are left out.
-
-    By default all fields of both sides that are no nested rows. references names the text field that stands for a
-    vector field, which is compared in its place."""
-    both, a, b = _pairs(view, docs)
+def _row_marks(a: dict, b: dict, fields: list[str] | None = None, references: dict[str, str] | None = None) -> Column:
+    """The names of differing fields of a pair (see row_changes)."""
 
     def nested(t: T.DataType) -> bool:
         return isinstance(t, T.StructType) or isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType)
@@ -45,13 +43,20 @@ def row_changes(view: DataFrame, docs: DataFrame, fields: list[str] | None = Non
         r = (references or {}).get(c, c)
         same = field_equal(F.col(f"s_{r}"), a[r], F.col(f"d_{r}"), b[r])
         marks.append(F.when(~same, F.lit(c)))
-    return both.select("_id", F.array_sort(F.array_compact(F.array(*marks))).alias("changed")).filter("size(changed) > 0")
+    return F.array_compact(F.array(*marks)) if marks else F.array().cast("array<string>")
 
 
-def nested_changes(view: DataFrame, docs: DataFrame, name: str, ordered: bool = False) -> DataFrame:
-    """_id and changed for one nested field: for an object its differing children as name.child; for an array the name if
-    sizes differ or the rows do, as a multiset, or if ordered the children that differ in the first differing row."""
+def row_changes(view: DataFrame, docs: DataFrame, fields: list[str] | None = None, references: dict[str, str] | None = None) -> DataFrame:
+    """_id and changed, the sorted names of fields whose document value differs from the source; equal ones are left out.
+
+    By default all fields of both sides that are no nested rows. references names the text field that stands for a
+    vector field, which is compared in its place."""
     both, a, b = _pairs(view, docs)
+    return both.select("_id", F.array_sort(_row_marks(a, b, fields, references)).alias("changed")).filter("size(changed) > 0")
+
+
+def _nested_marks(a: dict, b: dict, name: str, ordered: bool) -> Column:
+    """What of one nested field of a pair differs (see nested_changes)."""
     source, doc = F.col(f"s_{name}"), F.col(f"d_{name}")
     whole = F.array(F.lit(name))
     none = F.array().cast("array<string>")
@@ -72,8 +77,14 @@ def nested_changes(view: DataFrame, docs: DataFrame, name: str, ordered: bool =
     else:
         inner = F.when(field_equal(source, a[name], doc, b[name], ordered), none).otherwise(whole)
     empty_a, empty_b = is_empty(source, a[name]), is_empty(doc, b[name])
-    changed = F.when(empty_a & empty_b, none).when(empty_a | empty_b, whole).otherwise(inner)
-    return both.select("_id", changed.alias("changed")).filter("size(changed) > 0")
+    return F.when(empty_a & empty_b, none).when(empty_a | empty_b, whole).otherwise(inner)
+
+
+def nested_changes(view: DataFrame, docs: DataFrame, name: str, ordered: bool = False) -> DataFrame:
+    """_id and changed for one nested field: for an object its differing children as name.child; for an array the name if
+    sizes differ or the rows do, as a multiset, or if ordered the children that differ in the first differing row."""
+    both, a, b = _pairs(view, docs)
+    return both.select("_id", _nested_marks(a, b, name, ordered).alias("changed")).filter("size(changed) > 0")
 
 
 def repairs(view: DataFrame, docs: DataFrame, changes: DataFrame) -> DataFrame:
@@ -91,15 +102,16 @@ def change_counts(changes: DataFrame, samples: int = 5) -> DataFrame:
 
 
 def check_all(view: DataFrame, docs: DataFrame, nested: dict[str, bool] | None = None) -> DataFrame:
-    """One row for each document in need of work: _id, action (insert, delete, update) and the changed fields."""
-    rows = row_changes(view, docs)
-    for name, ordered in (nested or {}).items():
-        rows = rows.unionByName(nested_changes(view, docs, name, ordered))
-    updates = rows.groupBy("_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("changed")))).alias("changed"))
-    empty = F.array().cast("array<string>")
-    inserts = missing(view, docs).select("_id", F.lit("insert").alias("action"), empty.alias("changed"))
-    deletes = orphans(view, docs).select("_id", F.lit("delete").alias("action"), empty.alias("changed"))
-    return updates.select("_id", F.lit("update").alias("action"), "changed").unionByName(inserts).unionByName(deletes)
+    """One row for each document in need of work: _id, action (insert, delete, update) and the changed fields.
+
+    All is told by one outer join, so that view and docs are computed once each, however many fields are compared."""
+    both, a, b = _pairs(view, docs, "full_outer")
+    none = F.array().cast("array<string>")
+    changed = F.concat(_row_marks(a, b), *[_nested_marks(a, b, name, ordered) for name, ordered in (nested or {}).items()])
+    action = F.when(F.col("_d").isNull(), "insert").when(F.col("_s").isNull(), "delete").otherwise("update")
+    rows = both.select("_id", action.alias("action"), F.when(F.col("_s") & F.col("_d"), changed).otherwise(none).alias("changed"))
+    rows = rows.filter("action <> 'update' or size(changed) > 0")
+    return rows.groupBy("_id", "action").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("changed")))).alias("changed"))
 
 
 def _digests(docs: DataFrame, names: list[str], bits: int) -> DataFrame:
@@ -120,19 +132,22 @@ def _inside(docs: DataFrame, ranges: DataFrame | None, bits: int) -> DataFrame:
 def differing_ranges(view: DataFrame, docs: DataFrame, levels: tuple[int, ...] = (10, 16)) -> tuple[DataFrame | None, int]:
     """The ranges of ids in which view and docs differ, and their bits; None if nothing differs.
 
-    Both sides are summed up by ranges of ids, and only ranges whose sums differ are looked at again by finer ones, level by level.
+    Each side is summed up once, by the finest ranges of ids; coarser ones are sums of those (a range's low bits name it), and where a coarse one is
+    equal, the finer ones below are not looked at.
     No document meets its partner here. Values are compared as their JSON texts over the fields that both sides have, so a range may be listed for values
     that only look different; a range that is not listed holds the same documents on both sides."""
     names = sorted({c for c in view.columns if c != "_id"} & set(docs.columns))
-    found, bits = None, 0
+    same = ["range", "n", "total", "mixed"]
+    sides = [stored(_digests(side, names, levels[-1])) for side in (view, docs)]  # a row for each range at most
+    found = None
     for level in levels:
-        sides = [_digests(_inside(side, found, bits), names, level) for side in (view, docs)]
-        same = ["range", "n", "total", "mixed"]
-        # a row for each range at most: 2**level
-        found, bits = stored(sides[0].select(*same).exceptAll(sides[1].select(*same)).unionByName(sides[1].select(*same).exceptAll(sides[0].select(*same))).select("range").distinct()), level
+        low = F.pmod("range", F.lit(1 << level))
+        kept = [s if found is None else s.join(found, F.pmod(s["range"], F.lit(1 << bits)) == found["found"], "left_semi") for s in sides]
+        one, two = (s.groupBy(low.alias("range")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.bit_xor("mixed").alias("mixed")).select(*same) for s in kept)
+        found, bits = stored(one.exceptAll(two).unionByName(two.exceptAll(one)).select(F.col("range").alias("found")).distinct()), level
         if found.isEmpty():
             return None, level
-    return found, bits
+    return found.toDF("range"), bits
 
 
 def check_ranges(view: DataFrame, docs: DataFrame, nested: dict[str, bool] | None = None, levels: tuple[int, ...] = (10, 16)) -> DataFrame:
@@ -144,7 +159,8 @@ def check_ranges(view: DataFrame, docs: DataFrame, nested: dict[str, bool] | Non
 
 
 def repaired(view: DataFrame, docs: DataFrame, work: DataFrame) -> DataFrame:
-    """docs after the work that check_all lists."""
+    """docs after the work that check_all lists, which is written once, since both parts of the result read it."""
+    work = stored(work.select("_id", "action"))
     kept = docs.join(work.select("_id"), "_id", "left_anti")
     fresh = view.join(work.filter("action <> 'delete'").select("_id"), "_id", "left_semi")
     return kept.unionByName(fresh, allowMissingColumns=True)

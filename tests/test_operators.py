@@ -463,3 +463,31 @@ def test_date_windows_keep_their_width_over_summer_time(spark, kind):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert sorted(map(tuple, got)) == [(0, "2024-03-10 00:00:00"), (11, "2024-03-10 01:50:00"), (15, "2024-03-10 02:30:00"), (21, "2024-03-10 03:30:00"), (145, "2024-03-11 00:10:00")]
+
+
+def test_small_blocks_are_cut_inside_few_ranges(spark):
+    """Blocks of few requests do not make as many ranges, whose samples come to the driver; places keep to their order and stay together."""
+    rows = spark.range(2000).selectExpr("'i' AS index", "cast(id % 9 AS string) AS id", "id div 2 AS seq", "'update' AS kind", "true AS upsert", "map('f', 'v') AS fields")
+    got = compact._blocked(rows, 10).groupBy("block").agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).orderBy("block").collect()
+    assert 1 < len({r["block"] >> 32 for r in got}) <= compact.MOST_RANGES
+    assert sum(r["n"] for r in got) == 2000 and max(r["n"] for r in got) <= 11 and all(a["high"] < b["low"] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_list_diff_has_no_pass_before_the_shuffle(spark):
+    """Keys that are nearly all different are not gathered in each task first; repeated and null keys are as before."""
+    old, new = (spark.createDataFrame([(k, "x") for k in keys], "k bigint, v string") for keys in ([1, 2, 2, 3, None], [2, 4, 4, None, None]))
+    out = history.list_diff(old, new, "k")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(4, "insert"), (1, "delete"), (3, "delete"), (None, "insert"), (None, "delete")], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_check_all_reads_each_side_once(spark, tmp_path):
+    """All fields of all documents are compared by one join of both sides."""
+    row = "_id string, a int, n array<struct<x: int>>"
+    for name, rows in {"view": [("1", 1, [(1,)]), ("2", 2, []), ("3", 3, [(3,)])], "docs": [("1", 1, [(2,)]), ("2", 5, None), ("4", 4, [])]}.items():
+        spark.createDataFrame(rows, row).write.parquet(str(tmp_path / name))
+    view, docs = (spark.read.parquet(str(tmp_path / n)) for n in ("view", "docs"))
+    work = reconcile.check_all(view, docs, {"n": False})
+    assert sorted(map(tuple, work.collect())) == [("1", "update", ["n"]), ("2", "update", ["a"]), ("3", "insert", []), ("4", "delete", [])]
+    assert work._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
