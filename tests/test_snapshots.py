@@ -104,3 +104,13 @@ def test_the_owner_index_follows_rows_that_move(spark, tmp_path):
     f = index.fields[0]
     assert sorted(r["_id"] for r in index.owners(f, spark.createDataFrame([(1,)], "_k0 bigint")).collect()) == ["50", "9", "99"]
     assert Analyser(spark).query(MAPPING.sql).simple
+
+
+def test_a_store_of_small_buckets_does_not_split_without_end(spark, tmp_path):
+    """Buckets of a few bytes become larger ones where they would be very many; the documents are the same."""
+    store = Snapshots(spark, str(tmp_path), "i", buckets=4, bucket_bytes=50)
+    docs = spark.range(3000).selectExpr("cast(id AS string) AS _id", "id AS n")
+    store.write(docs)
+    store.compact()
+    found = store.state(store.version())["buckets"]
+    assert 16 < len(found) <= 256 and store.read().exceptAll(docs).isEmpty() and store.read().count() == 3000
