@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,14 @@ def changed_columns(before: Column, after: Column) -> Column:
     return F.array_sort(F.map_keys(F.when(before.isNotNull() & after.isNotNull(), differ).otherwise(whole)))
 
 
+def changes_any(among: Callable[[Column], Column]) -> Column:
+    """Whether one of changed_columns, in lower case, is among those that are asked for: no list of them is made, and only values of
+    columns that are asked for are compared."""
+    before, after = F.col("before"), F.col("after")
+    differs = lambda k: before.isNull() | after.isNull() | ~F.element_at(after, k).eqNullSafe(F.element_at(before, k))
+    return F.exists(F.map_keys(F.coalesce(after, before)), lambda k: among(F.lower(k)) & differs(k))
+
+
 def expand_key_change(changed: Column, key_columns: list[str], columns: list[str]) -> Column:
     """When a foreign key is among the changed columns, all columns that come over it count as changed."""
     moved = F.arrays_overlap(changed, F.array(*[F.lit(k) for k in key_columns]))
@@ -88,18 +98,16 @@ def dependents(changes: DataFrame, routes: list[Route], only_effect: bool = True
 
     An INIT always has one; an update does if it changed a column that the view reads, or its key; inserts and deletes do."""
     table = F.broadcast(route_table(changes, routes))  # as many rows as the mappings have tables
-    lower = F.transform(changed_columns(F.col("before"), F.col("after")), F.lower)
     rows = changes.withColumn("_table", F.lower("table")).withColumnRenamed("table", "source_table")
     rows = rows.join(table, F.col("_table") == F.col("table")).drop("_table", "table").withColumnRenamed("source_table", "table")
-    effect = F.when(F.col("op") == "UPDATE", F.arrays_overlap(lower, "columns") | F.array_contains("columns", "*")).otherwise(F.lit(True))
+    effect = F.when(F.col("op") == "UPDATE", F.array_contains("columns", "*") | changes_any(lambda k: F.array_contains("columns", k))).otherwise(F.lit(True))
     out = rows.withColumn("effect", F.coalesce(effect, F.lit(False)))
     return out.filter("effect") if only_effect else out
 
 
 def concerning(changes: DataFrame, route: Route) -> DataFrame:
     """The changes of one route's table that have an effect on its view: dependents for a single route, as a filter."""
-    lower = F.transform(changed_columns(F.col("before"), F.col("after")), F.lower)
-    read = F.lit(True) if "*" in route.columns else F.arrays_overlap(lower, F.array(*[F.lit(c) for c in route.columns]).cast("array<string>"))
+    read = F.lit(True) if "*" in route.columns else changes_any(lambda k: k.isin(*route.columns))
     return changes.filter((F.lower("table") == route.table) & F.when(F.col("op") == "UPDATE", read).otherwise(F.lit(True)))
 
 

@@ -16,19 +16,21 @@ from pyspark.sql import types as T
 from ..plans.lineage import Analyser, Query, Route, keys_of, routes
 from ..plans.mapping import Field, Mapping
 from ..sources.snapshots import stored
-from .changes import changed_columns, concerning
+from .changes import changes_any, concerning
 from .view import Methods, Models, build_view, field_values, source_sql, temporary
 
 #: Nested keys (_k0, ...) of a field -> the ids of their documents (_id): see streaming.owners.
 Owners = Callable[[Field, DataFrame], DataFrame]
 
 
-def images(changes: DataFrame, schema: T.StructType) -> DataFrame:
-    """Before and after images of changes as rows of their table, typed like it."""
+def images(changes: DataFrame, schema: T.StructType, distinct: bool = True) -> DataFrame:
+    """Before and after images of changes as rows of their table, typed like it. Without distinct, rows come as often as the changes
+    hold them, and only the columns that a reader takes are made."""
     both = changes.select(F.explode(F.array_compact(F.array("before", "after"))).alias("row"))
     lowered = F.transform_keys("row", lambda k, _: F.lower(k))
     both = both.select(lowered.alias("row"))
-    return both.select(*[F.element_at("row", f.name.lower()).try_cast(f.dataType).alias(f.name) for f in schema.fields]).distinct()
+    rows = both.select(*[F.element_at("row", f.name.lower()).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return rows.distinct() if distinct else rows
 
 
 def _through(spark: SparkSession, q: Query, route: Route, rows: DataFrame, out: str) -> DataFrame:
@@ -72,8 +74,11 @@ def affected(spark: SparkSession, mapping: Mapping, changes: DataFrame, analyser
     listed = routes(analyser, mapping)
     found = []
     for r in listed:
-        rows = images(concerning(changes, r), spark.table(r.table).schema)
-        if r.role in ("main", "owner") and (r.view == "" or r.role == "owner"):
+        itself = r.role in ("main", "owner") and (r.view == "" or r.role == "owner")
+        # rows that join others do so once each; where nothing is joined, only the keys are made, and those are distinct in the end
+        joins = not itself and (r.role == "derived" or len((whole if r.view == "" else nested[r.view][1]).tables) > 1)
+        rows = images(concerning(changes, r), spark.table(r.table).schema, joins)
+        if itself:
             own = rows.select(F.col(key.columns[0][1]).cast("string").alias("_id"))
         elif r.view == "":
             own = _through(spark, whole, r, rows, f"cast({key.text} AS string) AS _id")
@@ -89,10 +94,20 @@ def recompute(spark: SparkSession, mapping: Mapping, changes: DataFrame, *, meth
     """(upserts, deletes): the concerned documents as they are now, and the ids of those that are no more.
 
     The ids are written once, since every part of the view is restricted by them."""
+    ids, now = _recomputed(spark, mapping, changes, methods=methods, models=models)
+    return now, ids.join(_present(spark, mapping, ids), "_id", "left_anti")
+
+
+def _recomputed(spark: SparkSession, mapping: Mapping, changes: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
+    """The ids of the concerned documents, and those of them that there are, as they are now."""
     analyser = Analyser(spark)
     ids = stored(affected(spark, mapping, changes, analyser).select("_id").distinct())
-    now = build_view(spark, mapping, only=ids, methods=methods, models=models, analyser=analyser)
-    return now, ids.join(now.select("_id"), "_id", "left_anti")
+    return ids, build_view(spark, mapping, only=ids, analyser=analyser, **how)
+
+
+def _present(spark: SparkSession, mapping: Mapping, ids: DataFrame) -> DataFrame:
+    """The ids (_id) that the main query has a row for: nested and derived fields neither bring documents nor take them."""
+    return build_view(spark, Mapping(mapping.index, mapping.sql, pk=mapping.pk), only=ids).select("_id")
 
 
 def recompute_parts(
@@ -109,14 +124,14 @@ def recompute_parts(
     pk = whole.item(mapping.pk).columns[0][1]
     found = stored(affected(spark, mapping, changes, analyser, known))
     own = changes.filter(F.lower("table") == whole.main.table.lower())
-    moved = own.filter((F.col("op") != "UPDATE") | F.array_contains(F.transform(changed_columns(F.col("before"), F.col("after")), F.lower), pk.lower()))
+    moved = own.filter((F.col("op") != "UPDATE") | changes_any(lambda k: k == pk.lower()))
     kind = next(x for x in spark.table(whole.main.table).schema.fields if x.name.lower() == pk.lower())
     ids = images(moved, T.StructType([kind])).select(F.col(kind.name).cast("string").alias("_id"))
     if len(whole.tables) > 1:
         ids = ids.unionByName(found.filter("view = ''").select("_id"))
     ids = stored(ids.filter("_id is not null").distinct())
     upserts = build_view(spark, mapping, only=ids, analyser=analyser, **how)
-    deletes = ids.join(upserts.select("_id"), "_id", "left_anti")
+    deletes = ids.join(_present(spark, mapping, ids), "_id", "left_anti")
     rest = found.join(ids, "_id", "left_anti")
     of = lambda view: rest.filter(F.col("view") == view).select("_id").distinct()
     parts = []
@@ -134,8 +149,11 @@ def merged(snapshot: DataFrame, upserts: DataFrame, deletes: DataFrame) -> DataF
 
 
 def maintain(spark: SparkSession, mapping: Mapping, snapshot: DataFrame, changes: DataFrame, **how) -> DataFrame:
-    """The snapshot brought to the current tables, given the changes since."""
-    return merged(snapshot, *recompute(spark, mapping, changes, **how))
+    """The snapshot brought to the current tables, given the changes since: what merged does with recompute's two parts, where what
+    goes is told by ids alone, so that nested fields are computed once."""
+    ids, now = _recomputed(spark, mapping, changes, **how)
+    gone = ids.unionByName(_present(spark, mapping, ids))
+    return snapshot.join(gone, "_id", "left_anti").unionByName(now, allowMissingColumns=True)
 
 
 def direct_updates(changes: DataFrame, q: Query, pk: str, write_null: bool = False) -> DataFrame:

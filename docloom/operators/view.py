@@ -165,7 +165,8 @@ def nested_values(rows: DataFrame, names: list[str], f: Field, mapping: Mapping,
         in_order = F.array_sort(listed, lambda x, y: _compared(x, y, falling))
         found = F.get(in_order, F.lit(0))[final] if f.kind.startswith("object") else F.transform(in_order, lambda e: e[final])
     else:
-        found = F.min(entry)["row"] if f.kind.startswith("object") else F.transform(F.array_sort(listed), lambda e: e["row"])
+        # entries are structs and never null, so sort_array's order is that of array_sort, without an expression for each comparison
+        found = F.min(entry)["row"] if f.kind.startswith("object") else F.sort_array(listed)["row"]
     return rows.groupBy(*keys).agg(found.alias(f.name))
 
 
