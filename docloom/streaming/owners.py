@@ -39,7 +39,9 @@ class OwnerIndex:
         id_ = F.col(f"`{self.pk}`").cast("string")
         key = self._key(tied)
         filled = rows.filter(" and ".join(f"`{v}` is not null" for _, v in keys_of(f)) + f" and `{self.pk}` is not null")
-        return filled.select(F.concat_ws("\u0000", key, id_).alias("_id"), key.alias("_key"), id_.alias("document")).distinct()
+        own = {c.lower(): F.col(f"`{c}`") for c in [self.pk, *(v for _, v in keys_of(f))]}
+        filled = filled.select(*own.values()).distinct()  # before the texts are made, which are longer
+        return filled.select(F.concat_ws("\u0000", key, id_).alias("_id"), key.alias("_key"), id_.alias("document"))
 
     def load(self) -> None:
         """The pairs of the main table as it is, for each field that has none yet."""
@@ -61,9 +63,9 @@ class OwnerIndex:
             wanted = [x for x in self.spark.table(self.table).schema.fields if x.name.lower() in {self.pk.lower(), *(v.lower() for _, v in keys_of(f))}]
             schema, tied = T.StructType(wanted), [v for _, v in keys_of(f)]
             altered = stored(self._altered(own, [self.pk, *tied]))
-            new = self._pairs(images(self._last(own).join(altered, "row", "left_semi"), schema), f)
-            old = self._pairs(images(own.select("before", F.lit(None).cast("map<string,string>").alias("after")), schema), f)
-            old = old.join(altered.select(F.col("row").alias("document")), "document", "left_semi")
+            rows = self._events(own, [x.name for x in wanted]).join(altered, "row", "left_semi")  # of these rows only, all that happened
+            new = self._pairs(images(self._last(rows), schema), f)
+            old = self._pairs(images(rows.select("before", F.lit(None).cast("map<string,string>").alias("after")), schema), f)
             store.update(new, old.join(new.select("_id"), "_id", "left_anti"), {stream: batch})
             store.compact()
             store.prune()
@@ -79,13 +81,26 @@ class OwnerIndex:
         keys = F.array(self._value(before, self.pk), self._value(after, self.pk))
         return own.filter((F.col("op") != "UPDATE") | differs).select(F.explode(keys).alias("row")).filter("row is not null").distinct()
 
-    def _last(self, own: DataFrame) -> DataFrame:
+    def _events(self, own: DataFrame, columns: list[str]) -> DataFrame:
+        """(row, seq, step, before, after): what each change did to a row of its primary key, with the given columns of the images only. An
+        update that moves a row to another key takes it from the old one first, and its before image is that one's."""
+        wanted = lambda image: F.map_filter(image, lambda k, _: F.lower(k).isin(*[c.lower() for c in columns]))
+        before, after = F.col("before"), F.col("after")
+        old, new = self._value(before, self.pk), self._value(after, self.pk)
+        none, moved = F.lit(None).cast("map<string,string>"), ~old.eqNullSafe(new)
+        event = lambda row, step, b, a: F.struct(row.alias("row"), F.lit(step).alias("step"), b.alias("before"), a.alias("after"))
+        each = F.array_compact(F.array(
+            F.when(before.isNotNull() & moved, event(old, 0, before, none)),
+            F.when(after.isNotNull(), event(new, 1, F.when(~moved, before), after)),
+        ))
+        small = own.select("seq", wanted(before).alias("before"), wanted(after).alias("after"))
+        return small.select("seq", F.explode(each).alias("e")).select("e.row", "seq", "e.step", "e.before", "e.after")
+
+    @staticmethod
+    def _last(events: DataFrame) -> DataFrame:
         """(row, before, after) with each row's last image in after; a row that is gone, or moved to another key, has none."""
-        old, new = self._value(F.col("before"), self.pk), self._value(F.col("after"), self.pk)
         none = F.lit(None).cast("map<string,string>")
-        went = own.filter(F.col("before").isNotNull() & ~old.eqNullSafe(new)).select(old.alias("row"), "seq", F.lit(0).alias("step"), none.alias("after"))
-        came = own.filter("after is not null").select(new.alias("row"), "seq", F.lit(1).alias("step"), "after")
-        last = went.unionByName(came).groupBy("row").agg(F.max_by("after", F.struct("seq", "step")).alias("after"))
+        last = events.groupBy("row").agg(F.max_by("after", F.struct("seq", "step")).alias("after"))
         return last.filter("after is not null").select("row", none.alias("before"), "after")
 
     def owners(self, f: Field, keys: DataFrame) -> DataFrame:
