@@ -47,26 +47,32 @@ def search_after(docs: DataFrame, cursor: str | None, size: int, include: list[s
     return out.select("_id", *include) if include is not None else out
 
 
-def date_windows(df: DataFrame, time: str, start, width_ms: int = 600_000) -> DataFrame:
+def date_windows(df: DataFrame, time: str, start, width_ms: int = 600_000, *, nearest: bool = False) -> DataFrame:
     """df with window_no and window_start: half-open windows of width_ms counted from start; earlier rows are left out.
 
     Times without a zone are counted as they are written, whatever the session's zone, so that none falls into the hour that
-    a change to summer time leaves out."""
+    a change to summer time leaves out. Finer times count as the millisecond that they lie in; with nearest as the nearest one (of
+    two the later), as SQL's epoch_ms and stores of milliseconds have them, so that the last half of one counts to the next window."""
     column, begin = F.col(time), F.lit(start)
     if isinstance(df.schema[time].dataType, T.TimestampNTZType):
         begin = begin.cast("timestamp_ntz")
 
         def millis(c: Column) -> Column:
             seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
-            return seconds * 1000 + F.floor(F.date_part(F.lit("SECOND"), c) * 1000)
+            part = F.date_part(F.lit("SECOND"), c) * 1000
+            return seconds * 1000 + (F.round(part).cast("bigint") if nearest else F.floor(part))
 
-        offset = millis(column) - millis(begin)
     else:
-        begin = begin.cast("timestamp")
-        offset = F.unix_millis(column.cast("timestamp")) - F.unix_millis(begin)
+        column, begin = column.cast("timestamp"), begin.cast("timestamp")
+
+        def millis(c: Column) -> Column:
+            late = F.pmod(F.unix_micros(c), F.lit(1000)) >= 500
+            return F.unix_millis(c) + late.cast("int") if nearest else F.unix_millis(c)
+
+    offset = millis(column) - millis(begin)
     n = F.floor(offset / width_ms)
     stamp = begin + F.make_dt_interval(secs=n * width_ms / F.lit(1000).cast("decimal(4,0)"))
-    return df.filter(offset >= 0).withColumn("window_no", n.cast("bigint")).withColumn("window_start", stamp)
+    return df.filter(column >= begin if nearest else offset >= 0).withColumn("window_no", n.cast("bigint")).withColumn("window_start", stamp)
 
 
 def chunked(df: DataFrame, order: list[str], size: int, within: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from concurrent.futures import ThreadPoolExecutor
 
+import duckdb
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -465,6 +466,26 @@ def test_date_windows_keep_their_width_over_summer_time(spark, kind):
     assert sorted(map(tuple, got)) == [(0, "2024-03-10 00:00:00"), (11, "2024-03-10 01:50:00"), (15, "2024-03-10 02:30:00"), (21, "2024-03-10 03:30:00"), (145, "2024-03-11 00:10:00")]
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_date_windows_by_the_nearest_millisecond(spark, kind):
+    """The last half millisecond counts to the next window, but not into the first one."""
+    times = ["2024-01-01 05:59:59.9998", "2024-01-01 06:00:00", "2024-01-01 06:09:59.999499", "2024-01-01 06:09:59.9995", "2024-01-01 06:59:59.999999", "2024-01-01 07:00:00"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast(kind).alias("t"))
+    got = ranges.date_windows(df, "t", "2024-01-01 06:00:00", nearest=True).selectExpr("window_no", "cast(window_start as string) as at").collect()
+    assert sorted(map(tuple, got)) == [(0, "2024-01-01 06:00:00")] * 2 + [(1, "2024-01-01 06:10:00")] + [(6, "2024-01-01 07:00:00")] * 2
+
+
+def test_date_windows_are_those_of_the_sql(spark, tmp_path):
+    """Times just before a window's end, and sums that lie near half a unit of the fourth decimal."""
+    sums = [[29.27, 0.00005], [1162.37005], [0.1, 0.2, 70000.00005], [122.79, 2.11, 0.00015], [1.00015], [26.11, 56.25, 50.91, 67.07, 7.94, 1.00035]] * 3
+    rows = [(v * (1 + 0.001 * i), f"2024-01-01 {6 + i // 6:02d}:{i % 6}9:59.{999000 + 111 * j:06d}") for i, vs in enumerate(sums) for j, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "value double, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("late", F.col("ts") + F.expr("interval 600 microseconds"))
+    df.select("value", "ts").unionByName(df.select("value", F.col("late").alias("ts"))).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = q.QUERIES["range_date_windows"](spark, str(tmp_path)).collect()
+    sql = q.ORACLE_SQL["range_date_windows"].replace("from events", f"from '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(duckdb.execute(sql).fetchall())
+
+
 def test_small_blocks_are_cut_inside_few_ranges(spark):
     """Blocks of few requests do not make as many ranges, whose samples come to the driver; places keep to their order and stay together."""
     rows = spark.range(2000).selectExpr("'i' AS index", "cast(id % 9 AS string) AS id", "id div 2 AS seq", "'update' AS kind", "true AS upsert", "map('f', 'v') AS fields")
