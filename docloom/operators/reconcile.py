@@ -101,13 +101,17 @@ def change_counts(changes: DataFrame, samples: int = 5) -> DataFrame:
     return each.groupBy("field").agg(F.count("*").alias("n_changed")).join(ids, "field")
 
 
+def _all_marks(a: dict, b: dict, nested: dict[str, bool] | None) -> Column:
+    return F.concat(_row_marks(a, b), *[_nested_marks(a, b, name, ordered) for name, ordered in (nested or {}).items()])
+
+
 def check_all(view: DataFrame, docs: DataFrame, nested: dict[str, bool] | None = None) -> DataFrame:
     """One row for each document in need of work: _id, action (insert, delete, update) and the changed fields.
 
     All is told by one outer join, so that view and docs are computed once each, however many fields are compared."""
     both, a, b = _pairs(view, docs, "full_outer")
     none = F.array().cast("array<string>")
-    changed = F.concat(_row_marks(a, b), *[_nested_marks(a, b, name, ordered) for name, ordered in (nested or {}).items()])
+    changed = _all_marks(a, b, nested)
     action = F.when(F.col("_d").isNull(), "insert").when(F.col("_s").isNull(), "delete").otherwise("update")
     rows = both.select("_id", action.alias("action"), F.when(F.col("_s") & F.col("_d"), changed).otherwise(none).alias("changed"))
     rows = rows.filter("action <> 'update' or size(changed) > 0")
@@ -166,6 +170,32 @@ def repaired(view: DataFrame, docs: DataFrame, work: DataFrame) -> DataFrame:
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
+def mended(view: DataFrame, docs: DataFrame, nested: dict[str, bool] | None = None, *, orphans: bool = True) -> DataFrame:
+    """What repaired gives after check_all, by the outer join that compares: a document that differs or is missing is the view's, an equal
+    one stays as it is, and orphans go, unless orphans is false.
+
+    view and docs are computed once each, and shuffled once each for their meeting. Of a document that docs hold more than once, one is compared
+    and the others go. Where both sides have a field in different types, the work is listed first, and a union finds the common types."""
+    kinds = [{f.name: f.dataType.simpleString() for f in df.schema.fields} for df in (view, docs)]
+    if any(kinds[0][c] != kinds[1][c] for c in kinds[0].keys() & kinds[1].keys()):
+        work = check_all(view, docs, nested)
+        return repaired(view, docs, work if orphans else work.filter("action <> 'delete'"))
+    numbered = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy("_id")))
+    both, a, b = _pairs(view, numbered, "full_outer")
+    there, keyed = F.col("_s").isNotNull(), F.col("_id").isNotNull()
+    fresh = there & (F.col("_d").isNull() | F.coalesce(F.size(_all_marks(a, b, nested)) > 0, F.lit(False)))
+    other = ~there & (~keyed if orphans else F.lit(True))  # null ids meet nothing: such documents are left alone
+    rows = both.filter(there & keyed & F.coalesce(F.col("d__nth") == 1, F.lit(True)) | other).withColumn("_fresh", fresh)
+
+    def value(c: str) -> Column:
+        if c not in a or c not in b:
+            return F.when(F.col("_fresh") == (c in a), F.col(f"`{'s' if c in a else 'd'}_{c}`"))
+        return F.when(F.col("_fresh"), F.col(f"`s_{c}`")).otherwise(F.col(f"`d_{c}`"))
+
+    names = [*docs.columns, *[c for c in view.columns if c not in b]]
+    return rows.select(*[F.col("_id") if c == "_id" else value(c).alias(c) for c in names])
+
+
 def delete_range(docs: DataFrame, column: str, low, high) -> DataFrame:
     """docs without those whose column lies in [low, high]."""
     return docs.filter(F.col(column).isNull() | ~F.col(column).between(low, high))

@@ -206,11 +206,14 @@ def build_view(
     if only is not None:
         docs = _restricted(docs, q.item(mapping.pk).name, only)
     scalars = {f.name: f for f in mapping.scalars}
-    for f in mapping.nested:
-        if fields is not None and f.name not in fields:
-            continue
+    wanted = [f for f in mapping.nested if fields is None or f.name in fields]
+    order = [c for c in docs.columns if not c.startswith("_k_")] + [f.name for f in wanted]
+    own_key = lambda f: [v.lower() for _, v in keys_of(f)] == [q.item(mapping.pk).columns[0][1].lower()]
+    for f in sorted(wanted, key=own_key):  # those tied by the primary key last: documents then lie by their ids
         rows, names = nested_rows(spark, analyser, f, mapping)
         keys = [f"_k_{v}" for _, v in keys_of(f)]
+        if own_key(f) and only is None and not where and _tied_by_id(q, mapping, docs.schema[keys[0]].dataType, rows.schema["_k0"].dataType):
+            rows, keys = rows.withColumn("_k0", F.col("_k0").cast("string")), ["_id"]
         if only is not None or where:
             own = docs.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).distinct()
             rows = rows.join(own, [f"_k{n}" for n in range(len(keys))], "left_semi")
@@ -225,7 +228,15 @@ def build_view(
             docs = embedded(docs, x.name, x.name, scalars[x.name], models or {}, vectors)
         elif x.name in scalars:
             docs = docs.withColumn(x.name, derived(F.col(f"`{x.name}`"), x.dataType, scalars[x.name], methods))
-    return docs.drop(*[c for c in docs.columns if c.startswith("_k_")])
+    return docs.select(*[f"`{c}`" for c in order])
+
+
+def _tied_by_id(q: Query, mapping: Mapping, main: T.DataType, nested: T.DataType) -> bool:
+    """Whether a nested key that equals the primary key also equals it as a text, as _id has it: whole numbers and texts do. A join by
+    _id leaves the documents shuffled by their ids, so that what meets them by these next does not shuffle them again."""
+    key, whole = q.item(mapping.pk), T.ByteType | T.ShortType | T.IntegerType | T.LongType
+    own = key.plain and (key.columns[0][0] or q.main.alias).lower() == q.main.alias.lower()
+    return own and (isinstance(main, whole) and isinstance(nested, whole) or main == nested == T.StringType())
 
 
 def field_values(spark: SparkSession, mapping: Mapping, f: Field, only: DataFrame, analyser: Analyser, **how) -> DataFrame:
